@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .mpeg import op2_mpeg
+from .packing import op5_packing
+from .repair import op10_repair
 from .url_rules import op7_url_rules
 
 QUERIES = {
     "op2_mpeg": op2_mpeg,
     "op4_decontaminate": op4_decontaminate,
+    "op5_packing": op5_packing,
     "op7_url_rules": op7_url_rules,
+    "op10_repair": op10_repair,
 }
 SQL = {"op4_decontaminate": OP4_SQL}
