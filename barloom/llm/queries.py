@@ -6,6 +6,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .mpeg import op2_mpeg
 from .packing import op5_packing
 from .repair import op10_repair
+from .setsketch import op9_setsketch
 from .url_rules import op7_url_rules
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
     "op7_url_rules": op7_url_rules,
+    "op9_setsketch": op9_setsketch,
     "op10_repair": op10_repair,
 }
 SQL = {"op4_decontaminate": OP4_SQL}
