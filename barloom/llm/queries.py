@@ -7,9 +7,11 @@ from .mpeg import op2_mpeg
 from .packing import op5_packing
 from .repair import op10_repair
 from .setsketch import op9_setsketch
+from .toxicity import op1_toxicity
 from .url_rules import op7_url_rules
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mpeg": op2_mpeg,
     "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
