@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .mpeg import op2_mpeg
 from .packing import op5_packing
+from .quality import op6_quality
 from .repair import op10_repair
 from .setsketch import op9_setsketch
 from .toxicity import op1_toxicity
@@ -13,10 +15,12 @@ from .url_rules import op7_url_rules
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mpeg": op2_mpeg,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_url_rules": op7_url_rules,
     "op9_setsketch": op9_setsketch,
     "op10_repair": op10_repair,
 }
-SQL = {"op4_decontaminate": OP4_SQL}
+SQL = {"op3_line_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL}
