@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .licenses import op8_licenses
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mpeg import op2_mpeg
 from .packing import op5_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_url_rules": op7_url_rules,
+    "op8_licenses": op8_licenses,
     "op9_setsketch": op9_setsketch,
     "op10_repair": op10_repair,
 }
