@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from .plans import factor_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**factor_queries.QUERIES}
+ORACLE: dict[str, str] = {**factor_queries.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return factor_queries.QUERIES["factor_full"](spark, sf_dir).orderBy("market", "symbol", "trade_date")
