@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import factor_queries, strategy_queries
+from .plans import backtest_queries, factor_queries, strategy_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**factor_queries.QUERIES, **strategy_queries.QUERIES}
-ORACLE: dict[str, str] = {**factor_queries.ORACLE, **strategy_queries.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**factor_queries.QUERIES, **strategy_queries.QUERIES, **backtest_queries.QUERIES}
+ORACLE: dict[str, str] = {**factor_queries.ORACLE, **strategy_queries.ORACLE, **backtest_queries.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
