@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import backtest_queries, factor_queries, strategy_queries
+from .plans import backtest_queries, catalog_queries, factor_queries, portfolio_queries, strategy_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**factor_queries.QUERIES, **strategy_queries.QUERIES, **backtest_queries.QUERIES}
-ORACLE: dict[str, str] = {**factor_queries.ORACLE, **strategy_queries.ORACLE, **backtest_queries.ORACLE}
+GROUPS = [factor_queries, catalog_queries, strategy_queries, backtest_queries, portfolio_queries]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for g in GROUPS for k, f in g.QUERIES.items()}
+ORACLE: dict[str, str] = {k: s for g in GROUPS for k, s in g.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor_queries.QUERIES["factor_full"](spark, sf_dir).orderBy("market", "symbol", "trade_date")
+    return catalog_queries.QUERIES["factor_rank"](spark, sf_dir)
