@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import tie_safe
 
 k = F.col
-DAY = Window.partitionBy("trade_date")
+
+def day() -> WindowSpec:
+    return Window.partitionBy("trade_date")
 
 
 def share(c: Column) -> Column:
     """c over its day's sum; equal parts where that is 0."""
-    total = F.sum(c).over(DAY)
-    return F.when(total > 0, c / total).otherwise(1 / F.count("*").over(DAY))
+    total = F.sum(c).over(day())
+    return F.when(total > 0, c / total).otherwise(1 / F.count("*").over(day()))
 
 
 METHODS = ("equal", "score", "risk", "liquidity", "hybrid")
