@@ -64,18 +64,25 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int = R
         if len(often) > a_round:
             often = often[np.argpartition(-counts[often], a_round)[:a_round]]
         chosen = np.sort(ordered[edge[often]])
-        place = np.searchsorted(chosen, key).clip(max=len(chosen) - 1)
-        hit = np.flatnonzero((chosen[place] == key) & inner)
+        # Most positions fall to a small table of the chosen pairs' low bits; the rest are looked up.
+        low = np.zeros(1 << 20, bool)
+        fold = lambda x: (x ^ (x >> x.dtype.type(13))) & x.dtype.type((1 << 20) - 1)
+        low[fold(chosen)] = True
+        maybe = np.flatnonzero(low[fold(key)] & inner)
+        place = np.searchsorted(chosen, key[maybe]).clip(max=len(chosen) - 1)
+        right = chosen[place] == key[maybe]
+        hit, place = maybe[right], place[right]
         # In a run of overlapping hits every second one is replaced, from its left end.
         first = np.concatenate(([True], np.diff(hit) > 1))
         run = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+        odd = (np.arange(len(hit)) - run) % 2 == 0
+        hit, place = hit[odd], place[odd]
         shift = np.uint64(32) if limit > 1 << 16 else np.uint32(16)
         pair = np.stack([chosen >> shift, chosen & ((chosen.dtype.type(1) << shift) - chosen.dtype.type(1))], 1).astype(np.uint32)
         starts.append(sum(map(len, rules)))
         rules.append(pair)
         lengths = np.concatenate([lengths, lengths[pair[:, 0]] + lengths[pair[:, 1]]])
-        s[hit] = top + place[hit]
+        s[hit] = top + place
         last[hit] |= last[hit + 1]
         keep = np.ones(len(s), bool)
         keep[hit + 1] = False
