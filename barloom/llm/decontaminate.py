@@ -28,12 +28,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), BREAKS), lambda w: w != "")
 
 
-def windows(words: Column, n: int) -> Column:
-    """array<struct<size, pos, hash>> of the windows of n words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("size"), i.alias("pos"), F.xxhash64(F.slice(words, i + 1, n)).alias("hash")))
-
-
 def grams_of(benchmark: DataFrame, n: int) -> DataFrame:
     """Distinct windows (hash, gram, size, items): items are the ids, as strings, that hold the window."""
     words = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(text_of()).alias("w")).where("size(w) > 0")
@@ -48,21 +42,35 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_grams: in
     sizes = {r["size"]: r["count"] for r in grams.groupBy("size").count().collect()}  # at most n rows
     small = sum(sizes.values()) <= broadcast_grams
     base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(text_of()).alias("w"))
-    # One entry stands for the document itself, so that documents without hits come through the same shuffle.
-    entry = "array<struct<size:int,pos:int,hash:bigint>>"
-    own = F.array(F.struct(F.lit(0), F.lit(-1), F.lit(0).cast("long"))).cast(entry)
-    every = [own] + [windows(F.col("w"), k) for k in sorted(sizes)]
-    at = base.select("row", "doc_id", "w", F.size("w").alias("n_words"), F.explode(F.concat(*every)).alias("x")).select("row", "doc_id", "w", "n_words", "x.*")
+    # Place -1 stands for the document itself, so that documents without hits come through the same shuffle; place
+    # i of n words is word i % n for the (i / n)-th size. The words stay behind here: a row has its window alone.
+    n_words, k = F.size("w"), F.lit(n)
+    for i, size in enumerate(sorted(sizes)):
+        k = F.when(F.col("place") >= i * F.col("n_words"), F.lit(size)).otherwise(k)
+    placed = base.withColumn("n_words", n_words).withColumn("places", F.sequence(F.lit(-1), n_words * max(1, len(sizes)) - 1))
+    at = placed.select("row", "doc_id", "n_words", "w", F.explode("places").alias("place")).withColumn("size", k)
+    at = at.withColumn("pos", F.when(F.col("place") < 0, F.lit(-1)).otherwise(F.col("place") % F.greatest("n_words", F.lit(1))))
+    at = at.where((F.col("place") < 0) | (F.col("pos") + F.col("size") <= F.col("n_words")))
+    at = at.select("row", "doc_id", "n_words", "pos", "size", F.when(F.col("place") >= 0, F.slice("w", F.col("pos") + 1, F.col("size"))).alias("window"))
+    at = at.withColumn("hash", F.when(F.col("pos") >= 0, F.xxhash64("window")))
     g = grams.select(F.col("size").alias("g_size"), F.col("hash").alias("g_hash"), "gram", "items")
-    found = at.join(F.broadcast(g) if small else g, (F.col("hash") == F.col("g_hash")) & (F.col("size") == F.col("g_size")), "left")
-    verified = F.slice("w", F.col("pos") + 1, F.greatest("size", F.lit(1))) == F.col("gram")
-    hits = found.where((F.col("pos") < 0) | verified).select("row", "doc_id", "n_words", "pos", "size", F.when(F.col("pos") >= 0, F.col("items")).alias("items"))
-    # Equal places of a document differ in size at most; a document has as many places as words.
+    # A hash that agrees is verified on the words themselves.
+    same = (F.col("hash") == F.col("g_hash")) & (F.col("size") == F.col("g_size")) & (F.col("window") == F.col("gram"))
+    hits = at.join(F.broadcast(g) if small else g, same, "left").where("pos < 0 or items is not null").select("row", "doc_id", "n_words", "pos", "size", "items")
+    # A document has as many places as words and sizes.
     per_doc = hits.groupBy("row", "doc_id").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", (F.col("pos") + F.col("size")).alias("end"))))).alias("places"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
     )
+    # Words in hit windows, in order of their first place: each adds what lies beyond the furthest end so far.
+    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+    covered = F.aggregate(
+        "places",
+        state,
+        lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["end"], x["pos"]))).alias("n"), F.greatest(s["end"], x["end"]).alias("end")),
+        lambda s: s["n"],
+    )
     start = F.array().cast("array<struct<pos:int,end:int>>")
 
     def add(acc: Column, x: Column) -> Column:
@@ -70,8 +78,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_grams: in
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["pos"].alias("pos"), F.greatest(last["end"], x["end"]).alias("end"))))
         return F.when((F.size(acc) > 0) & (x["pos"] <= last["end"]), joined).otherwise(F.concat(acc, F.array(x)))
 
-    spans = F.aggregate("places", start, add)
-    return per_doc.withColumn("spans", spans).select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["pos"])).alias("n_hit"), "item_ids", "spans", "row")
+    return per_doc.select("doc_id", "n_words", covered.alias("n_hit"), "item_ids", F.aggregate("places", start, add).alias("spans"), "row")
 
 
 def contaminated() -> Column:
