@@ -3,11 +3,15 @@
 Every step is a DataFrame function or Spark ML's FPGrowth; no Python runs on the executors.
 
 1. A URL becomes a set of tokens: scheme, host labels counted from the right, the first label when it is a
-   subdomain, path segments by place (digits folded to ``#``), query keys, fragment. The vocabulary that can be
-   frequent is bounded by 1 / min_support times the tokens of a URL.
+   subdomain, path segments by place (digits folded to ``#``), query keys, fragment. All of them are mined and matched,
+   however many a URL has.
 2. FP-growth mines frequent token sets of labelled URLs together with the label item. A rule is
    ``tokens -> blocked`` with support, confidence and lift at or over their thresholds; a rule whose tokens contain
-   those of a shorter rule of at least its confidence adds nothing and is pruned.
+   those of a shorter rule of at least its confidence adds nothing and is pruned. Two reductions before mining change no
+   rule: tokens that fewer blocked URLs hold than the minimum support asks are dropped, as no rule can hold them; and
+   tokens of exactly the same labelled URLs are mined as one item, since a rule with two of them is always pruned, and
+   each of them then takes the item's place in its rules. Frequent tokens that occur together in many different
+   combinations still give as many token sets as FP-growth finds.
 3. Matching: each rule is posted under its rarest token. A URL's tokens meet that index, and only then is the whole
    token set compared.
 
@@ -40,7 +44,6 @@ class RuleParams:
     min_count: int = 20
     min_confidence: float = 0.6
     min_lift: float = 1.5
-    max_tokens: int = 16
     #: Above this many rules the index is joined by a shuffle instead of a broadcast.
     broadcast_rules: int = 100_000
 
@@ -61,8 +64,8 @@ def host_path(df: DataFrame, url: str) -> DataFrame:
     return df.withColumns({"host": F.coalesce(host_of(u), F.lit("")), "path": F.coalesce(path_of(u), F.lit(""))})
 
 
-def tokens(url: Column, host: Column, path: Column, limit: int) -> Column:
-    """Distinct tokens of a URL; null entries fall away. Tokens beyond the limit of a freak URL are not mined or matched."""
+def tokens(url: Column, host: Column, path: Column) -> Column:
+    """All distinct tokens of a URL; null entries fall away."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
     from_right = F.transform(labels, lambda x, i: F.concat(F.lit("h"), (n - i).cast("string"), F.lit(":"), x))
@@ -77,13 +80,23 @@ def tokens(url: Column, host: Column, path: Column, limit: int) -> Column:
         F.when(path.endswith("/"), F.lit("slash")),
     )
     every = F.array_compact(F.concat(from_right, placed, keys, single))
-    return F.when(url.isNull() | ~F.contains(url, F.lit("://")), F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(every), 1, limit))
+    return F.when(url.isNull() | ~F.contains(url, F.lit("://")), F.array().cast("array<string>")).otherwise(F.array_distinct(every))
 
 
 def mine(labelled: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     """Rules (rule_id, rule_tokens, confidence, lift, support) from rows (tokens array, blocked int)."""
-    items = labelled.where("blocked is not null and size(tokens) > 0").select(F.when(F.col("blocked") == 1, F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
-    support = max(p.min_support, min(1.0, p.min_count / max(1, items.count())))
+    rows = labelled.where("blocked is not null and size(tokens) > 0").select(F.monotonically_increasing_id().alias("uid"), "tokens", "blocked")
+    rows = persisted(rows, "url-labelled")
+    n = rows.count()
+    support = max(p.min_support, min(1.0, p.min_count / max(1, n)))
+    posted = rows.select("uid", "blocked", F.explode(F.array_distinct("tokens")).alias("token"))
+    # Tokens of the same URLs have the same number of them and the same 128 bits of hash.
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("y")]
+    often = posted.groupBy("token").agg(F.count_if(F.col("blocked") == 1).alias("n_blocked"), *same).where(F.col("n_blocked") >= support * n - 1e-6)
+    classes = persisted(often.groupBy("n", "x", "y").agg(F.min("token").alias("item"), F.array_sort(F.collect_set("token")).alias("members")).select("item", "members"), "url-items")
+    marked = posted.join(classes.select(F.col("item").alias("token"), "item"), "token", "left")
+    held = marked.groupBy("uid").agg(F.max("blocked").alias("blocked"), F.collect_list("item").alias("kept"))
+    items = held.select(F.when(F.col("blocked") == 1, F.array_append("kept", F.lit(BLOCKED))).otherwise(F.col("kept")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=p.min_confidence).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.col("lift") >= p.min_lift))
     rules = rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "lift", "support").withColumn("rule_id", F.array_join("rule_tokens", " & "))
@@ -91,7 +104,13 @@ def mine(labelled: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     # A shorter rule of at least the same confidence makes a longer one redundant. Shorter and longer meet on a shared token.
     a, b = rules.alias("a"), rules.select(F.explode("rule_tokens").alias("t"), F.col("rule_id").alias("short_id"), F.col("rule_tokens").alias("short"), F.col("confidence").alias("short_conf")).alias("b")
     worse = a.select("rule_id", "confidence", "rule_tokens", F.explode("rule_tokens").alias("t")).join(b, "t").where((F.size("short") < F.size("rule_tokens")) & (F.col("short_conf") >= F.col("confidence")) & (F.size(F.array_except("short", "rule_tokens")) == 0))
-    return persisted(rules.join(worse.select("rule_id").distinct(), "rule_id", "left_anti"), "url-rules-pruned")
+    least = rules.join(worse.select("rule_id").distinct(), "rule_id", "left_anti")
+    # Every choice of one token for each item of a rule.
+    choices = least.select("rule_id", F.explode("rule_tokens").alias("item")).join(classes, "item").groupBy("rule_id").agg(F.collect_list("members").alias("choices"))
+    start = F.array(F.array().cast("array<string>"))
+    product = F.aggregate("choices", start, lambda acc, m: F.flatten(F.transform(acc, lambda a: F.transform(m, lambda t: F.array_append(a, t)))))
+    every = least.drop("rule_tokens").join(choices, "rule_id").select(F.explode(product).alias("chosen"), "confidence", "lift", "support").withColumn("rule_tokens", F.array_sort("chosen"))
+    return persisted(every.select(F.array_join("rule_tokens", " & ").alias("rule_id"), "rule_tokens", "confidence", "lift", "support"), "url-rules-pruned")
 
 
 def match(urls: DataFrame, rules: DataFrame, key: str, p: RuleParams = RuleParams()) -> DataFrame:
@@ -115,7 +134,7 @@ def judge(pages: DataFrame, labelled_ids: DataFrame, rules: list[tuple[str, str,
     """pages (page_id, url, ...) with host, path, rule, mined_rule, verdict; labelled_ids has (page_id, blocked)."""
     clash = [c for c in pages.columns if c.lower() in {"host", "path", "rule", "verdict", "tokens", "mined_rule", "confidence"}]
     base = host_path(pages.drop(*clash), "url")
-    full = base.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"), p.max_tokens))
+    full = base.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
     labelled = full.select("page_id", "tokens").join(labelled_ids.groupBy("page_id").agg(F.max("blocked").alias("blocked")), "page_id")
     mined = mine(labelled, p)
     # Equal URLs have equal verdicts: each is matched once, whatever its number of rows.

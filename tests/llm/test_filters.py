@@ -137,6 +137,29 @@ def test_mined_rules_equal_brute_force(spark):
     assert {x.page_id for x in url_rules.match(urls, mined, "page_id", p).collect()} == want
 
 
+def test_urls_of_many_tokens_are_mined_and_matched_whole(spark):
+    deep = "/".join(f"d{chr(97 + i)}" for i in range(24))
+    keys = lambda i: "&".join([*(f"k{i}x{j}=1" for j in range(20)), "track=1"])
+    rows = [(i, f"http://a.info/{deep}/p?{keys(i)}#z" if i % 2 else f"http://a.info/{deep}/p?{keys(i)[:-8]}", i % 2) for i in range(80)]
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(500, f"http://b.info/{'x/' * 30}?{keys(500)}"), (501, f"http://b.info/{'x/' * 30}?a")], "page_id long, url string")
+    out = {r.page_id: (r.verdict, r.mined_rule) for r in url_rules.judge(pages, spark.createDataFrame([(r[0], r[2]) for r in rows], "page_id long, blocked int")).collect()}
+    assert all(out[i] == (("block", "q:track") if i % 2 else ("allow", None)) for i, _, _ in rows)
+    assert out[500] == ("block", "q:track") and out[501] == ("allow", None)
+
+
+def test_mined_rules_of_inseparable_tokens_equal_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for _ in range(400):
+        drawn = {r.choice("abcdef") for _ in range(3)}
+        items = drawn | set("A" if "a" in drawn else "") | set("BC" if "b" in drawn else "") | ({f"rare{r.random()}"} if r.random() < 0.3 else set())
+        rows.append((sorted(items), int(r.random() < (0.9 if {"a", "b"} <= items else 0.1))))
+    p = url_rules.RuleParams(min_support=0.01)
+    mined = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked int"), p)
+    want = brute_rules(rows, p)
+    assert {tuple(x.rule_tokens) for x in mined.collect()} == want and ("A", "C") in want
+
+
 # Media --------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("n", [0, 1, 23, 191, 937, 938, 5000])
 def test_media_round_trip(n):
