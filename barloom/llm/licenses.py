@@ -1,14 +1,17 @@
 """License scans: a trained paragraph classifier with a calibrated unknown class, confirmed by template comparison.
 
 Training data are made from public notice templates: their sentences, whole and shortened, with words dropped and foreign
-words put in (seeded, so every run learns the same), against paragraphs of the corpus itself that share hardly any word
-with the templates (a bounded sample by hash) and shuffled template words. A sparse multinomial logistic regression on
+words put in (seeded, so every run learns the same), against passages of the corpus itself, from any place of a document,
+that share hardly any word with the templates (a bounded sample by hash) and shuffled template words. A sparse multinomial logistic regression on
 word 1- and 2-grams learns the families and `none`. Half of the made paragraphs calibrate: the threshold under which a
 prediction is `unknown` is where the wrong ones of that half fall under FALSE_RATE. A prediction is confirmed when its
-paragraph shares enough of its n-grams with a sentence of that family's templates, else it counts as unknown.
+words share enough of their n-grams with a sentence of that family's templates, else it counts as unknown.
 
-Every paragraph (line) of every text is scored. Only the n-grams of the model's vocabulary bear weight, so a paragraph
-costs one dictionary lookup for each of its words.
+A paragraph is a run of lines that are not blank once comment marks are stripped, so notices wrapped at any width are
+read whole. Its lines, its sentences, and its windows of a template's length that hold SHARED of that template's n-grams
+are all scored; of confirmed ones that overlap, that of the larger template share counts, and the unknown ones that
+overlap no confirmed one count once each. Only the n-grams of the model's vocabulary bear weight, so a paragraph without
+half of any template costs one dictionary lookup for each of its words and the scores of its lines and sentences.
 
 Cases: null, empty and blank texts have no paragraphs; ties between families go to the alphabetically first. Repeated rows
 are scanned alike. Without any corpus paragraphs the shuffled words are the only negatives. Extra columns are ignored.
@@ -18,8 +21,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +54,37 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without permission.", "This material may not be copied or distributed without the written permission of the publisher."],
 }
 WORD = re.compile(r"[^\W_]+(?:[.][0-9]+)*")
+STOP = re.compile(r"[.!?][\"')\]]*(?:\s+|$)")
+MARKS = " \t\r\f\v#*/;%>|<-"
+MARK_WORD = re.compile(r"(?:rem|dnl)(?:\s+|$)", re.IGNORECASE)
 
 
-def grams(text: str) -> list[str]:
-    w = WORD.findall(text.lower())
+def grams_of(w: list[str]) -> list[str]:
     return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
+def grams(text: str) -> list[str]:
+    return grams_of(WORD.findall(text.lower()))
+
+
+def paragraphs(text: str | None) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first line, lines without comment marks) of each run of lines that are not blank."""
+    start, lines = 0, []
+    for k, line in enumerate((text or "").split("\n")):
+        bare = line.strip().strip(MARKS)
+        if bare[:3].lower() in ("rem", "dnl"):
+            bare = MARK_WORD.sub("", bare, count=1)
+        if bare:
+            if not lines:
+                start = k
+            lines.append(bare)
+        elif lines:
+            yield start, lines
+            lines = []
+    if lines:
+        yield start, lines
+
+
 @dataclass(frozen=True)
 class Model:
     families: list[str]
@@ -65,10 +94,105 @@ class Model:
     bias: np.ndarray
     threshold: float
     templates: dict[str, list[frozenset[str]]]
+    #: Words of every template sentence.
+    sentences: list[list[str]]
+
+    @cached_property
+    def holders(self) -> dict[str, list[int]]:
+        """The sentences that hold an n-gram."""
+        out: dict[str, list[int]] = {}
+        for i, w in enumerate(self.sentences):
+            for g in set(grams_of(w)):
+                out.setdefault(g, []).append(i)
+        return out
+
+    @cached_property
+    def sizes(self) -> list[int]:
+        return [len(set(grams_of(w))) for w in self.sentences]
+
+    def windows(self, words: list[str]) -> list[tuple[float, int, int]]:
+        """(share, start, end) of the windows of a sentence's length, cut to its n-grams, that hold SHARED of them."""
+        holders = self.holders
+        at = [(i, i + 1, w) for i, w in enumerate(words) if w in holders]
+        at += [(i, i + 2, g) for (i, _, a), (j, _, b) in zip(at, at[1:]) if j == i + 1 and (g := f"{a} {b}") in holders]
+        present = Counter(t for g in {g for _, _, g in at} for t in holders[g])
+        good = {t for t, n in present.items() if n >= SHARED * self.sizes[t]}
+        if not good:
+            return []
+        at.sort(key=lambda x: (x[1], x[0]))
+        hits: dict[int, list[tuple[int, int, str]]] = {t: [] for t in sorted(good)}
+        for x in at:
+            for t in holders[x[2]]:
+                if t in good:
+                    hits[t].append(x)
+        out = set()
+        for t, own in hits.items():
+            length, size = len(self.sentences[t]), self.sizes[t]
+            held: Counter[str] = Counter()
+            distinct = left = 0
+            for _, end, g in own:
+                held[g] += 1
+                distinct += held[g] == 1
+                while own[left][0] < end - length:
+                    held[own[left][2]] -= 1
+                    distinct -= held[own[left][2]] == 0
+                    left += 1
+                if distinct >= SHARED * size:
+                    out.add((distinct / size, own[left][0], end))
+        return sorted(out, key=lambda x: (-x[0], x[1] - x[2], x[1]))
+
+    def passages(self, lines: list[str]) -> list[tuple[int, str, float, float]]:
+        """(line, family or unknown, probability, share of a template) of what a paragraph's lines hold, in order."""
+        words: list[str] = []
+        line_of: list[int] = []
+        units: dict[tuple[int, int], None] = {}
+        stops = [0]
+        for k, line in enumerate(lines):
+            begin = len(words)
+            for i, piece in enumerate(STOP.split(line.lower())):
+                if i and stops[-1] < len(words):
+                    stops.append(len(words))
+                words += WORD.findall(piece)
+            units[begin, len(words)] = None
+            line_of += [k] * (len(words) - begin)
+        if self.holders.keys().isdisjoint(words):
+            return []
+        stops.append(len(words))
+        units |= dict.fromkeys(zip(stops, stops[1:]))
+        sure, doubtful = [], []
+        for a, b in units:
+            got = self.judge(words[a:b])
+            if got:
+                (doubtful if got[0] == "unknown" else sure).append((a, b, *got))
+        # Ends of what is taken, by words: of two that overlap the larger share is first in the queue.
+        taken = bytearray(len(words))
+        out = []
+        queue = [(-x[4], x[0] - x[1], x[0], x[1], x) for x in sure] + [(-share, a - b, a, b, None) for share, a, b in self.windows(words)]
+        for _, _, a, b, x in sorted(queue, key=lambda q: q[:4]):
+            if any(taken[a:b]):
+                continue
+            if x is None:
+                got = self.judge(words[a:b])
+                if not got:
+                    continue
+                x = (a, b, *got)
+                if got[0] == "unknown":
+                    doubtful.append(x)
+                    continue
+            taken[a:b] = b"\1" * (b - a)
+            out.append(x)
+        for x in sorted(doubtful, key=lambda x: (-x[4], x[0], x[1])):
+            if not any(taken[x[0] : x[1]]):
+                taken[x[0] : x[1]] = b"\1" * (x[1] - x[0])
+                out.append(x)
+        return [(line_of[a], *got) for a, _, *got in sorted(out, key=lambda x: x[:2])]
 
     def classify(self, text: str) -> tuple[str, float, float] | None:
         """(family or unknown, probability, share of a template), None where it looks like no licence."""
-        g = grams(text)
+        return self.judge(WORD.findall(text.lower()))
+
+    def judge(self, words: list[str]) -> tuple[str, float, float] | None:
+        g = grams_of(words)
         at = [self.vocabulary[x] for x in g if x in self.vocabulary]
         if not at:
             return None
@@ -117,9 +241,14 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, negative
     count = docs.count()
     share = min(1.0, negatives / max(1, count))
     picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    some = [r["line"] for r in picked.select(F.element_at(F.split(text_of(), "\n", -1), 1).alias("line")).where(F.trim("line") != "").limit(2 * negatives).collect()]
+    lines = F.filter(F.split(text_of(), "\n", -1), lambda x: F.trim(x) != "")
+    # Up to three lines from any place of a document.
+    place = (F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.size("lines"), F.lit(1))) + 1).cast("int")
+    passage = F.array_join(F.slice("lines", place, 3), "\n")
+    some = [r["passage"] for r in picked.select("doc_id", "text", lines.alias("lines")).where(F.size("lines") > 0).select(passage.alias("passage")).limit(2 * negatives).collect()]
     known = {w for t in vocabulary for w in t.split()}
-    foreign = [t for t in some if (w := WORD.findall(t.lower())) and sum(x in known for x in w) < 0.5 * len(w)]
+    words = lambda t: [w for x in t.lower().split("\n") for y in [x, *STOP.split(x)] if (w := WORD.findall(y))]
+    foreign = [t for t in some if (every := words(t)) and all(sum(x in known for x in w) < 0.5 * len(w) for w in every)]
     families = [*sorted(templates), NONE]
     size = len(vocabulary)
 
@@ -138,43 +267,38 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, negative
     fitted = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.0, maxIter=60).fit(data)
     weights = np.asarray(fitted.coefficientMatrix.toArray()).T
     sets = {f: [frozenset(grams(t)) for t in s] for f, s in templates.items()}
-    model = Model(families, vocabulary, weights, np.asarray(fitted.interceptVector.toArray()), 0.0, sets)
+    model = Model(families, vocabulary, weights, np.asarray(fitted.interceptVector.toArray()), 0.0, sets, [WORD.findall(t.lower()) for _, s in sorted(templates.items()) for t in s])
     wrong = []
     for f, t in check:
-        found = model.classify(t)
-        if found and found[0] not in (f, "unknown"):
-            wrong.append(found[1])
+        found = [p for _, family, p, _ in model.passages(t.split("\n")) if family not in (f, "unknown")]
+        if found:
+            wrong.append(max(found))
     wrong.sort(reverse=True)
     allowed = int(FALSE_RATE * len(check))
     threshold = max(0.5, wrong[allowed] if len(wrong) > allowed else 0.5)
-    return Model(families, vocabulary, weights, model.bias, min(threshold, 0.99), sets)
+    return Model(families, vocabulary, weights, model.bias, min(threshold, 0.99), sets, model.sentences)
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_paragraphs, found array<struct<paragraph, family, probability, template_share>> for each row of docs."""
+    """doc_id, n_paragraphs, found array<struct<paragraph, family, probability, template_share>> for each row of docs.
+
+    The paragraph of a finding is the number of the line on which it begins.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     found_type = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("template_share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        # A word that begins or is an n-gram; paragraphs with none of them cannot be anything but none.
-        first = {w for g in m.vocabulary for w in g.split()}
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 counts, rows = [], []
                 for text in part.column("text").to_pylist():
                     n, out = 0, []
-                    for k, line in enumerate((text or "").split("\n")):
-                        if not line.strip():
-                            continue
+                    for first, lines in paragraphs(text):
                         n += 1
-                        if first.isdisjoint(WORD.findall(line.lower())):
-                            continue
-                        got = m.classify(line)
-                        if got:
-                            out.append({"paragraph": k, "family": got[0], "probability": got[1], "template_share": got[2]})
+                        out += [{"paragraph": first + k, "family": f, "probability": p, "template_share": x} for k, f, p, x in m.passages(lines)]
                     counts.append(n)
                     rows.append(out)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(rows, found_type)], ["doc_id", "n_paragraphs", "found"])

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,6 +261,31 @@ def test_licenses(docs):
     assert licenses.scan(docs(ODD), model).count() == len(ODD) and licenses.scan(docs(ODD).limit(0), model).count() == 0
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "apache-2.0": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+}
+
+
+def test_licenses_wrapped_and_embedded(docs):
+    prose = "lorem dolor amet consetetur sadipscing elitr nonumy eirmod tempor invidunt labore"
+    rows, want = [], {}
+    for family, notice in sorted(NOTICES.items()):
+        for width in (40, 72, 80):
+            wrapped = textwrap.wrap(notice, width)
+            for form in ("\n".join(wrapped), "/*\n" + "\n".join(f" * {x}" for x in wrapped) + "\n */\ncode here", f"{prose}\n" + "\n".join(f"# {x}" for x in wrapped) + f"\n{prose}", f"{prose * 9} {notice} {prose * 9}"):
+                want[len(rows)] = [family]
+                rows.append((len(rows), form))
+    rows += [(1000 + i, f"{prose} {i}\nmore of the words in use {i}\n\nor {prose}") for i in range(50)]
+    model = licenses.train(docs(rows))
+    found = {r.doc_id: (r.n_paragraphs, sorted({x.family for x in r.found if x.family != "unknown"})) for r in licenses.scan(docs(rows), model).collect()}
+    assert {d: found[d][1] for d in want} == want
+    assert all(found[1000 + i] == (2, []) for i in range(50))
+
+
 def test_readers_of_labels_ignore_nulls(spark, docs):
     lab = spark.createDataFrame([(None, None, None), (1, None, 1), (2, 0, None), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs(ODD), lab).count() == len(ODD)
