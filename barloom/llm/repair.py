@@ -1,7 +1,8 @@
 """Token ids in binary shards, compressed by Re-Pair grammars.
 
-Documents are range-partitioned by id, tokenised and cut into shards of whole documents. In a shard the most frequent
-pairs of adjacent ids (never across two documents) are replaced by nonterminals, again and again; the shard stores the
+Documents are range-partitioned by id, tokenised and cut into shards of whole documents. In a shard the frequent
+pairs of adjacent ids (never across two documents) are replaced by nonterminals, again and again, until none is seen
+MIN_COUNT times; pairs are counted anew each round, and neither rounds nor rules are limited. The shard stores the
 rules, what length each expands to, and the remaining symbols of every document. Any range of ids is decoded without
 decoding the rest: expansion lengths say which symbols hold it.
 
@@ -32,13 +33,11 @@ from pyspark.sql import functions as F
 from .common import persisted, read_table
 
 SHARD_IDS = 1 << 20
-ROUNDS = 3
-RULES_A_ROUND = 5000
-MIN_COUNT = 6
+MIN_COUNT = 3
 MAGIC = b"RPG2"
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int = ROUNDS, a_round: int = RULES_A_ROUND, min_count: int = MIN_COUNT) -> bytes:
+def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int | None = None, a_round: int | None = None, min_count: int = MIN_COUNT) -> bytes:
     """One shard: ids of its documents one after the other, and their numbers."""
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
@@ -46,9 +45,9 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int = R
     lengths = np.ones(terminals, np.uint32)
     rules: list[np.ndarray] = []
     starts: list[int] = []
-    limit = 1 << 16 if terminals + rounds * a_round <= 1 << 16 else 1 << 32
-    for _ in range(rounds):
+    while rounds is None or len(rules) < rounds:
         top = terminals + sum(map(len, rules))
+        limit = 1 << 16 if top <= 1 << 16 else 1 << 32
         if len(s) < 2:
             break
         key = s[:-1] * np.uint32(1 << 16) + s[1:] if limit == 1 << 16 else s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
@@ -61,7 +60,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int = R
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
             break
-        if len(often) > a_round:
+        if a_round is not None and len(often) > a_round:
             often = often[np.argpartition(-counts[often], a_round)[:a_round]]
         chosen = np.sort(ordered[edge[often]])
         # Most positions fall to a small table of the chosen pairs' low bits; the rest are looked up.
@@ -91,7 +90,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int = R
     ends = np.flatnonzero(last)
     per_doc[sizes > 0] = np.diff(ends, prepend=-1)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    width = "<u2" if limit == 1 << 16 else "<u4"
+    width = "<u2" if terminals + len(table) <= 1 << 16 else "<u4"
     head = struct.pack("<4s6I", MAGIC, len(sizes), len(ids), terminals, len(table), len(starts), len(s))
     u4 = lambda x: np.asarray(x, "<u4").tobytes()
     return b"".join([head, u4(starts), u4(per_doc), u4(sizes), u4(table), u4(lengths[terminals:]), s.astype(width).tobytes()])

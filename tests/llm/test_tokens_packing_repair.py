@@ -1,5 +1,7 @@
+import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -93,6 +95,18 @@ def test_repair_makes_rules_and_keeps_documents_apart():
     assert len(shard.symbols) < 400 and shard.per_doc.sum() == len(shard.symbols) and shard.per_doc[1] == 1
 
 
+@pytest.mark.parametrize("terminals", [500, 65_000])
+def test_repair_leaves_no_frequent_pair(terminals):
+    r = np.random.default_rng(3)
+    passage = r.integers(0, 500, 300)
+    ids = np.concatenate([np.concatenate([passage, r.integers(0, 500, 50)]) for _ in range(400)]).astype(np.uint32)
+    shard = repair.Shard(repair.compress(ids, np.array([350] * 400), terminals))
+    assert shard.ids().tolist() == ids.tolist() and shard.range(1234, 999).tolist() == ids[1234:2233].tolist()
+    ends = set((np.cumsum(shard.per_doc) - 1).tolist())
+    pairs = Counter((a, b) for i, (a, b) in enumerate(itertools.pairwise(shard.symbols.tolist())) if i not in ends)
+    assert max(pairs.values()) < repair.MIN_COUNT and shard.lengths.max() >= 300
+
+
 def test_shards_in_ascending_order(spark, docs):
     path = P.path(NAMES[0])
     table = docs(ODD)
