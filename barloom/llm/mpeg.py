@@ -9,7 +9,8 @@ format's unit for foreign data - hold the payload. Frames have the bit rate that
 variable-bitrate and begin with a Xing table; every frame has a checksum; an ID3v2 tag holds the payload's length.
 
 Cases: null and empty texts are one block of 192 blanks. Null or undecodable media parse to no frames, zero duration
-and an empty payload. Garbage before, between or after frames is skipped and counted. Equal texts give equal bytes.
+and an empty payload. Garbage before, between or after frames is skipped and counted. TAG in a frame's
+payload is payload. Fewer payload bytes than the stream's own tag announces are an error. Equal texts give equal bytes.
 Memory is one record's at a time, records being streamed through Arrow batches.
 """
 
@@ -122,18 +123,18 @@ def parse(data: bytes | None) -> Stream:
     out = Stream()
     data = data or b""
     end = len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags["id3v1"] = data[-125:-95].rstrip(b"\0 ").decode("latin-1")
+    # An ID3v1 tag may begin here; it is one only where no frame covers it.
+    tag = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else end
     at = id3v2(data, out.tags)
     parts: list[bytes] = []
-    while at + 4 <= end:
+    while at + 4 <= end and (at != tag or tag == end):
         h = header(data[at : at + 4])
-        follows = h and (at + h.length == end or at + h.length < end and header(data[at + h.length : at + h.length + 4]))
+        follows = h and (at + h.length in (tag, end) or at + h.length < end and header(data[at + h.length : at + h.length + 4]))
         if not follows:
-            nxt = data.find(b"\xff", at + 1, end)
-            out.skipped += (nxt if nxt > 0 else end) - at
-            at = nxt if nxt > 0 else end
+            stop = tag if at < tag else end
+            nxt = data.find(b"\xff", at + 1, stop)
+            out.skipped += (nxt if nxt > 0 else stop) - at
+            at = nxt if nxt > 0 else stop
             continue
         body = at + 4 + 2 * h.protected + (h.side if h.layer == 3 else 0)
         mark = data[body : body + 4]
@@ -150,8 +151,12 @@ def parse(data: bytes | None) -> Stream:
             out.rates.add(h.kbps)
             parts.append(data[body : at + h.length])
         at += h.length
+    if at == tag < end:
+        out.tags["id3v1"] = data[-125:-95].rstrip(b"\0 ").decode("latin-1")
     joined = b"".join(parts)
     known = out.tags.get("payload_bytes", "")
+    if known.isdigit() and len(joined) < int(known):
+        raise ValueError(f"{len(joined)} payload bytes in the frames, {known} announced")
     out.payload = joined[: int(known)] if known.isdigit() else joined
     return out
 

@@ -185,6 +185,22 @@ def test_media_resynchronises_and_checks():
     assert mpeg.crc16(b"123456789") == 0xAEE7
 
 
+def test_media_payload_may_hold_a_tag_mark():
+    for n in (192, 384, 960, 1920):
+        size = len(mpeg.store(bytes(n)))
+        for at in range(n - 2):
+            if n > 384 and not n - 130 <= at <= n:
+                continue
+            payload = b"x" * at + b"TAG" + b"y" * (n - at - 3)
+            media = mpeg.store(payload)
+            s = mpeg.parse(media)
+            assert len(media) == size and s.payload == payload and s.skipped == 0 and "id3v1" not in s.tags
+            tagged = mpeg.parse(media + b"TAG" + b"title".ljust(125, b"\0"))
+            assert tagged.payload == payload and tagged.skipped == 0 and tagged.tags["id3v1"] == "title"
+    with pytest.raises(ValueError):
+        mpeg.parse(mpeg.store(bytes(5000))[:-400])
+
+
 def test_media_table(docs):
     rows = mpeg.features(mpeg.encode(docs(ODD))).collect()
     for (d, t), r in zip(sorted(ODD, key=str), sorted(rows, key=lambda r: str((r.doc_id,)))):
