@@ -1,19 +1,25 @@
 """Near-duplicates by SetSketch registers.
 
 A document is the set of its distinct shingles. A SetSketch register is the smallest of exponentially distributed
-hashes of the set's elements, rounded down on a scale of powers of BASE and truncated to a byte; the sketch of a union is
-the larger of both registers, and registers of similar sets are equal more often.
+hashes of the set's elements, rounded down on a scale of powers of BASE; the sketch of a union is the larger of both
+registers, and registers of similar sets are equal more often.
 
-1. Sketch: registers, the set's hashes and a 128-bit key of the set, per document, written once.
+1. Sketch: registers, a 128-bit key of the set and the text, per document, written once. Words are hashed by a keyed
+   128-bit digest.
 2. Equal keys are one class; one document stands for it from here on.
 3. Bands of ROWS registers are hashed. In each bucket every member is a candidate with the bucket's smallest member.
 4. Candidates: the two sketches' order statistics give the likelihood of each Jaccard similarity; only where no
-   similarity over the threshold is within MARGIN of the likeliest is the pair dropped. The rest is verified on full sets.
-5. Links of different texts in a bucket that do not run over its smallest member: where a bucket holds several
-   components, the members outside the largest are compared with all members, in blocks, on full sets.
+   similarity over the threshold is within MARGIN of the likeliest is the pair dropped. The rest is verified on the
+   shingles of both texts themselves.
+5. Links of a bucket that do not run over its smallest member: the members of buckets that hold several components are
+   joined on their rarest shingles. Two sets at the threshold share one of the first n - ceil(share * n) + 1 shingles of
+   each in any common order, and the places at which they share the first one bound what they can share in all. A shingle
+   that only one member has joins nothing; members that hold too many of those to be linked with any other holder of a
+   shingle leave its list. Only members of different components meet, in blocks where a shingle has many.
 6. Components of all links; the smallest document id names them.
 
-Two sets at similarity 0.8 share none of BANDS buckets with a probability under 2e-7.
+Two sets at similarity 0.8 share none of BANDS buckets with a probability under 2e-7. The scale holds the registers of
+sets of one shingle to a hundred million, so small sets are not truncated to equal registers.
 
 Cases: null and blank texts have empty sets and are linked with nothing; fewer words than a shingle are one shingle.
 Rows with equal doc_id and different texts are documents of their own; a null doc_id never names a component unless all
@@ -27,44 +33,51 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import persisted, read_table, tmp_name
+from .common import discard, hub_join, persisted, read_table, text_of, tmp_name
 from .components import components
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
-BASE = 1.1
+BASE = 1.02
+#: The register of an exponential variable of 1, so that those of the smallest sets are over 0.
+OFFSET = 400
+KIND = np.dtype("<u2")
 #: Log-likelihood that a similarity over the threshold may lie below the likeliest one: five standard deviations.
 MARGIN = 12.5
-BLOCK = 256
-#: Bytes of text that are hashed at once.
-CHUNK = 1 << 21
+#: Members of a shingle's list that meet as many others in one block.
+BLOCK = 512
+#: Uids up to which a table of them is broadcast (16 bytes each).
+BROADCAST_IDS = 500_000
+#: Word digests that a Python worker keeps; later words are hashed whenever they occur.
+CACHE_WORDS = 400_000
 
 U = np.uint64
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 @lru_cache(1)
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+def tables() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20)
-    letters = r.integers(0, 1 << 64, 256, dtype=U)
-    letters[65:91] = letters[97:123]  # A-Z count as a-z
-    odd = r.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
-    add = r.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
-    base = int(r.integers(0, 1 << 63)) * 2 + 1
-    return letters, odd, add, base, pow(base, -1, 1 << 64)
+    return r.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1), r.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 
 
-@lru_cache(2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    _, _, _, base, inverse = tables()
-    return (np.cumprod(np.append(U(1), np.full(n, base, U)), dtype=U), np.cumprod(np.append(U(1), np.full(n, inverse, U)), dtype=U))
+class Digests(dict):
+    """128-bit keyed digests by word, found once."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = hashlib.blake2b(word, digest_size=16, key=b"shingle words").digest()
+        if len(self) < CACHE_WORDS and len(word) <= 64:
+            self[word] = out
+        return out
+
+
+@lru_cache(1)
+def digests() -> Digests:
+    return Digests()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,87 +86,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def shingles(data: np.ndarray, starts: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the shingles of k words of each text; texts begin at starts in data, which ends the last."""
-    letters = tables()[0]
-    n = len(data)
-    size = 1 << max(16, n.bit_length())
-    up, down = powers(size)
-    word = ~SPACE[data]
-    edge = np.zeros(n + 1, bool)
-    edge[starts[starts < n]] = True
-    before = np.concatenate(([False], word[:-1])) if n else word
-    begin = np.flatnonzero(word & (~before | edge[:-1]))
-    after = np.concatenate((word[1:], [False])) if n else word
-    end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    total = np.concatenate((np.zeros(1, U), np.cumsum(letters[data] * up[:n], dtype=U)))
-    h = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U) * U(0x9E3779B97F4A7C15))
-    first = np.searchsorted(begin, starts)
-    last = np.append(first[1:], len(begin))
-    every = h
-    for j in range(1, k):
-        every = mix(every[: len(every) - 1] * U(0xD1342543DE82EF95) + h[j:]) if len(h) > j else every[:0]
-    out = []
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(every[a : b - k + 1]))
-        elif b > a:
-            x = h[a : a + 1]
-            for j in range(a + 1, b):
-                x = mix(x * U(0xA0761D6478BD642F) + h[j : j + 1])
-            out.append(mix(x + U(b - a)))
-        else:
-            out.append(h[:0])
-    return out
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased."""
+    return (text or "").encode().lower().split()
+
+
+def shingle_set(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(k)), strict=False))
+
+
+def shingle_hashes(words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each distinct shingle, sorted by the first."""
+    h = np.frombuffer(b"".join(map(digests().__getitem__, words)), "<u8").reshape(-1, 2)
+    n = min(k, len(words))
+    every = h[: len(h) - n + 1]
+    for j in range(1, n):
+        every = mix(every * U(0xD1342543DE82EF95) + h[j : len(h) - n + 1 + j])
+    if not len(every):
+        return every[:, 0], every[:, 1]
+    every = mix(every + U(n))
+    first, at = np.unique(every[:, 0], return_index=True)
+    return first, every[at, 1]
 
 
 def registers(s: np.ndarray) -> np.ndarray:
-    """SetSketch registers of a set of hashes: exponential variables, the least of each, truncated to powers of BASE."""
-    _, odd, add, _, _ = tables()
+    """SetSketch registers of a set of hashes: exponential variables, the least of each, on a scale of powers of BASE."""
+    odd, add = tables()
     x = (s >> U(32)).astype(np.uint32)
     least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 4096):
         np.minimum(least, (odd[:, None] * x[None, i : i + 4096] + add[:, None]).min(axis=1), out=least)
     exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32)
-    return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(OFFSET - np.log(exponential) / np.log(BASE)), 0, 65535).astype(KIND)
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """(uid, doc_id, n, k1, k2, registers, items) of docs (doc_id, text); items are the set's hashes, six bytes each."""
+    """(uid, doc_id, t1, t2, text, n, k1, k2, registers) of docs (doc_id, text); t1 and t2 are hashes of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def rows(ids: pa.Array, uids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-        raw = [(t or "").encode() for t in texts]
-        sizes = np.array([len(r) for r in raw], np.int64)
-        sets = shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, words)
-        keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-        pack = lambda s: np.ascontiguousarray((s >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-        return pa.RecordBatch.from_arrays(
-            [
-                uids,
-                ids,
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([int(k[0]) for k in keys], pa.int64()),
-                pa.array([int(k[1]) for k in keys], pa.int64()),
-                pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                pa.array([pack(s) for s in sets], pa.binary()),
-            ],
-            ["uid", "doc_id", "n", "k1", "k2", "registers", "items"],
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            i = 0
-            while i < len(texts):
-                j, held = i, 0
-                while j < len(texts) and (j == i or held + 4 * len(texts[j] or "") <= CHUNK * 2):
-                    held += len(texts[j] or "")
-                    j += 1
-                yield rows(b.column("doc_id").slice(i, j - i), b.column("uid").slice(i, j - i), texts[i:j])
-                i = j
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                n, keys, sketches = [], [], []
+                for text in part.column("text").to_pylist():
+                    w = words_of(text)
+                    first, second = shingle_hashes(w, words)
+                    n.append(len(shingle_set(w, words)))
+                    digest = hashlib.blake2b(first.tobytes() + second.tobytes(), digest_size=16).digest()
+                    keys.append(np.frombuffer(digest, np.int64))
+                    sketches.append(registers(first).tobytes() if w else None)
+                own = [pa.array(n, pa.int64()), pa.array([int(x[0]) for x in keys], pa.int64()), pa.array([int(x[1]) for x in keys], pa.int64()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], [*part.schema.names, "n", "k1", "k2", "registers"])
+
+    keyed = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *text_key("t1", "t2"), "text")
+    return keyed.mapInArrow(run, f"uid long, doc_id {kind}, t1 long, t2 long, text string, n long, k1 long, k2 long, registers binary")
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, n long, k1 long, k2 long, registers binary, items binary")
+
+def text_key(*names: str) -> list:
+    """Two 64-bit hashes of the text."""
+    return [F.xxhash64(*([F.lit(1)] * i), text_of()).alias(x) for i, x in enumerate(names)]
 
 
 def order_probability(x: np.ndarray) -> np.ndarray:
@@ -173,104 +167,128 @@ def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, thres
     return np.where(at, fit, -np.inf).max(1) >= fit.max(1) - MARGIN
 
 
-def items_of(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(U).ravel()
-
-
-def shared(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.searchsorted(a, b)
-    return int((a[np.minimum(at, len(a) - 1)] == b).sum()) if len(a) and len(b) else 0
+def few(uids: DataFrame) -> DataFrame:
+    """A written table of uids, broadcast where it is counted small."""
+    return F.broadcast(uids) if uids.count() <= BROADCAST_IDS else uids
 
 
-def verified(pairs: DataFrame, store: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, b) whose full sets have 100 * shared >= percent * united."""
-    side = lambda x: store.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"), F.col("items").alias(f"i_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+def verified(pairs: DataFrame, store: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b) whose shingle sets have 100 * shared >= percent * united."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def credible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 p = b.slice(i, 512)
                 na, nb = (p.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("n_a", "n_b"))
-                ra, rb = (np.frombuffer(b"".join(p.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
-                good = likely(ra, rb, na, nb, percent / 100)
-                for k in np.flatnonzero(good):
-                    x = shared(items_of(p.column("i_a")[int(k)].as_py()), items_of(p.column("i_b")[int(k)].as_py()))
-                    good[k] = 100 * x >= percent * (na[k] + nb[k] - x)
-                yield pa.RecordBatch.from_arrays([p.column("a").filter(pa.array(good)), p.column("b").filter(pa.array(good))], ["a", "b"])
+                ra, rb = (np.frombuffer(b"".join(p.column(c).to_pylist()), KIND).reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
+                good = pa.array(likely(ra, rb, na, nb, percent / 100))
+                yield pa.RecordBatch.from_arrays([p.column("a").filter(good), p.column("b").filter(good)], ["a", "b"])
 
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b", "i_a", "i_b").mapInArrow(run, "a long, b long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last, own, good = None, set(), []
+            for x, ta, tb in zip(b.column("a").to_pylist(), b.column("t_a"), b.column("t_b"), strict=True):
+                if x != last:
+                    last, own = x, shingle_set(words_of(ta.as_py()), words)
+                other = shingle_set(words_of(tb.as_py()), words)
+                shared = len(own & other)
+                good.append(100 * shared >= percent * (len(own) + len(other) - shared))
+            good = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], ["a", "b"])
+
+    side = lambda x: store.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    left = persisted(both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(credible, "a long, b long"), "credible-pairs")
+    needed = persisted(left.select(F.col("a").alias("uid")).union(left.select("b")).distinct(), "verified-uids")
+    texts = store.select("uid", "text").join(few(needed), "uid", "left_semi")
+    text = lambda x: texts.select(F.col("uid").alias(x), F.col("text").alias(f"t_{x}"))
+    full = left.join(text("b"), "b").join(text("a"), "a")
+    out = persisted(full.select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long"), "links")
+    discard(left, needed)
+    return out
 
 
-def crossing(pairs: DataFrame, store: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components inside the buckets that pairs (a: smallest member, b: member) describe."""
+def crossing(pairs: DataFrame, store: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components inside the buckets that pairs (a: smallest member, b: member) describe."""
     root = found.select(F.col("node").alias("b"), "root")
     members = pairs.union(pairs.select("a", F.col("a").alias("b")).distinct()).join(root, "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
-    sizes = members.groupBy("a", "root").agg(F.count("*").alias("n"))
-    # Only counts of components meet here: those of one bucket, as (size, root), reduced by aggregation.
-    main = sizes.groupBy("a").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where("top.n < all and all > 2")
-    main = main.select("a", F.col("top.root").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("odd_blocks"))
-    open_ = members.join(main, "a").withColumn("odd", F.col("root") != F.col("main"))
-    place = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
-    every = open_.select("a", "b", "root", F.lit(False).alias("odd"), place("blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("y"))
-    few = open_.where("odd").select("a", "b", "root", "odd", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), place("odd_blocks").alias("y"))
-    full = every.union(few).join(store.select(F.col("uid").alias("b"), "items"), "b")
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("b")
-        odd, rest = g[g["odd"]], g[~g["odd"]]
-        if not len(odd) or not len(rest):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sets = [items_of(x) for x in rest["items"]]
-        flat = np.concatenate(sets)
-        sizes = np.array([len(s) for s in sets])
-        begins = np.cumsum(sizes) - sizes
-        roots, ids = rest["root"].to_numpy(), rest["b"].to_numpy()
-        out = []
-        for uid, own, data in zip(odd["b"], odd["root"], odd["items"], strict=True):
-            s = items_of(data)
-            fits = (roots != own) & (100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s)))
-            if not fits.any():
-                continue
-            at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
-            x = np.add.reduceat((s[at] == flat).astype(np.int64), begins)
-            good = np.flatnonzero(fits & (100 * x >= percent * (sizes + len(s) - x)))
-            # One link to each component is enough.
-            _, one = np.unique(roots[good], return_index=True)
-            out += [(uid, ids[k]) for k in good[one]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return full.groupBy("a", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    mixed = members.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
+    open_ = persisted(hub_join(members, mixed, "a").select(F.col("b").alias("uid"), "root").distinct(), "open-members")
 
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, root, text in zip(b.column("uid").to_pylist(), b.column("root").to_pylist(), b.column("text"), strict=True):
+                t = shingle_hashes(words_of(text.as_py()), words)[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), uid)), pa.array(np.full(len(t), root)), pa.array(np.full(len(t), len(t))), pa.array(t)], ["uid", "root", "n", "token"])
+
+    texts = store.select("uid", "text").join(F.broadcast(open_) if open_.count() <= BROADCAST_IDS else open_, "uid")
+    every = persisted(texts.select("uid", "root", "text").mapInArrow(tokens, "uid long, root long, n long, token long"), "open-tokens")
+    held = every.join(every.groupBy("token").agg(F.count("*").alias("df")), "token")
+    own = W.partitionBy("uid")
+    placed = held.withColumns({"place": F.row_number().over(own.orderBy("df", "token")), "lone": F.count_if(F.col("df") == 1).over(own)})
+    # ceil(percent * n / 100) shingles are shared at least.
+    prefix = placed.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1))
+    listed = persisted(prefix.select("uid", "root", "n", "token", "place", "lone"), "open-lists")
+    lists = listed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("lone").alias("least"), F.count("*").alias("size")).where("lo <> hi")
+    # Of x and y at most n_x - lone_x are shared, of n_x + lone_y at least.
+    may = 100 * (F.col("n") - F.col("lone")) >= percent * (F.col("n") + F.col("least"))
+    met = persisted(listed.join(lists.select("token", "least", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "token").where(may), "open-meetings")
+    deal = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda x, own, other: met.select("token", deal.alias(own), every_block.alias(other), *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "root", "n", "place")])
+    x, y, n = side("x", "i", "j"), side("y", "j", "i"), F.col("n_x") + F.col("n_y")
+    most = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    fits = (F.col("uid_x") < F.col("uid_y")) & (F.col("root_x") != F.col("root_y")) & (most * (100 + percent) >= percent * n) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    out = persisted(x.join(y, ["token", "i", "j"]).where(fits).select(F.col("uid_x").alias("a"), F.col("uid_y").alias("b")).distinct(), "crossing")
+    discard(open_, every, listed, met)
+    return out
 
-def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+
+def labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, t1, t2, n, root) for every row of docs; rows of one component have the same root."""
     store = persisted(sketch(docs, words), "sketch")
     sets = store.where("n > 0")
     nodes = sets.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
-    rows = persisted(store.select("uid", "doc_id", "n", "k1", "k2").join(nodes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid")).alias("node")), "sets")
+    node = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid")).alias("node")
+    rows = persisted(store.select("uid", "doc_id", "t1", "t2", "n", "k1", "k2").join(nodes, ["k1", "k2"], "left").select("doc_id", "t1", "t2", "n", node), "sets")
     reps = sets.select("uid", "registers").join(rows.where("n > 0").select(F.col("node").alias("uid")).distinct(), "uid", "left_semi")
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * ROWS + 1, ROWS)) for i in range(BANDS)])
+    width = ROWS * KIND.itemsize
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(BANDS)])
     buckets = reps.select("uid", F.explode(bands).alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("uid").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
     pairs = persisted(buckets.join(least, "bucket").where("uid <> a").select("a", F.col("uid").alias("b")).distinct(), "candidates")
-    direct = persisted(verified(pairs, store, percent), "direct-links")
-    across = crossing(pairs, store, components(direct), percent)
-    roots = components(direct.union(across))
-    labelled = rows.join(roots.select("node", "root"), "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    names = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    direct = verified(pairs, store, words, percent)
+    found = components(direct)
+    across = crossing(pairs, store, found, words, percent)
+    more = verified(across, store, words, percent)
+    roots = components(direct.union(more)) if not more.isEmpty() else found
+    out = persisted(rows.join(roots.select("node", "root"), "node", "left").select("doc_id", "t1", "t2", "n", F.coalesce("root", "node").alias("root")), "labelled")
+    discard(store, rows, pairs, direct, across, more, *{id(x): x for x in (found, roots)}.values())
+    return out
+
+
+def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    rows = labelled(docs, words, percent)
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs per component: that of the smallest doc_id (of rows repeating it, the one whose text hashes lowest)."""
-    found = classes(docs, words, percent).where("doc_id <=> component_id").select("doc_id").distinct()
-    n = tmp_name(docs, "row_number_")
-    kept = docs.join(found.withColumnRenamed("doc_id", n + "id"), F.col("doc_id").eqNullSafe(F.col(n + "id")), "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn(n, F.row_number().over(order)).where(F.col("doc_id").isNull() | (F.col(n) == 1)).select(*docs.columns)
+    """One row of docs per component: that of the smallest doc_id (nulls last), of equal ones that whose text hashes lowest.
+
+    Rows without words are in no group and stay, all of them.
+    """
+    rows = labelled(docs, words, percent).where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("first")
+    d, x, y = (tmp_name(docs, stem) for stem in ("kept_id", "kept_t1", "kept_t2"))
+    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias(d), F.col("first.t1").alias(x), F.col("first.t2").alias(y))
+    a, b = tmp_name(docs, "text_key1"), tmp_name(docs, "text_key2")
+    keyed = docs.withColumns(dict(zip((a, b), text_key("k1", "k2"), strict=True)))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)) & F.col("doc_id").eqNullSafe(F.col(d))
+    one = keyed.where(worded).join(kept, same, "left_semi").dropDuplicates(["doc_id", a, b])
+    return one.union(keyed.where(~worded)).select(*docs.columns)
 
 
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:

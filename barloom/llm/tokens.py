@@ -1,31 +1,27 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word of a batch being encoded once.
+"""Token ids of whole texts by the tokenizers library, each distinct word being encoded once.
 
 Both vocabularies split a text before merging, and a single blank between two visible characters always ends a piece of
-that split; so does a single line end. So the ids of a text are the ids of its words one after the other. A batch's
-words are found and hashed by array operations, only the distinct ones become strings, and a bounded cache keeps their
-ids for later batches. Texts with any other white space than single blanks and line ends between words, or with "<|"
-(the start of a special token's string), go to the library whole. Words of letters alone, or of letters and ASCII
-punctuation after them, are one piece of the split or two: the letters go straight to the library's merge model, in
-the vocabulary's byte letters. Tests compare all ways with the library id by id.
+that split; so does a single line end. So the ids of a text are the ids of its words one after the other, and a bounded
+table keeps the ids of words by the words themselves. Texts with any other white space than single blanks and line ends
+between words, or with "<|" (the start of a special token's string), go to the library whole. Words of letters alone, or
+of letters and ASCII punctuation after them, are one piece of the split or two: the letters go straight to the library's
+merge model, in the vocabulary's byte letters. Tests compare all ways with the library id by id.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 from string import punctuation
 
 import numpy as np
 
-#: Words that a Python worker keeps, about 250 bytes each; those that come later are forgotten after their batch.
-CACHE_WORDS = 600_000
-#: Bytes of text that are taken at once.
-CHUNK = 1 << 21
-U = np.uint64
-#: What stands before a word, as the lowest bits of its key: nothing (a text's start), a blank, a line end.
-START, BLANK, LINE = 0, 1, 2
-BEFORE = ("", " ", "\n")
+#: Words that a Python worker keeps for each place, about 250 bytes each; longer words, and those that come later, are
+#: encoded whenever they occur.
+CACHE_WORDS = 400_000
+CACHE_LETTERS = 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,23 +33,18 @@ def byte_letters() -> dict[int, str]:
 BYTE_LETTERS = byte_letters()
 
 
-@lru_cache(1)
-def hashing() -> tuple[np.ndarray, int, int]:
-    r = np.random.default_rng(7)
-    base = int(r.integers(0, 1 << 62)) * 2 + 1
-    return r.integers(0, 1 << 64, 256, dtype=U), base, pow(base, -1, 1 << 64)
+class Words(dict):
+    """Ids by word, found once."""
 
+    def __init__(self, ids: Callable[[str], bytes]):
+        super().__init__()
+        self.ids = ids
 
-@lru_cache(2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    _, base, inverse = hashing()
-    return np.cumprod(np.append(U(1), np.full(n, base, U)), dtype=U), np.cumprod(np.append(U(1), np.full(n, inverse, U)), dtype=U)
-
-
-def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions start, start + 1, ... of every run, one run after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    def __missing__(self, word: str) -> bytes:
+        out = self.ids(word)
+        if len(self) < CACHE_WORDS and len(word) <= CACHE_LETTERS:
+            self[word] = out
+        return out
 
 
 class Encoder:
@@ -67,7 +58,8 @@ class Encoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.line = self.whole("\n") if self.spaced else b""
         self.tails: dict[str, bytes] = {}
-        self.cache: dict[int, bytes] = {}
+        self.first = Words(lambda w: self._word(w, False))
+        self.later = Words(lambda w: self._word(w, True))
 
     def _raw(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -75,9 +67,8 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array(self.code, self._raw(text)).tobytes()
 
-    def _plain(self, text: str) -> bool:
+    def _plain(self, text: str, words: int) -> bool:
         """Whether single blanks and line ends are all the white space, none of it at an end or next to another."""
-        words = len(text.split())
         if not words or "<|" in text:
             return False
         if not self.spaced and any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -94,12 +85,11 @@ class Encoder:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array(self.code, [t.id for t in self.model.tokenize("Ġ" + shown if blank and self.spaced else shown)]).tobytes()
 
-    def _word(self, word: str, before: int) -> bytes:
-        if before == LINE and self.spaced:
-            return self.line + self._word(word, START)
+    def _word(self, word: str, blank: bool) -> bytes:
+        """Ids of a word, after a blank or at the start of a line."""
         letters = word.rstrip(punctuation)
         if letters.isalpha():
-            ids = self._merge(letters, before == BLANK)
+            ids = self._merge(letters, blank)
             if ids is not None:
                 tail = word[len(letters) :]
                 if tail and tail not in self.tails:
@@ -107,63 +97,25 @@ class Encoder:
                         self.tails.clear()
                     self.tails[tail] = self.whole(tail)
                 return ids + self.tails[tail] if tail else ids
-        return self.whole(BEFORE[before] + word if self.spaced else word)
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        raw = [t.encode() for t in texts]
-        sizes = np.array([len(r) for r in raw], np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        letters = hashing()[0]
-        up, down = powers(1 << max(21, len(data).bit_length()))
-        gap = np.flatnonzero((data == 32) | (data == 10))
-        begin = np.sort(np.concatenate((starts, gap + 1)))
-        end = np.sort(np.concatenate((gap, np.cumsum(sizes))))
-        before = np.where(data[np.maximum(begin - 1, 0)] == 32, BLANK, LINE)
-        before[np.searchsorted(begin, starts)] = START
-        total = np.concatenate((np.zeros(1, U), np.cumsum(letters[data] * up[: len(data)], dtype=U)))
-        h = (total[end] - total[begin]) * down[begin] + (end - begin).astype(U) * U(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> U(32))) & ~U(3) | before.astype(U)
-        keys, first, where = np.unique(h, return_index=True, return_inverse=True)
-        joined = data.tobytes()
-        known, new, found = self.cache, {}, []
-        for k, b, e, p in zip(keys.tolist(), begin[first].tolist(), end[first].tolist(), before[first].tolist(), strict=True):
-            ids = known.get(k)
-            if ids is None:
-                ids = new[k] = self._word(joined[b:e].decode(), p)
-            found.append(ids)
-        if len(known) + len(new) <= CACHE_WORDS:
-            known |= new
-        flat = np.frombuffer(b"".join(found), self.kind)
-        n = np.array([len(x) for x in found], np.int64) // self.kind.itemsize
-        at = np.cumsum(n) - n
-        out = flat[gather(at[where], n[where])]
-        words = np.searchsorted(begin, np.append(starts, len(data) + 1))
-        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n[where])))[words]
-        return [out[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return self.whole(" " + word if blank and self.spaced else word)
+
+    def _text(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        words = text.split()
+        if not self._plain(text, len(words)):
+            return self.whole(text)
+        if not self.spaced:
+            return b"".join(map(self.first.__getitem__, words))
+        lines = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append(self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:])))
+        return self.line.join(lines)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as bytes of self.kind."""
-        out: list[bytes] = [b""] * len(texts)
-        held: list[int] = []
-        size = 0
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self._plain(t):
-                out[i] = self.whole(t)
-                continue
-            held.append(i)
-            size += len(t)
-            if size >= CHUNK:
-                for j, ids in zip(held, self._batch([texts[j] for j in held]), strict=True):
-                    out[j] = ids
-                held, size = [], 0
-        if held:
-            for j, ids in zip(held, self._batch([texts[j] for j in held]), strict=True):
-                out[j] = ids
-        return out
+        return [self._text(t) for t in texts]
 
 
 @lru_cache(2)

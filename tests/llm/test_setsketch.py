@@ -94,5 +94,47 @@ def test_dedup_keeps_one_row_of_each_group(docs):
     kept = ss.dedup(table, 5)
     assert kept.columns == table.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
-    assert ids == sorted([1, 2, 3, 4, 5, None, 7, 8], key=str)
+    assert ids == sorted([1, 2, 3, 4, 5, None, 7, 8, 8], key=str)
     assert ss.dedup(table.limit(0), 5).count() == 0
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomial_hashes_confuse(docs, n):
+    rows = [(1, thue_morse(n, "a", "b") + " same"), (2, thue_morse(n, "b", "a") + " same"), (3, thue_morse(n, "a", "b") + "  SAME")]
+    assert got(ss.classes(docs(rows), 2)) == brute(rows, 2) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def below_the_threshold(n, seed=5):
+    """n texts that share two thirds of their words with each other, and some links that skip the smallest member."""
+    r = random.Random(seed)
+    shared = [f"s{i}" for i in range(80)]
+    rows = [(i, " ".join(shared + [f"own{i}x{j}" for j in range(14 + r.randrange(4))])) for i in range(n)]
+    return rows + [(n + i, rows[i][1].replace(f"own{i}x1", "other")) for i in range(1, n, 5)]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_links_that_skip_the_smallest_member(docs, k):
+    rows = below_the_threshold(60)
+    assert got(ss.classes(docs(rows), k)) == brute(rows, k)
+
+
+def test_candidates_grow_with_the_texts(spark, docs, monkeypatch):
+    """Neither short different texts nor texts just under the threshold give a quadratic number of pairs."""
+    pairs = []
+    verified = ss.verified
+    monkeypatch.setattr(ss, "verified", lambda p, *a: pairs.append(p.count()) or verified(p, *a))
+    short = spark.range(20_000).selectExpr("id as doc_id", "concat('first', id, ' second', id) as text")
+    assert ss.classes(short, 2).where("doc_id <> component_id").count() == 0
+    assert sum(pairs) < 200
+    pairs.clear()
+    ss.classes(docs(below_the_threshold(400)), 2).count()
+    assert pairs[1] < 400
+
+
+def test_a_star_of_many_nodes(spark):
+    star = spark.range(1, 100_001).selectExpr("0L as a", "id as b")
+    assert components(star).where("root <> 0").count() == 0
