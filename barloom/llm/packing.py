@@ -1,14 +1,16 @@
 """Best-fit packing of documents into sequences, in bulk-synchronous sweeps.
 
-Documents and the gaps of open sequences are sorted by size. A sweep takes the longest documents left and matches them
-with their successors among the gaps, the smallest gaps that hold them; as many gaps meet as many documents at once, and
-where more of one side want the same match, rank decides. Gaps shrink, and the next sweep follows until all is placed.
-
-Sizes are whole numbers up to the sequence length, so documents of one length are one class, gaps of one size another,
-and a sweep matches classes: what reaches the driver is the count of each length (at most 2048 numbers, whatever the
-corpus), what leaves it are the sweeps' matches as ranges of ranks. The documents then find their places in parallel:
-rank in its length class = offset of its partition + rank within it, then a join on (length, range of ranks).
-No group of documents is ever gathered, and no document is moved between sweeps.
+Pieces are numbered within their length, sequences' gaps within their size, so both are sorted by ranges of ranks. Bands
+of lengths, each to half of the one before, are placed from the longest on. In a sweep every gap offers room for one
+piece, or for as many of the band's longest as it holds. Gaps and pieces in descending order of size are brackets: a gap
+opens one level, a piece closes the last open one, which is its successor among the gaps that are still free. The levels
+follow from counts by size and ranks by running sums, so no row needs a global order; rows meet by level, a few in each.
+Where more pieces want a gap than it has room for, the first ranks (longest first) take it, and the rest wait. Gaps
+shrink, and the next sweep follows. When a sweep places few, new sequences are opened for the band's longest pieces,
+and it is swept again; what is left after OPENINGS of these opens sequences of its own.
+
+Every step is a Spark job over written tables; the driver holds counts by length (at most 2048 numbers) and the next
+sequence number. Rows that meet in a window are those of one level, or of one (size, salt).
 
 Cases: null and empty texts are their end id alone. Longer documents are cut; full pieces fill sequences of their own.
 Repeated rows are packed as often as they come. An empty table packs to nothing. Other columns are ignored.
@@ -17,7 +19,6 @@ Repeated rows are packed as often as they come. An empty table packs to nothing.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import persisted, read_table
+from .common import discard, persisted, read_table
 
 SEQUENCE = 2048
+#: Bands end at limit / 2, / 4, ... down to limit / NARROWEST; the last one holds all that is shorter.
+NARROWEST = 32
+#: A sweep that places less than this share of a band's pieces is its last before sequences are opened.
+LEAST_SHARE = 0.05
+OPENINGS = 2
 
 
 def cut(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -70,60 +76,116 @@ def cut(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE, end_id: int
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, local_rank long" + ", ids array<int>" * keep_ids)
 
 
-def sweeps(counts: dict[int, int], limit: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset): ranks r of a length go to sequence first + r - first rank."""
-    out: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size of gap -> ranges of sequences (first, number)
-    sizes: list[int] = []
-    opened = 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                insort(sizes, gap)
-            gaps.setdefault(gap, []).append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, total = 0, counts[length]
-        while rank < total:
-            k = bisect_left(sizes, length)
-            if k < len(sizes):
-                gap = sizes[k]
-                first, n = gaps[gap].pop()
-                m = min(n, total - rank)
-                if m < n:
-                    gaps[gap].append((first + m, n - m))
-                if not gaps[gap]:
-                    del gaps[gap], sizes[k]
-                out.append((length, rank, rank + m, first, limit - gap))
-                leave(gap - length, first, m)
-                rank += m
-                continue
-            each = limit // length
-            n, rest = divmod(total - rank, each)
-            for j in range(each if n else 0):
-                out.append((length, rank + j * n, rank + (j + 1) * n, opened, j * length))
-            leave(limit - each * length, opened, n)
-            for j in range(rest):
-                out.append((length, rank + each * n + j, rank + each * n + j + 1, opened + n, j * length))
-            leave(limit - rest * length, opened + n, 1 if rest else 0)
-            opened += n + (rest > 0)
-            rank = total
-    return out
+def sweep(gaps: DataFrame, ranks: DataFrame, left: dict[int, tuple[int, int]], upper: int) -> tuple[DataFrame, dict[int, int]]:
+    """Places (length, rank, sequence, slot) for pieces of left (length: first rank, number) in gaps (sequence, gap), and how many of each length."""
+    spark = gaps.sparkSession
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    room = F.greatest(F.floor(F.col("gap") / upper).cast("int"), F.lit(1))
+    slots = gaps.select("sequence", F.least("gap", F.lit(upper).cast("long")).alias("size"), F.explode(F.sequence(F.lit(0), room - 1)).alias("slot"))
+    slots = slots.withColumn("salt", F.pmod(F.xxhash64("sequence", "slot"), F.lit(salts)))
+    dealt = slots.groupBy("size", "salt").agg(F.count("*").alias("n"))
+    wanted = spark.createDataFrame([(length, 1, n) for length, (_, n) in left.items()], "size long, kind int, n long")
+    by_size = dealt.groupBy("size").agg(F.sum("n").alias("n")).select("size", F.lit(0).alias("kind"), "n").union(wanted)
+    # Running sums over classes of sizes: at most two rows for each size.
+    order = W.orderBy(F.desc("size"), "kind")
+    signed = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
+    summed = by_size.withColumn("end", F.sum(signed).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    floor = F.least(F.lit(0), F.min("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    open_ = F.col("end") - signed - floor
+    classes = summed.select("size", "kind", open_.alias("open"), F.least("n", open_).alias("matched")).collect()
+    taken = {r["size"]: r["matched"] for r in classes if r["kind"]}
+    below = F.broadcast(spark.createDataFrame([(r["size"], r["open"]) for r in classes if not r["kind"]], "size long, open long"))
+    lengths = F.broadcast(spark.createDataFrame([(r["size"], r["open"], left[r["size"]][0], r["matched"]) for r in classes if r["kind"]], "length long, open long, first long, matched long"))
+    before = dealt.select("size", "salt", (F.sum("n").over(W.partitionBy("size").orderBy("salt")) - F.col("n")).alias("before"))
+    numbered = slots.withColumn("place", F.row_number().over(W.partitionBy("size", "salt").orderBy("sequence", "slot")) - 1)
+    opened = numbered.join(before, ["size", "salt"]).join(below, "size").select((F.col("open") + F.col("before") + F.col("place")).alias("level"), "size", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rank"), "sequence", "slot")
+    own = F.col("rank") - F.col("first")
+    closed = ranks.join(lengths, "length").where((own >= 0) & (own < F.col("matched"))).select((F.col("open") - 1 - own).alias("level"), F.col("length").alias("size"), F.lit(1).alias("kind"), "rank", F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("int").alias("slot"))
+    level = W.partitionBy("level").orderBy(F.desc("size"), "kind")
+    met = opened.union(closed).withColumns({"sequence": F.coalesce("sequence", F.lag("sequence").over(level)), "slot": F.coalesce("slot", F.lag("slot").over(level))})
+    return persisted(met.where("kind = 1").select(F.col("size").alias("length"), "rank", "sequence", "slot"), "matches"), taken
+
+
+def longest_first(ranks: DataFrame, left: dict[int, tuple[int, int]], first: int, each: int, number: int) -> tuple[DataFrame, dict[int, int]]:
+    """Places of the longest pieces of left, each a sequence, in `number` new sequences from `first` on; and how many of each length."""
+    rows, at = [], 0
+    for length in sorted(left, reverse=True):
+        begin, n = left[length]
+        rows.append((length, begin, at, min(n, max(0, each * number - at))))
+        at += n
+    lengths = F.broadcast(ranks.sparkSession.createDataFrame(rows, "length long, first long, before long, opened long"))
+    own = F.col("rank") - F.col("first")
+    place = F.col("before") + own
+    some = ranks.join(lengths, "length").where((own >= 0) & (own < F.col("opened")))
+    return some.select("length", "rank", (first + F.floor(place / each)).alias("sequence"), (place % each).cast("int").alias("slot")), {r[0]: r[3] for r in rows}
 
 
 def pack(pieces: DataFrame, limit: int = SEQUENCE) -> DataFrame:
-    """pieces (stored: they are read three times) with sequence_id and offset."""
+    """pieces (a written table) with sequence_id and offset."""
     spark = pieces.sparkSession
-    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    counts = persisted(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `limit` rows
-    slots = spark.createDataFrame(sweeps(totals, limit), "slot_length long, lo long, hi long, first long, offset long")
     before = counts.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("local_rank"))
-    # The slots are the sweeps' matches, some thousands whatever the corpus.
-    placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    kept = [c for c in pieces.columns if c not in ("part", "local_rank")]
-    return placed.select(*kept, (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("local_rank")).drop("before", "part", "local_rank")
+    ranks = persisted(ranked.select("length", "rank"), "ranks")
+    placed = [ranks.where(F.col("length") == limit).select("length", "rank", F.col("rank").alias("sequence"), F.lit(0).alias("slot"), F.lit(0).alias("round"))]
+    sequences = totals.pop(limit, 0)
+    left = {length: (0, n) for length, n in totals.items()}
+    gaps = persisted(spark.createDataFrame([], "sequence long, gap long"), "gaps")
+    rounds = 0
+
+    def take(match: DataFrame, taken: dict[int, int], gaps: DataFrame, fresh: bool) -> DataFrame:
+        """Books a round's matches; the gaps that are left, of which those that hold no piece any more go."""
+        nonlocal rounds
+        rounds += 1
+        placed.append(match.select("length", "rank", "sequence", "slot", F.lit(rounds).alias("round")))
+        for length, n in taken.items():
+            begin, number = left.pop(length)
+            if number > n:
+                left[length] = (begin + n, number - n)
+        used = match.groupBy("sequence").agg(F.sum("length").alias("used"))
+        if fresh:
+            now = gaps.union(used.select("sequence", limit - F.col("used")))
+        else:
+            now = gaps.join(used, "sequence", "left").select("sequence", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
+        out = persisted(now.where(F.col("gap") >= min(left, default=limit)), "gaps")
+        discard(gaps)
+        return out
+
+    upper = limit - 1
+    while left:
+        lower = upper // 2 if upper == limit - 1 or upper > limit // NARROWEST else 0
+        band = lambda lower=lower: {length: x for length, x in left.items() if length > lower}
+
+        def swept(gaps: DataFrame, upper: int = upper, band=band) -> tuple[DataFrame, bool]:
+            wanted = sum(n for _, n in band().values())
+            match, taken = sweep(gaps, ranks, band(), upper)
+            n = sum(taken.values())
+            return take(match, taken, gaps, False), n >= LEAST_SHARE * wanted
+
+        more = upper < limit - 1
+        while more and band() and not gaps.isEmpty():
+            gaps, more = swept(gaps)
+        for k in range(OPENINGS + 1):
+            if not band():
+                break
+            each, every = limit // upper, sum(n for _, n in band().values())
+            needed = -(-sum(length * n for length, (_, n) in band().items()) // limit)
+            number = -(-every // each) if k == OPENINGS or each == 1 else min(needed, -(-every // each))
+            match, taken = longest_first(ranks, band(), sequences, each, number)
+            sequences += number
+            gaps = take(match, taken, gaps, True)
+            if band():
+                gaps, _ = swept(gaps)
+        upper = lower
+    discard(gaps)
+    places = placed[0]
+    for x in placed[1:]:
+        places = places.union(x)
+    # A sequence has as many pieces as ids, at most.
+    offset = F.sum("length").over(W.partitionBy("sequence").orderBy("round", "slot", "rank")) - F.col("length")
+    places = places.select("length", "rank", F.col("sequence").alias("sequence_id"), offset.alias("offset"))
+    return ranked.join(places, ["length", "rank"]).select(*[c for c in pieces.columns if c not in ("part", "local_rank")], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -223,16 +223,18 @@ def crossing(pairs: DataFrame, store: DataFrame, found: DataFrame, words: int, p
 
     texts = store.select("uid", "text").join(F.broadcast(open_) if open_.count() <= BROADCAST_IDS else open_, "uid")
     every = persisted(texts.select("uid", "root", "text").mapInArrow(tokens, "uid long, root long, n long, token long"), "open-tokens")
-    held = every.join(every.groupBy("token").agg(F.count("*").alias("df")), "token")
+    common = persisted(every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "open-counts")
+    held = every.join(common, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     own = W.partitionBy("uid")
     placed = held.withColumns({"place": F.row_number().over(own.orderBy("df", "token")), "lone": F.count_if(F.col("df") == 1).over(own)})
     # ceil(percent * n / 100) shingles are shared at least.
     prefix = placed.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1))
     listed = persisted(prefix.select("uid", "root", "n", "token", "place", "lone"), "open-lists")
     lists = listed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("lone").alias("least"), F.count("*").alias("size")).where("lo <> hi")
+    lists = persisted(lists.select("token", "least", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open-list-sizes")
     # Of x and y at most n_x - lone_x are shared, of n_x + lone_y at least.
     may = 100 * (F.col("n") - F.col("lone")) >= percent * (F.col("n") + F.col("least"))
-    met = persisted(listed.join(lists.select("token", "least", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "token").where(may), "open-meetings")
+    met = persisted(listed.join(lists, "token").where(may), "open-meetings")
     deal = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
     every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     side = lambda x, own, other: met.select("token", deal.alias(own), every_block.alias(other), *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "root", "n", "place")])
@@ -240,7 +242,7 @@ def crossing(pairs: DataFrame, store: DataFrame, found: DataFrame, words: int, p
     most = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     fits = (F.col("uid_x") < F.col("uid_y")) & (F.col("root_x") != F.col("root_y")) & (most * (100 + percent) >= percent * n) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     out = persisted(x.join(y, ["token", "i", "j"]).where(fits).select(F.col("uid_x").alias("a"), F.col("uid_y").alias("b")).distinct(), "crossing")
-    discard(open_, every, listed, met)
+    discard(open_, every, common, listed, lists, met)
     return out
 
 
@@ -248,14 +250,16 @@ def labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, t1, t2, n, root) for every row of docs; rows of one component have the same root."""
     store = persisted(sketch(docs, words), "sketch")
     sets = store.where("n > 0")
-    nodes = sets.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
-    node = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("uid")).alias("node")
+    # Tables that aggregation gives and that their own rows are joined with are written first: a join whose sides are
+    # both read from a shuffle is one that adaptive execution can split where a key holds many rows.
+    nodes = persisted(sets.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size"), "copies")
+    node = F.when(F.col("n") > 0, F.coalesce("rep", "uid")).otherwise(F.col("uid")).alias("node")
     rows = persisted(store.select("uid", "doc_id", "t1", "t2", "n", "k1", "k2").join(nodes, ["k1", "k2"], "left").select("doc_id", "t1", "t2", "n", node), "sets")
     reps = sets.select("uid", "registers").join(rows.where("n > 0").select(F.col("node").alias("uid")).distinct(), "uid", "left_semi")
     width = ROWS * KIND.itemsize
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(BANDS)])
     buckets = reps.select("uid", F.explode(bands).alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min("uid").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
+    least = persisted(buckets.groupBy("bucket").agg(F.min("uid").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size"), "buckets")
     pairs = persisted(buckets.join(least, "bucket").where("uid <> a").select("a", F.col("uid").alias("b")).distinct(), "candidates")
     direct = verified(pairs, store, words, percent)
     found = components(direct)
@@ -263,15 +267,16 @@ def labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     more = verified(across, store, words, percent)
     roots = components(direct.union(more)) if not more.isEmpty() else found
     out = persisted(rows.join(roots.select("node", "root"), "node", "left").select("doc_id", "t1", "t2", "n", F.coalesce("root", "node").alias("root")), "labelled")
-    discard(store, rows, pairs, direct, across, more, *{id(x): x for x in (found, roots)}.values())
+    discard(store, nodes, rows, least, pairs, direct, across, more, *{id(x): x for x in (found, roots)}.values())
     return out
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     rows = labelled(docs, words, percent)
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("name"), F.count("*").alias("size")).where("size > 1").drop("size")
+    names = persisted(names, "names")
+    return rows.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -1,3 +1,4 @@
+import bisect
 import itertools
 import random
 import zlib
@@ -41,23 +42,52 @@ def test_encoder_on_random_texts(texts):
         same(test_encoder_on_random_texts.__dict__.setdefault(name, Encoder(P.path(name))), texts)
 
 
-@settings(max_examples=40, deadline=None)
-@given(s.dictionaries(s.integers(1, 60), s.integers(1, 200), max_size=25), s.integers(60, 90))
-def test_sweeps_place_every_rank_once(counts, limit):
-    fill, ranks = {}, {n: [] for n in counts}
-    for length, lo, hi, first, offset in packing.sweeps(counts, limit):
-        for r in range(lo, hi):
-            ranks[length].append(r)
-            fill.setdefault(first + r - lo, []).append((offset, length))
-    assert all(sorted(v) == list(range(counts[n])) for n, v in ranks.items())
-    for pieces in fill.values():
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomial_hashes_confuse(encoder, n):
+    texts = [thue_morse(n, "a", "b"), thue_morse(n, "b", "a")]
+    same(encoder, texts)
+    same(encoder, ["x " + t + " y" for t in texts])
+    for t in texts:
+        same(encoder, [t])
+
+
+def best_fit_decreasing(lengths, limit):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else limit
+        bisect.insort(gaps, gap - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_against_sequential_best_fit(spark, seed):
+    r = random.Random(seed)
+    limit = 128
+    kinds = [lambda: r.randrange(1, 129), lambda: r.choice([43, 44, 85, 40]), lambda: min(128, int(r.expovariate(1 / 30)) + 1), lambda: 50 if r.random() < 0.5 else r.randrange(1, 70)]
+    lengths = [kinds[seed]() for _ in range(3000)]
+    seen = Counter()
+    rows = []
+    for i, n in enumerate(lengths):
+        rows.append((i, 0, 0, n, 0, i % 3, seen[i % 3, n]))
+        seen[i % 3, n] += 1
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
+    got = packing.pack(pieces, limit).collect()
+    assert sorted((x.doc_id, x.length) for x in got) == list(enumerate(lengths))
+    fill = {}
+    for x in got:
+        fill.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for own in fill.values():
         at = 0
-        for offset, length in sorted(pieces):
+        for offset, length in sorted(own):
             assert offset == at
             at += length
         assert at <= limit
-    total = sum(n * c for n, c in counts.items())
-    assert len(fill) <= max(1, 11 / 9 * -(-total // limit) + 1) or len(fill) <= sum(c for n, c in counts.items() if 2 * n > limit) + -(-total * 3 // (2 * limit)) + 1
+    assert len(fill) <= 1.03 * best_fit_decreasing(lengths, limit) + 1
 
 
 def test_packing_against_the_library(spark, docs):
