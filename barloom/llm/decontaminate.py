@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, read_table, text_of, tmp_name
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Windows of the benchmark up to which they are broadcast (about 100 bytes each).
 BROADCAST_GRAMS = 1_000_000
 
@@ -88,7 +89,8 @@ def contaminated() -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, action: str = "document") -> DataFrame:
     """docs without contaminated documents, or with ``action="span"`` with the hit words cut out of their texts.
 
-    The text that holds no hit is returned as it is; a text with cut spans has its remaining words joined by blanks.
+    The text that holds no hit is returned as it is; in one with cut spans, the words of a span go with what stands before
+    each, and all else stays as it was written.
     """
     if action not in ("document", "span"):
         raise ValueError(f"action: {action}")
@@ -99,10 +101,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, action: st
     judged = found.where("n_hit > 0").withColumn("bad", contaminated()).groupBy("doc_id").agg(F.max("bad").alias("bad"), F.first("spans").alias("spans"))
     if action == "document":
         return keyed.join(judged.where("bad").select(F.col("doc_id").alias(key)), key, "left_anti").select(*docs.columns)
-    both = keyed.join(judged.select(F.col("doc_id").alias(key), F.col("spans").alias(key + "s")), key, "left")
-    spans = F.col(key + "s")
-    kept = F.filter(words_of(text_of()), lambda w, i: ~F.exists(spans, lambda s: (s["pos"] <= i) & (i < s["end"])))
-    return both.withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(*docs.columns)
+    cut = tmp_name(docs, "cut_spans")
+    both = keyed.join(judged.select(F.col("doc_id").alias(key), F.col("spans").alias(cut)), key, "left")
+    # The text is a row of pairs: what lies before a word, and the word. Pieces outside the spans stay as they are.
+    gaps = F.split(text_of(), WORD, -1)
+    words = F.regexp_extract_all(text_of(), F.lit(f"({WORD})"), 1)
+    inside = lambda i: F.exists(F.col(cut), lambda s: (s["pos"] <= i) & (i < s["end"]))
+    pieces = F.transform(words, lambda w, i: F.when(inside(i), F.lit("")).otherwise(F.concat(F.get(gaps, i), w)))
+    kept = F.concat(F.array_join(pieces, ""), F.get(gaps, F.size(gaps) - 1))
+    return both.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

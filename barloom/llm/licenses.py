@@ -14,7 +14,7 @@ overlap no confirmed one count once each. Only the n-grams of the model's vocabu
 half of any template costs one dictionary lookup for each of its words and the scores of its lines and sentences.
 
 Cases: null, empty and blank texts have no paragraphs; ties between families go to the alphabetically first. Repeated rows
-are scanned alike. Without any corpus paragraphs the shuffled words are the only negatives. Extra columns are ignored.
+are scanned alike. A very long text is scanned whole, paragraph by paragraph. Without any corpus paragraphs the shuffled words are the only negatives. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -220,7 +220,7 @@ def made(templates: dict[str, list[str]], foreign: list[str], seed: int) -> list
     """(family, paragraph): templates with noise, and their shuffled words as none."""
     r = random.Random(seed)
     out = []
-    pool = [w for t in foreign for w in t.split()][:20_000] or ["lorem", "ipsum"]
+    pool = [w for t in foreign for w in t.split()] or ["lorem", "ipsum"]
     for family, sentences in sorted(templates.items()):
         for s in sentences:
             words = s.split()
@@ -245,7 +245,7 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, negative
     # Up to three lines from any place of a document.
     place = (F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.size("lines"), F.lit(1))) + 1).cast("int")
     passage = F.array_join(F.slice("lines", place, 3), "\n")
-    some = [r["passage"] for r in picked.select("doc_id", "text", lines.alias("lines")).where(F.size("lines") > 0).select(passage.alias("passage")).limit(2 * negatives).collect()]
+    some = [r["passage"] for r in picked.select("doc_id", "text", lines.alias("lines")).where(F.size("lines") > 0).select(passage.alias("passage"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "passage").limit(2 * negatives).collect()]
     known = {w for t in vocabulary for w in t.split()}
     words = lambda t: [w for x in t.lower().split("\n") for y in [x, *STOP.split(x)] if (w := WORD.findall(y))]
     foreign = [t for t in some if (every := words(t)) and all(sum(x in known for x in w) < 0.5 * len(w) for w in every)]

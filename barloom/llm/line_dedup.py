@@ -62,11 +62,11 @@ def removals(docs: DataFrame, site: str, min_sites: int = MIN_SITES, near: float
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
-    """docs with n_lines and n_removed; text without the lines that go, n_chars (where present) to match."""
-    key, cut = tmp_name(docs, "text_key"), tmp_name(docs, "cut_places")
-    gone = removals(docs, site, min_sites, near).select(F.col("doc_id").alias(cut + "id"), F.col("text_key").alias(key + "2"), F.col("cut").alias(cut))
+    """docs with n_lines and n_removed (in place of columns of these names); text without the lines that go, n_chars (where present) to match."""
+    key, cut, gone_id, gone_key = (tmp_name(docs, x) for x in ("text_key", "cut_places", "cut_id", "cut_key"))
+    gone = removals(docs, site, min_sites, near).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key), F.col("cut").alias(cut))
     keyed = docs.withColumn(key, F.xxhash64(text_of()))
-    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(cut + "id")) & (F.col(key) == F.col(key + "2")), "left")
+    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left")
     lines = lines_of(F.col("text"))
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))

@@ -1,19 +1,21 @@
 """Quality: document evidence combined with what its site is like, by hierarchical empirical Bayes.
 
-1. A logistic regression on surface measures of the text gives every document the odds of good quality; with the
-   training prior taken out, that is the document's own evidence.
-2. Sites are a tree: all, host, path. Over all documents, expected good ones are summed by path, host and corpus. A
-   host's posterior is its own mean drawn towards the corpus' by KAPPA documents' weight, a path's is drawn towards its
-   host's; KAPPA is estimated by moments from the spread of the hosts' means, so sparse sites lean on their parents.
+1. A logistic regression on surface measures and hashed words of the text gives every document the odds of good quality;
+   with the training prior taken out, that is the document's own evidence. It is fitted on at most MAX_TRAIN labelled
+   rows outside the held-out fold (crc32(doc_id as text) mod 5 = 0), a bounded sample by hash.
+2. Sites are a tree: all, host, path. Over all documents with a label outside the held-out fold, good ones are counted by
+   path, host and corpus. A host's posterior is its own share drawn towards the corpus' by the weight of KAPPA documents,
+   a path's is drawn towards its host's; each level's KAPPA is estimated by moments from how far the shares of that level
+   spread beyond chance, so sparse sites lean on their parents. A document's own label never counts for its own prior.
 3. A document's score combines its evidence with its path's posterior.
 
 Grouped aggregation carries the counts: partial sums per task, then one row a path. Site rows are joined back by
-broadcast where counted small, by a shuffle otherwise. The classifier is fitted on at most MAX_TRAIN labelled rows
-outside the held-out fold (crc32(doc_id as text) mod 5 = 0), a bounded sample by hash.
+broadcast where counted small, by a shuffle otherwise.
 
 Cases: null and empty texts have zero measures and are scored like others, with the evidence that the model gives them.
-Null host or path are sites of their own. Without labels of both classes every document's evidence is nil and all are
-kept. Repeated rows are scored alike. Extra columns stay in :func:`accept`.
+Null host or path are sites of their own; a site without labels has its parent's posterior. Without labels of both classes
+every document's evidence is nil and all are kept. Repeated rows are scored alike, each counting for its site; of several
+labels of one doc_id the largest counts; a score of exactly the bound is kept. Extra columns stay in :func:`accept`.
 """
 
 from __future__ import annotations
@@ -21,16 +23,20 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import persisted, read_table, tmp_name
 from .line_dedup import small
-from .toxicity import held_out, training_rows
+from .toxicity import held_out, training_labels, training_rows
 
 MAX_TRAIN = 30_000
 BROADCAST_SITES = 200_000
+HASHED_WORDS = 1 << 14
+#: KAPPA lies between these.
+LEAST_KAPPA, MOST_KAPPA = 1.0, 1e6
 #: Documents whose chance of being good is below this go.
 REJECT = 0.5
 
@@ -65,42 +71,71 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, limit: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, text_key, host, path, evidence, host_prior, path_prior, score, held_out for every row of docs."""
-    names = list(measures(F.lit("")))
-    train = persisted(training_rows(docs.select("doc_id", "text"), labels, "quality", limit).select("y", *[c.alias(k) for k, c in measures(F.col("text")).items()]), "quality-train")
+def vectors(docs: DataFrame, scales: dict[str, tuple[float, float]]) -> DataFrame:
+    """docs with `features`: measures less their mean over their spread, and the set of words, hashed, at length 1."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+", -1), lambda w: w != "")
+    scaled = docs.withColumns({f"m_{k}": (c - scales[k][0]) / scales[k][1] for k, c in measures(F.col("text")).items()} | {"words": words})
+    hashed = HashingTF(inputCol="words", outputCol="hashed", numFeatures=HASHED_WORDS, binary=True).transform(scaled)
+    unit = Normalizer(inputCol="hashed", outputCol="unit").transform(hashed)
+    out = VectorAssembler(inputCols=[*(f"m_{k}" for k in scales), "unit"], outputCol="features").transform(unit)
+    return out.drop("words", "hashed", "unit", *(f"m_{k}" for k in scales))
+
+
+def evidence_of(docs: DataFrame, train: DataFrame) -> tuple[DataFrame, float]:
+    """docs with their evidence, learnt from train (text, y), and the share of good rows there."""
     totals = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), *[c.alias(k) for k, c in measures(F.col("text")).items()])
-    evidence: Column = F.lit(0.0)
-    prior = 0.5
-    if n1 and n0:
-        data = VectorAssembler(inputCols=names, outputCol="features").transform(train)
-        model = LogisticRegression(labelCol="y", regParam=1e-3, maxIter=100).fit(data.select("features", "y"))
-        prior = n1 / (n1 + n0)
-        evidence = F.lit(float(model.intercept) - math.log(prior / (1 - prior)))
-        for k, w in zip(names, model.coefficients.toArray().tolist(), strict=True):
-            evidence = evidence + F.lit(w) * F.col(k)
-    own = persisted(base.select("doc_id", "text_key", "host", "path", evidence.alias("evidence")), "evidence")
-    good = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(math.log(prior / (1 - prior))))))
-    paths = persisted(own.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(good).alias("good")), "paths")
+    if not n1 or not n0:
+        return docs.withColumn("evidence", F.lit(0.0)), 0.5
+    found = train.select(*[f(c).alias(f"{k}_{i}") for k, c in measures(F.col("text")).items() for i, f in enumerate((F.avg, F.stddev_pop))]).first()
+    scales = {k: (found[f"{k}_0"], max(found[f"{k}_1"], 1e-6)) for k in measures(F.lit(""))}
+    model = LogisticRegression(labelCol="y", regParam=1e-3, maxIter=100, standardization=False).fit(vectors(train, scales).select("features", "y"))
+    prior = n1 / (n1 + n0)
+    odds = vector_to_array("rawPrediction")[1] - math.log(prior / (1 - prior))
+    return model.transform(vectors(docs, scales)).withColumn("evidence", odds).drop("features", "rawPrediction", "probability", "prediction"), prior
+
+
+def kappa(sites: DataFrame, parent: Column) -> float:
+    """Weight of the parent's share, by moments: what spread of sites (n, good) exceeds that of counts at the parent's share."""
+    share = F.col("good") / F.col("n")
+    chance = parent * (1 - parent)
+    a = sites.agg(
+        F.sum(F.col("n") * (share - parent) * (share - parent)).alias("spread"),
+        F.sum(chance).alias("expected"),
+        F.sum("n").alias("n"),
+        (F.sum(F.col("n") * chance) / F.sum("n")).alias("chance"),
+    ).first()
+    if not a["n"]:
+        return MOST_KAPPA
+    between = (a["spread"] - a["expected"]) / a["n"]
+    return min(MOST_KAPPA, max(LEAST_KAPPA, a["chance"] / between - 1)) if between > 0 else MOST_KAPPA
+
+
+def drawn(n: Column, good: Column, parent: Column, weight: float) -> Column:
+    return (good + weight * parent) / (n + weight)
+
+
+def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, limit: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, text_key, host, path, evidence, host_prior, path_prior, score, held_out for every row of docs."""
+    train = persisted(training_rows(docs.select("doc_id", "text"), labels, "quality", limit).select("text", "y"), "quality-train")
+    base = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    judged, prior = evidence_of(base, train)
+    known = training_labels(labels, "quality")
+    own = persisted(judged.select("doc_id", "text_key", "host", "path", "evidence").join(known, "doc_id", "left"), "evidence")
+    counts = [F.count("y").cast("double").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).cast("double").alias("good")]
+    paths = persisted(own.groupBy("host", "path").agg(*counts), "paths")
     hosts = persisted(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "hosts")
-    a = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("k")).first()
+    a = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = (a["good"] + 0.5) / (a["n"] + 1) if a["n"] else prior
-    kappa = 100.0
-    if a["k"] and a["k"] > 1:
-        # Moments of the hosts' means: what spread exceeds that of binomial counts is the spread of sites.
-        share = F.col("good") / F.col("n")
-        var = hosts.agg(F.sum(F.col("n") * (share - mean) * (share - mean)).alias("s")).first()["s"]
-        between = max(0.0, (var - (a["k"] - 1) * mean * (1 - mean)) / max(1e-9, a["n"] - a["nn"] / a["n"]))
-        kappa = min(1e6, max(1.0, mean * (1 - mean) / between - 1)) if between > 0 else 1e6
-    h = hosts.select("host", ((F.col("good") + kappa * mean) / (F.col("n") + kappa)).alias("host_prior"))
-    sites = persisted(paths.join(h, "host").select("host", "path", "host_prior", ((F.col("good") + kappa * F.col("host_prior")) / (F.col("n") + kappa)).alias("path_prior")), "sites")
-    return (
-        own.join(small(sites, BROADCAST_SITES), ["host", "path"])
-        .withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + logit(F.col("path_prior"))))))
-        .select("doc_id", "text_key", "host", "path", "evidence", "host_prior", "path_prior", "score", held_out(F.col("doc_id")).alias("held_out"))
-    )
+    of_host = kappa(hosts.where("n > 0"), F.lit(mean))
+    both = persisted(paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host"), "sites")
+    of_path = kappa(both.where("n > 0"), drawn(F.col("host_n"), F.col("host_good"), F.lit(mean), of_host))
+    seen, y = F.col("y").isNotNull().cast("double"), F.coalesce("y", F.lit(0)).cast("double")
+    host_prior = drawn(F.col("host_n") - seen, F.col("host_good") - y, F.lit(mean), of_host)
+    path_prior = drawn(F.col("n") - seen, F.col("good") - y, F.col("host_prior"), of_path)
+    out = own.join(small(both, BROADCAST_SITES), ["host", "path"]).withColumn("host_prior", host_prior).withColumn("path_prior", path_prior)
+    value = 1 / (1 + F.exp(-(F.col("evidence") + logit(F.col("path_prior")))))
+    return out.select("doc_id", "text_key", "host", "path", "evidence", "host_prior", "path_prior", value.alias("score"), held_out(F.col("doc_id")).alias("held_out"))
 
 
 def site_columns() -> tuple[Column, Column]:
@@ -110,10 +145,13 @@ def site_columns() -> tuple[Column, Column]:
 
 def accept(docs: DataFrame, labels: DataFrame, host: Column, path: Column, reject: float = REJECT) -> DataFrame:
     """Rows of docs whose score is not below reject."""
-    key = tmp_name(docs, "text_key")
-    judged = score(docs, labels, host, path).where(F.col("score") < reject).select(F.col("doc_id").alias(key + "id"), F.col("text_key").alias(key + "2"), F.col("host").alias(key + "h"), F.col("path").alias(key + "p")).distinct()
-    keyed = docs.withColumns({key: F.xxhash64(F.coalesce("text", F.lit(""))), key + "x": F.coalesce(host, F.lit("")), key + "y": F.coalesce(path, F.lit(""))})
-    same = F.col("doc_id").eqNullSafe(F.col(key + "id")) & (F.col(key) == F.col(key + "2")) & (F.col(key + "x") == F.col(key + "h")) & (F.col(key + "y") == F.col(key + "p"))
+    names = {x: tmp_name(docs, f"rejected_{x}") for x in ("doc_id", "text_key", "host", "path")}
+    own = {x: tmp_name(docs, f"own_{x}") for x in ("text_key", "host", "path")}
+    judged = score(docs, labels, host, path).where(F.col("score") < reject).select(*[F.col(x).alias(n) for x, n in names.items()]).distinct()
+    keyed = docs.withColumns({own["text_key"]: F.xxhash64(F.coalesce("text", F.lit(""))), own["host"]: F.coalesce(host, F.lit("")), own["path"]: F.coalesce(path, F.lit(""))})
+    same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"]))
+    for x, n in own.items():
+        same = same & (F.col(n) == F.col(names[x]))
     return keyed.join(judged, same, "left_anti").select(*docs.columns)
 
 

@@ -6,8 +6,9 @@ a term enters when its G statistic beats chance over all terms tried. Exception
 that are no more toxic than the corpus - cancel the hits they cover. A text's hits are summed, normalised by its length,
 and a logistic regression on these few numbers gives the score.
 
-Bounds: learning reads at most MAX_TRAIN labelled rows (by hash of their ids, so the sample is the same every time) and
-keeps at most MAX_TERMS terms; both are parameters. Scoring reads every whole text once.
+Bounds: learning reads at most MAX_TRAIN labelled rows, a parameter (by hash of their ids, so the sample is the same every
+time). That bounds the lexicon too: a term needs MIN_DOCS toxic training rows and the G statistic, a phrase ten training
+rows; all that do are kept, of words of any length. Scoring reads every whole text once.
 
 Cases: null and empty texts have no hits and get the score of their features like any other. Without labels of both
 classes every score is the training share of toxic rows (0 with no rows at all). Repeated documents are scored row by
@@ -30,8 +31,6 @@ from pyspark.sql import functions as F
 from .common import persisted, read_table
 
 MAX_TRAIN = 30_000
-MAX_TERMS = 20_000
-MAX_PHRASES = 5_000
 MIN_DOCS = 4
 PREFIXES = (4, 5, 6, 7)
 #: Cyrillic and Greek letters that look like Latin ones, and usual substitutions.
@@ -53,7 +52,7 @@ def fold(text: str | None) -> str:
 
 
 def terms(words: set[str]) -> set[str]:
-    out = {f" {w} " for w in words if 2 < len(w) <= 40}
+    out = {f" {w} " for w in words}
     for k in PREFIXES:
         out |= {" " + w[:k] for w in words if len(w) > k}
     return out
@@ -63,10 +62,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) outside the held-out fold, once each."""
+    return labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = MAX_TRAIN) -> DataFrame:
     """Rows of docs outside the held-out fold with their label `y`, at most about `limit` of them."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
+    known = training_labels(labels, label)
     share = min(1.0, limit / max(1, known.count()))
+    # At most about `limit` ids.
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     return docs.join(F.broadcast(sample), "doc_id")
 
@@ -94,7 +99,7 @@ def log_ratio(n1: Column, n0: Column, total1: int, total0: int) -> Column:
     return F.log(((n1 + 0.5) / (total1 + 1)) / ((n0 + 0.5) / (total0 + 1)))
 
 
-def lexicon(train: DataFrame, total1: int, total0: int, max_terms: int = MAX_TERMS) -> dict[str, float]:
+def lexicon(train: DataFrame, total1: int, total0: int) -> dict[str, float]:
     counts = persisted(count_terms(train), "terms")
     tried = max(2, counts.count())
     base = total1 / (total1 + total0)
@@ -102,7 +107,7 @@ def lexicon(train: DataFrame, total1: int, total0: int, max_terms: int = MAX_TER
     rest = 1 - share
     g = 2 * F.col("n") * (share * F.log(share / base) + F.when(rest > 0, rest * F.log(rest / (1 - base))).otherwise(0.0))
     chosen = counts.where((F.col("n1") >= MIN_DOCS) & (share > base)).select("term", g.alias("g"), log_ratio(F.col("n1"), F.col("n") - F.col("n1"), total1, total0).alias("weight")).where(F.col("g") >= 2 * math.log(tried))
-    return {r["term"]: r["weight"] for r in chosen.orderBy(F.desc("g"), "term").limit(max_terms).collect()}
+    return {r["term"]: r["weight"] for r in chosen.collect()}
 
 
 def phrases(train: DataFrame, words: dict[str, float], base: float) -> list[str]:
@@ -123,7 +128,7 @@ def phrases(train: DataFrame, words: dict[str, float], base: float) -> list[str]
 
     counts = train.select("text", "y").mapInArrow(run, "term string, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
     benign = counts.where((F.col("n") >= 10) & (F.col("n1") <= base * F.col("n")))
-    return [r["term"] for r in benign.orderBy(F.desc("n"), "term").limit(MAX_PHRASES).collect()]
+    return [r["term"] for r in benign.collect()]
 
 
 def automaton(words: dict[str, float], exceptions: list[str]):
@@ -156,7 +161,7 @@ def hits(folded: str, a) -> tuple[float, float, int]:
 
 def featured(docs: DataFrame, words: dict[str, float], exceptions: list[str], kept: list[str]) -> DataFrame:
     """kept columns of docs with FEATURES and n_hits."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, exceptions))  # at most MAX_TERMS + MAX_PHRASES strings
+    shared = docs.sparkSession.sparkContext.broadcast((words, exceptions))  # bounded by the training sample
     schema = docs.select(*kept).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

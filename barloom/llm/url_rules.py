@@ -17,9 +17,14 @@ Every step is a DataFrame function or Spark ML's FPGrowth; no Python runs on the
 
 Hand-written rules come first: the longest fitting (host, path) rule gives the verdict; the mined rules judge the rest.
 
+Labels (:func:`seeds`): a URL is a blocked example where a hand-written rule blocks it, a word of its host is a seed term, or
+its text is labelled bad; it is an allowed one where a rule allows it or its text is labelled good, and nothing blocks
+it. All others are no examples. So what is mined is what URLs of those kinds have in common, and where it is found again.
+
 Cases: a null URL or one without ``://`` has empty host and path, no tokens, fits no rule and is allowed. Repeated rows
-each get a verdict. Null page ids are kept. No labels, or none of either class: no rules are mined. Extra columns are
-ignored by the query and kept by :func:`judge`.
+each get a verdict. Null page ids are kept. No labels, or none of either class: no rules are mined. Of rules of equal
+confidence the one with fewest tokens counts, then the first by name. Very long URLs are handled whole. Extra columns are
+ignored by the query and kept by :func:`judge`, but for those named as its results, which take their place.
 """
 
 from __future__ import annotations
@@ -34,6 +39,9 @@ from .common import ascii_lower, persisted, read_table
 
 #: (host, path, verdict), as the query's contract fixes them.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+#: Words of hosts that mark examples of blocked URLs.
+SEED_TERMS = ("spam", "pills", "casino", "porn", "viagra", "xxx", "warez", "escort")
+RESULTS = ("host", "path", "rule", "mined_rule", "confidence", "verdict")
 BLOCKED = "=blocked"
 
 
@@ -41,8 +49,8 @@ BLOCKED = "=blocked"
 class RuleParams:
     min_support: float = 0.0005
     #: Labelled URLs that hold a rule's tokens and are blocked, at least: a handful of chance hits is no rule.
-    min_count: int = 20
-    min_confidence: float = 0.6
+    min_count: int = 3
+    min_confidence: float = 0.8
     min_lift: float = 1.5
     #: Above this many rules the index is joined by a shuffle instead of a broadcast.
     broadcast_rules: int = 100_000
@@ -130,27 +138,31 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
-def judge(pages: DataFrame, labelled_ids: DataFrame, rules: list[tuple[str, str, str]] = RULES, p: RuleParams = RuleParams()) -> DataFrame:
-    """pages (page_id, url, ...) with host, path, rule, mined_rule, verdict; labelled_ids has (page_id, blocked)."""
-    clash = [c for c in pages.columns if c.lower() in {"host", "path", "rule", "verdict", "tokens", "mined_rule", "confidence"}]
-    base = host_path(pages.drop(*clash), "url")
-    full = base.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
-    labelled = full.select("page_id", "tokens").join(labelled_ids.groupBy("page_id").agg(F.max("blocked").alias("blocked")), "page_id")
-    mined = mine(labelled, p)
+def seeds(urls: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], terms: tuple[str, ...] = SEED_TERMS) -> DataFrame:
+    """Examples (tokens, blocked) from urls (page_id, host, path, tokens) and labels (page_id, blocked)."""
+    known = labels.groupBy("page_id").agg(F.max("blocked").alias("labelled"))
+    fixed = fixed_rule(F.col("host"), F.col("path"), rules)["verdict"]
+    listed = F.arrays_overlap(F.split("host", r"[.-]"), F.array(*[F.lit(t) for t in terms])) if terms else F.lit(False)
+    bad = F.coalesce(fixed == "block", F.lit(False)) | listed | F.coalesce(F.col("labelled") == 1, F.lit(False))
+    good = (fixed == "allow") | (F.col("labelled") == 0)
+    both = urls.where("size(tokens) > 0").join(known, "page_id", "left")
+    return both.select("tokens", F.when(bad, 1).when(good, 0).alias("blocked")).where("blocked is not null")
+
+
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, p: RuleParams = RuleParams(), terms: tuple[str, ...] = SEED_TERMS) -> DataFrame:
+    """pages (page_id, url, ...) with RESULTS; labels has (page_id, blocked)."""
+    base = host_path(pages.drop(*[c for c in pages.columns if c.lower() in RESULTS]), "url")
+    urls = base.select("page_id", "url", "host", "path", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
+    mined = mine(seeds(urls, labels, rules, terms), p)
     # Equal URLs have equal verdicts: each is matched once, whatever its number of rows.
-    matched = match(full.where("size(tokens) > 0").groupBy("url").agg(F.first("tokens").alias("tokens")), mined, "url", p)
+    matched = match(urls.where("size(tokens) > 0").groupBy("url").agg(F.first("tokens").alias("tokens")), mined, "url", p)
     fixed = fixed_rule(F.col("host"), F.col("path"), rules)
-    return (
-        base
-        .withColumn("fixed", fixed)
-        .join(matched, "url", "left")
-        .withColumns({"rule": F.col("fixed.rule"), "verdict": F.coalesce(F.col("fixed.verdict"), F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise("allow"))})
-        .drop("fixed")
-    )
+    verdict = F.coalesce(fixed["verdict"], F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise("allow"))
+    return base.join(matched, "url", "left").withColumns({"rule": fixed["rule"], "verdict": verdict})
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's verdict; labels.quality = 0 of the document of the same number marks a URL as blocked."""
+    """Every page's verdict; labels.quality of the document of the same number says whether a page's text is bad."""
     pages = read_table(spark, sf_dir, "pages")
     labels = read_table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("blocked"))
-    return judge(pages.select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+    return judge(pages.select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")

@@ -1,9 +1,11 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
 import textwrap
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -164,6 +166,15 @@ def test_mined_rules_of_inseparable_tokens_equal_brute_force(spark):
     assert {tuple(x.rule_tokens) for x in mined.collect()} == want and ("A", "C") in want
 
 
+def test_the_query_mines_rules(spark):
+    out = url_rules.op7_url_rules(spark, "/root/testdata/sf0.01")
+    rows = out.collect()
+    assert sum(r.mined_rule is not None for r in rows) > 10
+    pages = spark.createDataFrame([(i, f"http://{h}/p/{i}") for i, h in enumerate(["a.cheap-pills.info", "www.fine.info"] * 20)] + [(90, "https://b.cheap-pills.info/"), (91, "https://spammer.info/")], "page_id long, url string")
+    judged = {r.page_id: (r.verdict, r.rule, r.mined_rule) for r in url_rules.judge(pages, spark.createDataFrame([(i, 0) for i in range(1, 40, 2)], "page_id long, blocked int")).collect()}
+    assert judged[90] == ("block", None, "h2:cheap-pills") and judged[0][0] == "block" and judged[1] == judged[91] == ("allow", None, None)
+
+
 # Media --------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("n", [0, 1, 23, 191, 937, 938, 5000])
 def test_media_round_trip(n):
@@ -331,6 +342,98 @@ def test_quality_held_out_and_shrinkage(spark, docs):
     assert quality.accept(docs(ODD).limit(0), lab, *quality.site_columns()).count() == 0
 
 
+def brute_quality_priors(rows, ys):
+    """(host_prior, path_prior) by row of (host, path), ys holding a label or None."""
+    share = lambda n, good, parent, k: (good + k * parent) / (n + k)
+    known = [(h, p, y) for (h, p), y in zip(rows, ys, strict=True) if y is not None]
+    mean = (sum(y for *_, y in known) + 0.5) / (len(known) + 1)
+
+    def tally(key):
+        out = {}
+        for x in known:
+            n, good = out.get(key(x), (0, 0))
+            out[key(x)] = (n + 1, good + x[2])
+        return out
+
+    def kappa(sites, parents):
+        spread = sum(n * (g / n - parents[s]) ** 2 for s, (n, g) in sites.items())
+        chance = {s: parents[s] * (1 - parents[s]) for s in sites}
+        total = sum(n for n, _ in sites.values())
+        between = (spread - sum(chance.values())) / total
+        return min(1e6, max(1.0, sum(sites[s][0] * c for s, c in chance.items()) / total / between - 1)) if between > 0 else 1e6
+
+    hosts, paths = tally(lambda x: x[0]), tally(lambda x: x[:2])
+    k1 = kappa(hosts, {h: mean for h in hosts})
+    k2 = kappa(paths, {s: share(*hosts[s[0]], mean, k1) for s in paths})
+    out = []
+    for (h, p), y in zip(rows, ys, strict=True):
+        own = (0, 0) if y is None else (1, y)
+        up = share(*(a - b for a, b in zip(hosts.get(h, (0, 0)), own)), mean, k1)
+        out.append((up, share(*(a - b for a, b in zip(paths.get((h, p), (0, 0)), own)), up, k2)))
+    return out
+
+
+def test_quality_priors_equal_brute_force(spark):
+    r = random.Random(9)
+    rows, ys = [], []
+    for i in range(1500):
+        h = r.choice("abcdef") if i % 10 else f"rare{i}"
+        p = r.choice("xyz")
+        held = zlib.crc32(str(i).encode()) % 5 == 0
+        y = int(r.random() < {"a": 0.9, "b": 0.2}.get(h, 0.6) * (0.5 if p == "z" else 1.0))
+        rows.append((h, p))
+        ys.append(None if held or r.random() < 0.3 else y)
+    table = spark.createDataFrame([(i, "text of one kind" if i % 2 else "other %% words", h, p) for i, (h, p) in enumerate(rows)], "doc_id long, text string, h string, p string")
+    labels = spark.createDataFrame([(i, y, 0) for i, y in enumerate(ys) if y is not None], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.score(table, labels, F.col("h"), F.col("p")).collect()}
+    want = brute_quality_priors(rows, ys)
+    assert all(abs(got[i].host_prior - a) < 1e-9 and abs(got[i].path_prior - b) < 1e-9 for i, (a, b) in enumerate(want))
+    assert max(b for _, b in want) - min(b for _, b in want) > 0.4
+    odds = lambda p: math.log(p / (1 - p))
+    assert all(abs(odds(x.score) - x.evidence - odds(x.path_prior)) < 1e-6 for x in got.values())
+
+
+def test_toxicity_lexicon_and_hits_equal_brute_force(spark):
+    r = random.Random(11)
+    words = [f"w{chr(97 + i)}{chr(97 + i % 7)}" for i in range(26)] + ["an", "x", "L0ngw0rd" * 8]
+    bad = ["sl1me", "slimer", "an", "L0ngw0rd" * 8]
+    rows = []
+    for i in range(500):
+        t = [r.choice(words) for _ in range(25)]
+        y = int(i % 5 == 0)
+        if y:
+            t[r.randrange(25)] = r.choice(bad[:2])
+            t[3] = bad[3]
+        elif i % 3 == 0:
+            t[4:6] = ["good", "slime"]
+        rows.append((" ".join(t), y))
+    train = spark.createDataFrame(rows, "text string, y int")
+    n1 = sum(y for _, y in rows)
+    lexicon = toxicity.lexicon(train, n1, 500 - n1)
+    counts = {}
+    for t, y in rows:
+        for term in {f" {w} " for w in toxicity.fold(t).split()} | {" " + w[:k] for w in toxicity.fold(t).split() for k in toxicity.PREFIXES if len(w) > k}:
+            a, b = counts.get(term, (0, 0))
+            counts[term] = (a + 1, b + y)
+    want = {}
+    for term, (n, k) in counts.items():
+        share, base = k / n, n1 / 500
+        g = 2 * n * (share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0)) if k else 0
+        if k >= toxicity.MIN_DOCS and share > base and g >= 2 * math.log(len(counts)):
+            want[term] = math.log(((k + 0.5) / (n1 + 1)) / ((n - k + 0.5) / (500 - n1 + 1)))
+    assert want.keys() == lexicon.keys() and all(abs(want[t] - lexicon[t]) < 1e-9 for t in want)
+    assert any(len(t) > 60 for t in lexicon)
+    exceptions = toxicity.phrases(train, lexicon, n1 / 500)
+    automaton = toxicity.automaton(lexicon, exceptions)
+    for t, _ in rows:
+        folded = toxicity.fold(t)
+        starts = {i: max(w for term, w in lexicon.items() if folded.startswith(term, i)) for i in range(len(folded)) if any(folded.startswith(term, i) for term in lexicon)}
+        spared = {k for e in exceptions for i in range(len(folded)) if folded.startswith(e, i) for k in range(i, i + len(e) - 1)}
+        left = [w for i, w in starts.items() if i not in spared]
+        total, most, n = toxicity.hits(folded, automaton)
+        assert n == len(left) and abs(total - sum(left)) < 1e-9 and most == max(left, default=0.0)
+
+
 def test_licenses(docs):
     text = "Some ordinary words about nothing much\nReleased under the MIT License.\nmore of them"
     rows = [(1, text), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "licence plates and public works of the general"), (4, "Licensed under CC BY-NC 4.0."), (5, None), (6, "")]
