@@ -45,6 +45,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int | N
     lengths = np.ones(terminals, np.uint32)
     rules: list[np.ndarray] = []
     starts: list[int] = []
+    table = np.full(1 << 20, -1, np.int32)
     while rounds is None or len(rules) < rounds:
         top = terminals + sum(map(len, rules))
         limit = 1 << 16 if top <= 1 << 16 else 1 << 32
@@ -63,14 +64,20 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int | N
         if a_round is not None and len(often) > a_round:
             often = often[np.argpartition(-counts[often], a_round)[:a_round]]
         chosen = np.sort(ordered[edge[often]])
-        # Most positions fall to a small table of the chosen pairs' low bits; the rest are looked up.
-        low = np.zeros(1 << 20, bool)
+        # A table by the pairs' low bits names the one chosen pair that a position may hold; pairs that share a place of
+        # the table are looked up in order.
         fold = lambda x: (x ^ (x >> x.dtype.type(13))) & x.dtype.type((1 << 20) - 1)
-        low[fold(chosen)] = True
-        maybe = np.flatnonzero(low[fold(key)] & inner)
-        place = np.searchsorted(chosen, key[maybe]).clip(max=len(chosen) - 1)
-        right = chosen[place] == key[maybe]
-        hit, place = maybe[right], place[right]
+        at, order = fold(chosen), np.arange(len(chosen), dtype=np.int32)
+        table[at] = order
+        table[at[table[at] != order]] = -2
+        place = table[fold(key)]
+        table[at] = -1
+        hit = np.flatnonzero((place != -1) & inner)
+        place, own = place[hit], key[hit]
+        shared = np.flatnonzero(place == -2)
+        place[shared] = np.searchsorted(chosen, own[shared]).clip(max=len(chosen) - 1)
+        right = chosen[place] == own
+        hit, place = hit[right], place[right]
         # In a run of overlapping hits every second one is replaced, from its left end.
         first = np.concatenate(([True], np.diff(hit) > 1))
         run = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
@@ -89,11 +96,11 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int | N
     per_doc = np.zeros(len(sizes), np.uint32)
     ends = np.flatnonzero(last)
     per_doc[sizes > 0] = np.diff(ends, prepend=-1)
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    width = "<u2" if terminals + len(table) <= 1 << 16 else "<u4"
-    head = struct.pack("<4s6I", MAGIC, len(sizes), len(ids), terminals, len(table), len(starts), len(s))
+    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    width = "<u2" if terminals + len(pairs) <= 1 << 16 else "<u4"
+    head = struct.pack("<4s6I", MAGIC, len(sizes), len(ids), terminals, len(pairs), len(starts), len(s))
     u4 = lambda x: np.asarray(x, "<u4").tobytes()
-    return b"".join([head, u4(starts), u4(per_doc), u4(sizes), u4(table), u4(lengths[terminals:]), s.astype(width).tobytes()])
+    return b"".join([head, u4(starts), u4(per_doc), u4(sizes), u4(pairs), u4(lengths[terminals:]), s.astype(width).tobytes()])
 
 
 class Shard:

@@ -13,14 +13,15 @@ from __future__ import annotations
 import unicodedata
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 from string import punctuation
 
 import numpy as np
 
-#: Words that a Python worker keeps for each place, about 250 bytes each; longer words, and those that come later, are
-#: encoded whenever they occur.
-CACHE_WORDS = 400_000
+#: Words, and words without the punctuation after them, that a Python worker keeps for each place, about 250 bytes each;
+#: longer ones, and those that come later, are encoded whenever they occur.
+CACHE_WORDS = 600_000
+CACHE_STEMS = 300_000
 CACHE_LETTERS = 64
 
 
@@ -36,13 +37,13 @@ BYTE_LETTERS = byte_letters()
 class Words(dict):
     """Ids by word, found once."""
 
-    def __init__(self, ids: Callable[[str], bytes]):
+    def __init__(self, ids: Callable[[str], bytes | None], most: int):
         super().__init__()
-        self.ids = ids
+        self.ids, self.most = ids, most
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes | None:
         out = self.ids(word)
-        if len(self) < CACHE_WORDS and len(word) <= CACHE_LETTERS:
+        if len(self) < self.most and len(word) <= CACHE_LETTERS:
             self[word] = out
         return out
 
@@ -57,9 +58,10 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.line = self.whole("\n") if self.spaced else b""
-        self.tails: dict[str, bytes] = {}
-        self.first = Words(lambda w: self._word(w, False))
-        self.later = Words(lambda w: self._word(w, True))
+        self.tails = Words(self.whole, 100_000)
+        self.stems = [Words(partial(self._merge, blank=x), CACHE_STEMS) for x in (False, True)]
+        self.first = Words(partial(self._word, blank=False), CACHE_WORDS)
+        self.later = Words(partial(self._word, blank=True), CACHE_WORDS)
 
     def _raw(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -82,21 +84,17 @@ class Encoder:
             if not word.isascii() and (not low.isalpha() or "Σ" in word or not unicodedata.is_normalized("NFC", word)):
                 return None
             word = low
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array(self.code, [t.id for t in self.model.tokenize("Ġ" + shown if blank and self.spaced else shown)]).tobytes()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.model.tokenize("Ġ" + word if blank and self.spaced else word)]).tobytes()
 
     def _word(self, word: str, blank: bool) -> bytes:
         """Ids of a word, after a blank or at the start of a line."""
         letters = word.rstrip(punctuation)
         if letters.isalpha():
-            ids = self._merge(letters, blank)
+            ids = self.stems[blank][letters]
             if ids is not None:
-                tail = word[len(letters) :]
-                if tail and tail not in self.tails:
-                    if len(self.tails) > 100_000:
-                        self.tails.clear()
-                    self.tails[tail] = self.whole(tail)
-                return ids + self.tails[tail] if tail else ids
+                return ids + self.tails[word[len(letters) :]] if len(letters) < len(word) else ids
         return self.whole(" " + word if blank and self.spaced else word)
 
     def _text(self, text: str | None) -> bytes:
