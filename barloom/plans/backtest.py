@@ -53,7 +53,7 @@ def trades(signals: DataFrame, bars: DataFrame, hold: int = 10, chandelier: floa
 
 def periods(t: DataFrame) -> DataFrame:
     """Mean net return of each signal date that traded, six places."""
-    return t.where("skipped is null").groupBy("signal_date").agg(tie_safe(F.avg("net"), 6, 0.5003).alias("r"), F.count("*").alias("n"))
+    return t.where("skipped is null").groupBy("signal_date").agg(tie_safe(F.avg("net"), 6).alias("r"), F.count("*").alias("n"))
 
 
 def equity(p: DataFrame) -> DataFrame:
@@ -74,15 +74,15 @@ def equity(p: DataFrame) -> DataFrame:
 def drawdown(curve: DataFrame, by: str = "signal_date") -> DataFrame:
     """curve (equity) with its running peak, started at 1, and the drawdown from it."""
     w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    return curve.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(w))).withColumn("drawdown", tie_safe(k("equity") / k("peak") - 1, 6, 0.5003))
+    return curve.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(w))).withColumn("drawdown", tie_safe(k("equity") / k("peak") - 1, 6))
 
 
 def summary(t: DataFrame, curve: DataFrame) -> DataFrame:
     """One row: trades, winners, mean, best and worst period, total and annual return, deepest drawdown, turnover."""
-    a = t.where("skipped is null").agg(F.count("*").alias("trades"), tie_safe(F.avg((k("net") > 0).cast("double")), 6, 0.5003).alias("win_rate"))
-    c = drawdown(curve).agg(F.count("*").alias("periods"), F.max_by("equity", "signal_date").alias("last"), F.min("drawdown").alias("max_drawdown"), tie_safe(F.avg("r"), 6, 0.5003).alias("avg_period"), F.max("r").alias("best"), F.min("r").alias("worst"), F.datediff(F.max("signal_date"), F.min("signal_date")).alias("days"))
+    a = t.where("skipped is null").agg(F.count("*").alias("trades"), tie_safe(F.avg((k("net") > 0).cast("double")), 6).alias("win_rate"))
+    c = drawdown(curve).agg(F.count("*").alias("periods"), F.max_by("equity", "signal_date").alias("last"), F.min("drawdown").alias("max_drawdown"), tie_safe(F.avg("r"), 6).alias("avg_period"), F.max("r").alias("best"), F.min("r").alias("worst"), F.datediff(F.max("signal_date"), F.min("signal_date")).alias("days"))
     total = k("last") - 1
-    return a.crossJoin(c).select("trades", "periods", "win_rate", "avg_period", "best", "worst", tie_safe(total, 6).alias("total_return"), tie_safe(F.when(k("days") > 0, F.pow(k("last"), F.lit(365.0) / k("days")) - 1).otherwise(total), 4, 0.5003).alias("annual_return"), F.least("max_drawdown", F.lit(0.0)).alias("max_drawdown"), tie_safe(F.try_divide(k("trades").cast("double"), k("periods")), 6, 0.5003).alias("turnover"))
+    return a.crossJoin(c).select("trades", "periods", "win_rate", "avg_period", "best", "worst", tie_safe(total, 6).alias("total_return"), tie_safe(F.when(k("days") > 0, F.pow(k("last"), F.lit(365.0) / k("days")) - 1).otherwise(total), 4).alias("annual_return"), F.least("max_drawdown", F.lit(0.0)).alias("max_drawdown"), tie_safe(F.try_divide(k("trades").cast("double"), k("periods")), 6).alias("turnover"))
 
 
 def forward(signals: DataFrame, f: DataFrame, horizons: list[int]) -> DataFrame:
@@ -90,7 +90,7 @@ def forward(signals: DataFrame, f: DataFrame, horizons: list[int]) -> DataFrame:
     nxt = {h: F.lead("o", 1 + h).over(series()) for h in horizons}
     low = {h: F.min("o").over(series().rowsBetween(1, 1 + h)) for h in horizons}
     path = f.select("market", "symbol", k("trade_date").alias("signal_date"), F.lead("o", 1).over(series()).alias("buy"), *[c.alias(f"s{h}") for h, c in nxt.items()], *[c.alias(f"l{h}") for h, c in low.items()])
-    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), tie_safe(F.try_divide(k(f"s{h}"), k("buy")) - 1, 6, 0.5003).alias("ret"), tie_safe(F.try_divide(k(f"l{h}"), k("buy")) - 1, 6, 0.5003).alias("low")) for h in horizons])
+    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), tie_safe(F.try_divide(k(f"s{h}"), k("buy")) - 1, 6).alias("ret"), tie_safe(F.try_divide(k(f"l{h}"), k("buy")) - 1, 6).alias("low")) for h in horizons])
     return signals.join(path, ["market", "symbol", "signal_date"]).select(*signals.columns, F.explode(rows).alias("x")).select(*signals.columns, "x.*").where("ret is not null")
 
 
@@ -103,7 +103,7 @@ def forward_stats(fw: DataFrame) -> DataFrame:
     near = lambda n, q: round((n - 1) * q) / max(1, n - 1)
     outs = []
     for h, n in sorted(counts.items()):
-        outs.append(fw.where(k("horizon") == h).groupBy("horizon").agg(F.count("*").alias("n"), tie_safe(F.avg("ret"), 6, 0.5003).alias("mean"), tie_safe(F.percentile("ret", 0.5), 6, 0.5003).alias("median"), tie_safe(F.avg((k("ret") > 0).cast("double")), 6, 0.5003).alias("win_rate"), tie_safe(F.percentile("ret", near(n, 0.25)), 6, 0.5003).alias("p25"), tie_safe(F.percentile("ret", near(n, 0.75)), 6, 0.5003).alias("p75"), F.max("ret").alias("best"), F.min("ret").alias("worst")))
+        outs.append(fw.where(k("horizon") == h).groupBy("horizon").agg(F.count("*").alias("n"), tie_safe(F.avg("ret"), 6).alias("mean"), tie_safe(F.percentile("ret", 0.5), 6).alias("median"), tie_safe(F.avg((k("ret") > 0).cast("double")), 6).alias("win_rate"), tie_safe(F.percentile("ret", near(n, 0.25)), 6).alias("p25"), tie_safe(F.percentile("ret", near(n, 0.75)), 6).alias("p75"), F.max("ret").alias("best"), F.min("ret").alias("worst")))
     out = outs[0] if outs else fw.groupBy("horizon").agg(F.count("*").alias("n"), *[F.avg("ret").alias(c) for c in ("mean", "median", "win_rate", "p25", "p75", "best", "worst")])
     for x in outs[1:]:
         out = out.unionByName(x)
@@ -112,7 +112,7 @@ def forward_stats(fw: DataFrame) -> DataFrame:
 
 def risk_tags(fw: DataFrame) -> DataFrame:
     """By risk flag and horizon: n, mean, winners, worst return, deepest low."""
-    return fw.withColumn("tag", F.explode("risk_flags")).groupBy("tag", "horizon").agg(F.count("*").alias("n"), tie_safe(F.avg("ret"), 6, 0.5003).alias("mean"), tie_safe(F.avg((k("ret") > 0).cast("double")), 6, 0.5003).alias("win_rate"), F.min("ret").alias("worst"), F.min("low").alias("min_drawdown"))
+    return fw.withColumn("tag", F.explode("risk_flags")).groupBy("tag", "horizon").agg(F.count("*").alias("n"), tie_safe(F.avg("ret"), 6).alias("mean"), tie_safe(F.avg((k("ret") > 0).cast("double")), 6).alias("win_rate"), F.min("ret").alias("worst"), F.min("low").alias("min_drawdown"))
 
 
 def parameter_scan(signals: DataFrame, f: DataFrame, min_scores: list[float], tops: list[int], holds: list[int], costs: Costs = Costs()) -> DataFrame:
@@ -126,8 +126,8 @@ def parameter_scan(signals: DataFrame, f: DataFrame, min_scores: list[float], to
     e = p.withColumn("equity", F.exp(F.sum(F.log1p(k("r") / k("hold"))).over(w)))
     e = e.withColumn("dd", k("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)) - 1)
     out = e.groupBy(*key).agg(F.sum("n").alias("trades"), F.max_by("equity", "signal_date").alias("last"), F.min("dd").alias("dd"), (F.sum("won") / F.sum("n")).alias("win"))
-    out = out.withColumns({"total_return": tie_safe(k("last") - 1, 4, 0.5003), "max_drawdown": tie_safe(F.least(k("dd"), F.lit(0.0)), 4, 0.5003), "win_rate": tie_safe("win", 4, 0.5003)})
-    return out.select(*key, "trades", "total_return", "max_drawdown", "win_rate", tie_safe(k("total_return") - F.abs("max_drawdown") + 0.1 * k("win_rate"), 4, 0.5003).alias("research_score"))
+    out = out.withColumns({"total_return": tie_safe(k("last") - 1, 4), "max_drawdown": tie_safe(F.least(k("dd"), F.lit(0.0)), 4), "win_rate": tie_safe("win", 4)})
+    return out.select(*key, "trades", "total_return", "max_drawdown", "win_rate", tie_safe(k("total_return") - F.abs("max_drawdown") + 0.1 * k("win_rate"), 4).alias("research_score"))
 
 
 def winsorized(f: DataFrame) -> DataFrame:
@@ -136,18 +136,18 @@ def winsorized(f: DataFrame) -> DataFrame:
     x = f.where("pct_chg is not null").select("market", "symbol", "trade_date", "pct_chg").withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("pct_chg", "trade_date"))})
     trim = F.floor(k("n") * 0.01)
     cut = F.when((k("n") >= 20) & (trim == 0), 1).otherwise(trim)
-    return x.where((k("i") > cut) & (k("i") <= k("n") - cut)).groupBy("market", "symbol").agg(F.max("n").alias("n"), F.sum(F.log1p("pct_chg")).alias("s")).select("market", "symbol", "n", F.when(k("n") >= 3, tie_safe(F.exp("s") - 1, 6, 0.5003)).alias("ret"))
+    return x.where((k("i") > cut) & (k("i") <= k("n") - cut)).groupBy("market", "symbol").agg(F.max("n").alias("n"), F.sum(F.log1p("pct_chg")).alias("s")).select("market", "symbol", "n", F.when(k("n") >= 3, tie_safe(F.exp("s") - 1, 6)).alias("ret"))
 
 
 def benchmark(f: DataFrame, market: str, symbol: str) -> DataFrame:
     x = f.where((k("market") == market) & (k("symbol") == symbol)).groupBy("market", "symbol").agg(F.count("*").alias("n"), F.min_by("c", "trade_date").alias("a"), F.max_by("c", "trade_date").alias("z"))
-    return x.where("n >= 2").select("market", "symbol", "n", tie_safe(F.try_divide("z", "a") - 1, 6, 0.5003).alias("ret"))
+    return x.where("n >= 2").select("market", "symbol", "n", tie_safe(F.try_divide("z", "a") - 1, 6).alias("ret"))
 
 
 def monthly_returns(f: DataFrame) -> DataFrame:
     m = f.groupBy("market", "symbol", F.date_trunc("month", "trade_date").cast("date").alias("month")).agg(F.max_by("c", "trade_date").alias("c"))
     w = Window.partitionBy("market", "symbol").orderBy("month")
-    return m.select("market", "symbol", "month", tie_safe("c", 6, 0.5003).alias("close"), tie_safe(F.try_divide(k("c"), F.lag("c").over(w)) - 1, 6, 0.5003).alias("ret"))
+    return m.select("market", "symbol", "month", tie_safe("c", 6).alias("close"), tie_safe(F.try_divide(k("c"), F.lag("c").over(w)) - 1, 6).alias("ret"))
 
 
 def monte_carlo(spark: SparkSession, returns: list[float], iterations: int = 10_000, seed: int = 7) -> DataFrame:

@@ -17,7 +17,7 @@ from .strategy_queries import picks_sql, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 TOP, HOLD, COST = 5, 10, bt.Costs().round_trip
-R = lambda e, p=6: oracle.rnd(e, p, 0.5003)
+R = lambda e, p=6: oracle.rnd(e, p)
 
 
 def signals(f: DataFrame, name: str = "trend_strength", top: int = TOP) -> DataFrame:
@@ -52,14 +52,14 @@ def sql(select: str, *steps: str, base: tuple[str, ...] = ("xs",)) -> str:
 
 
 def show_trades(t: DataFrame) -> DataFrame:
-    return t.select("signal_date", "market", "symbol", "rank", "buy_date", tie_safe("buy_price", 6, 0.5003).alias("buy_price"), "sell_date", tie_safe("sell_price", 6, 0.5003).alias("sell_price"), "exit_reason", "skipped", tie_safe("gross", 6, 0.5003).alias("gross"), tie_safe("net", 6, 0.5003).alias("net"))
+    return t.select("signal_date", "market", "symbol", "rank", "buy_date", tie_safe("buy_price", 6).alias("buy_price"), "sell_date", tie_safe("sell_price", 6).alias("sell_price"), "exit_reason", "skipped", tie_safe("gross", 6).alias("gross"), tie_safe("net", 6).alias("net"))
 
 
-QUERIES["next_bar_lateral"] = lambda s, d: (lambda f: signals(table(s, d)).join(f.select("market", "symbol", F.col("trade_date").alias("signal_date"), F.lead("trade_date").over(bt.series()).alias("next_date"), F.lead("o").over(bt.series()).alias("next_open")), ["market", "symbol", "signal_date"], "left").select("signal_date", "market", "symbol", "rank", "next_date", tie_safe("next_open", 6, 0.5003).alias("next_open")))(all_factors(s, d))
+QUERIES["next_bar_lateral"] = lambda s, d: (lambda f: signals(table(s, d)).join(f.select("market", "symbol", F.col("trade_date").alias("signal_date"), F.lead("trade_date").over(bt.series()).alias("next_date"), F.lead("o").over(bt.series()).alias("next_open")), ["market", "symbol", "signal_date"], "left").select("signal_date", "market", "symbol", "rank", "next_date", tie_safe("next_open", 6).alias("next_open")))(all_factors(s, d))
 ORACLE["next_bar_lateral"] = sql(f"SELECT signal_date, s.market, s.symbol, rank, n.trade_date AS next_date, {R('n.o')} AS next_open FROM sig s LEFT JOIN LATERAL (SELECT trade_date, o FROM bar b WHERE b.market = s.market AND b.symbol = s.symbol AND b.trade_date > s.signal_date ORDER BY trade_date LIMIT 1) n ON true", SIG, BARS)
 QUERIES["backtest_match"] = lambda s, d: show_trades(all_trades(s, d))
 ORACLE["backtest_match"] = sql(f"SELECT signal_date, market, symbol, rank, buy_date, {R('buy_price')} AS buy_price, sell_date, {R('sell_price')} AS sell_price, exit_reason, skipped, {R('gross')} AS gross, {R('net')} AS net FROM tr", SIG, BARS, TRADES)
-QUERIES["backtest_trades"] = lambda s, d: all_trades(s, d).groupBy(F.coalesce("skipped", "exit_reason").alias("outcome")).agg(F.count("*").alias("n"), tie_safe(F.avg("net"), 6, 0.5003).alias("avg_net"))
+QUERIES["backtest_trades"] = lambda s, d: all_trades(s, d).groupBy(F.coalesce("skipped", "exit_reason").alias("outcome")).agg(F.count("*").alias("n"), tie_safe(F.avg("net"), 6).alias("avg_net"))
 ORACLE["backtest_trades"] = sql(f"SELECT coalesce(skipped, exit_reason) AS outcome, count(*) AS n, {R('avg(net)')} AS avg_net FROM tr GROUP BY 1", SIG, BARS, TRADES)
 QUERIES["backtest_equity"] = lambda s, d: bt.equity(bt.periods(all_trades(s, d)))
 ORACLE["backtest_equity"] = sql("SELECT signal_date, r, n, equity FROM eq", SIG, BARS, TRADES, EQUITY)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -34,6 +35,43 @@ def weights(picks: DataFrame, method: str) -> DataFrame:
     return picks.withColumn("weight", share(bases[method]))
 
 
+def constrained(w: np.ndarray, adv: np.ndarray, max_weight: float, min_weight: float, liquidity: tuple[float, float, float] | None) -> np.ndarray:
+    """One portfolio's weights after floors, liquidity caps, a cap whose excess goes to the uncapped, and normalising."""
+    w = w.astype(float).copy()
+    if min_weight > 0 and (w >= min_weight).any():
+        w[w < min_weight] = 0.0
+    if liquidity and liquidity[0] > 0:
+        capital, part, days = liquidity
+        # An instrument without a daily amount has no liquidity cap.
+        cap = np.where(np.nan_to_num(adv) > 0, np.nan_to_num(adv) * part * days / capital, np.inf)
+        w = np.minimum(w, cap)
+    if w.sum() <= 0:
+        w[:] = 1 / len(w)
+    capped = np.zeros(len(w), bool)
+    for _ in range(len(w) if max_weight > 0 else 0):
+        over = (w > max_weight + 1e-12) & ~capped
+        if not over.any():
+            break
+        excess = (w[over] - max_weight).sum()
+        w[over] = max_weight
+        capped |= over
+        free = ~capped & (w > 0)
+        if not free.any():
+            break
+        w[free] += excess * w[free] / w[free].sum()
+    return (w / w.sum()).round(12)
+
+
+def base_weights(g: pd.DataFrame, method: str) -> np.ndarray:
+    """Weights of one portfolio by one of METHODS, before constraints; as :func:`weights`."""
+    part = lambda x: x / x.sum() if x.sum() > 0 else np.full(len(x), 1 / len(x))
+    score, calm = g["score"].fillna(0.0).to_numpy(float), 1 - g["risk_score"].fillna(0.0).to_numpy(float)
+    adv = np.maximum(g["amount_ma20"].fillna(0.0).to_numpy(float), 1.0)
+    if method == "hybrid":
+        return part(0.4 * part(score) + 0.3 * part(calm) + 0.2 * part(adv) + 0.1 / len(g))
+    return part({"equal": np.ones(len(g)), "score": score, "risk": score * calm, "liquidity": score * calm * adv}[method])
+
+
 def cap_and_redistribute(weighted: DataFrame, max_weight: float = 0.1, min_weight: float = 0.005, liquidity: tuple[float, float, float] | None = (1e7, 0.1, 3.0)) -> DataFrame:
     """weight after floors, liquidity caps (capital, participation, days) and a cap whose excess goes to the uncapped.
 
@@ -44,43 +82,59 @@ def cap_and_redistribute(weighted: DataFrame, max_weight: float = 0.1, min_weigh
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["market", "symbol"]).copy()
-        w = g["weight"].to_numpy(float).copy()
-        if (w >= min_weight).any():
-            w[w < min_weight] = 0.0
-        if liquidity:
-            capital, part, days = liquidity
-            w = pd.Series(w).clip(upper=(g["amount_ma20"].fillna(0) * part * days / capital).to_numpy()).to_numpy()
-        if w.sum() <= 0:
-            w[:] = 1 / len(w)
-        capped = pd.Series(False, index=range(len(w))).to_numpy()
-        for _ in range(len(w)):
-            over = (w > max_weight + 1e-15) & ~capped
-            if not over.any():
-                break
-            excess = (w[over] - max_weight).sum()
-            w[over] = max_weight
-            capped |= over
-            free = ~capped & (w > 0)
-            if not free.any():
-                break
-            w[free] += excess * w[free] / w[free].sum()
-        g["weight"] = (w / w.sum()).round(12)
+        g["weight"] = constrained(g["weight"].to_numpy(float), g["amount_ma20"].to_numpy(float), max_weight, min_weight, liquidity)
         return g[kinds.names]
 
     return weighted.groupBy("trade_date").applyInPandas(run, kinds)
 
 
+NEAR_HIGH = "near_20d_high"
+
+
+def trim_near_high(picks: DataFrame, method: str, most: float = 0.40, max_weight: float = 0.1, min_weight: float = 0.0, liquidity: tuple[float, float, float] | None = (1e7, 0.1, 3.0)) -> DataFrame:
+    """picks with weight, or null where a pick near its 20-day high was dropped: while such picks weigh more than `most`, the
+    one of lowest score goes and the rest is weighted anew. A group is one day's portfolio."""
+    kinds = picks.withColumn("weight", F.lit(0.0)).schema
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["market", "symbol"]).reset_index(drop=True)
+        near = g["risk_flags"].map(lambda x: NEAR_HIGH in (x if x is not None else []))
+        kept = pd.Series(True, index=g.index)
+        g["weight"] = np.nan
+        while kept.any():
+            own = g[kept]
+            w = constrained(base_weights(own, method), own["amount_ma20"].to_numpy(float), max_weight, min_weight, liquidity)
+            at_high = near[kept].to_numpy()
+            if w[at_high].sum() <= most or not at_high.any():
+                g.loc[kept, "weight"] = w
+                break
+            kept[own[at_high]["score"].fillna(0.0).idxmin()] = False
+        return g[kinds.names]
+
+    return picks.groupBy("trade_date").applyInPandas(run, kinds)
+
+
 def exposure(weighted: DataFrame, sector: str = "market") -> DataFrame:
-    return weighted.groupBy("trade_date", k(sector).alias("sector")).agg(tie_safe(F.sum("weight"), 6, 0.5003).alias("weight"), F.count("*").alias("n"), tie_safe(F.sum(F.when(F.array_contains("risk_flags", "near_20d_high"), k("weight")).otherwise(0.0)), 6, 0.5003).alias("near_high_weight"))
+    return weighted.groupBy("trade_date", k(sector).alias("sector")).agg(tie_safe(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n"), tie_safe(F.sum(F.when(F.array_contains("risk_flags", "near_20d_high"), k("weight")).otherwise(0.0)), 6).alias("near_high_weight"))
 
 
-def risk_check(weighted: DataFrame, min_n: int = 3, max_weight: float = 0.2, low_liquidity: float = 200e6) -> DataFrame:
+def risk_check(weighted: DataFrame, min_n: int = 1, max_weight: float = 0.10, low_liquidity: float = 50e6, max_tags: int = 0, max_risk: float = 0.7, max_market: float = 0.75) -> DataFrame:
     """By day: counts and sums with violations and warnings as one string each."""
-    x = weighted.groupBy("trade_date").agg(F.count("*").alias("n"), F.sum("weight").alias("s"), F.max("weight").alias("w"), F.count_if(F.size("risk_flags") > 0).alias("flagged"), F.count_if(k("amount_ma20") < low_liquidity).alias("illiquid"), F.avg("risk_score").alias("risk"))
+    missing = F.array_contains("risk_flags", "risk_factor_missing")
+    illiquid = F.when(k("amount_ma20").isNull(), missing).otherwise(k("amount_ma20") < low_liquidity)
+    keyless = (F.coalesce("market", F.lit("")) == "") | (F.coalesce("symbol", F.lit("")) == "")
+    markets = weighted.groupBy("trade_date", "market").agg(F.sum("weight").alias("m")).groupBy("trade_date").agg(F.max("m").alias("m"))
+    x = weighted.groupBy("trade_date").agg(
+        F.count("*").alias("n"), F.sum("weight").alias("s"), F.max("weight").alias("w"), F.sum(F.size("risk_flags")).alias("flags"),
+        F.count_if(illiquid).alias("illiquid"), F.avg("risk_score").alias("risk"), F.count_if(keyless).alias("keyless"),
+    ).join(markets, "trade_date")
     text = lambda *c: F.array_join(F.array_compact(F.array(*c)), ",")
-    violations = text(F.when(k("n") < min_n, "too_few_holdings"), F.when(k("w") > max_weight + 1e-9, "weight_above_max"))
-    warnings = text(F.when(F.abs(k("s") - 1) > 0.02, "weights_off_one"), F.when(k("flagged") > 0, "risk_tags"), F.when(k("risk") > 0.7, "high_average_risk"), F.when(k("illiquid") > 0, "low_liquidity"))
-    return x.select("trade_date", "n", tie_safe("w", 6, 0.5003).alias("max_weight"), "flagged", "illiquid", violations.alias("violations"), warnings.alias("warnings"), (k("n") >= min_n).alias("enough"))
+    violations = text(F.when(k("n") < min_n, "too_few_holdings"), F.when(k("w") > max_weight + 1e-12, "weight_above_max"), F.when(k("keyless") > 0, "missing_key"))
+    warnings = text(
+        F.when((k("s") != 0) & (F.abs(k("s") - 1) > 0.02), "weights_off_one"), F.when(k("m") > max_market, "market_exposure"), F.when((k("flags") > max_tags) & F.lit(max_tags >= 0), "risk_tags"),
+        F.when(tie_safe("risk", 6) > max_risk, "high_average_risk"), F.when(k("illiquid") > 0, "low_liquidity"),
+    )
+    return x.select("trade_date", "n", tie_safe("w", 6).alias("max_weight"), tie_safe("m", 6).alias("max_market"), "flags", "illiquid", violations.alias("violations"), warnings.alias("warnings"), (violations == "").alias("passed"))
 
 
 def rebalance(weighted: DataFrame, tolerance: float = 1e-6, paused: Column | None = None) -> DataFrame:
@@ -99,7 +153,7 @@ def rebalance(weighted: DataFrame, tolerance: float = 1e-6, paused: Column | Non
 def turnover(plan: DataFrame) -> DataFrame:
     """By day: orders, half the absolute changes, its impact in basis points, and whether to trade in batches."""
     t = plan.groupBy("trade_date").agg(F.count_if(k("action") != "HOLD").alias("orders"), (F.sum(F.abs("delta")) / 2).alias("t"))
-    return t.select("trade_date", "orders", tie_safe("t", 6, 0.5003).alias("turnover"), tie_safe(k("t") * 50, 4, 0.5003).alias("impact_bps"), (k("orders") > 50).alias("batched"))
+    return t.select("trade_date", "orders", tie_safe("t", 6).alias("turnover"), tie_safe(k("t") * 50, 4).alias("impact_bps"), (k("orders") > 50).alias("batched"))
 
 
 def trade_costs(plan: DataFrame, capital: float = 1e7, fee_bps: float = 3.0) -> DataFrame:
@@ -107,18 +161,18 @@ def trade_costs(plan: DataFrame, capital: float = 1e7, fee_bps: float = 3.0) ->
     part = F.try_divide(F.abs("delta") * capital, k("adv"))
     level = F.when(part.isNull(), "unknown").when(part >= 0.10, "critical").when(part >= 0.05, "high").when(part >= 0.01, "medium").otherwise("low")
     slip = F.when(level == "critical", 50.0).when(level == "high", 20.0).when(level == "medium", 10.0).otherwise(5.0)
-    return plan.where("action <> 'HOLD'").select("trade_date", "market", "symbol", "action", tie_safe(part, 8, 0.5003).alias("adv_share"), level.alias("cost_level"), (F.lit(fee_bps) + slip).alias("cost_bps"))
+    return plan.where("action <> 'HOLD'").select("trade_date", "market", "symbol", "action", tie_safe(part, 8).alias("adv_share"), level.alias("cost_level"), (F.lit(fee_bps) + slip).alias("cost_bps"))
 
 
 def slices(plan: DataFrame, n: int = 4, capital: float = 1e7) -> DataFrame:
     """Equal slices of each order in time, with their estimated impact."""
     part = F.coalesce(F.try_divide(F.abs("delta") * capital, k("adv")), F.lit(0.0))
     x = plan.where("action not in ('HOLD', 'HOLD_CASH')").select("trade_date", "market", "symbol", "action", "delta", part.alias("part"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("slice"))
-    return x.select("trade_date", "market", "symbol", "action", "slice", tie_safe(k("delta") * capital / n, 2, 0.5003).alias("amount"), tie_safe(8 * (1 + 2 * k("part") / n), 4, 0.5003).alias("impact_bps"))
+    return x.select("trade_date", "market", "symbol", "action", "slice", tie_safe(k("delta") * capital / n, 2).alias("amount"), tie_safe(8 * (1 + 2 * k("part") / n), 4).alias("impact_bps"))
 
 
 def breadth(f: DataFrame) -> DataFrame:
-    return f.where("pc is not null").groupBy("trade_date").agg(F.count("*").alias("n"), tie_safe(F.avg((k("c") > k("pc")).cast("double")), 6, 0.5003).alias("breadth"))
+    return f.where("pc is not null").groupBy("trade_date").agg(F.count("*").alias("n"), tie_safe(F.avg((k("c") > k("pc")).cast("double")), 6).alias("breadth"))
 
 
 def regime(b: DataFrame) -> DataFrame:
@@ -130,7 +184,7 @@ def regime(b: DataFrame) -> DataFrame:
 def index_state(f: DataFrame, symbols: list[str]) -> DataFrame:
     """Close against its means, by index symbol and day."""
     x = f.where(k("symbol").isin(symbols))
-    return x.select("market", "symbol", "trade_date", tie_safe("c", 6, 0.5003).alias("close"), tie_safe("ma20", 6, 0.5003).alias("ma20"), tie_safe("ma60", 6, 0.5003).alias("ma60"), ((k("c") > k("ma20")) & (k("ma20") > k("ma60"))).alias("trend_up"))
+    return x.select("market", "symbol", "trade_date", tie_safe("c", 6).alias("close"), tie_safe("ma20", 6).alias("ma20"), tie_safe("ma60", 6).alias("ma60"), ((k("c") > k("ma20")) & (k("ma20") > k("ma60"))).alias("trend_up"))
 
 
 def alerts(events: DataFrame, channels: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from .strategy_queries import picks_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-R = lambda e, p=6: oracle.rnd(e, p, 0.5003)
+R = lambda e, p=6: oracle.rnd(e, p)
 
 
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,20 +49,23 @@ def sql(select: str, *more: str, method: str = "hybrid") -> str:
 
 
 for _m in pf.METHODS:
-    QUERIES[f"portfolio_weights_{_m}"] = lambda s, d, m=_m: held(s, d, m).select("trade_date", "market", "symbol", tie_safe("weight", 8, 0.5003).alias("weight"))
+    QUERIES[f"portfolio_weights_{_m}"] = lambda s, d, m=_m: held(s, d, m).select("trade_date", "market", "symbol", tie_safe("weight", 8).alias("weight"))
     ORACLE[f"portfolio_weights_{_m}"] = sql(f"SELECT trade_date, market, symbol, {R('weight', 8)} AS weight FROM w", method=_m)
 QUERIES["sector_exposure"] = lambda s, d: pf.exposure(held(s, d))
 ORACLE["sector_exposure"] = sql(f"SELECT trade_date, market AS sector, {R('sum(weight)')} AS weight, count(*) AS n, {R("sum(CASE WHEN list_contains(string_split(risk_flags, ','), 'near_20d_high') THEN weight ELSE 0 END)")} AS near_high_weight FROM w GROUP BY 1, 2")
 QUERIES["portfolio_risk"] = lambda s, d: pf.risk_check(held(s, d))
 ORACLE["portfolio_risk"] = sql(
-    f"""SELECT trade_date, n, {R('w')} AS max_weight, flagged, illiquid, array_to_string(list_filter([CASE WHEN n < 3 THEN 'too_few_holdings' END, CASE WHEN w > 0.2 + 1e-9 THEN 'weight_above_max' END], lambda x: x IS NOT NULL), ',') AS violations,
-  array_to_string(list_filter([CASE WHEN abs(s - 1) > 0.02 THEN 'weights_off_one' END, CASE WHEN flagged > 0 THEN 'risk_tags' END, CASE WHEN risk > 0.7 THEN 'high_average_risk' END, CASE WHEN illiquid > 0 THEN 'low_liquidity' END], lambda x: x IS NOT NULL), ',') AS warnings, n >= 3 AS enough
-FROM (SELECT trade_date, count(*) AS n, sum(weight) AS s, max(weight) AS w, count(*) FILTER (risk_flags <> '') AS flagged, count(*) FILTER (amount_ma20 < 200e6) AS illiquid, avg(risk_score) AS risk FROM w GROUP BY 1)"""
+    f"""SELECT trade_date, n, {R('w')} AS max_weight, {R('m')} AS max_market, CAST(flags AS BIGINT) AS flags, illiquid, violations, warnings, violations = '' AS passed FROM (SELECT *,
+  array_to_string(list_filter([CASE WHEN n < 1 THEN 'too_few_holdings' END, CASE WHEN w > 0.1 + 1e-12 THEN 'weight_above_max' END, CASE WHEN keyless > 0 THEN 'missing_key' END], lambda x: x IS NOT NULL), ',') AS violations,
+  array_to_string(list_filter([CASE WHEN s <> 0 AND abs(s - 1) > 0.02 THEN 'weights_off_one' END, CASE WHEN m > 0.75 THEN 'market_exposure' END, CASE WHEN flags > 0 THEN 'risk_tags' END, CASE WHEN {R('risk')} > 0.7 THEN 'high_average_risk' END, CASE WHEN illiquid > 0 THEN 'low_liquidity' END], lambda x: x IS NOT NULL), ',') AS warnings
+FROM (SELECT trade_date, count(*) AS n, sum(weight) AS s, max(weight) AS w, sum(CASE WHEN risk_flags = '' THEN 0 ELSE len(string_split(risk_flags, ',')) END) AS flags, avg(risk_score) AS risk, count(*) FILTER (market = '' OR symbol = '') AS keyless,
+    count(*) FILTER (CASE WHEN amount_ma20 IS NULL THEN contains(risk_flags, 'risk_factor_missing') ELSE amount_ma20 < 50e6 END) AS illiquid FROM w GROUP BY 1)
+  JOIN (SELECT trade_date, max(m) AS m FROM (SELECT trade_date, market, sum(weight) AS m FROM w GROUP BY 1, 2) GROUP BY 1) USING (trade_date))"""
 )
 PLAN = """dd AS (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS nd FROM (SELECT DISTINCT trade_date FROM w)), cu AS (SELECT nd AS trade_date, market, symbol, weight AS current, amount_ma20 AS a1 FROM w JOIN dd USING (trade_date) WHERE nd IS NOT NULL),
 tg AS (SELECT trade_date, market, symbol, weight AS target, amount_ma20 AS a2 FROM w WHERE trade_date IN (SELECT nd FROM dd)),
 pl AS (SELECT *, CASE WHEN abs(delta) <= 1e-6 THEN 'HOLD' WHEN current = 0 THEN 'BUY' WHEN target = 0 THEN 'SELL' WHEN delta > 0 THEN 'INCREASE' ELSE 'REDUCE' END AS action FROM (SELECT trade_date, market, symbol, coalesce(current, 0.0::DOUBLE) AS current, coalesce(target, 0.0::DOUBLE) AS target, coalesce(target, 0.0::DOUBLE) - coalesce(current, 0.0::DOUBLE) AS delta, coalesce(a2, a1) AS adv FROM cu FULL JOIN tg USING (trade_date, market, symbol)))"""
-QUERIES["rebalance_plan"] = lambda s, d: pf.rebalance(held(s, d)).select("trade_date", "market", "symbol", *[tie_safe(c, 8, 0.5003).alias(c) for c in ("current", "target", "delta")], "action")
+QUERIES["rebalance_plan"] = lambda s, d: pf.rebalance(held(s, d)).select("trade_date", "market", "symbol", *[tie_safe(c, 8).alias(c) for c in ("current", "target", "delta")], "action")
 ORACLE["rebalance_plan"] = sql(f"SELECT trade_date, market, symbol, {R('current', 8)} AS current, {R('target', 8)} AS target, {R('delta', 8)} AS delta, action FROM pl", PLAN)
 QUERIES["rebalance_turnover"] = lambda s, d: pf.turnover(pf.rebalance(held(s, d)))
 ORACLE["rebalance_turnover"] = sql(f"SELECT trade_date, orders, {R('t')} AS turnover, {R('t * 50', 4)} AS impact_bps, orders > 50 AS batched FROM (SELECT trade_date, count(*) FILTER (action <> 'HOLD') AS orders, sum(abs(delta)) / 2 AS t FROM pl GROUP BY 1)", PLAN)
@@ -89,8 +92,8 @@ CHANNELS = ["log", "mail", "desk"]
 QUERIES["alerts"] = lambda s, d: pf.alerts(events(s, d), CHANNELS)
 ORACLE["alerts"] = sql(
     """SELECT trade_date, event_type, detail, CASE WHEN severe THEN 'warning' ELSE 'info' END AS severity, unnest(CASE WHEN severe THEN ['log', 'mail', 'desk'] ELSE ['log'] END) AS channel FROM (SELECT *, event_type IN ('weight_above_max', 'too_few_holdings', 'pause_open') AS severe FROM (
-  SELECT trade_date, 'too_few_holdings' AS event_type, CAST(n AS VARCHAR) AS detail FROM (SELECT trade_date, count(*) AS n, max(weight) AS m FROM w GROUP BY 1) WHERE n < 3
-  UNION ALL SELECT trade_date, 'weight_above_max', CAST(n AS VARCHAR) FROM (SELECT trade_date, count(*) AS n, max(weight) AS m FROM w GROUP BY 1) WHERE m > 0.2 + 1e-9
+  SELECT trade_date, 'too_few_holdings' AS event_type, CAST(n AS VARCHAR) AS detail FROM (SELECT trade_date, count(*) AS n, max(weight) AS m FROM w GROUP BY 1) WHERE n < 1
+  UNION ALL SELECT trade_date, 'weight_above_max', CAST(n AS VARCHAR) FROM (SELECT trade_date, count(*) AS n, max(weight) AS m FROM w GROUP BY 1) WHERE m > 0.1 + 1e-12
   UNION ALL SELECT trade_date, CASE WHEN breadth >= 0.6 THEN 'allow_open' WHEN breadth <= 0.4 THEN 'pause_open' ELSE 'reduce_position' END, CASE WHEN breadth >= 0.6 THEN 'bull' WHEN breadth <= 0.4 THEN 'bear' ELSE 'neutral' END FROM br))""",
     BREADTH,
 )

@@ -134,7 +134,7 @@ def components(name: str, p: Params) -> dict[str, Column]:
     extra = {
         "low_vol_breakout": -6 * F.when(yes(k("atr_pct_14") >= 0.04) | yes(k("vol_20") >= 0.035), 1.0).otherwise(0.0),
         "ma_pullback": -6 * flag(k("dd_20") < -0.12),
-        "relative_strength": -4 * F.when(yes(k("ret_60") < 0.10) | yes(k("ret_5") >= 0.10), 1.0).otherwise(0.0),
+        "relative_strength": -4 * F.when((z("ret_60") < 0.10) | yes(k("ret_5") >= 0.10), 1.0).otherwise(0.0),
         "volume_breakout": -6 * flag(k("vol_ratio_20") < 0.25),
         "mean_reversion": 2 * flag(k("rsi_14") < 30),
         "smart_money": 2 * flag(k("price_vol_corr_20") > 0.6),
@@ -196,10 +196,14 @@ def all_picks(f: DataFrame, names: list[str], p: Params = Params()) -> DataFrame
     return x.withColumn("rank", F.row_number().over(w).cast("long")).where(k("rank") <= p.limit)
 
 
+#: Reasons of exclusion, in their order.
+REASONS = ["missing_required_factor", "insufficient_liquidity", "overheated_ret_5", "extreme_rsi", "excessive_volatility"]
+
+
 def summary(f: DataFrame, name: str, p: Params = Params()) -> DataFrame:
     """By day: rows, and how many were excluded (by reason), unclassified, scored low and picked."""
     s = scored(f, name, p)
-    reasons = ["missing_required_factor", "insufficient_liquidity", "overheated_ret_5", "extreme_rsi", "excessive_volatility"]
+    reasons = REASONS
     return s.groupBy("trade_date").agg(F.count("*").alias("universe"), *[F.count_if(k("reason") == r).alias(r) for r in reasons], *[F.count_if(k("status") == x).alias(x) for x in ("unclassified_filtered", "low_score_filtered", "picked")])
 
 
@@ -227,21 +231,41 @@ def pairs(f: DataFrame, symbols: list[str], lookback: int = 60, min_abs_z: float
     return top.select("market", "trade_date", "z", tie_safe(10 * F.abs("z"), 2).alias("score"), F.explode(legs).alias("leg")).select("market", "trade_date", "leg.*", "z", "score")
 
 
-def consensus(all_picks: DataFrame, min_hit: int = 2, method: str = "mean") -> DataFrame:
-    """Instruments that several strategies picked on a day."""
-    g = all_picks.groupBy("trade_date", "market", "symbol").agg(F.countDistinct("strategy").alias("hit"), F.avg("score").alias("a"), F.max("score").alias("m"), F.avg("risk_score").alias("risk"), F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("risk_flags")))).alias("flags"))
-    x = g.where(k("hit") >= min_hit).select("trade_date", "market", "symbol", "hit", tie_safe("a", 2, 0.5003).alias("avg_score"), tie_safe("m", 2, 0.5003).alias("max_score"), tie_safe("risk", 4, 0.5003).alias("risk_score"), "strategies", F.size("flags").cast("long").alias("n_flags"))
-    value = k("avg_score") + 5 * F.log(k("hit") + 1) if method == "rank_sum" else k("avg_score")
-    x = x.withColumn("consensus_score", tie_safe(value, 4, 0.5003))
-    order = [k("consensus_score").desc()] if method == "rank_sum" else [k("hit").desc(), k("avg_score").desc()]
-    day = Window.partitionBy("trade_date").orderBy(*order, k("max_score").desc(), "n_flags", "symbol", "market")
+#: Kinds of strategies, for consensus of different kinds.
+KINDS = {"trend_strength": "trend", "low_vol_breakout": "breakout", "volume_breakout": "breakout", "ma_pullback": "pullback", "relative_strength": "momentum", "mean_reversion": "reversal", "smart_money": "volume", "multi_factor": "factor"}
+
+
+def consensus(all_picks: DataFrame, min_hit: int = 2, method: str = "simple_majority", different_kinds: bool = False, weights: dict[str, float] | None = None, decay_half_life: float | None = None, decay_min: float = 0.10) -> DataFrame:
+    """Instruments that several strategies picked on a day.
+
+    method "rank_sum" adds 5 ln(hit + 1) to the mean score; "weighted_by_performance" sums scores by the strategies' weights
+    over the hits. A half-life in days multiplies scores by 0.5 ** (1 / half-life), decay_min at least. different_kinds
+    asks for min_hit kinds of strategies (KINDS).
+    """
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    factor = max(decay_min, 0.5 ** (1 / max(0.5, decay_half_life))) if decay_half_life else 1.0
+    weight = F.coalesce(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[k("strategy")], F.lit(1.0)) if weights else F.lit(1.0)
+    # Scores have two places: their sums are taken in whole hundredths, the same in any order.
+    cents = F.round(k("score") * 100).cast("long")
+    g = all_picks.withColumn("kind", F.coalesce(kinds[k("strategy")], F.lit("other"))).groupBy("trade_date", "market", "symbol").agg(
+        F.countDistinct("strategy").alias("hit"), F.countDistinct("kind").alias("kinds"), (F.sum(cents) / F.count("score") / 100 * factor).alias("a"), (F.max("score") * factor).alias("m"), F.sum(cents * weight).alias("weighted"),
+        F.avg(tie_safe("risk_score", 9)).alias("risk"), F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("risk_flags")))).alias("flags"),
+    )
+    g = g.where(k("hit") >= min_hit)
+    if different_kinds:
+        g = g.where(k("kinds") >= min_hit)
+    avg = tie_safe(k("weighted") / k("hit") / 100, 2) if method == "weighted_by_performance" else tie_safe("a", 2)
+    if method == "rank_sum":
+        avg = tie_safe(avg + 5 * F.log(k("hit") + 1), 2)
+    x = g.select("trade_date", "market", "symbol", "hit", avg.alias("avg_score"), tie_safe("m", 2).alias("max_score"), tie_safe("risk", 4).alias("risk_score"), "strategies", F.size("flags").cast("long").alias("n_flags"))
+    day = Window.partitionBy("trade_date").orderBy(k("hit").desc(), k("avg_score").desc(), k("max_score").desc(), "n_flags", "symbol", "market")
     return x.withColumn("rank", F.row_number().over(day).cast("long"))
 
 
 def compare(all_picks: DataFrame) -> DataFrame:
     """By strategy: picks, mean and best score, strong ones, distinct risk flags."""
     flags = all_picks.select("strategy", F.explode("risk_flags").alias("flag")).groupBy("strategy").agg(F.countDistinct("flag").alias("n_flags"))
-    g = all_picks.groupBy("strategy").agg(F.count("*").alias("picks"), tie_safe(F.avg("score"), 2, 0.5003).alias("avg_score"), tie_safe(F.max("score"), 2, 0.5003).alias("max_score"), F.count_if(k("score") >= 80).alias("strong"), F.countDistinct("market", "symbol").alias("symbols"))
+    g = all_picks.groupBy("strategy").agg(F.count("*").alias("picks"), tie_safe(F.sum(F.round(k("score") * 100).cast("long")) / F.count("score") / 100, 2).alias("avg_score"), tie_safe(F.max("score"), 2).alias("max_score"), F.count_if(k("score") >= 80).alias("strong"), F.countDistinct("market", "symbol").alias("symbols"))
     return g.join(flags, "strategy", "left").withColumn("n_flags", F.coalesce("n_flags", F.lit(0).cast("long")))
 
 
@@ -252,10 +276,89 @@ def overlap(all_picks: DataFrame) -> DataFrame:
     return x.join(y, ["market", "symbol", "trade_date"]).where("strategy < other").groupBy("strategy", "other").agg(F.count("*").alias("shared"))
 
 
-PRE_FILTER = [("max_vol_20", "vol_20", ">", 0.06), ("max_atr_pct", "atr_pct_14", ">", 0.08), ("max_rsi", "rsi_14", ">", 80.0), ("max_ret_5", "ret_5", ">", 0.12), ("max_ret_20", "ret_20", ">", 0.6), ("min_amount_ma20", "amount_ma20", "<", 100e6), ("min_ma20_bias", "bias_20", "<", -0.15), ("max_ma20_bias", "bias_20", ">", 0.25), ("min_dd_20", "dd_20", "<", -0.2), ("min_pos_20", "pos_20", "<", 0.1), ("max_range_20", "range_20", ">", 0.8), ("max_bb_width", "bb_width_20", ">", 0.6), ("max_amp", "amp_1", ">", 0.15)]
+#: Rule, names its input may have, and the side of the threshold on which a row is filtered out.
+PRE_FILTER = (
+    ("min_listing_days", ("listing_days", "listed_days"), "<"),
+    ("min_price", ("close", "price"), "<"),
+    ("max_price", ("close", "price"), ">"),
+    ("min_amount_ma20", ("amount_ma20",), "<"),
+    ("min_turnover", ("turnover_ma20", "turnover"), "<"),
+    ("max_volatility", ("annual_volatility", "annualized_volatility"), ">"),
+    ("max_drawdown", ("max_drawdown_1y", "max_drawdown"), ">"),
+    ("min_trading_days", ("trading_days",), "<"),
+    ("max_financial_data_age_months", ("financial_data_age_months",), ">"),
+)
+PRE_FILTER_SECTIONS = {"basic": ("exclude_st", "exclude_delisting_risk", "min_listing_days", "min_price", "max_price"), "liquidity": ("min_amount_ma20", "min_turnover"), "risk": ("max_volatility", "max_drawdown"), "data_quality": ("min_trading_days", "max_financial_data_age_months", "required_fields")}
+PRE_FILTER_OLD_NAMES = {"min_listing_days": "min_listed_days", "min_turnover": "min_turnover_ma20", "max_volatility": "max_annualized_volatility", "max_drawdown": "max_drawdown_1y"}
+
+
+def pre_filter_config(config: dict) -> dict:
+    """A flat configuration from a flat or a sectioned one; a section's own value comes first."""
+    out = {}
+    for section, names in PRE_FILTER_SECTIONS.items():
+        own = config.get(section) if isinstance(config.get(section), dict) else {}
+        for n in names:
+            out[n] = own.get(n, config.get(n, config.get(PRE_FILTER_OLD_NAMES.get(n, n))))
+    return out
+
+
+def pre_filter(f: DataFrame, config: dict | None = None) -> DataFrame:
+    """f with `broken`, the rules that a row breaks as (rule, actual, threshold); a null input, or a column that f lacks, skips its rule.
+
+    ST and delisting rows go unless switched off; tags, risk_flags, is_st, delisting_risk and data_quality_insufficient
+    are read where f has them; required_fields names columns that may be neither null nor empty.
+    """
+    cfg = pre_filter_config(config or {})
+    has = lambda *names: next((k(n) for n in names if n in f.columns), None)
+    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+    hit = lambda rule, when, actual, threshold: F.when(yes(when), F.struct(F.lit(rule).alias("rule"), text(actual).alias("actual"), F.lit(str(threshold)).alias("threshold")))
+    broken = []
+    if cfg["exclude_st"] is None or cfg["exclude_st"]:
+        tagged = [F.array_contains(n, "st") for n in ("tags", "risk_flags") if n in f.columns]
+        marked = [F.coalesce(k("is_st").cast("boolean"), F.lit(False))] if "is_st" in f.columns else []
+        if tagged or marked:
+            st = F.lit(False)
+            for c in [*tagged, *marked]:
+                st = st | F.coalesce(c, F.lit(False))
+            broken.append(hit("exclude_st", st, has("is_st"), False))
+    delisting = has("delisting_risk", "delist_risk")
+    if delisting is not None and (cfg["exclude_delisting_risk"] is None or cfg["exclude_delisting_risk"]):
+        broken.append(hit("exclude_delisting_risk", delisting.cast("boolean"), delisting, False))
+    for rule, names, op in PRE_FILTER:
+        value, limit = has(*names), cfg[rule]
+        if value is None or limit is None:
+            continue
+        number = value.cast("double")
+        number = F.abs(number) if rule == "max_drawdown" else number
+        broken.append(hit(rule, number < float(limit) if op == "<" else number > float(limit), value, float(limit)))
+    poor = has("data_quality_insufficient")
+    if poor is not None:
+        broken.append(hit("data_quality", poor.cast("boolean"), poor, False))
+    if cfg["required_fields"]:
+        missing = F.array_compact(F.array(*[F.when(F.coalesce(k(n).cast("string"), F.lit("")) == "", F.lit(n)) if n in f.columns else F.lit(n) for n in cfg["required_fields"]]))
+        broken.append(hit("required_fields", F.size(missing) > 0, F.array_join(missing, ","), "non-empty"))
+    every = F.array(*broken) if broken else F.array().cast("array<struct<rule:string,actual:string,threshold:string>>")
+    return f.withColumn("broken", F.array_compact(every))
+
+
+def excluded(f: DataFrame, name: str, p: Params = Params(), most: int = 20) -> DataFrame:
+    """The first excluded instruments of each day: by order of reasons, score, daily amount, market, symbol."""
+    place = F.array_position(F.array(*[F.lit(r) for r in REASONS]), k("reason"))
+    w = Window.partitionBy("trade_date").orderBy(place, k("score").desc_nulls_last(), k("amount_ma20").desc_nulls_last(), "market", "symbol")
+    return scored(f, name, p).where(k("status") == "excluded").withColumn("place", F.row_number().over(w).cast("long")).where(k("place") <= most)
+
+
+def label_counts(picks: DataFrame) -> DataFrame:
+    """By day: how often each candidate type, tag and risk flag occurs."""
+    labels = F.concat(
+        F.array(F.struct(F.lit("candidate_type").alias("kind"), k("candidate_type").alias("label"))),
+        F.transform("tags", lambda x: F.struct(F.lit("tag").alias("kind"), x.alias("label"))),
+        F.transform("risk_flags", lambda x: F.struct(F.lit("risk_flag").alias("kind"), x.alias("label"))),
+    )
+    return picks.select("trade_date", F.explode(labels).alias("x")).where("x.label is not null").groupBy("trade_date", "x.kind", "x.label").agg(F.count("*").alias("n"))
 
 
-def pre_filter(f: DataFrame, rules: list[tuple[str, str, str, float]] = PRE_FILTER) -> DataFrame:
-    """Rules that a row breaks, as (rule, actual, threshold); a null input skips its rule."""
-    broken = [F.when(yes(k(c) > t if op == ">" else k(c) < t), F.struct(F.lit(r).alias("rule"), k(c).cast("double").alias("actual"), F.lit(t).alias("threshold"))) for r, c, op, t in rules]
-    return f.withColumn("broken", F.array_compact(F.array(*broken)))
+def unique_picks(all_picks: DataFrame) -> DataFrame:
+    """By strategy: picks that no other strategy made on that day."""
+    g = all_picks.groupBy("trade_date", "market", "symbol").agg(F.min("strategy").alias("strategy"), F.countDistinct("strategy").alias("n"))
+    return g.where("n = 1").groupBy("strategy").agg(F.count("*").alias("own_picks"))

@@ -75,7 +75,7 @@ PARTS = {
 MORE = {
     "low_vol_breakout": f"- 6 * CASE WHEN {y('atr_pct_14 >= 0.04')} OR {y('vol_20 >= 0.035')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
     "ma_pullback": f"- 6 * {one('dd_20 < -0.12')}",
-    "relative_strength": f"- 4 * CASE WHEN {y('ret_60 < 0.10')} OR {y('ret_5 >= 0.10')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
+    "relative_strength": f"- 4 * CASE WHEN coalesce(ret_60, 0) < 0.10 OR {y('ret_5 >= 0.10')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
     "volume_breakout": f"- 6 * {one('vol_ratio_20 < 0.25')}",
     "mean_reversion": f"+ 2 * {one('rsi_14 < 30')}",
     "smart_money": f"+ 2 * {one('price_vol_corr_20 > 0.6')}",
@@ -166,21 +166,55 @@ def group_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = "a AS (" + "\nUNION ALL ".join(f"SELECT trade_date, market, symbol, strategy, score, risk_score, risk_flags, amount_ma20, rank FROM ({picks_sql(n)})" for n in GROUP) + ")"
-CONSENSUS = f"""c AS (SELECT trade_date, market, symbol, hit, {oracle.rnd('a', 2, 0.5003)} AS avg_score, {oracle.rnd('m', 2, 0.5003)} AS max_score, {oracle.rnd('risk', 4, 0.5003)} AS risk_score, strategies,
-  CAST(len(list_distinct(list_filter(string_split(fl, ','), lambda x: x <> ''))) AS BIGINT) AS n_flags FROM (SELECT trade_date, market, symbol, count(DISTINCT strategy) AS hit, avg(score) AS a, max(score) AS m, avg(risk_score) AS risk,
-  string_agg(DISTINCT strategy, ',' ORDER BY strategy) AS strategies, string_agg(risk_flags, ',') AS fl FROM a GROUP BY 1, 2, 3) WHERE hit >= 2)"""
+def consensus_sql(avg: str = "floor(cents / n / 100 * 100 + 0.5) / 100", where: str = "hit >= 2", factor: float = 1.0) -> str:
+    kinds = "CASE strategy " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in st.KINDS.items()) + " ELSE 'other' END"
+    c = f"""c AS (SELECT trade_date, market, symbol, hit, {avg} AS avg_score, {oracle.rnd(f'm * {factor!r}::DOUBLE', 2)} AS max_score, {oracle.rnd('risk', 4)} AS risk_score, strategies,
+  CAST(len(list_distinct(list_filter(string_split(fl, ','), lambda x: x <> ''))) AS BIGINT) AS n_flags FROM (SELECT trade_date, market, symbol, count(DISTINCT strategy) AS hit, count(DISTINCT {kinds}) AS kinds, sum(CAST(round(score * 100) AS BIGINT))::DOUBLE AS cents,
+  sum(CAST(round(score * 100) AS BIGINT) * CASE strategy WHEN 'trend_strength' THEN 2.0::DOUBLE WHEN 'multi_factor' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) AS weighted, count(score) AS n, max(score) AS m, avg({oracle.rnd('risk_score', 9)}) AS risk,
+  string_agg(DISTINCT strategy, ',' ORDER BY strategy) AS strategies, string_agg(risk_flags, ',') AS fl FROM a GROUP BY 1, 2, 3) WHERE {where})"""
+    return oracle.sql("SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY hit DESC, avg_score DESC, max_score DESC, n_flags, symbol, market) AS rank FROM c", "xs", extra=ALL + ", " + c)
+
+
+_mean = "floor((cents / n / 100 {}) * 100 + 0.5) / 100"
+_decay = max(0.10, 0.5 ** (1 / 5.0))
 QUERIES["consensus"] = lambda s, d: st.consensus(group_picks(s, d))
-ORACLE["consensus"] = oracle.sql(f"SELECT *, {oracle.rnd('avg_score', 4, 0.5003)} AS consensus_score, row_number() OVER (PARTITION BY trade_date ORDER BY hit DESC, avg_score DESC, max_score DESC, n_flags, symbol, market) AS rank FROM c", "xs", extra=ALL + ", " + CONSENSUS)
+ORACLE["consensus"] = consensus_sql()
 QUERIES["consensus_rank_sum"] = lambda s, d: st.consensus(group_picks(s, d), method="rank_sum")
-ORACLE["consensus_rank_sum"] = oracle.sql(f"SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY consensus_score DESC, max_score DESC, n_flags, symbol, market) AS rank FROM (SELECT *, {oracle.rnd('avg_score + 5 * ln(hit + 1)', 4, 0.5003)} AS consensus_score FROM c)", "xs", extra=ALL + ", " + CONSENSUS)
+ORACLE["consensus_rank_sum"] = consensus_sql(oracle.rnd(_mean.format("") + " + 5 * ln(hit + 1)", 2))
+QUERIES["consensus_weighted"] = lambda s, d: st.consensus(group_picks(s, d), method="weighted_by_performance", weights={"trend_strength": 2.0, "multi_factor": 0.5})
+ORACLE["consensus_weighted"] = consensus_sql("floor(weighted / hit / 100 * 100 + 0.5) / 100")
+QUERIES["consensus_kinds_decay"] = lambda s, d: st.consensus(group_picks(s, d), different_kinds=True, decay_half_life=5.0)
+ORACLE["consensus_kinds_decay"] = consensus_sql(_mean.format(f"* {_decay!r}::DOUBLE"), "hit >= 2 AND kinds >= 2", _decay)
 QUERIES["compare"] = lambda s, d: st.compare(group_picks(s, d))
 ORACLE["compare"] = oracle.sql(
-    f"SELECT g.*, coalesce(n_flags, 0) AS n_flags FROM (SELECT strategy, count(*) AS picks, {oracle.rnd('avg(score)', 2, 0.5003)} AS avg_score, {oracle.rnd('max(score)', 2, 0.5003)} AS max_score, count(*) FILTER (score >= 80) AS strong, count(DISTINCT market || symbol) AS symbols FROM a GROUP BY 1) g LEFT JOIN (SELECT strategy, count(DISTINCT f) AS n_flags FROM (SELECT strategy, unnest(string_split(risk_flags, ',')) AS f FROM a WHERE risk_flags <> '') GROUP BY 1) USING (strategy)",
+    f"SELECT g.*, coalesce(n_flags, 0) AS n_flags FROM (SELECT strategy, count(*) AS picks, {oracle.rnd('sum(CAST(round(score * 100) AS BIGINT))::DOUBLE / count(score) / 100', 2)} AS avg_score, {oracle.rnd('max(score)', 2)} AS max_score, count(*) FILTER (score >= 80) AS strong, count(DISTINCT market || symbol) AS symbols FROM a GROUP BY 1) g LEFT JOIN (SELECT strategy, count(DISTINCT f) AS n_flags FROM (SELECT strategy, unnest(string_split(risk_flags, ',')) AS f FROM a WHERE risk_flags <> '') GROUP BY 1) USING (strategy)",
     "xs",
     extra=ALL,
 )
 QUERIES["overlap"] = lambda s, d: st.overlap(group_picks(s, d))
 ORACLE["overlap"] = oracle.sql("SELECT a.strategy, b.strategy AS other, count(*) AS shared FROM a JOIN a b USING (market, symbol, trade_date) WHERE a.strategy < b.strategy GROUP BY 1, 2", "xs", extra=ALL)
-QUERIES["prefilter"] = lambda s, d: st.pre_filter(table(s, d)).where(F.size("broken") > 0).select("market", "symbol", "trade_date", F.size("broken").cast("long").alias("n_broken"), F.array_join(F.transform("broken", lambda b: b["rule"]), ",").alias("rules"))
-_broken = joined(*[(y(f"{c} {op} {t}"), r) for r, c, op, t in st.PRE_FILTER])
+PRE = {"basic": {"min_listing_days": 60, "min_price": 20.0, "max_price": 400.0}, "liquidity": {"min_amount_ma20": 100e6}, "risk": {"max_volatility": 0.35, "max_drawdown": 0.15}, "data_quality": {"min_trading_days": 20, "required_fields": ["ret_60", "vol_20"]}}
+
+
+def pre_filter_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows with the inputs of the pre-filter that daily bars can tell."""
+    x = table(s, d)
+    return x.withColumns({"close": F.col("adj_close"), "listing_days": F.col("rn"), "trading_days": F.col("rn"), "annual_volatility": F.col("vol_20") * F.sqrt(F.lit(252.0)), "max_drawdown_1y": F.col("dd_60"), "data_quality_insufficient": F.col("atr_pct_14").isNull()})
+
+
+QUERIES["prefilter"] = lambda s, d: st.pre_filter(pre_filter_rows(s, d), PRE).where(F.size("broken") > 0).select("market", "symbol", "trade_date", F.size("broken").cast("long").alias("n_broken"), F.array_join(F.transform("broken", lambda b: b["rule"]), ",").alias("rules"))
+_rules = {"min_listing_days": "rn < 60", "min_price": "adj_close < 20", "max_price": "adj_close > 400", "min_amount_ma20": "amount_ma20 < 100e6", "max_volatility": "vol_20 * sqrt(252.0::DOUBLE) > 0.35", "max_drawdown": "abs(dd_60) > 0.15", "min_trading_days": "rn < 20", "data_quality": "atr_pct_14 IS NULL", "required_fields": "ret_60 IS NULL OR vol_20 IS NULL"}
+_broken = joined(*[(y(f"({c})"), r) for r, c in _rules.items()])
 ORACLE["prefilter"] = oracle.sql(f"SELECT market, symbol, trade_date, CAST(len(string_split(rules, ',')) AS BIGINT) AS n_broken, rules FROM (SELECT market, symbol, trade_date, {_broken} AS rules FROM xs) WHERE rules <> ''", "xs")
+QUERIES["excluded_ranking"] = lambda s, d: st.excluded(table(s, d), "trend_strength").select("trade_date", "market", "symbol", "reason", "score", "place")
+ORACLE["excluded_ranking"] = oracle.sql(
+    "SELECT * FROM (SELECT trade_date, market, symbol, reason, score, row_number() OVER (PARTITION BY trade_date ORDER BY list_position([" + ", ".join(f"'{r}'" for r in st.REASONS) + f"], reason), score DESC NULLS LAST, amount_ma20 DESC NULLS LAST, market, symbol) AS place FROM ({scored_sql('trend_strength')}) WHERE status = 'excluded') WHERE place <= 20", "xs"
+)
+QUERIES["label_counts"] = lambda s, d: st.label_counts(st.picks(table(s, d), "trend_strength"))
+ORACLE["label_counts"] = oracle.sql(
+    "SELECT trade_date, kind, label, count(*) AS n FROM (SELECT trade_date, 'candidate_type' AS kind, candidate_type AS label FROM p UNION ALL SELECT trade_date, 'tag', unnest(string_split(tags, ',')) FROM p WHERE tags <> '' UNION ALL SELECT trade_date, 'risk_flag', unnest(string_split(risk_flags, ',')) FROM p WHERE risk_flags <> '') WHERE label IS NOT NULL GROUP BY 1, 2, 3",
+    "xs",
+    extra=f"p AS ({picks_sql('trend_strength')})",
+)
+QUERIES["unique_picks"] = lambda s, d: st.unique_picks(group_picks(s, d))
+ORACLE["unique_picks"] = oracle.sql("SELECT strategy, count(*) AS own_picks FROM (SELECT trade_date, market, symbol, min(strategy) AS strategy FROM a GROUP BY 1, 2, 3 HAVING count(DISTINCT strategy) = 1) GROUP BY 1", "xs", extra=ALL)
