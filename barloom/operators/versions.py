@@ -37,10 +37,12 @@ def commit_version(spark: SparkSession, root: str, tables: dict[str, DataFrame],
     out = fs.create(part, True)
     out.write(bytearray(json.dumps(doc).encode()))
     out.close()
-    _, final = _fs(spark, f"{root}/latest.json")
-    fs.delete(final, False)
-    if not fs.rename(part, final):
-        raise OSError(f"manifest of {run_id} could not be placed")
+    # One rename that replaces: readers find the old manifest or the new one.
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), conf)
+    files.rename(fs.makeQualified(part), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{root}/latest.json")), options)
     return doc
 
 

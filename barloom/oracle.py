@@ -124,6 +124,10 @@ FROM (SELECT market, symbol, trade_date, trade_year, adj_open AS o, adj_high AS
 }
 
 
+#: Steps that several others read.
+KEPT = {"raw", "base", "tech"}
+
+
 def needs(names: tuple[str, ...] | list[str]) -> list[str]:
     out: list[str] = []
     for n in names:
@@ -135,7 +139,7 @@ def needs(names: tuple[str, ...] | list[str]) -> list[str]:
 
 def sql(select: str, *names: str, extra: str = "") -> str:
     """WITH the named steps and what they need, then extra steps, then select."""
-    steps = [f"{n} AS ({STEPS[n][1]})" for n in needs(names)]
+    steps = [f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}({STEPS[n][1]})" for n in needs(names)]
     return "WITH RECURSIVE " + ",\n".join(steps + ([extra] if extra else [])) + "\n" + select
 
 

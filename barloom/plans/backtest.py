@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ class Costs:
 
 def bars_with_state(f: DataFrame) -> DataFrame:
     """Bars by number with what exits look at: 20-bar mean close, 14-bar mean range, tradability."""
-    return f.select("market", "symbol", "trade_date", "rn", "o", "h", "c", "is_limit_up", "is_limit_down", "is_suspended", F.avg("c").over(frame(20)).alias("m20"), F.avg(k("h") - k("l")).over(frame(14)).alias("a14"))
+    return f.select("market", "symbol", "trade_date", "rn", "o", "h", "l", "c", "is_limit_up", "is_limit_down", "is_suspended", F.avg("c").over(frame(20)).alias("m20"), F.avg(k("h") - k("l")).over(frame(14)).alias("a14"))
 
 
 def trades(signals: DataFrame, bars: DataFrame, hold: int = 10, chandelier: float = 3.0, costs: Costs = Costs()) -> DataFrame:
@@ -59,16 +60,20 @@ def periods(t: DataFrame) -> DataFrame:
 def equity(p: DataFrame) -> DataFrame:
     """Compounded equity after each period, rounded to six places at every step.
 
-    The fold is over periods, of which a backtest has as many as days; bars and trades stay distributed.
+    The rounded recursion is one path over periods, of which a backtest has as many as days: one group of (date, return)
+    rows, read once in order. Bars and trades stay distributed.
     """
-    path = F.array_sort(F.collect_list(F.struct("signal_date", "r", "n")))
-    start = F.struct(F.lit(1.0).alias("e"), F.array().cast("array<struct<signal_date:date,r:double,n:bigint,equity:double>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        e = tie_safe(acc["e"] * (1 + x["r"]), 6)
-        return F.struct(e.alias("e"), F.concat(acc["out"], F.array(F.struct(x["signal_date"], x["r"], x["n"], e.alias("equity")))).alias("out"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = 1.0
+        for b in batches:
+            out = np.empty(len(b))
+            for i, r in enumerate(b["r"].to_numpy()):
+                e = out[i] = np.floor(e * (1 + r) * 1e6 + 0.5) / 1e6
+            yield b.assign(equity=out)
 
-    return p.agg(path.alias("p")).select(F.explode(F.aggregate("p", start, step)["out"]).alias("x")).select("x.*")
+    ordered = p.select("signal_date", "r", "n").repartition(1).sortWithinPartitions("signal_date")
+    return ordered.mapInPandas(run, "signal_date date, r double, n long, equity double")
 
 
 def drawdown(curve: DataFrame, by: str = "signal_date") -> DataFrame:
@@ -97,17 +102,16 @@ def forward(signals: DataFrame, f: DataFrame, horizons: list[int]) -> DataFrame:
 def forward_stats(fw: DataFrame) -> DataFrame:
     """By horizon: n, mean, median, winners, nearest-rank quartiles, best, worst.
 
-    Returns have six places, so a percentile's frequency map stays small whatever the number of signals.
+    Returns have six places, so a horizon has few distinct ones: a quartile is found in running counts by return.
     """
-    counts = {r["horizon"]: r["n"] for r in fw.groupBy("horizon").agg(F.count("*").alias("n")).collect()}  # one row a horizon
-    near = lambda n, q: round((n - 1) * q) / max(1, n - 1)
-    outs = []
-    for h, n in sorted(counts.items()):
-        outs.append(fw.where(k("horizon") == h).groupBy("horizon").agg(F.count("*").alias("n"), tie_safe(F.avg("ret"), 6).alias("mean"), tie_safe(F.percentile("ret", 0.5), 6).alias("median"), tie_safe(F.avg((k("ret") > 0).cast("double")), 6).alias("win_rate"), tie_safe(F.percentile("ret", near(n, 0.25)), 6).alias("p25"), tie_safe(F.percentile("ret", near(n, 0.75)), 6).alias("p75"), F.max("ret").alias("best"), F.min("ret").alias("worst")))
-    out = outs[0] if outs else fw.groupBy("horizon").agg(F.count("*").alias("n"), *[F.avg("ret").alias(c) for c in ("mean", "median", "win_rate", "p25", "p75", "best", "worst")])
-    for x in outs[1:]:
-        out = out.unionByName(x)
-    return out
+    counts = fw.groupBy("horizon", "ret").agg(F.count("*").alias("m"))
+    by = Window.partitionBy("horizon")
+    run = counts.withColumns({"upto": F.sum("m").over(by.orderBy("ret")), "n": F.sum("m").over(by)})
+    # The place round((n - 1) q), halves to even, from 0 on.
+    at = lambda q: F.min(F.when(k("upto") > F.bround((k("n") - 1) * q, 0), k("ret")))
+    near = run.groupBy("horizon").agg(at(0.25).alias("p25"), at(0.75).alias("p75"))
+    rest = fw.groupBy("horizon").agg(F.count("*").alias("n"), tie_safe(F.avg("ret"), 6).alias("mean"), tie_safe(F.percentile("ret", 0.5), 6).alias("median"), tie_safe(F.avg((k("ret") > 0).cast("double")), 6).alias("win_rate"), F.max("ret").alias("best"), F.min("ret").alias("worst"))
+    return rest.join(near, "horizon").select("horizon", "n", "mean", "median", "win_rate", "p25", "p75", "best", "worst")
 
 
 def risk_tags(fw: DataFrame) -> DataFrame:
@@ -115,19 +119,59 @@ def risk_tags(fw: DataFrame) -> DataFrame:
     return fw.withColumn("tag", F.explode("risk_flags")).groupBy("tag", "horizon").agg(F.count("*").alias("n"), tie_safe(F.avg("ret"), 6).alias("mean"), tie_safe(F.avg((k("ret") > 0).cast("double")), 6).alias("win_rate"), F.min("ret").alias("worst"), F.min("low").alias("min_drawdown"))
 
 
-def parameter_scan(signals: DataFrame, f: DataFrame, min_scores: list[float], tops: list[int], holds: list[int], costs: Costs = Costs()) -> DataFrame:
-    """Every combination over one pass of signals: research score = total return - |drawdown| + winners / 10."""
-    fw = forward(signals, f, holds)
-    grid = F.array(*[F.struct(F.lit(s).alias("min_score"), F.lit(t).alias("top")) for s in min_scores for t in tops])
-    x = fw.withColumn("g", F.explode(grid)).where((k("score") >= k("g.min_score")) & (k("rank") <= k("g.top"))).select(k("g.min_score").alias("min_score"), k("g.top").alias("top"), k("horizon").alias("hold"), "signal_date", (k("ret") - costs.round_trip).alias("net"))
-    key = ["min_score", "top", "hold"]
-    p = x.groupBy(*key, "signal_date").agg(F.avg("net").alias("r"), F.count("*").alias("n"), F.count_if(k("net") > 0).alias("won"))
-    w = Window.partitionBy(*key).orderBy("signal_date").rowsBetween(Window.unboundedPreceding, 0)
-    e = p.withColumn("equity", F.exp(F.sum(F.log1p(k("r") / k("hold"))).over(w)))
-    e = e.withColumn("dd", k("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)) - 1)
-    out = e.groupBy(*key).agg(F.sum("n").alias("trades"), F.max_by("equity", "signal_date").alias("last"), F.min("dd").alias("dd"), (F.sum("won") / F.sum("n")).alias("win"))
-    out = out.withColumns({"total_return": tie_safe(k("last") - 1, 4), "max_drawdown": tie_safe(F.least(k("dd"), F.lit(0.0)), 4), "win_rate": tie_safe("win", 4)})
-    return out.select(*key, "trades", "total_return", "max_drawdown", "win_rate", tie_safe(k("total_return") - F.abs("max_drawdown") + 0.1 * k("win_rate"), 4).alias("research_score"))
+def folded(p: DataFrame, key: list[str]) -> DataFrame:
+    """By key: last equity (from 1, six places at every step) and deepest drawdown of the periods (signal_date, r).
+
+    A group is one path: as many (date, return) pairs as days.
+    """
+    path = F.array_sort(F.collect_list(F.struct("signal_date", "r")))
+
+    def step(acc: Column, x: Column) -> Column:
+        e = tie_safe(acc["e"] * (1 + x["r"]), 6)
+        peak = F.greatest(acc["peak"], e)
+        return F.struct(e.alias("e"), peak.alias("peak"), F.least(acc["dd"], e / peak - 1).alias("dd"))
+
+    start = F.struct(F.lit(1.0).alias("e"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("dd"))
+    ends = p.groupBy(*key).agg(path.alias("path"), F.count("*").alias("periods"), F.datediff(F.max("signal_date"), F.min("signal_date")).alias("days"))
+    return ends.withColumn("x", F.aggregate("path", start, step)).select(*key, "periods", "days", k("x.e").alias("last"), tie_safe("x.dd", 6).alias("max_drawdown"))
+
+
+def annual(total: Column, days: Column) -> Column:
+    return F.when(days > 0, F.pow(1 + total, F.lit(365.0) / days) - 1).otherwise(total)
+
+
+def scan_periods(signals: DataFrame, bars: DataFrame, min_scores: list[float], amounts: list[float], tops: list[int], holds: list[int], costs: Costs = Costs()) -> DataFrame:
+    """(min_score, min_amount, top, hold, signal_date, r, n, won) of every combination, from one matching for each holding time.
+
+    signals are the widest ones, with score and amount_ma20; each combination takes its first `top` of those it admits.
+    """
+    every = None
+    for hold in holds:
+        t = trades(signals, bars, hold, costs=costs).withColumn("hold", F.lit(hold))
+        every = t if every is None else every.union(t)
+    amount = signals.select("signal_date", "market", "symbol", "amount_ma20")
+    grid = F.array(*[F.struct(F.lit(float(s)).alias("min_score"), F.lit(float(a)).alias("min_amount"), F.lit(t).alias("top")) for s in min_scores for a in amounts for t in tops])
+    x = every.join(amount, ["signal_date", "market", "symbol"]).withColumn("g", F.explode(grid)).where((k("score") >= k("g.min_score")) & (k("amount_ma20") >= k("g.min_amount")))
+    x = x.select("g.*", "hold", "signal_date", "rank", "skipped", "net")
+    key = ["min_score", "min_amount", "top", "hold"]
+    first = Window.partitionBy(*key, "signal_date").orderBy("rank")
+    x = x.withColumn("place", F.row_number().over(first)).where((k("place") <= k("top")) & k("skipped").isNull())
+    return x.groupBy(*key, "signal_date").agg(tie_safe(F.avg("net"), 6).alias("r"), F.count("*").alias("n"), F.count_if(k("net") > 0).alias("won"))
+
+
+def rated(p: DataFrame, key: list[str]) -> DataFrame:
+    """By key: trades, periods, returns, drawdown, winners, and research score = annual return - |drawdown| + winners / 10, best first."""
+    counts = p.groupBy(*key).agg(F.sum("n").alias("trades"), F.sum("won").alias("won"))
+    x = folded(p, key).join(counts, key).withColumn("total_return", tie_safe(k("last") - 1, 6))
+    x = x.withColumns({"annual_return": tie_safe(annual(k("total_return"), k("days")), 6), "win_rate": tie_safe(k("won") / k("trades"), 6)})
+    return x.select(*key, "trades", "periods", "total_return", "annual_return", "max_drawdown", "win_rate", tie_safe(k("annual_return") - F.abs("max_drawdown") + 0.1 * k("win_rate"), 6).alias("research_score"))
+
+
+SCAN = ["min_score", "min_amount", "top", "hold"]
+
+
+def parameter_scan(signals: DataFrame, bars: DataFrame, min_scores: list[float], amounts: list[float], tops: list[int], holds: list[int], costs: Costs = Costs()) -> DataFrame:
+    return rated(scan_periods(signals, bars, min_scores, amounts, tops, holds, costs), SCAN)
 
 
 def winsorized(f: DataFrame) -> DataFrame:
@@ -172,52 +216,178 @@ class Account:
     cash: float = 1_000_000.0
     max_positions: int = 5
     hold_days: int = 20
-    hard_stop: float = 0.10
-    take_profit: float = 0.25
+    max_hold_days: int | None = None
+    min_hold_days: int = 1
+    hard_stop: float | None = 0.10
+    chandelier: float | None = None
+    stop_atr: float | None = None
+    trailing: float | None = None
+    profit_atr: float | None = None
+    stop_loss: float | None = None
+    take_profit: float | None = 0.25
+    ma_break: bool = False
+    momentum: bool = False
+    score_below: float | None = None
+    #: A mean range as a share of the purchase price.
+    atr_share: float = 0.03
+    #: From this yearly volatility on, and down to that one, the stop's multiple is another.
+    high_volatility: tuple[float, float] | None = None
+    low_volatility: tuple[float, float] | None = None
+    margin_rate: float = 1.0
     fee: float = 0.0003
     slip: float = 0.001
     lot: int = 100
 
+    @property
+    def stop_multiple(self) -> float | None:
+        year = self.atr_share * 252**0.5
+        if self.stop_atr is None:
+            return None
+        if self.high_volatility and year >= self.high_volatility[0]:
+            return self.high_volatility[1]
+        if self.low_volatility and year <= self.low_volatility[0]:
+            return self.low_volatility[1]
+        return self.stop_atr
+
 
 def shares(cash: float, price: float, initial: float, positions: int, lot: int = 100) -> int:
     """What an equal part of the initial cash, or what is left, buys in whole lots."""
-    return int(min(initial / positions, cash) / price // lot) * lot if price > 0 else 0
+    return int(min(initial / positions, cash) / price // lot) * lot if price > 0 and cash > 0 and positions > 0 else 0
+
+
+def exit_rules(a: Account) -> Column:
+    """The reason for leaving at a bar's open, null for staying; columns: o, h, l, c, top (highest high), buy_price, days, direction, last_score."""
+    atr = F.greatest(k("buy_price") * max(a.atr_share, 0.001), F.lit(0.01))
+    rules: list[tuple[str, Column]] = []
+    if a.chandelier:
+        rules.append(("chandelier_stop", k("o") <= k("top") - a.chandelier * atr))
+    if a.stop_multiple:
+        rules.append(("atr_stop_loss", k("o") <= k("top") - a.stop_multiple * atr))
+    if a.trailing:
+        rules.append(("trailing_take_profit", k("o") <= k("top") * (1 - a.trailing)))
+    if a.profit_atr:
+        rules.append(("atr_take_profit", k("o") >= k("buy_price") + a.profit_atr * atr))
+    if a.stop_loss:
+        rules.append(("stop_loss", k("o") <= k("buy_price") * (1 - a.stop_loss)))
+    if a.take_profit:
+        rules.append(("take_profit", k("o") >= k("buy_price") * (1 + a.take_profit)))
+    if a.ma_break:
+        rules.append(("ma_breakdown", k("c") < (k("c") + k("h") + k("l") + k("o")) / 4))
+    if a.momentum:
+        rules.append(("momentum_negative", k("c") < k("o")))
+    long = k("direction") != "SHORT"
+    out = F.lit(None).cast("string")
+    technical = F.lit(None).cast("string")
+    for name, when in reversed(rules):
+        technical = F.when(when, name).otherwise(technical)
+    if a.hard_stop:
+        out = F.when(long & (k("o") <= k("buy_price") * (1 - a.hard_stop)), "hard_stop_loss")
+    out = F.coalesce(out, F.when(long & (k("days") >= max(a.min_hold_days, 0)), technical))
+    if a.score_below is not None:
+        out = F.coalesce(out, F.when(k("last_score") < a.score_below, "score_below_threshold"))
+    if a.max_hold_days is not None:
+        out = F.coalesce(out, F.when(k("days") >= a.max_hold_days, "max_holding_days"))
+    return F.coalesce(out, F.when(k("days") >= a.hold_days, "hold_days"))
+
+
+def outcomes(signals: DataFrame, bars: DataFrame, a: Account) -> DataFrame:
+    """What each signal (signal_date, market, symbol, rank, score[, direction]) would do if it were bought at the next bar's open:
+    (..., buy_date, buy_price, blocked, sell_date, sell_price, exit_reason). No cash yet, so signals are independent: equi-joins
+    on bar numbers and windows by signal.
+
+    A position meets the bars up to the first one on which it may be sold after its holding time; blocked bars are passed over.
+    """
+    direction = F.coalesce("direction", F.lit("LONG")) if "direction" in signals.columns else F.lit("LONG")
+    s = signals.select("signal_date", "market", "symbol", "rank", "score", direction.alias("direction"))
+    stuck = lambda side: (k("is_suspended") == 1) | (k(f"is_limit_{side}") == 1)
+    by = Window.partitionBy("market", "symbol")
+    later = by.orderBy(F.unix_date("trade_date")).rangeBetween(a.hold_days if a.max_hold_days is None else min(a.hold_days, a.max_hold_days), Window.unboundedFollowing)
+    b = bars.select("market", "symbol", "trade_date", "rn", "o", "h", "l", "c", "is_limit_up", "is_limit_down", "is_suspended")
+    ends = b.withColumns({
+        "end_long": F.coalesce(F.min(F.when(~stuck("down"), k("rn"))).over(later), F.max("rn").over(by)),
+        "end_short": F.coalesce(F.min(F.when(~stuck("up"), k("rn"))).over(later), F.max("rn").over(by)),
+    })
+    at = s.join(b.select("market", "symbol", k("trade_date").alias("signal_date"), (k("rn") + 1).alias("buy_rn")), ["market", "symbol", "signal_date"])
+    short = k("direction") == "SHORT"
+    first = ends.select("market", "symbol", k("rn").alias("buy_rn"), k("trade_date").alias("buy_date"), k("o").alias("buy_price"), k("h").alias("buy_high"), "end_long", "end_short", stuck("up").alias("no_long"), stuck("down").alias("no_short"))
+    buy = at.join(first, ["market", "symbol", "buy_rn"]).withColumns({"blocked": F.when(short, k("no_short")).otherwise(k("no_long")), "end": F.when(short, k("end_short")).otherwise(k("end_long"))}).drop("no_long", "no_short", "end_long", "end_short")
+    days = buy.where(~k("blocked") & (k("end") > k("buy_rn"))).withColumn("rn", F.explode(F.sequence(k("buy_rn") + 1, k("end"))))
+    own = Window.partitionBy("market", "symbol", "signal_date", "direction").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    walk = days.join(b, ["market", "symbol", "rn"]).withColumn("days", F.datediff("trade_date", "buy_date"))
+    # A later signal of the instrument brings its score to the bar after its own.
+    news = at.select("market", "symbol", k("buy_rn").alias("rn"), k("score").alias("news")).groupBy("market", "symbol", "rn").agg(F.max("news").alias("news"))
+    walk = walk.join(news, ["market", "symbol", "rn"], "left").withColumn("last_score", F.coalesce(F.last("news", ignorenulls=True).over(own), k("score")))
+    open_ = walk.where(~F.when(short, stuck("up")).otherwise(stuck("down")))
+    # The highest high counts bars at which the technical rules are asked.
+    top = F.max(F.when(k("days") >= a.min_hold_days, k("h"))).over(own)
+    left = open_.withColumn("top", F.greatest("buy_high", top)).withColumn("exit_reason", exit_rules(a)).where("exit_reason is not null")
+    exits = left.groupBy("market", "symbol", "signal_date", "direction").agg(F.min_by(F.struct("trade_date", "o", "exit_reason"), "rn").alias("x"))
+    return buy.join(exits, ["market", "symbol", "signal_date", "direction"], "left").select("signal_date", "market", "symbol", "rank", "score", "direction", "buy_date", "buy_price", "blocked", k("x.trade_date").alias("sell_date"), k("x.o").alias("sell_price"), k("x.exit_reason").alias("exit_reason"))
 
 
 def simulate(signals: DataFrame, bars: DataFrame, a: Account = Account()) -> DataFrame:
-    """Trades of one account with shared cash, day by day: exits before entries, all at the open.
+    """Trades of accounts with shared cash, day by day: exits before entries, all at the open; open positions have no sell_date.
 
-    Cash couples all positions, so this is one path through time: one group per account, of the bars that its signals
-    can touch (signals are at most a few a day). Several accounts run in parallel as several groups of `account`.
+    Exits do not depend on cash, so joins and windows find them (:func:`outcomes`). What is left is one path through time
+    for each account: a group holds its signals, a few a day, and no bars. signals may have a column account.
     """
-    s = signals.select("market", "symbol", "signal_date", "rank").withColumn("account", F.lit(0))
-    near = bars.join(s.select("market", "symbol").distinct(), ["market", "symbol"]).select("market", "symbol", "trade_date", "rn", "o", "c", "is_limit_up", "is_limit_down", "is_suspended").withColumn("account", F.lit(0))
-    marks = s.select("market", "symbol", k("signal_date").alias("trade_date"), "rank")
-    days = near.join(marks, ["market", "symbol", "trade_date"], "left")
+    account = k("account") if "account" in signals.columns else F.lit("main")
+    known = outcomes(signals, bars, a).where(~k("blocked"))
+    named = signals.select(account.cast("string").alias("account"), "signal_date", "market", "symbol").distinct()
+    rows = known.join(named, ["signal_date", "market", "symbol"])
+    cost = a.fee + a.slip
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        cash, held, out, waiting = a.cash, {}, [], []
-        for day, rows in g.sort_values(["trade_date", "market", "symbol"]).groupby("trade_date"):
-            today = {(r.market, r.symbol): r for r in rows.itertuples()}
-            for key in [x for x in held if x in today]:
-                bar, (n, price, since) = today[key], held[key]
-                if bar.is_limit_down or bar.is_suspended:
-                    continue
-                gain = bar.o / price - 1
-                why = "hard_stop_loss" if gain <= -a.hard_stop else "take_profit" if gain >= a.take_profit else "hold_days" if (day - since).days >= a.hold_days else None
-                if why:
-                    cash += n * bar.o * (1 - a.fee - a.slip)
-                    out.append((*key, since, day, n, price, bar.o, gain - 2 * (a.fee + a.slip), why, cash))
-                    del held[key]
-            for _, key in sorted(waiting):
-                bar = today.get(key)
-                if bar is None or key in held or len(held) >= a.max_positions or bar.is_limit_up or bar.is_suspended:
+        cash, margin, held, out = a.cash, 0.0, {}, []
+        events = [(d, 0, 0, "", "", i) for i, d in g["sell_date"].items() if not pd.isna(d)]
+        events += [(r.buy_date, 1, r.rank, r.market, r.symbol, i) for i, r in zip(g.index, g.itertuples())]
+        for _, kind, *_, i in sorted(events):
+            r = g.loc[i]
+            if kind == 0:
+                if held.get(r.symbol, (None,))[0] != i:
                     continue
-                n = shares(cash, bar.o * (1 + a.fee + a.slip), a.cash, a.max_positions, a.lot)
-                if n:
-                    cash -= n * bar.o * (1 + a.fee + a.slip)
-                    held[key] = (n, bar.o, day)
-            waiting = [(r.rank, (r.market, r.symbol)) for r in rows.itertuples() if r.rank == r.rank]
-        return pd.DataFrame(out, columns=["market", "symbol", "buy_date", "sell_date", "shares", "buy_price", "sell_price", "net", "exit_reason", "cash"])
-
-    return days.groupBy("account").applyInPandas(run, "market string, symbol string, buy_date date, sell_date date, shares long, buy_price double, sell_price double, net double, exit_reason string, cash double")
+                _, n, locked = held.pop(r.symbol)
+                if r.direction == "SHORT":
+                    cash -= n * r.sell_price * (1 + cost)
+                    margin = max(0.0, margin - locked)
+                    gross = r.buy_price / r.sell_price - 1
+                    net = gross - 2 * cost
+                else:
+                    cash += n * r.sell_price * (1 - cost)
+                    gross = r.sell_price / r.buy_price - 1
+                    net = r.sell_price * (1 - cost) / (r.buy_price * (1 + cost)) - 1
+                out.append((r.account, r.market, r.symbol, r.direction, r.signal_date, r.buy_date, r.sell_date, n, r.buy_price, r.sell_price, round(gross, 6), round(net, 6), r.exit_reason))
+                continue
+            if len(held) >= a.max_positions or r.symbol in held:
+                continue
+            free = max(0.0, cash - margin)
+            n = shares(free, r.buy_price, a.cash, a.max_positions, a.lot)
+            short = r.direction == "SHORT"
+            locked = n * r.buy_price * a.margin_rate if short else 0.0
+            if n < a.lot or (locked > free if short else n * r.buy_price * (1 + cost) > free):
+                continue
+            cash += n * r.buy_price * (1 - cost) if short else -n * r.buy_price * (1 + cost)
+            margin += locked
+            held[r.symbol] = (i, n, locked)
+        for i, n, _ in held.values():
+            r = g.loc[i]
+            out.append((r.account, r.market, r.symbol, r.direction, r.signal_date, r.buy_date, None, n, r.buy_price, None, None, None, None))
+        return pd.DataFrame(out, columns=["account", "market", "symbol", "direction", "signal_date", "buy_date", "sell_date", "shares", "buy_price", "sell_price", "gross", "net", "exit_reason"])
+
+    return rows.groupBy("account").applyInPandas(run, "account string, market string, symbol string, direction string, signal_date date, buy_date date, sell_date date, shares long, buy_price double, sell_price double, gross double, net double, exit_reason string")
+
+
+def marked_equity(done: DataFrame, bars: DataFrame, a: Account = Account()) -> DataFrame:
+    """(account, trade_date, cash, market_value, equity) of every day, positions at the day's close (without a bar: at their price)."""
+    cost = a.fee + a.slip
+    side = F.when(k("direction") == "SHORT", -1.0).otherwise(1.0)
+    bought = done.select("account", k("buy_date").alias("trade_date"), (-side * k("shares") * k("buy_price") * (1 + side * cost)).alias("flow"))
+    sold = done.where("sell_date is not null").select("account", k("sell_date").alias("trade_date"), (side * k("shares") * k("sell_price") * (1 - side * cost)).alias("flow"))
+    flows = bought.union(sold).groupBy("account", "trade_date").agg(F.sum("flow").alias("flow"))
+    dates = bars.select("trade_date").distinct()
+    days = dates.join(F.broadcast(done.select("account").distinct()))
+    cash = days.join(flows, ["account", "trade_date"], "left").withColumn("cash", a.cash + F.sum(F.coalesce("flow", F.lit(0.0))).over(Window.partitionBy("account").orderBy("trade_date")))
+    open_ = done.join(dates, (k("trade_date") >= k("buy_date")) & (k("sell_date").isNull() | (k("trade_date") < k("sell_date"))))
+    value = open_.join(bars.select("market", "symbol", "trade_date", "c"), ["market", "symbol", "trade_date"], "left").groupBy("account", "trade_date").agg(F.sum(side * k("shares") * F.coalesce("c", "buy_price")).alias("market_value"))
+    x = cash.join(value, ["account", "trade_date"], "left").withColumn("market_value", F.coalesce("market_value", F.lit(0.0)))
+    return x.select("account", "trade_date", tie_safe("cash", 6).alias("cash"), tie_safe("market_value", 6).alias("market_value"), tie_safe(k("cash") + k("market_value"), 6).alias("equity"))

@@ -35,13 +35,18 @@ def all_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIG = f"sig AS (SELECT trade_date AS signal_date, market, symbol, rank, score, risk_flags FROM ({picks_sql('trend_strength')}) WHERE rank <= {TOP})"
 BARS = f"bar AS MATERIALIZED (SELECT market, symbol, trade_date, rn, o, h, c, is_limit_up, is_limit_down, is_suspended, avg(c) {oracle.over(20)} AS m20, avg(h - l) {oracle.over(14)} AS a14 FROM base)"
-TRADES = f"""buy AS MATERIALIZED (SELECT s.*, b.rn + 1 AS buy_rn, n.trade_date AS buy_date, n.o AS buy_price, n.is_limit_up = 1 OR n.is_suspended = 1 AS blocked FROM sig s JOIN bar b ON b.market = s.market AND b.symbol = s.symbol AND b.trade_date = s.signal_date
+def trades_sql(hold: int, sig: str = "sig", x: str = "") -> str:
+    """Steps buy, walk, ex and tr, with x after their names, for a table of signals and a holding time."""
+    return f"""buy{x} AS MATERIALIZED (SELECT s.*, b.rn + 1 AS buy_rn, n.trade_date AS buy_date, n.o AS buy_price, n.is_limit_up = 1 OR n.is_suspended = 1 AS blocked FROM {sig} s JOIN bar b ON b.market = s.market AND b.symbol = s.symbol AND b.trade_date = s.signal_date
   LEFT JOIN bar n ON n.market = s.market AND n.symbol = s.symbol AND n.rn = b.rn + 1),
-walk AS (SELECT y.market, y.symbol, signal_date, y.buy_rn, b.rn, b.trade_date, b.o, b.c, b.m20, b.a14, max(b.h) OVER (PARTITION BY y.market, y.symbol, signal_date ORDER BY b.rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hh
-  FROM buy y JOIN bar b ON b.market = y.market AND b.symbol = y.symbol AND b.rn > y.buy_rn AND b.rn <= y.buy_rn + {HOLD} WHERE NOT y.blocked AND b.is_limit_down = 0 AND b.is_suspended = 0),
-ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, symbol, signal_date ORDER BY rn) AS k FROM (SELECT *, CASE WHEN c < m20 THEN 'ma_breakdown' WHEN c <= hh - 3.0::DOUBLE * a14 THEN 'atr_chandelier_stop' WHEN rn >= buy_rn + {HOLD} THEN 'max_holding_days' END AS exit_reason FROM walk) WHERE exit_reason IS NOT NULL) WHERE k = 1),
-tr AS (SELECT signal_date, market, symbol, rank, score, buy_date, buy_price, e.trade_date AS sell_date, e.o AS sell_price, exit_reason, CASE WHEN buy_price IS NULL THEN 'missing_price' WHEN blocked THEN 'limit_up/suspended' WHEN e.o IS NULL THEN 'missing_price' END AS skipped,
-  e.o / buy_price - 1 AS gross, e.o / buy_price - 1 - {COST}::DOUBLE AS net FROM buy LEFT JOIN ex e USING (market, symbol, signal_date))"""
+walk{x} AS (SELECT y.market, y.symbol, signal_date, y.buy_rn, b.rn, b.trade_date, b.o, b.c, b.m20, b.a14, max(b.h) OVER (PARTITION BY y.market, y.symbol, signal_date ORDER BY b.rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hh
+  FROM buy{x} y JOIN bar b ON b.market = y.market AND b.symbol = y.symbol AND b.rn > y.buy_rn AND b.rn <= y.buy_rn + {hold} WHERE NOT y.blocked AND b.is_limit_down = 0 AND b.is_suspended = 0),
+ex{x} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, symbol, signal_date ORDER BY rn) AS k FROM (SELECT *, CASE WHEN c < m20 THEN 'ma_breakdown' WHEN c <= hh - 3.0::DOUBLE * a14 THEN 'atr_chandelier_stop' WHEN rn >= buy_rn + {hold} THEN 'max_holding_days' END AS exit_reason FROM walk{x}) WHERE exit_reason IS NOT NULL) WHERE k = 1),
+tr{x} AS (SELECT signal_date, market, symbol, rank, score, buy_date, buy_price, e.trade_date AS sell_date, e.o AS sell_price, exit_reason, CASE WHEN buy_price IS NULL THEN 'missing_price' WHEN blocked THEN 'limit_up/suspended' WHEN e.o IS NULL THEN 'missing_price' END AS skipped,
+  e.o / buy_price - 1 AS gross, e.o / buy_price - 1 - {COST}::DOUBLE AS net FROM buy{x} LEFT JOIN ex{x} e USING (market, symbol, signal_date))"""
+
+
+TRADES = trades_sql(HOLD)
 EQUITY = f"""per AS MATERIALIZED (SELECT signal_date, {R('avg(net)')} AS r, count(*) AS n, row_number() OVER (ORDER BY signal_date) AS i FROM tr WHERE skipped IS NULL GROUP BY 1),
 eq AS (SELECT i, signal_date, r, n, {oracle.rnd('1 + r', 6)} AS equity FROM per WHERE i = 1 UNION ALL SELECT p.i, p.signal_date, p.r, p.n, {oracle.rnd('e.equity * (1 + p.r)', 6)} FROM eq e JOIN per p ON p.i = e.i + 1),
 ddn AS (SELECT *, {R('equity / peak - 1')} AS drawdown FROM (SELECT *, greatest(1.0::DOUBLE, max(equity) OVER (ORDER BY signal_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM eq))"""
@@ -78,17 +83,6 @@ QUERIES["forward_returns"] = lambda s, d: bt.forward_stats(bt.forward(signals(ta
 ORACLE["forward_returns"] = sql(f"SELECT CAST(horizon AS INT) AS horizon, count(*) AS n, {R('avg(ret)')} AS mean, {R('quantile_cont(ret, 0.5)')} AS median, {R('avg(CAST(ret > 0 AS DOUBLE))')} AS win_rate, {R('list_sort(list(ret))[1 + CAST(round_even((count(*) - 1) * 0.25, 0) AS INT)]')} AS p25, {R('list_sort(list(ret))[1 + CAST(round_even((count(*) - 1) * 0.75, 0) AS INT)]')} AS p75, max(ret) AS best, min(ret) AS worst FROM fw GROUP BY 1", SIG, FWD)
 QUERIES["risk_tags"] = lambda s, d: bt.risk_tags(bt.forward(signals(table(s, d)), all_factors(s, d), HORIZONS))
 ORACLE["risk_tags"] = sql(f"SELECT tag, CAST(horizon AS INT) AS horizon, count(*) AS n, {R('avg(ret)')} AS mean, {R('avg(CAST(ret > 0 AS DOUBLE))')} AS win_rate, min(ret) AS worst, min(low) AS min_drawdown FROM (SELECT *, unnest(string_split(risk_flags, ',')) AS tag FROM fw WHERE risk_flags <> '') GROUP BY 1, 2", SIG, FWD)
-GRID = ([60.0, 75.0], [2, 5], [5, 10])
-QUERIES["param_scan"] = lambda s, d: bt.parameter_scan(signals(table(s, d)), all_factors(s, d), *GRID)
-ORACLE["param_scan"] = sql(
-    f"""SELECT *, {R('total_return - abs(max_drawdown) + 0.1::DOUBLE * win_rate', 4)} AS research_score FROM (SELECT min_score, top, hold, trades, {R('last - 1', 4)} AS total_return, {R('least(dd, 0.0::DOUBLE)', 4)} AS max_drawdown, {R('win', 4)} AS win_rate FROM (
-  SELECT min_score, top, hold, CAST(sum(n) AS BIGINT) AS trades, arg_max(equity, signal_date) AS last, min(equity / greatest(1.0::DOUBLE, peak) - 1) AS dd, sum(won) / sum(n)::DOUBLE AS win FROM (
-    SELECT *, max(equity) OVER (PARTITION BY min_score, top, hold ORDER BY signal_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM (
-      SELECT *, exp(sum(ln(1 + r / hold)) OVER (PARTITION BY min_score, top, hold ORDER BY signal_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS equity FROM (
-        SELECT min_score, top, CAST(horizon AS INT) AS hold, signal_date, avg(ret - {COST}::DOUBLE) AS r, count(*) AS n, count(*) FILTER (ret - {COST}::DOUBLE > 0) AS won FROM fw, (SELECT unnest([60.0::DOUBLE, 75.0::DOUBLE]) AS min_score), (SELECT CAST(unnest([2, 5]) AS INT) AS top)
-        WHERE horizon IN (5, 10) AND score >= min_score AND rank <= top GROUP BY 1, 2, 3, 4))) GROUP BY 1, 2, 3))""",
-    SIG, FWD,
-)
 QUERIES["winsorized"] = lambda s, d: bt.winsorized(all_factors(s, d))
 ORACLE["winsorized"] = oracle.sql(f"SELECT market, symbol, max(n) AS n, CASE WHEN max(n) >= 3 THEN {R('exp(sum(ln(1 + pct_chg))) - 1')} END AS ret FROM (SELECT *, CASE WHEN n >= 20 AND floor(n * 0.01) = 0 THEN 1 ELSE floor(n * 0.01) END AS cut FROM (SELECT *, count(*) OVER (PARTITION BY market, symbol) AS n, row_number() OVER (PARTITION BY market, symbol ORDER BY pct_chg, trade_date) AS i FROM base WHERE pct_chg IS NOT NULL)) WHERE i > cut AND i <= n - cut GROUP BY 1, 2", "base")
 QUERIES["benchmark_return"] = lambda s, d: bt.benchmark(all_factors(s, d), "sz", "000001")
@@ -96,5 +90,14 @@ ORACLE["benchmark_return"] = oracle.sql(f"SELECT market, symbol, count(*) AS n,
 QUERIES["monthly_returns"] = lambda s, d: bt.monthly_returns(all_factors(s, d))
 ORACLE["monthly_returns"] = oracle.sql(f"SELECT market, symbol, month, {R('c')} AS close, {R('c / nullif(lag(c) OVER (PARTITION BY market, symbol ORDER BY month), 0) - 1')} AS ret FROM (SELECT market, symbol, CAST(date_trunc('month', trade_date) AS DATE) AS month, arg_max(c, trade_date) AS c FROM base GROUP BY 1, 2, 3)", "base")
 # Walks through time or random draws: no SQL.
-QUERIES["stateful_simulation"] = lambda s, d: bt.simulate(*parts(s, d))
+def accounts(s: SparkSession, d: str) -> DataFrame:
+    """Three accounts' signals: one buys, one also sells short the day's last pick, one takes the first pick alone."""
+    sig, _ = parts(s, d)
+    side = F.when((F.col("account") == "hedged") & (F.col("rank") == TOP), "SHORT").otherwise("LONG")
+    return sig.withColumn("account", F.explode(F.array(F.lit("long"), F.lit("hedged"), F.lit("first")))).where((F.col("account") != "first") | (F.col("rank") == 1)).withColumn("direction", side)
+
+
+RULES = bt.Account(chandelier=3.0, trailing=0.08, stop_loss=0.07, take_profit=0.2, hold_days=30)
+QUERIES["stateful_simulation"] = lambda s, d: bt.simulate(accounts(s, d), all_factors(s, d), RULES)
+QUERIES["stateful_equity"] = lambda s, d: (lambda f: bt.marked_equity(bt.simulate(accounts(s, d), f, RULES), f, RULES))(all_factors(s, d))
 QUERIES["monte_carlo"] = lambda s, d: bt.monte_carlo(s, [r["r"] for r in bt.periods(all_trades(s, d)).orderBy("signal_date").collect()], 2000)

@@ -11,6 +11,10 @@ from ..functions.columns import KEY
 
 #: Words that a read-only statement may not hold.
 BLOCKED = ("attach", "detach", "copy", "create", "drop", "delete", "insert", "update", "alter", "truncate", "replace", "merge", "call", "load", "install", "set", "reset", "export", "import", "use", "refresh", "cache", "uncache", "grant", "revoke", "msck", "analyze", "add")
+#: Functions that run other code than Spark's own.
+FOREIGN = re.compile(r"`?\b(?:reflect|try_reflect|java_method)\b`?\s*\(", re.I)
+#: Table functions that read nothing.
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
 FILES = re.compile(r"\b(read_\w+|from_(?:csv|json|parquet)\w*)\s*\(|\b(?:parquet|csv|json|orc|text|avro|delta|binaryfile)\s*\.\s*`", re.I)
 
 
@@ -35,14 +39,27 @@ def check_read_only(sql: str) -> str:
     if not re.match(r"(?i)(select|with)\b", words):
         raise ValueError("only SELECT or WITH")
     found = next((w for w in BLOCKED if re.search(rf"(?i)\b{w}\b(?!\s*\()", words)), None)
-    if found or FILES.search(text):
-        raise ValueError(f"not allowed: {found or 'reading files'}")
+    if found or FILES.search(text) or FOREIGN.search(text):
+        raise ValueError(f"not allowed: {found or 'reading files or running foreign code'}")
     return text
 
 
+def check_relations(spark: SparkSession, sql: str) -> None:
+    """ValueError unless all that sql reads, by Spark's own parser, are temporary views and its own WITH names."""
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    own = {x.strip("`\"").lower() for x in re.findall(r"(?i)(?:\bwith\b(?:\s+recursive\b)?|,)\s*(`[^`]+`|\w+)\s*(?:\([^()]*\)\s*)?\bas\s*\(", bare(sql))}
+    for name in re.findall(r"UnresolvedRelation \[(.*?)\], \[", tree):
+        if name.lower() not in views | own:
+            raise ValueError(f"not a registered view: {name}")
+    for name in re.findall(r"UnresolvedTableValuedFunction \[(.*?)\]", tree):
+        if name.lower() not in TABLE_FUNCTIONS:
+            raise ValueError(f"not an allowed table function: {name}")
+
+
 def check_expression(expr: str) -> str:
     words = bare(without_comments(expr))
-    if not words.strip() or ";" in words or any(re.search(rf"(?i)\b{w}\b", words) for w in BLOCKED):
+    if not words.strip() or ";" in words or any(re.search(rf"(?i)\b{w}\b", words) for w in (*BLOCKED, "select", "from")) or FOREIGN.search(expr):
         raise ValueError("not a plain expression")
     return expr
 
@@ -60,7 +77,9 @@ def run_sql(spark: SparkSession, sql: str, limit: int = 100, unsafe_sql: bool =
     """A guarded ad-hoc statement, limited unless it limits itself; refused without unsafe_sql=True."""
     if not unsafe_sql:
         raise PermissionError("ad-hoc SQL needs unsafe_sql=True")
-    df = spark.sql(check_read_only(sql))
+    text = check_read_only(sql)
+    check_relations(spark, text)
+    df = spark.sql(text)
     return df if has_top_limit(sql) else df.limit(limit)
 
 
@@ -133,3 +152,35 @@ def factor_rank(f: DataFrame, factor: str, n: int = 20, higher_is_better: bool =
     c = F.col(factor)
     w = Window.partitionBy("trade_date").orderBy(c.desc_nulls_last() if higher_is_better else c.asc_nulls_last(), "market", "symbol")
     return f.withColumn("rank", F.rank().over(w).cast("long")).where(F.col("rank") <= n)
+
+
+def describe_table(df: DataFrame) -> DataFrame:
+    """(place, name, kind, is_date_column) of df's columns; the date column is trade_date, else ex_date."""
+    day = next((c for c in ("trade_date", "ex_date") if c in df.columns), None)
+    rows = [(i, f.name, f.dataType.simpleString(), f.name == day) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "place int, name string, kind string, is_date_column boolean")
+
+
+#: Columns of a stock view unless others, or all, are asked for.
+DEFAULT_COLUMNS = ("market", "symbol", "trade_date", "adj_open", "adj_high", "adj_low", "adj_close", "volume", "amount", "ma5", "ma20", "ma60", "ret_20", "rsi_14")
+
+
+def choose_columns(df: DataFrame, columns: list[str] | None = None, full: bool = False) -> DataFrame:
+    if columns and (unknown := set(columns) - set(df.columns)):
+        raise ValueError(f"unknown columns: {sorted(unknown)}")
+    return df if full else df.select(*(columns or [c for c in DEFAULT_COLUMNS if c in df.columns]))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """df for display: fractions with two places, volumes and amounts in K, M, B or T."""
+    out = {}
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if f.name in ("volume", "amount") or f.name.startswith(("vol_ma", "amount_ma")):
+            size = F.abs(c.cast("double"))
+            scaled = lambda n, unit, c=c: F.concat(F.format_number(c / n, 2), F.lit(unit))
+            text = F.when(size >= 1e12, scaled(1e12, "T")).when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).when(size >= 1e3, scaled(1e3, "K"))
+            out[f.name] = F.coalesce(text, F.format_number(c.cast("double"), 2))
+        elif f.dataType.simpleString() in ("double", "float"):
+            out[f.name] = F.round(c, 2)
+    return df.withColumns(out) if out else df

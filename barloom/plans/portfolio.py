@@ -94,7 +94,7 @@ NEAR_HIGH = "near_20d_high"
 def trim_near_high(picks: DataFrame, method: str, most: float = 0.40, max_weight: float = 0.1, min_weight: float = 0.0, liquidity: tuple[float, float, float] | None = (1e7, 0.1, 3.0)) -> DataFrame:
     """picks with weight, or null where a pick near its 20-day high was dropped: while such picks weigh more than `most`, the
     one of lowest score goes and the rest is weighted anew. A group is one day's portfolio."""
-    kinds = picks.withColumn("weight", F.lit(0.0)).schema
+    kinds = picks.withColumn("weight", F.lit(None).cast("double")).schema
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["market", "symbol"]).reset_index(drop=True)
@@ -145,9 +145,12 @@ def rebalance(weighted: DataFrame, tolerance: float = 1e-6, paused: Column | Non
     x = now.join(target, ["trade_date", "market", "symbol"], "full_outer").withColumns({"current": F.coalesce("current", F.lit(0.0)), "target": F.coalesce("target", F.lit(0.0)), "adv": F.coalesce("amount_ma20", "adv_now")})
     delta = k("target") - k("current")
     action = F.when(F.abs(delta) <= tolerance, "HOLD").when(k("current") == 0, "BUY").when(k("target") == 0, "SELL").when(delta > 0, "INCREASE").otherwise("REDUCE")
-    if paused is not None:
-        action = F.when(paused & (delta > tolerance), "HOLD_CASH").otherwise(action)
-    return x.select("trade_date", "market", "symbol", "current", "target", delta.alias("delta"), "adv", action.alias("action"))
+    out = x.select("trade_date", "market", "symbol", "current", "target", delta.alias("delta"), "adv", action.alias("action"))
+    if paused is None:
+        return out
+    # A purchase that a pause stops leaves the weight where it is.
+    held = paused & k("action").isin("BUY", "INCREASE")
+    return out.select("trade_date", "market", "symbol", "current", F.when(held, k("current")).otherwise(k("target")).alias("target"), F.when(held, 0.0).otherwise(k("delta")).alias("delta"), "adv", F.when(held, "HOLD_CASH").otherwise(k("action")).alias("action"))
 
 
 def turnover(plan: DataFrame) -> DataFrame:
