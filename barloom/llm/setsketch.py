@@ -11,11 +11,11 @@ registers, and registers of similar sets are equal more often.
 4. Candidates: the two sketches' order statistics give the likelihood of each Jaccard similarity; only where no
    similarity over the threshold is within MARGIN of the likeliest is the pair dropped. The rest is verified on the
    shingles of both texts themselves.
-5. Links of a bucket that do not run over its smallest member: the members of buckets that hold several components are
-   joined on their rarest shingles. Two sets at the threshold share one of the first n - ceil(share * n) + 1 shingles of
-   each in any common order, and the places at which they share the first one bound what they can share in all. A shingle
-   that only one member has joins nothing; members that hold too many of those to be linked with any other holder of a
-   shingle leave its list. Only members of different components meet, in blocks where a shingle has many.
+5. Links that do not run over a bucket's smallest member: where a group of buckets that share members holds several
+   components, the members outside the largest are compared with all members. Shingles that one member alone has bound
+   what it can share with any other; members that this rules out leave first, so texts that share a frame but not enough
+   of it cost no comparison. The rest meets in blocks of bounded bytes over an index of shingles; what the blocks emit is
+   links alone, one for each pair of components, and these too are verified on the texts.
 6. Components of all links; the smallest document id names them.
 
 Two sets at similarity 0.8 share none of BANDS buckets with a probability under 2e-7. The scale holds the registers of
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -49,8 +50,9 @@ OFFSET = 400
 KIND = np.dtype("<u2")
 #: Log-likelihood that a similarity over the threshold may lie below the likeliest one: five standard deviations.
 MARGIN = 12.5
-#: Members of a shingle's list that meet as many others in one block.
-BLOCK = 512
+#: Members, and shingles of members (8 bytes each), of either side of a block.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 #: Uids up to which a table of them is broadcast (16 bytes each).
 BROADCAST_IDS = 500_000
 #: Word digests that a Python worker keeps; later words are hashed whenever they occur.
@@ -208,41 +210,76 @@ def verified(pairs: DataFrame, store: DataFrame, words: int, percent: int) -> Da
     return out
 
 
+def runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions of every run [start, end), one run after the other."""
+    sizes = ends - starts
+    last = np.cumsum(sizes)
+    return np.arange(last[-1] if len(last) else 0) + np.repeat(starts - (last - sizes), sizes)
+
+
+def linked(g: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): for each odd member of a block, one of its partners in each other component."""
+    g = g.sort_values("uid")
+    odd, rest = g[g["odd"]], g[~g["odd"]]
+    out: list[tuple[int, int]] = []
+    if len(odd) and len(rest):
+        sets = [np.frombuffer(x, np.int64) for x in rest["items"]]
+        sizes = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        roots, ids = rest["root"].to_numpy(), rest["uid"].to_numpy()
+        for uid, root, data in zip(odd["uid"], odd["root"], odd["items"], strict=True):
+            own = np.frombuffer(data, np.int64)
+            shared = np.bincount(owner[runs(np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right"))], minlength=len(sets))
+            good = np.flatnonzero((roots != root) & (100 * shared >= percent * (sizes + len(own) - shared)))
+            _, one = np.unique(roots[good], return_index=True)
+            out += [(uid, ids[i]) for i in good[one]]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def crossing(pairs: DataFrame, store: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
-    """Candidates (a, b) of different components inside the buckets that pairs (a: smallest member, b: member) describe."""
-    root = found.select(F.col("node").alias("b"), "root")
-    members = pairs.union(pairs.select("a", F.col("a").alias("b")).distinct()).join(root, "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
-    mixed = members.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
-    open_ = persisted(hub_join(members, mixed, "a").select(F.col("b").alias("uid"), "root").distinct(), "open-members")
+    """Links (a, b) between different components inside the groups of buckets that pairs (a: smallest member, b: member) describe."""
+    groups = components(pairs)
+    root = found.select("node", F.col("root").alias("own"))
+    members = persisted(groups.join(root, "node", "left").select(F.col("node").alias("uid"), F.col("root").alias("g"), F.coalesce("own", "node").alias("root")), "members")
+    mixed = members.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+    open_ = persisted(hub_join(members, persisted(mixed, "mixed"), "g"), "open-members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                own = [shingle_hashes(words_of(t), words)[0] for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "g", "root")), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["uid", "g", "root", "n", "items"])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uid, root, text in zip(b.column("uid").to_pylist(), b.column("root").to_pylist(), b.column("text"), strict=True):
-                t = shingle_hashes(words_of(text.as_py()), words)[0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), uid)), pa.array(np.full(len(t), root)), pa.array(np.full(len(t), len(t))), pa.array(t)], ["uid", "root", "n", "token"])
+            for uid, data in zip(b.column("uid").to_pylist(), b.column("items"), strict=True):
+                t = np.frombuffer(data.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), uid)), pa.array(t)], ["uid", "token"])
 
     texts = store.select("uid", "text").join(F.broadcast(open_) if open_.count() <= BROADCAST_IDS else open_, "uid")
-    every = persisted(texts.select("uid", "root", "text").mapInArrow(tokens, "uid long, root long, n long, token long"), "open-tokens")
-    common = persisted(every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "open-counts")
-    held = every.join(common, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    own = W.partitionBy("uid")
-    placed = held.withColumns({"place": F.row_number().over(own.orderBy("df", "token")), "lone": F.count_if(F.col("df") == 1).over(own)})
-    # ceil(percent * n / 100) shingles are shared at least.
-    prefix = placed.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1))
-    listed = persisted(prefix.select("uid", "root", "n", "token", "place", "lone"), "open-lists")
-    lists = listed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("lone").alias("least"), F.count("*").alias("size")).where("lo <> hi")
-    lists = persisted(lists.select("token", "least", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open-list-sizes")
+    full = persisted(texts.select("uid", "g", "root", "text").mapInArrow(sets, "uid long, g long, root long, n long, items binary"), "open-sets")
+    every = full.select("uid", "items").mapInArrow(tokens, "uid long, token long")
+    # A shingle that one member alone has names that member: no join back.
+    lone = persisted(every.groupBy("token").agg(F.min("uid").alias("uid"), F.count("*").alias("df")).where("df = 1").groupBy("uid").agg(F.count("*").alias("lone")), "lone-shingles")
+    counted = persisted(full.select("uid", "g", "root", "n").join(lone, "uid", "left").withColumn("lone", F.coalesce("lone", F.lit(0))), "open-counts")
+    least = persisted(counted.groupBy("g").agg(F.min("lone").alias("least")), "least-lone")
     # Of x and y at most n_x - lone_x are shared, of n_x + lone_y at least.
-    may = 100 * (F.col("n") - F.col("lone")) >= percent * (F.col("n") + F.col("least"))
-    met = persisted(listed.join(lists, "token").where(may), "open-meetings")
-    deal = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    side = lambda x, own, other: met.select("token", deal.alias(own), every_block.alias(other), *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "root", "n", "place")])
-    x, y, n = side("x", "i", "j"), side("y", "j", "i"), F.col("n_x") + F.col("n_y")
-    most = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    fits = (F.col("uid_x") < F.col("uid_y")) & (F.col("root_x") != F.col("root_y")) & (most * (100 + percent) >= percent * n) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    out = persisted(x.join(y, ["token", "i", "j"]).where(fits).select(F.col("uid_x").alias("a"), F.col("uid_y").alias("b")).distinct(), "crossing")
-    discard(open_, every, common, listed, lists, met)
+    may = persisted(hub_join(counted, least, "g").where(100 * (F.col("n") - F.col("lone")) >= percent * (F.col("n") + F.col("least"))).select("uid", "g", "root", "n"), "open-left")
+    sizes = may.groupBy("g", "root").agg(F.count("*").alias("n"), F.sum("n").alias("s"))
+    main = sizes.groupBy("g").agg(F.max(F.struct("n", "root", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("top.n < n")
+    parts = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    main = persisted(main.select("g", F.col("top.root").alias("main"), parts(F.col("n"), F.col("s")).alias("blocks"), parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("odd_blocks")), "blocks")
+    dealt = hub_join(may.select("uid", "g", "root"), main, "g").withColumn("odd", F.col("root") != F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = dealt.select("uid", "g", "root", F.lit(False).alias("odd"), place("blocks").alias("x"), all_of("odd_blocks").alias("y"))
+    odd = dealt.where("odd").select("uid", "g", "root", "odd", all_of("blocks").alias("x"), place("odd_blocks").alias("y"))
+    met = rest.union(odd).join(full.select("uid", "items"), "uid")
+    out = persisted(met.groupBy("g", "x", "y").applyInPandas(lambda p: linked(p, percent), "a long, b long").distinct(), "crossing")
+    discard(groups, members, open_, full, lone, counted, least, may, main)
     return out
 
 

@@ -47,7 +47,7 @@ BLOCKED = "=blocked"
 
 @dataclass(frozen=True)
 class RuleParams:
-    min_support: float = 0.0005
+    min_support: float = 0.002
     #: Labelled URLs that hold a rule's tokens and are blocked, at least: a handful of chance hits is no rule.
     min_count: int = 3
     min_confidence: float = 0.8
@@ -105,7 +105,8 @@ def mine(labelled: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     marked = posted.join(classes.select(F.col("item").alias("token"), "item"), "token", "left")
     held = marked.groupBy("uid").agg(F.max("blocked").alias("blocked"), F.collect_list("item").alias("kept"))
     items = held.select(F.when(F.col("blocked") == 1, F.array_append("kept", F.lit(BLOCKED))).otherwise(F.col("kept")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=p.min_confidence).fit(items)
+    partitions = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=p.min_confidence, numPartitions=partitions).fit(items.repartition(partitions))
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.col("lift") >= p.min_lift))
     rules = rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "lift", "support").withColumn("rule_id", F.array_join("rule_tokens", " & "))
     rules = persisted(rules, "url-rules")
