@@ -51,7 +51,7 @@ KIND = np.dtype("<u2")
 #: Log-likelihood that a similarity over the threshold may lie below the likeliest one: five standard deviations.
 MARGIN = 12.5
 #: Members, and shingles of members (8 bytes each), of either side of a block.
-BLOCK = 1024
+BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
 #: Uids up to which a table of them is broadcast (16 bytes each).
 BROADCAST_IDS = 500_000
