@@ -75,9 +75,8 @@ ORACLE["walk_forward"] = oracle.sql(
     extra=SCAN + f", st AS (SELECT CAST(unnest(range(lo, hi - 1)) AS INT) AS start FROM (SELECT min(year(signal_date)) AS lo, max(year(signal_date)) AS hi FROM sp)), tp AS MATERIALIZED (SELECT start, sp.* FROM sp, st WHERE year(signal_date) >= start AND year(signal_date) < start + 2), " + rated_sql("tp", "start, " + SCAN_KEY),
 )
 SPANS = {"spring_1993": ("1993-03-01", "1993-05-31"), "year_1995": ("1995-01-01", "1995-12-31"), "late": ("1997-01-01", "1998-12-31")}
-one = (F.col("min_score") == 60.0) & (F.col("min_amount") == 0.0) & (F.col("top") == 5) & (F.col("hold") == 10)
 ONE = "min_score = 60 AND min_amount = 0 AND top = 5 AND hold = 10"
-QUERIES["stress_periods"] = lambda s, d: rs.stress(scan_periods(s, d).where(one), SPANS)
+QUERIES["stress_periods"] = lambda s, d: rs.stress(scan_periods(s, d).where(ONE), SPANS)
 ORACLE["stress_periods"] = oracle.sql(
     "SELECT * FROM ss_r", "xs",
     extra=SCAN + f", ss AS MATERIALIZED (SELECT period, signal_date, r, n, won FROM sp, (VALUES {', '.join(f"('{n}', DATE '{a}', DATE '{b}')" for n, (a, b) in SPANS.items())}) v(period, a, b) WHERE {ONE} AND signal_date BETWEEN a AND b), " + rated_sql("ss", "period"),
