@@ -16,7 +16,7 @@ def rnd(expr: str, places: int, half: float = 0.5) -> str:
 
 
 #: Results are rounded a little above the half: means of lattice prices over up to 250 bars never lie on such a tie.
-OFF_TIE = 0.5
+OFF_TIE = 0.5003
 
 
 def div(a: str, b: str) -> str:
