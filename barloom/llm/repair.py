@@ -37,33 +37,31 @@ MIN_COUNT = 3
 MAGIC = b"RPG2"
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int | None = None, a_round: int | None = None, min_count: int = MIN_COUNT) -> bytes:
-    """One shard: ids of its documents one after the other, and their numbers."""
+def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, min_count: int = MIN_COUNT) -> bytes:
+    """One shard: ids of its documents one after the other, and their numbers.
+
+    A round replaces every pair that is frequent, and each of its places is then replaced or broken up. So pairs that
+    are frequent in the next round hold a nonterminal of this one, and only the places next to such are counted.
+    """
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
     last[np.cumsum(sizes[sizes > 0]) - 1] = True
+    fresh = ~last
     lengths = np.ones(terminals, np.uint32)
     rules: list[np.ndarray] = []
     starts: list[int] = []
     table = np.full(1 << 20, -1, np.int32)
-    while rounds is None or len(rules) < rounds:
+    while len(where := np.flatnonzero(fresh)) >= min_count:
         top = terminals + sum(map(len, rules))
         limit = 1 << 16 if top <= 1 << 16 else 1 << 32
-        if len(s) < 2:
-            break
-        key = s[:-1] * np.uint32(1 << 16) + s[1:] if limit == 1 << 16 else s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
-        inner = ~last[:-1]
-        ordered = np.sort(key[inner])
-        if not len(ordered):
-            break
+        left, right = s[where], s[where + 1]
+        key = left * np.uint32(1 << 16) + right if limit == 1 << 16 else left.astype(np.uint64) << np.uint64(32) | right
+        ordered = np.sort(key)
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(counts >= min_count)
-        if not len(often):
+        chosen = ordered[edge[counts >= min_count]]
+        if not len(chosen):
             break
-        if a_round is not None and len(often) > a_round:
-            often = often[np.argpartition(-counts[often], a_round)[:a_round]]
-        chosen = np.sort(ordered[edge[often]])
         # A table by the pairs' low bits names the one chosen pair that a position may hold; pairs that share a place of
         # the table are looked up in order.
         fold = lambda x: (x ^ (x >> x.dtype.type(13))) & x.dtype.type((1 << 20) - 1)
@@ -72,12 +70,12 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int | N
         table[at[table[at] != order]] = -2
         place = table[fold(key)]
         table[at] = -1
-        hit = np.flatnonzero((place != -1) & inner)
-        place, own = place[hit], key[hit]
+        held = np.flatnonzero(place != -1)
+        place, own, hit = place[held], key[held], where[held]
         shared = np.flatnonzero(place == -2)
         place[shared] = np.searchsorted(chosen, own[shared]).clip(max=len(chosen) - 1)
-        right = chosen[place] == own
-        hit, place = hit[right], place[right]
+        same = chosen[place] == own
+        hit, place = hit[same], place[same]
         # In a run of overlapping hits every second one is replaced, from its left end.
         first = np.concatenate(([True], np.diff(hit) > 1))
         run = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
@@ -90,9 +88,13 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, rounds: int | N
         lengths = np.concatenate([lengths, lengths[pair[:, 0]] + lengths[pair[:, 1]]])
         s[hit] = top + place
         last[hit] |= last[hit + 1]
+        fresh[where] = False
+        fresh[hit] = True
+        fresh[hit[hit > 0] - 1] = True
         keep = np.ones(len(s), bool)
         keep[hit + 1] = False
-        s, last = s[keep], last[keep]
+        s, last, fresh = s[keep], last[keep], fresh[keep]
+        fresh &= ~last
     per_doc = np.zeros(len(sizes), np.uint32)
     ends = np.flatnonzero(last)
     per_doc[sizes > 0] = np.diff(ends, prepend=-1)

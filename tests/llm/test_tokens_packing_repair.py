@@ -112,7 +112,7 @@ def test_packing_against_the_library(spark, docs):
 def test_repair_round_trip(texts, terminals):
     sizes = np.array([len(t) for t in texts])
     ids = np.array([x for t in texts for x in t], np.uint32)
-    shard = repair.Shard(repair.compress(ids, sizes, terminals, rounds=4, a_round=5, min_count=2))
+    shard = repair.Shard(repair.compress(ids, sizes, terminals, min_count=2))
     assert shard.ids().tolist() == ids.tolist() and shard.sizes.tolist() == sizes.tolist()
     for _ in range(5):
         a, n = random.randrange(len(ids) + 1), random.randrange(1, 20)
