@@ -65,6 +65,10 @@ FACTOR_SQL = """SELECT m.metric, m.value, m.level FROM (SELECT unnest([{'metric'
   {'metric': 'bad_hfq', 'value': h, 'level': CASE WHEN h > 0 THEN 'error' ELSE 'ok' END}]) AS m FROM (SELECT count(*) AS n, count(*) FILTER (qfq_factor <= 0) AS q, count(*) FILTER (hfq_factor <= 0) AS h FROM fac))"""
 
 
+#: What :func:`factors` reads besides the states.
+INDICATORS = ["pct_chg", "vol_20", "atr_14", "rsi_14", "adx_14", "bb_width_20"]
+
+
 def factors(df: DataFrame) -> DataFrame:
     """Null and extreme returns warn; values outside an indicator's range are errors."""
     k = F.col
@@ -85,5 +89,19 @@ def factors(df: DataFrame) -> DataFrame:
     )
 
 
+_COUNTS = {
+    "null_pct_chg_over_tenth": ("CAST(count(*) FILTER (pct_chg IS NULL) > 0.1::DOUBLE * count(*) AS BIGINT)", "warn"),
+    "extreme_pct_chg": ("count(*) FILTER (abs(pct_chg) > 0.5)", "warn"),
+    "negative_vol": ("count(*) FILTER (vol_20 < 0)", "error"),
+    "negative_atr": ("count(*) FILTER (atr_14 < 0)", "error"),
+    "rsi_range": ("count(*) FILTER (rsi_14 < 0 OR rsi_14 > 100)", "error"),
+    "kd_range": ("count(*) FILTER (k < 0 OR k > 100 OR d < 0 OR d > 100)", "error"),
+    "adx_range": ("count(*) FILTER (adx_14 < 0 OR adx_14 > 100)", "error"),
+    "negative_bb_width": ("count(*) FILTER (bb_width_20 < 0)", "error"),
+}
+INDICATOR_SQL = f"""SELECT m.metric, m.value, m.level FROM (SELECT unnest([{{'metric': 'rows', 'value': n, 'level': 'info'}}, {', '.join(f"{{'metric': '{c}', 'value': {c}, 'level': CASE WHEN {c} > 0 THEN '{level}' ELSE 'ok' END}}" for c, (_, level) in _COUNTS.items())}]) AS m
+FROM (SELECT count(*) AS n, {', '.join(f"{count} AS {c}" for c, (count, _) in _COUNTS.items())} FROM tech LEFT JOIN (SELECT market, symbol, trade_date, k, d FROM m) USING (market, symbol, trade_date)))"""
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

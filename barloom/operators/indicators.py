@@ -7,8 +7,10 @@ one exchange and one sort of (market, symbol, trade_date) serve all frames.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import frame, full, ratio, series, tie_safe
 
@@ -131,6 +133,19 @@ def extra_windows(x: DataFrame, windows: list[int]) -> DataFrame:
 STATES = ("macd_dif", "macd_dea", "macd_hist", "kdj_k", "kdj_d", "kdj_j")
 
 
+def state_columns(c: pd.Series, rsv: pd.Series) -> pd.DataFrame:
+    """STATES of one series in the order of its days."""
+    dif = c.ewm(alpha=2 / 13, adjust=False).mean() - c.ewm(alpha=2 / 27, adjust=False).mean()
+    dea = dif.ewm(alpha=0.2, adjust=False).mean()
+    known = rsv.dropna()
+    start = pd.Series([50.0])
+    k = pd.concat([start, known]).ewm(alpha=1 / 3, adjust=False).mean().iloc[1:]
+    d = pd.concat([start, k]).ewm(alpha=1 / 3, adjust=False).mean().iloc[1:]
+    k.index = d.index = known.index
+    out = pd.DataFrame({"macd_dif": dif, "macd_dea": dea, "macd_hist": 2 * (dif - dea), "kdj_k": k.reindex(c.index), "kdj_d": d.reindex(c.index)})
+    return out.assign(kdj_j=3 * out["kdj_k"] - 2 * out["kdj_d"])
+
+
 def recursive(x: DataFrame) -> DataFrame:
     """MACD(12, 26, 9) and KDJ(9): states along a series, folded per series in Arrow batches.
 
@@ -140,24 +155,26 @@ def recursive(x: DataFrame) -> DataFrame:
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("trade_date")
-        fast, slow = g["c"].ewm(alpha=2 / 13, adjust=False).mean(), g["c"].ewm(alpha=2 / 27, adjust=False).mean()
-        dif = fast - slow
-        dea = dif.ewm(alpha=0.2, adjust=False).mean()
-        known = g["rsv_9"].dropna()
-        start = pd.Series([50.0])
-        k = pd.concat([start, known]).ewm(alpha=1 / 3, adjust=False).mean().iloc[1:]
-        d = pd.concat([start, k]).ewm(alpha=1 / 3, adjust=False).mean().iloc[1:]
-        k.index = d.index = known.index
-        out = g[["market", "symbol", "trade_date"]].copy()
-        out["macd_dif"], out["macd_dea"], out["macd_hist"] = dif, dea, 2 * (dif - dea)
-        out["kdj_k"], out["kdj_d"] = k.reindex(g.index), d.reindex(g.index)
-        out["kdj_j"] = 3 * out["kdj_k"] - 2 * out["kdj_d"]
-        return out
+        return pd.concat([g[["market", "symbol", "trade_date"]], state_columns(g["c"], g["rsv_9"])], axis=1)
 
     schema = "market string, symbol string, trade_date date, " + ", ".join(f"{s} double" for s in STATES)
     return x.select("market", "symbol", "trade_date", "c", "rsv_9").groupBy("market", "symbol").applyInPandas(fold, schema)
 
 
+def with_states(x: DataFrame) -> DataFrame:
+    """x with STATES, in the one pass over its series that computes them: no second plan of x and no join back."""
+
+    def fold(g: pa.Table) -> pa.Table:
+        g = g.sort_by("trade_date")
+        found = state_columns(g.column("c").to_pandas(), g.column("rsv_9").to_pandas())
+        for s in STATES:
+            g = g.append_column(s, pa.array(found[s], pa.float64(), from_pandas=True))
+        return g
+
+    schema = StructType([*x.schema.fields, *[StructField(s, DoubleType()) for s in STATES]])
+    return x.groupBy("market", "symbol").applyInArrow(fold, schema)
+
+
 FACTOR_COLUMNS = [
     *[f"ma{n}" for n in BASE_WINDOWS], "vol_ma5", "vol_ma20", *[f"ret_{n}" for n in (1, *BASE_WINDOWS)], *[f"vol_{n}" for n in (5, 10, 20, 60)],
     *[f"std_pctchg_{n}" for n in (5, 10, 20, 60)], *[f"{k}_{n}" for n in (20, 60, 120, 250) for k in ("high", "low")], "range_20", "dd_20", "dd_60", "pos_20", "pos_60",
@@ -167,11 +184,18 @@ FACTOR_COLUMNS = [
 ]
 
 
-def factors(adj: DataFrame, windows: list[int] | None = None, states: bool = False) -> DataFrame:
-    """All indicator columns (adj_close first); with states=True MACD and KDJ too."""
+def factors(adj: DataFrame, windows: list[int] | None = None, states: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """All indicator columns (adj_close first); with states=True MACD and KDJ too.
+
+    States are joined on, so that columns a caller does not read are never computed. Where `columns` names what it reads,
+    these pass through the fold of the states instead: one plan of the indicators and no join.
+    """
     x = technical(rolling(returns(base(adj))))
     if windows:
         x = extra_windows(x, windows)
+    x = x.withColumn("adj_close", F.col("c"))
+    if states and columns:
+        return with_states(x.select(*dict.fromkeys(["market", "symbol", "trade_date", "c", "rsv_9", *columns])))
     if states:
         x = x.join(recursive(x), ["market", "symbol", "trade_date"], "left")
-    return x.withColumn("adj_close", F.col("c"))
+    return x.select(*dict.fromkeys(["market", "symbol", "trade_date", *columns])) if columns else x

@@ -99,14 +99,15 @@ ORACLE["factor_macd"] = oracle.sql(
     0.2::DOUBLE * ((2.0::DOUBLE / 13 * b.c + (1 - 2.0::DOUBLE / 13) * m.f) - (2.0::DOUBLE / 27 * b.c + (1 - 2.0::DOUBLE / 27) * m.s)) + 0.8::DOUBLE * m.dea
   FROM m JOIN b ON b.market = m.market AND b.symbol = m.symbol AND b.rn = m.rn + 1)""",
 )
+KDJ_STEPS = """b AS MATERIALIZED (SELECT market, symbol, trade_date, rsv_9 FROM tech0), n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY market, symbol ORDER BY trade_date) AS i FROM b WHERE rsv_9 IS NOT NULL), m AS (
+  SELECT market, symbol, trade_date, i, 100.0::DOUBLE / 3 + rsv_9 / 3 AS k, 100.0::DOUBLE / 3 + (100.0::DOUBLE / 3 + rsv_9 / 3) / 3 AS d FROM n WHERE i = 1
+  UNION ALL SELECT n.market, n.symbol, n.trade_date, n.i, 2 * m.k / 3 + n.rsv_9 / 3, 2 * m.d / 3 + (2 * m.k / 3 + n.rsv_9 / 3) / 3
+  FROM m JOIN n ON n.market = m.market AND n.symbol = m.symbol AND n.i = m.i + 1)"""
 QUERIES["factor_kdj"] = lambda s, d: rounded(states(s, d), KDJ)
 ORACLE["factor_kdj"] = oracle.sql(
     f"SELECT {oracle.columns(KDJ)} FROM (SELECT b.market, b.symbol, b.trade_date, k AS kdj_k, d AS kdj_d, 3 * k - 2 * d AS kdj_j FROM b LEFT JOIN m USING (market, symbol, trade_date))",
     "tech0",
-    extra="""b AS MATERIALIZED (SELECT market, symbol, trade_date, rsv_9 FROM tech0), n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY market, symbol ORDER BY trade_date) AS i FROM b WHERE rsv_9 IS NOT NULL), m AS (
-  SELECT market, symbol, trade_date, i, 100.0::DOUBLE / 3 + rsv_9 / 3 AS k, 100.0::DOUBLE / 3 + (100.0::DOUBLE / 3 + rsv_9 / 3) / 3 AS d FROM n WHERE i = 1
-  UNION ALL SELECT n.market, n.symbol, n.trade_date, n.i, 2 * m.k / 3 + n.rsv_9 / 3, 2 * m.d / 3 + (2 * m.k / 3 + n.rsv_9 / 3) / 3
-  FROM m JOIN n ON n.market = m.market AND n.symbol = m.symbol AND n.i = m.i + 1)""",
+    extra=KDJ_STEPS,
 )
 
 
@@ -139,7 +140,8 @@ QUERIES["check_adj"] = lambda s, d: checks.adjusted(adjusted(s, d))
 ORACLE["check_adj"] = oracle.sql(checks.ADJ_SQL, "adj")
 QUERIES["check_adjustment"] = lambda s, d: checks.adjustment(adjustment_factors(raw_daily(s, d)))
 ORACLE["check_adjustment"] = oracle.sql(checks.FACTOR_SQL, "fac")
-QUERIES["check_factors"] = lambda s, d: checks.factors(all_factors(s, d, states=True))
+QUERIES["check_factors"] = lambda s, d: checks.factors(all_factors(s, d, states=True, columns=checks.INDICATORS))
+ORACLE["check_factors"] = oracle.sql(checks.INDICATOR_SQL, "tech", extra=KDJ_STEPS)
 QUERIES["dup_keys"] = lambda s, d: checks.duplicate_keys(s.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 ORACLE["dup_keys"] = "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"
 

@@ -70,3 +70,19 @@ def test_cross_section_and_quality(spark):
     assert {last[s]["pct_rank_ret_20"] for s in last} == {0.0, 1.0}
     assert last["600519"]["quality_score"] == 100
     assert last["600000"]["invalid_ohlc_flag"] == 1 and last["600000"]["quality_score"] == 80
+
+
+def test_states_in_one_pass_equal_those_of_their_own_pass(spark):
+    bars = linear(spark, 30).union(linear(spark, 4, 50.0).withColumn("symbol", F.lit("600000")))
+    x = indicators.technical(indicators.rolling(indicators.returns(indicators.base(bars))))
+    key = ["market", "symbol", "trade_date"]
+    one = indicators.with_states(x)
+    picked = ["ma20", "rsi_14"]
+    narrow = indicators.factors(bars, states=True, columns=picked).select(*key, *picked, *indicators.STATES)
+    joined = indicators.factors(bars, states=True).select(narrow.columns)
+    assert [tuple(r) for r in narrow.orderBy(*key).collect()] == [tuple(r) for r in joined.orderBy(*key).collect()]
+    a = [tuple(r) for r in one.select(*key, *indicators.STATES).orderBy(*key).collect()]
+    assert a == [tuple(r) for r in indicators.recursive(x).select(*key, *indicators.STATES).orderBy(*key).collect()]
+    assert len(a) == 34 and all(r[6] is None for r in a[:4])
+    assert [tuple(r) for r in one.drop(*indicators.STATES).orderBy(*key).collect()] == [tuple(r) for r in x.orderBy(*key).collect()]
+    assert indicators.with_states(x.limit(0)).count() == 0
