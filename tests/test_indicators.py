@@ -83,6 +83,7 @@ def test_states_in_one_pass_equal_those_of_their_own_pass(spark):
     assert [tuple(r) for r in narrow.orderBy(*key).collect()] == [tuple(r) for r in joined.orderBy(*key).collect()]
     a = [tuple(r) for r in one.select(*key, *indicators.STATES).orderBy(*key).collect()]
     assert a == [tuple(r) for r in indicators.recursive(x).select(*key, *indicators.STATES).orderBy(*key).collect()]
+    assert indicators.factors(bars, columns=picked).columns == [*key, *picked]
     assert len(a) == 34 and all(r[6] is None for r in a[:4])
     assert [tuple(r) for r in one.drop(*indicators.STATES).orderBy(*key).collect()] == [tuple(r) for r in x.orderBy(*key).collect()]
     assert indicators.with_states(x.limit(0)).count() == 0
