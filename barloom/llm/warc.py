@@ -129,16 +129,15 @@ class Stream:
             packed, whole = struct.unpack_from("<II", self.raw, 16) if known else (0, 0)
             self.member = (self.place - len(self.raw), packed, whole)
             self.inflate, self.done = zlib.decompressobj(31), 0
-        if not self.raw:
-            self.raw = self.more()
-            if not self.raw:
-                raise ValueError(f"the file ends in the member at {self.member[0]}")
-        out = self.inflate.decompress(self.raw, CHUNK)
+        fed = self.raw = self.raw or self.more()
+        out = self.inflate.decompress(fed, CHUNK)
+        if not fed and not out and not self.inflate.eof:
+            raise ValueError(f"the file ends in the member at {self.member[0]}")
         self.done += len(out)
         self.buf += out
         self.raw = self.inflate.unconsumed_tail
         if self.inflate.eof:
-            self.raw, self.inflate = self.inflate.unused_data + self.raw, None
+            self.raw, self.inflate = self.inflate.unused_data, None
         return True
 
     def head(self) -> bytes | None:
