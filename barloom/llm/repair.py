@@ -1,17 +1,18 @@
 """Token ids in binary shards, compressed by Re-Pair grammars.
 
 Documents are range-partitioned by id, tokenised and cut into shards of whole documents. In a shard the frequent
-pairs of adjacent ids (never across two documents) are replaced by nonterminals, again and again, until none is seen
-MIN_COUNT times; pairs are counted anew each round, and neither rounds nor rules are limited. The shard stores the
-rules, what length each expands to, and the remaining symbols of every document. Any range of ids is decoded without
-decoding the rest: expansion lengths say which symbols hold it.
+pairs of adjacent ids (never across two documents) are replaced by nonterminals, again and again, until none that is
+counted is seen MIN_COUNT times; of overlapping pairs the more frequent is replaced first, and neither rounds nor rules
+are limited. Rules that are used less than twice are written out again. The shard stores the rules and the remaining
+symbols of every document, both in as many bits as the largest symbol needs. Any range of ids is decoded without decoding
+the rest: expansion lengths, which follow from the rules, say which symbols hold it.
 
 A shard is one row of a Parquet table in the shared folder: Spark's committer makes the write safe against lost
 executors, and a task holds one shard at a time (one document at least, however long).
 
-Payload, little-endian: b"RPG2", then unsigned 32-bit: documents, ids, terminals (first nonterminal), rules, rounds,
-symbols; the first rule of each round; symbols per document; ids per document; rules as pairs of symbols; expansion
-lengths; symbols (16 bits where all fit, else 32).
+Payload, little-endian: b"RPG3", then unsigned 32-bit: documents, ids, terminals (first nonterminal), rules, rounds,
+symbols, bits a symbol; the first rule of each round; symbols per document; ids per document; then, packed in so many
+bits each, the lowest first: rules as pairs of symbols, padded to a byte; symbols.
 
 Cases: null and empty texts are their end id alone. Null ids come first. Rows with equal ids follow each other, ordered
 by their texts' hash. An empty table has no shards. Other columns are ignored.
@@ -22,6 +23,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,38 +36,84 @@ from pyspark.sql import functions as F
 from .common import persisted, read_table
 
 SHARD_IDS = 1 << 20
-MIN_COUNT = 3
-MAGIC = b"RPG2"
+#: A rule costs two symbols and each of its places saves one; and with rules in their tens of thousands symbols need
+#: another bit, which costs more than rare pairs save.
+MIN_COUNT = 16
+MAGIC = b"RPG3"
+#: Places of the table that names the chosen pair of a position.
+TABLE_BITS = 20
+
+
+def pack(x: np.ndarray, bits: int) -> bytes:
+    """Unsigned numbers in as many bits each, the lowest bit first."""
+    if bits == 16:
+        return x.astype("<u2").tobytes()
+    out = []
+    for i in range(0, len(x), 1 << 18):  # a multiple of 8
+        part = x[i : i + (1 << 18)].astype(np.uint32)
+        out.append(np.packbits(((part[:, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def unpack(data: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
+    """n numbers of :func:`pack` at a place, and the place after them."""
+    size = -(-n * bits // 8)
+    if bits == 16:
+        return np.frombuffer(data, "<u2", n, at).astype(np.uint32), at + size
+    flat = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * bits, bitorder="little").reshape(n, bits)
+    out = np.zeros(n, np.uint32)
+    for k in range(bits):
+        out |= flat[:, k].astype(np.uint32) << np.uint32(k)
+    return out, at + size
+
+
+def chosen_places(hit: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the places to replace, where overlapping ones compete: the more frequent pair wins; of equal ones in a
+    run every second is taken, from its left end."""
+    n = len(hit)
+    joined = np.concatenate(([False], np.diff(hit) == 1))
+    begin = ~(joined & np.concatenate(([False], weight[1:] == weight[:-1])))
+    first = np.flatnonzero(begin)
+    run = np.cumsum(begin) - 1
+    level = weight[first]
+    # Runs that touch a run of more frequent pairs wait.
+    touches = joined[first]
+    left = touches & (np.concatenate(([0], level[:-1])) > level)
+    right = np.concatenate((touches[1:] & (level[1:] > level[:-1]), [False]))
+    own = (np.arange(n) - first[run]) % 2 == 0
+    take = own & ~(left | right)[run]
+    return take
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, min_count: int = MIN_COUNT) -> bytes:
     """One shard: ids of its documents one after the other, and their numbers.
 
-    A round replaces every pair that is frequent, and each of its places is then replaced or broken up. So pairs that
-    are frequent in the next round hold a nonterminal of this one, and only the places next to such are counted.
+    A round counts pairs of neighbours and gives a rule to each that is frequent; where such pairs overlap, the more
+    frequent one is replaced, and what it leaves intact is counted again. A pair that is frequent in the next round so
+    holds a nonterminal of this one or was passed over, and only such places are counted.
     """
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
     last[np.cumsum(sizes[sizes > 0]) - 1] = True
     fresh = ~last
-    lengths = np.ones(terminals, np.uint32)
     rules: list[np.ndarray] = []
     starts: list[int] = []
-    table = np.full(1 << 20, -1, np.int32)
+    top = terminals
+    table = np.full(1 << TABLE_BITS, -1, np.int32)
     while len(where := np.flatnonzero(fresh)) >= min_count:
-        top = terminals + sum(map(len, rules))
-        limit = 1 << 16 if top <= 1 << 16 else 1 << 32
+        wide = top > 1 << 16
         left, right = s[where], s[where + 1]
-        key = left * np.uint32(1 << 16) + right if limit == 1 << 16 else left.astype(np.uint64) << np.uint64(32) | right
+        key = left.astype(np.uint64) << np.uint64(32) | right if wide else left * np.uint32(1 << 16) + right
         ordered = np.sort(key)
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edge, len(ordered)))
-        chosen = ordered[edge[counts >= min_count]]
+        frequent = counts >= min_count
+        chosen, weights = ordered[edge[frequent]], counts[frequent]
         if not len(chosen):
             break
         # A table by the pairs' low bits names the one chosen pair that a position may hold; pairs that share a place of
         # the table are looked up in order.
-        fold = lambda x: (x ^ (x >> x.dtype.type(13))) & x.dtype.type((1 << 20) - 1)
+        fold = lambda x: (x ^ (x >> x.dtype.type(13))) & x.dtype.type((1 << TABLE_BITS) - 1)
         at, order = fold(chosen), np.arange(len(chosen), dtype=np.int32)
         table[at] = order
         table[at[table[at] != order]] = -2
@@ -76,53 +125,91 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, min_count: int
         place[shared] = np.searchsorted(chosen, own[shared]).clip(max=len(chosen) - 1)
         same = chosen[place] == own
         hit, place = hit[same], place[same]
-        # In a run of overlapping hits every second one is replaced, from its left end.
-        first = np.concatenate(([True], np.diff(hit) > 1))
-        run = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
-        odd = (np.arange(len(hit)) - run) % 2 == 0
-        hit, place = hit[odd], place[odd]
-        shift = np.uint64(32) if limit > 1 << 16 else np.uint32(16)
-        pair = np.stack([chosen >> shift, chosen & ((chosen.dtype.type(1) << shift) - chosen.dtype.type(1))], 1).astype(np.uint32)
-        starts.append(sum(map(len, rules)))
+        take = chosen_places(hit, weights[place])
+        # Only pairs with enough places left get a rule.
+        used = np.bincount(place[take], minlength=len(chosen))
+        good = used >= 2
+        take &= good[place]
+        number = np.cumsum(good) - 1
+        shift = chosen.dtype.type(32 if wide else 16)
+        pair = np.stack([chosen >> shift, chosen & ((chosen.dtype.type(1) << shift) - chosen.dtype.type(1))], 1).astype(np.uint32)[good]
+        starts.append(top - terminals)
         rules.append(pair)
-        lengths = np.concatenate([lengths, lengths[pair[:, 0]] + lengths[pair[:, 1]]])
-        s[hit] = top + place
-        last[hit] |= last[hit + 1]
         fresh[where] = False
-        fresh[hit] = True
-        fresh[hit[hit > 0] - 1] = True
+        fresh[hit[~take]] = True
+        done = hit[take]
+        s[done] = top + number[place[take]]
+        last[done] |= last[done + 1]
+        fresh[done] = True
+        fresh[done[done > 0] - 1] = True
         keep = np.ones(len(s), bool)
-        keep[hit + 1] = False
+        keep[done + 1] = False
         s, last, fresh = s[keep], last[keep], fresh[keep]
         fresh &= ~last
-    per_doc = np.zeros(len(sizes), np.uint32)
-    ends = np.flatnonzero(last)
-    per_doc[sizes > 0] = np.diff(ends, prepend=-1)
+        top += len(pair)
+        if not len(pair):
+            break
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    width = "<u2" if terminals + len(pairs) <= 1 << 16 else "<u4"
-    head = struct.pack("<4s6I", MAGIC, len(sizes), len(ids), terminals, len(pairs), len(starts), len(s))
+    s, last, pairs, starts = pruned(s, last, pairs, starts, terminals)
+    per_doc = np.zeros(len(sizes), np.uint32)
+    per_doc[sizes > 0] = np.diff(np.flatnonzero(last), prepend=-1)
+    bits = max(1, int(terminals + len(pairs) - 1).bit_length())
+    head = struct.pack("<4s7I", MAGIC, len(sizes), len(ids), terminals, len(pairs), len(starts), len(s), bits)
     u4 = lambda x: np.asarray(x, "<u4").tobytes()
-    return b"".join([head, u4(starts), u4(per_doc), u4(sizes), u4(pairs), u4(lengths[terminals:]), s.astype(width).tobytes()])
+    return b"".join([head, u4(starts), u4(per_doc), u4(sizes), pack(pairs.ravel(), bits), pack(s, bits)])
+
+
+def pruned(s: np.ndarray, last: np.ndarray, pairs: np.ndarray, starts: list[int], terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Without rules that nothing uses, and without those that only one symbol of the text uses, which is written out."""
+    while len(pairs):
+        n = len(pairs)
+        in_text = np.bincount(s[s >= terminals] - terminals, minlength=n)
+        inner = pairs[pairs >= terminals] - terminals
+        in_rules = np.bincount(inner, minlength=n)
+        gone = (in_rules == 0) & (in_text <= 1)
+        if not gone.any():
+            break
+        old = np.zeros(len(s), bool)
+        own = s >= terminals
+        old[own] = gone[s[own] - terminals]
+        at = np.arange(len(s)) + np.cumsum(old) - old
+        size = len(s) + int(old.sum())
+        wider, ends = np.empty(size, np.uint32), np.zeros(size, bool)
+        wider[at], ends[at] = s, last
+        rule = pairs[s[old] - terminals]
+        wider[at[old]], wider[at[old] + 1] = rule[:, 0], rule[:, 1]
+        ends[at[old]], ends[at[old] + 1] = False, last[old]
+        number = np.concatenate([np.arange(terminals, dtype=np.uint32), (terminals + np.cumsum(~gone) - 1).astype(np.uint32)])
+        before = np.concatenate([[0], np.cumsum(~gone)])
+        s, last, pairs, starts = number[wider], ends, number[pairs[~gone]], [int(before[x]) for x in starts]
+    return s, last, pairs, starts
 
 
 class Shard:
     """A stored shard, for decoding whole or in part."""
 
     def __init__(self, data: bytes):
-        magic, docs, self.n_ids, self.terminals, rules, rounds, symbols = struct.unpack_from("<4s6I", data)
+        magic, docs, self.n_ids, self.terminals, rules, rounds, symbols, bits = struct.unpack_from("<4s7I", data)
         if magic != MAGIC:
             raise ValueError("not a shard")
-        at = 28
-
-        def take(n: int, kind: str = "<u4") -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.starts, self.per_doc, self.sizes = take(rounds), take(docs), take(docs)
-        self.rules, self.lengths = take(2 * rules).reshape(-1, 2), take(rules)
-        self.symbols = take(symbols, "<u2" if len(data) - at == 2 * symbols else "<u4").astype(np.uint32)
+        at = 32
+        heads = []
+        for n in (rounds, docs, docs):
+            heads.append(np.frombuffer(data, "<u4", n, at))
+            at += 4 * n
+        self.starts, self.per_doc, self.sizes = heads
+        flat, at = unpack(data, at, 2 * rules, bits)
+        self.rules = flat.reshape(-1, 2)
+        self.symbols, _ = unpack(data, at, symbols, bits)
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        """Ids that each symbol stands for."""
+        out = np.ones(self.terminals + len(self.rules), np.int64)
+        edges = [*self.starts.tolist(), len(self.rules)]
+        for a, z in pairwise(edges):
+            out[self.terminals + a : self.terminals + z] = out[self.rules[a:z]].sum(1)
+        return out
 
     def expand(self, s: np.ndarray) -> np.ndarray:
         for begin in self.starts[::-1].tolist():
@@ -140,9 +227,7 @@ class Shard:
 
     def range(self, start: int, n: int) -> np.ndarray:
         """ids [start, start + n) of the shard; only the symbols that hold them are expanded."""
-        sizes = np.ones(len(self.symbols), np.int64)
-        sizes[self.symbols >= self.terminals] = self.lengths[self.symbols[self.symbols >= self.terminals] - self.terminals]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(self.lengths[self.symbols])
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, min(start + n, self.n_ids), "left")
         skip = start - (int(ends[a - 1]) if a else 0)
         return self.expand(self.symbols[a : b + 1])[skip : skip + n]

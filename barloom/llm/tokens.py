@@ -69,13 +69,16 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array(self.code, self._raw(text)).tobytes()
 
-    def _plain(self, text: str, words: int) -> bool:
-        """Whether single blanks and line ends are all the white space, none of it at an end or next to another."""
+    @staticmethod
+    def _plain(text: str, words: list[str]) -> bool:
+        """Whether single blanks and line ends are all the white space, none of it at an end or next to another.
+
+        words are split at every white space that Python knows, so between two of them there is one character, and as
+        many characters are blanks or line ends as there are such places.
+        """
         if not words or "<|" in text:
             return False
-        if not self.spaced and any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return False
-        return words == text.count(" ") + text.count("\n") + 1
+        return len(words) == text.count(" ") + text.count("\n") + 1 and sum(map(len, words)) + len(words) - 1 == len(text)
 
     def _merge(self, word: str, blank: bool) -> bytes | None:
         """Ids of a word of letters; None where normalising might do more than lower-case."""
@@ -101,7 +104,7 @@ class Encoder:
         if not text:
             return b""
         words = text.split()
-        if not self._plain(text, len(words)):
+        if not self._plain(text, words):
             return self.whole(text)
         if not self.spaced:
             return b"".join(map(self.first.__getitem__, words))

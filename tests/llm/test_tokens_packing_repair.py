@@ -159,3 +159,46 @@ def test_shards_in_ascending_order(spark, docs):
     assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
     assert repair.read_shards(repair.write_shards(table.limit(0), path)).count() == 0
     assert shards.where(F.size("doc_ids") == 0).count() == 0
+
+
+#: Every character that Python or the vocabularies take for white space.
+BLANKS = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_ids_of_every_white_space_run(name):
+    encoder = Encoder(P.path(name))
+    same = lambda t: np.frombuffer(encoder.encode([t])[0], encoder.kind).tolist() == encoder._raw(t)
+    for a, b in itertools.product(BLANKS, repeat=2):
+        assert same(f"a{a}{b}b") and same(f"a\n{a}{b}b") and same(f"a {a}b{b}\nc") and same(f"{a}a b{b}")
+    r = random.Random(9)
+    for _ in range(5000):
+        assert same("".join(r.choice([*BLANKS, "\n", " ", " ", "a", "é", "Wort.", "b1"]) for _ in range(r.randint(1, 10))))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_shards_are_smaller_than_plain_packed_ids(sf):
+    import pyarrow.parquet as pq
+
+    encoder = Encoder(P.path("byte_bpe_50k.json"))
+    texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column("text").to_pylist()[:1500]
+    held = [x + np.array([0], encoder.kind).tobytes() for x in encoder.encode(texts)]
+    sizes = np.array([len(x) // encoder.kind.itemsize for x in held])
+    ids = np.frombuffer(b"".join(held), encoder.kind)
+    vocabulary = encoder.tokenizer.get_vocab_size()
+    payload = repair.compress(ids, sizes, vocabulary)
+    assert len(payload) < 0.75 * len(repair.pack(ids, (vocabulary - 1).bit_length()))
+    shard = repair.Shard(payload)
+    assert (shard.ids() == ids).all()
+    uses = np.bincount(np.concatenate([shard.symbols[shard.symbols >= vocabulary], shard.rules[shard.rules >= vocabulary]]) - vocabulary, minlength=len(shard.rules))
+    alone = np.bincount(shard.symbols[shard.symbols >= vocabulary] - vocabulary, minlength=len(shard.rules))
+    assert uses.min() >= 1 and not ((uses == 1) & (alone == 1)).any()
+
+
+def test_bits():
+    r = np.random.default_rng(1)
+    for bits in (1, 7, 9, 16, 17, 31):
+        x = r.integers(0, 1 << bits, 1003).astype(np.uint32)
+        data = repair.pack(x, bits)
+        assert len(data) == -(-1003 * bits // 8) and repair.unpack(data, 0, 1003, bits)[0].tolist() == x.tolist()
+    assert repair.unpack(b"", 0, 0, 9)[0].tolist() == []
