@@ -13,18 +13,27 @@ from ..operators import checks, indicators, reconcile
 from ..operators.adjust import adjust
 from ..operators.cross_section import cross_section, quality
 from ..sources.bars import adjustment_factors, raw_daily
+from ..stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def adjusted(spark: SparkSession, sf_dir: str, factor: str = "qfq_factor") -> DataFrame:
-    raw = raw_daily(spark, sf_dir)
-    return adjust(raw, adjustment_factors(raw), factor)
+    """Adjusted bars, stored once for each factor."""
+
+    def build() -> DataFrame:
+        raw = raw_daily(spark, sf_dir)
+        return adjust(raw, adjustment_factors(raw), factor)
+
+    return stored(spark, f"{sf_dir}/lineitem.parquet", f"adj_{factor}", build)
 
 
 def all_factors(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    return indicators.factors(adjusted(spark, sf_dir), **more)
+    """The indicator table, stored once; others than the usual indicators are computed from the stored bars."""
+    if more:
+        return indicators.factors(adjusted(spark, sf_dir), **more)
+    return stored(spark, f"{sf_dir}/lineitem.parquet", "factors", lambda: indicators.factors(adjusted(spark, sf_dir)))
 
 
 def rounded(df: DataFrame, spec: dict[str, int | None], keys: list[str] = KEY) -> DataFrame:

@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import series, tie_safe
+from ..stored import stored
 
 
 def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """market, symbol, trade_date, trade_year, open, high, low, close, volume, amount"""
+    """market, symbol, trade_date, trade_year, open, high, low, close, volume, amount; built once, bucketed by instrument."""
+    return stored(spark, f"{sf_dir}/lineitem.parquet", "raw_daily", lambda: build_raw_daily(spark, sf_dir))
+
+
+def build_raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     place = F.col("l_suppkey") % 3
     day = lines.groupBy(
