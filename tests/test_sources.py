@@ -5,6 +5,7 @@ import pytest
 
 from barloom.operators import reconcile, versions
 from barloom.sources import files
+from barloom.sources.day_source import DayReader
 from barloom.streaming import increments
 
 
@@ -27,6 +28,54 @@ def test_day_files(spark, tmp_path):
         files.day_files(spark, str(tmp_path), universe="none")
 
 
+def vipdoc(tmp_path, names):
+    for i, n in enumerate(names):
+        d = tmp_path / n[:2] / "lday"
+        d.mkdir(parents=True, exist_ok=True)
+        days = [20231229, 20240102, 20240103, 20240199, 20240105]
+        (d / f"{n}.day").write_bytes(b"".join(record(x, 100 + i, 120 + i, 90, 110, 5.0 * j, j) for j, x in enumerate(days)) + b"tail")
+    return str(tmp_path)
+
+
+NAMES = ["sh600000", "sh600001", "sh000300", "sz000001", "sz300001", "bj430001"]
+
+
+def test_conditions_prune_files_and_records(tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan, Not, StringStartsWith
+
+    def reader(*filters, **options):
+        r = DayReader({"path": vipdoc(tmp_path, NAMES), **options})
+        return r, list(r.pushFilters(list(filters)))
+
+    r, rest = reader(EqualTo(("market",), "sh"), Not(EqualTo(("symbol",), "600001")))
+    assert len(r.files()) == 2 and len(rest) == 1  # Spark judges the Not
+    assert [f.symbol for f in reader(In(("symbol",), ("000001", "600001")))[0].files()] == ["600001", "000001"]
+    assert [f.symbol for f in reader(StringStartsWith(("symbol",), "0"), universe="all")[0].files()] == ["000300", "000001"]
+    assert [f.market for f in reader(markets="sz,sh")[0].files()] == ["sz", "sz", "sh", "sh"]
+    assert [f.symbol for f in reader(markets="sz,sh", limit_symbols="3")[0].files()] == ["000001", "300001", "600000"]
+    assert reader(EqualTo(("symbol",), "600001"), markets="sz,sh", limit_symbols="3")[0].files() == []
+    r, rest = reader(GreaterThanOrEqual(("trade_date",), dt.date(2024, 1, 2)), LessThan(("trade_date",), dt.date(2024, 1, 4)), EqualTo(("market",), "bj"))
+    rows = [x for p in r.partitions() for b in r.read(p) for x in b.to_pylist()]
+    assert rest == [] and [x["trade_date"].day for x in rows] == [2, 3] and rows[0]["volume"] == 1
+    # Tasks by size: a record a task, a file a task, all in one.
+    assert [len(reader(partition_bytes=n)[0].partitions()) for n in (32, 5 * 32, 10 * 32, 1 << 20)] == [25, 5, 3, 1]
+    for n in (32, 64, 1 << 20):
+        r, _ = reader(partition_bytes=n)
+        assert sum(b.num_rows for p in r.partitions() for b in r.read(p)) == 4 * 5  # the 99th of January is no day
+    for bad in ({"markets": "xx"}, {"universe": "some"}):
+        with pytest.raises(ValueError):
+            reader(**bad)
+
+
+def test_day_files_through_spark(spark, tmp_path):
+    path = vipdoc(tmp_path, NAMES)
+    df = files.day_files(spark, path, start="2024-01-01", universe="all", markets=("sz", "sh")).where("market = 'sh' and symbol like '600%' and volume > 1")
+    assert "PushedFilters" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() == 1
+    assert sorted((r.symbol, r.trade_date.day, r.trade_year) for r in df.collect()) == [(s, d, 2024) for s in ("600000", "600001") for d in (3, 5)]
+    (tmp_path / "empty").mkdir()
+    assert files.day_files(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_export_files_and_names(spark, tmp_path):
     text = "600000 浦发银行 日线\r\n日期\t开\t高\t低\t收\t量\t额\r\n2024/01/02\t1\t2\t0.5\t1.5\t100.0\t1000\r\n02-01-2020\t1\t2\t0.5\t1.4\t7\t8\r\nshort\t1\r\n"
     (tmp_path / "SH#600000.txt").write_bytes(text.encode("gbk"))
