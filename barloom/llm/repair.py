@@ -222,8 +222,21 @@ class Shard:
             s = out
         return s
 
+    @cached_property
+    def written_out(self) -> tuple[np.ndarray, np.ndarray]:
+        """What all symbols stand for, one after the other, and where each of them begins."""
+        return np.concatenate([np.arange(self.terminals, dtype=np.uint32), self.expand(self.rules.ravel())]), np.cumsum(self.lengths) - self.lengths
+
+    def spelled(self, s: np.ndarray) -> np.ndarray:
+        """Ids of symbols, looked up in what each stands for."""
+        flat, begins = self.written_out
+        n = self.lengths[s]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(s) else 0
+        return flat[np.repeat(begins[s] - (ends - n), n) + np.arange(total)]
+
     def ids(self) -> np.ndarray:
-        return self.expand(self.symbols)
+        return self.spelled(self.symbols)
 
     def range(self, start: int, n: int) -> np.ndarray:
         """ids [start, start + n) of the shard; only the symbols that hold them are expanded."""

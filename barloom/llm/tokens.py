@@ -20,8 +20,8 @@ import numpy as np
 
 #: Words, and words without the punctuation after them, that a Python worker keeps for each place, about 250 bytes each;
 #: longer ones, and those that come later, are encoded whenever they occur.
-CACHE_WORDS = 600_000
-CACHE_STEMS = 300_000
+CACHE_WORDS = 900_000
+CACHE_STEMS = 500_000
 CACHE_LETTERS = 64
 
 
