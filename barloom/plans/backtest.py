@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import frame, series, tie_safe
+from .accounts import Account, account_of, account_periods, ledger, marked_equity, outcomes, shares, simulate  # noqa: F401  (one name for all of a backtest)
 
 k = F.col
 
@@ -30,26 +31,34 @@ def bars_with_state(f: DataFrame) -> DataFrame:
     return f.select("market", "symbol", "trade_date", "rn", "o", "h", "l", "c", "is_limit_up", "is_limit_down", "is_suspended", F.avg("c").over(frame(20)).alias("m20"), F.avg(k("h") - k("l")).over(frame(14)).alias("a14"))
 
 
-def trades(signals: DataFrame, bars: DataFrame, hold: int = 10, chandelier: float = 3.0, costs: Costs = Costs()) -> DataFrame:
-    """One row a signal (signal_date, market, symbol, rank, score): bought at the next bar's open, sold at the first trigger's.
+def trades_by_hold(signals: DataFrame, bars: DataFrame, holds: list[int], chandelier: float = 3.0, costs: Costs = Costs()) -> DataFrame:
+    """One row a signal (signal_date, market, symbol, rank, score) and holding time: bought at the next bar's open, sold at the first trigger's.
 
-    Each signal is joined with its next `hold` bars by number, an equi-join; bars on which a sale is blocked are passed
-    over. The exit is at the open of the first bar that closes under its mean, falls `chandelier` mean ranges under the
-    highest high since the purchase, or ends the holding time.
+    Each signal is joined with as many of its next bars, by number, as the longest holding time has, an equi-join; bars on
+    which a sale is blocked are passed over. The exit is at the open of the first bar that closes under its mean, falls
+    `chandelier` mean ranges under the highest high since the purchase, or ends the holding time. All holding times are
+    aggregates of one walk.
     """
-    b = bars.alias("b")
-    at = signals.join(bars.select("market", "symbol", k("trade_date").alias("signal_date"), "rn"), ["market", "symbol", "signal_date"])
+    key = ["market", "symbol", "signal_date"]
+    at = signals.join(bars.select("market", "symbol", k("trade_date").alias("signal_date"), "rn"), key)
     buy = at.withColumn("buy_rn", k("rn") + 1).join(bars.select("market", "symbol", k("rn").alias("buy_rn"), k("trade_date").alias("buy_date"), k("o").alias("buy_price"), ((k("is_limit_up") == 1) | (k("is_suspended") == 1)).alias("buy_blocked")), ["market", "symbol", "buy_rn"], "left").drop("rn")
-    days = buy.where(~k("buy_blocked")).withColumn("rn", F.explode(F.sequence(k("buy_rn") + 1, k("buy_rn") + hold)))
-    walk = days.join(b, ["market", "symbol", "rn"]).where((k("is_limit_down") == 0) & (k("is_suspended") == 0))
-    own = Window.partitionBy("market", "symbol", "signal_date").orderBy("rn")
-    walk = walk.withColumn("hh", F.max("h").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    reason = F.when(k("c") < k("m20"), "ma_breakdown").when(k("c") <= k("hh") - chandelier * k("a14"), "atr_chandelier_stop").when(k("rn") >= k("buy_rn") + hold, "max_holding_days")
-    exits = walk.withColumn("exit_reason", reason).where("exit_reason is not null").groupBy("market", "symbol", "signal_date").agg(F.min_by(F.struct("trade_date", "o", "exit_reason"), "rn").alias("x"))
-    out = buy.join(exits, ["market", "symbol", "signal_date"], "left")
+    days = buy.where(~k("buy_blocked")).select(*key, "buy_rn", F.explode(F.sequence(k("buy_rn") + 1, k("buy_rn") + max(holds))).alias("rn"))
+    walk = days.join(bars, ["market", "symbol", "rn"]).where((k("is_limit_down") == 0) & (k("is_suspended") == 0))
+    walk = walk.withColumn("hh", F.max("h").over(Window.partitionBy(*key).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)))
+    early = F.when(k("c") < k("m20"), "ma_breakdown").when(k("c") <= k("hh") - chandelier * k("a14"), "atr_chandelier_stop")
+    left = walk.withColumn("early", early).withColumn("x", F.struct("trade_date", "o", F.coalesce("early", F.lit("max_holding_days")).alias("exit_reason")))
+    ends = lambda n: (k("rn") <= k("buy_rn") + n) & (k("early").isNotNull() | (k("rn") == k("buy_rn") + n))
+    each = F.array(*[F.struct(F.lit(n).alias("hold"), F.min_by("x", F.when(ends(n), k("rn"))).alias("x")) for n in holds])
+    exits = left.groupBy(*key).agg(each.alias("e")).select(*key, F.explode("e").alias("e")).select(*key, "e.*")
+    out = buy.withColumn("hold", F.explode(F.array(*[F.lit(n) for n in holds]))).join(exits, [*key, "hold"], "left")
     gross = F.try_divide(k("x.o"), k("buy_price")) - 1
     skip = F.when(k("buy_price").isNull(), "missing_price").when(k("buy_blocked"), "limit_up/suspended").when(k("x.o").isNull(), "missing_price")
-    return out.select("signal_date", "market", "symbol", "rank", "score", "buy_date", "buy_price", k("x.trade_date").alias("sell_date"), k("x.o").alias("sell_price"), k("x.exit_reason").alias("exit_reason"), skip.alias("skipped"), gross.alias("gross"), (gross - costs.round_trip).alias("net"))
+    return out.select("hold", "signal_date", "market", "symbol", "rank", "score", "buy_date", "buy_price", k("x.trade_date").alias("sell_date"), k("x.o").alias("sell_price"), k("x.exit_reason").alias("exit_reason"), skip.alias("skipped"), gross.alias("gross"), (gross - costs.round_trip).alias("net"))
+
+
+def trades(signals: DataFrame, bars: DataFrame, hold: int = 10, chandelier: float = 3.0, costs: Costs = Costs()) -> DataFrame:
+    """:func:`trades_by_hold` of one holding time."""
+    return trades_by_hold(signals, bars, [hold], chandelier, costs).drop("hold")
 
 
 def periods(t: DataFrame) -> DataFrame:
@@ -140,23 +149,31 @@ def annual(total: Column, days: Column) -> Column:
     return F.when(days > 0, F.pow(1 + total, F.lit(365.0) / days) - 1).otherwise(total)
 
 
-def scan_periods(signals: DataFrame, bars: DataFrame, min_scores: list[float], amounts: list[float], tops: list[int], holds: list[int], costs: Costs = Costs()) -> DataFrame:
-    """(min_score, min_amount, top, hold, signal_date, r, n, won) of every combination, from one matching for each holding time.
+SCAN = ["min_score", "min_amount", "top", "hold"]
+
+
+def scan_trades(signals: DataFrame, bars: DataFrame, min_scores: list[float], amounts: list[float], tops: list[int], holds: list[int], costs: Costs = Costs()) -> DataFrame:
+    """(min_score, min_amount, top, hold, signal_date, sell_date, net) of every combination's trades, from one matching for all.
 
     signals are the widest ones, with score and amount_ma20; each combination takes its first `top` of those it admits.
     """
-    every = None
-    for hold in holds:
-        t = trades(signals, bars, hold, costs=costs).withColumn("hold", F.lit(hold))
-        every = t if every is None else every.union(t)
+    every = trades_by_hold(signals, bars, holds, costs=costs)
     amount = signals.select("signal_date", "market", "symbol", "amount_ma20")
     grid = F.array(*[F.struct(F.lit(float(s)).alias("min_score"), F.lit(float(a)).alias("min_amount"), F.lit(t).alias("top")) for s in min_scores for a in amounts for t in tops])
     x = every.join(amount, ["signal_date", "market", "symbol"]).withColumn("g", F.explode(grid)).where((k("score") >= k("g.min_score")) & (k("amount_ma20") >= k("g.min_amount")))
-    x = x.select("g.*", "hold", "signal_date", "rank", "skipped", "net")
-    key = ["min_score", "min_amount", "top", "hold"]
-    first = Window.partitionBy(*key, "signal_date").orderBy("rank")
-    x = x.withColumn("place", F.row_number().over(first)).where((k("place") <= k("top")) & k("skipped").isNull())
-    return x.groupBy(*key, "signal_date").agg(tie_safe(F.avg("net"), 6).alias("r"), F.count("*").alias("n"), F.count_if(k("net") > 0).alias("won"))
+    x = x.select("g.*", "hold", "signal_date", "sell_date", "rank", "skipped", "net")
+    first = Window.partitionBy(*SCAN, "signal_date").orderBy("rank")
+    return x.withColumn("place", F.row_number().over(first)).where((k("place") <= k("top")) & k("skipped").isNull()).select(*SCAN, "signal_date", "sell_date", "net")
+
+
+def periods_of(t: DataFrame, key: list[str]) -> DataFrame:
+    """(key, signal_date, r, n, won): mean net return, trades and winners of each signal date."""
+    return t.groupBy(*key, "signal_date").agg(tie_safe(F.avg("net"), 6).alias("r"), F.count("*").alias("n"), F.count_if(k("net") > 0).alias("won"))
+
+
+def scan_periods(signals: DataFrame, bars: DataFrame, min_scores: list[float], amounts: list[float], tops: list[int], holds: list[int], costs: Costs = Costs()) -> DataFrame:
+    """(min_score, min_amount, top, hold, signal_date, r, n, won) of every combination."""
+    return periods_of(scan_trades(signals, bars, min_scores, amounts, tops, holds, costs), SCAN)
 
 
 def rated(p: DataFrame, key: list[str]) -> DataFrame:
@@ -167,9 +184,6 @@ def rated(p: DataFrame, key: list[str]) -> DataFrame:
     return x.select(*key, "trades", "periods", "total_return", "annual_return", "max_drawdown", "win_rate", tie_safe(k("annual_return") - F.abs("max_drawdown") + 0.1 * k("win_rate"), 6).alias("research_score"))
 
 
-SCAN = ["min_score", "min_amount", "top", "hold"]
-
-
 def parameter_scan(signals: DataFrame, bars: DataFrame, min_scores: list[float], amounts: list[float], tops: list[int], holds: list[int], costs: Costs = Costs()) -> DataFrame:
     return rated(scan_periods(signals, bars, min_scores, amounts, tops, holds, costs), SCAN)
 
@@ -209,185 +223,3 @@ def monte_carlo(spark: SparkSession, returns: list[float], iterations: int = 10_
     x = spark.range(iterations).mapInPandas(run, "total double, dd double")
     p = lambda c: [F.percentile(c, q).alias(f"{c}_p{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)]
     return x.agg(F.count("*").alias("iterations"), *p("total"), *p("dd"))
-
-
-@dataclass(frozen=True)
-class Account:
-    cash: float = 1_000_000.0
-    max_positions: int = 5
-    hold_days: int = 20
-    max_hold_days: int | None = None
-    min_hold_days: int = 1
-    hard_stop: float | None = 0.10
-    chandelier: float | None = None
-    stop_atr: float | None = None
-    trailing: float | None = None
-    profit_atr: float | None = None
-    stop_loss: float | None = None
-    take_profit: float | None = 0.25
-    ma_break: bool = False
-    momentum: bool = False
-    score_below: float | None = None
-    #: A mean range as a share of the purchase price.
-    atr_share: float = 0.03
-    #: From this yearly volatility on, and down to that one, the stop's multiple is another.
-    high_volatility: tuple[float, float] | None = None
-    low_volatility: tuple[float, float] | None = None
-    margin_rate: float = 1.0
-    fee: float = 0.0003
-    slip: float = 0.001
-    lot: int = 100
-
-    @property
-    def stop_multiple(self) -> float | None:
-        year = self.atr_share * 252**0.5
-        if self.stop_atr is None:
-            return None
-        if self.high_volatility and year >= self.high_volatility[0]:
-            return self.high_volatility[1]
-        if self.low_volatility and year <= self.low_volatility[0]:
-            return self.low_volatility[1]
-        return self.stop_atr
-
-
-def shares(cash: float, price: float, initial: float, positions: int, lot: int = 100) -> int:
-    """What an equal part of the initial cash, or what is left, buys in whole lots."""
-    return int(min(initial / positions, cash) / price // lot) * lot if price > 0 and cash > 0 and positions > 0 else 0
-
-
-def exit_rules(a: Account) -> Column:
-    """The reason for leaving at a bar's open, null for staying; columns: o, h, l, c, top (highest high), buy_price, days, direction, last_score."""
-    atr = F.greatest(k("buy_price") * max(a.atr_share, 0.001), F.lit(0.01))
-    rules: list[tuple[str, Column]] = []
-    if a.chandelier:
-        rules.append(("chandelier_stop", k("o") <= k("top") - a.chandelier * atr))
-    if a.stop_multiple:
-        rules.append(("atr_stop_loss", k("o") <= k("top") - a.stop_multiple * atr))
-    if a.trailing:
-        rules.append(("trailing_take_profit", k("o") <= k("top") * (1 - a.trailing)))
-    if a.profit_atr:
-        rules.append(("atr_take_profit", k("o") >= k("buy_price") + a.profit_atr * atr))
-    if a.stop_loss:
-        rules.append(("stop_loss", k("o") <= k("buy_price") * (1 - a.stop_loss)))
-    if a.take_profit:
-        rules.append(("take_profit", k("o") >= k("buy_price") * (1 + a.take_profit)))
-    if a.ma_break:
-        rules.append(("ma_breakdown", k("c") < (k("c") + k("h") + k("l") + k("o")) / 4))
-    if a.momentum:
-        rules.append(("momentum_negative", k("c") < k("o")))
-    long = k("direction") != "SHORT"
-    out = F.lit(None).cast("string")
-    technical = F.lit(None).cast("string")
-    for name, when in reversed(rules):
-        technical = F.when(when, name).otherwise(technical)
-    if a.hard_stop:
-        out = F.when(long & (k("o") <= k("buy_price") * (1 - a.hard_stop)), "hard_stop_loss")
-    out = F.coalesce(out, F.when(long & (k("days") >= max(a.min_hold_days, 0)), technical))
-    if a.score_below is not None:
-        out = F.coalesce(out, F.when(k("last_score") < a.score_below, "score_below_threshold"))
-    if a.max_hold_days is not None:
-        out = F.coalesce(out, F.when(k("days") >= a.max_hold_days, "max_holding_days"))
-    return F.coalesce(out, F.when(k("days") >= a.hold_days, "hold_days"))
-
-
-def outcomes(signals: DataFrame, bars: DataFrame, a: Account) -> DataFrame:
-    """What each signal (signal_date, market, symbol, rank, score[, direction]) would do if it were bought at the next bar's open:
-    (..., buy_date, buy_price, blocked, sell_date, sell_price, exit_reason). No cash yet, so signals are independent: equi-joins
-    on bar numbers and windows by signal.
-
-    A position meets the bars up to the first one on which it may be sold after its holding time; blocked bars are passed over.
-    """
-    direction = F.coalesce("direction", F.lit("LONG")) if "direction" in signals.columns else F.lit("LONG")
-    s = signals.select("signal_date", "market", "symbol", "rank", "score", direction.alias("direction"))
-    stuck = lambda side: (k("is_suspended") == 1) | (k(f"is_limit_{side}") == 1)
-    by = Window.partitionBy("market", "symbol")
-    later = by.orderBy(F.unix_date("trade_date")).rangeBetween(a.hold_days if a.max_hold_days is None else min(a.hold_days, a.max_hold_days), Window.unboundedFollowing)
-    b = bars.select("market", "symbol", "trade_date", "rn", "o", "h", "l", "c", "is_limit_up", "is_limit_down", "is_suspended")
-    ends = b.withColumns({
-        "end_long": F.coalesce(F.min(F.when(~stuck("down"), k("rn"))).over(later), F.max("rn").over(by)),
-        "end_short": F.coalesce(F.min(F.when(~stuck("up"), k("rn"))).over(later), F.max("rn").over(by)),
-    })
-    at = s.join(b.select("market", "symbol", k("trade_date").alias("signal_date"), (k("rn") + 1).alias("buy_rn")), ["market", "symbol", "signal_date"])
-    short = k("direction") == "SHORT"
-    first = ends.select("market", "symbol", k("rn").alias("buy_rn"), k("trade_date").alias("buy_date"), k("o").alias("buy_price"), k("h").alias("buy_high"), "end_long", "end_short", stuck("up").alias("no_long"), stuck("down").alias("no_short"))
-    buy = at.join(first, ["market", "symbol", "buy_rn"]).withColumns({"blocked": F.when(short, k("no_short")).otherwise(k("no_long")), "end": F.when(short, k("end_short")).otherwise(k("end_long"))}).drop("no_long", "no_short", "end_long", "end_short")
-    days = buy.where(~k("blocked") & (k("end") > k("buy_rn"))).withColumn("rn", F.explode(F.sequence(k("buy_rn") + 1, k("end"))))
-    own = Window.partitionBy("market", "symbol", "signal_date", "direction").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    walk = days.join(b, ["market", "symbol", "rn"]).withColumn("days", F.datediff("trade_date", "buy_date"))
-    # A later signal of the instrument brings its score to the bar after its own.
-    news = at.select("market", "symbol", k("buy_rn").alias("rn"), k("score").alias("news")).groupBy("market", "symbol", "rn").agg(F.max("news").alias("news"))
-    walk = walk.join(news, ["market", "symbol", "rn"], "left").withColumn("last_score", F.coalesce(F.last("news", ignorenulls=True).over(own), k("score")))
-    open_ = walk.where(~F.when(short, stuck("up")).otherwise(stuck("down")))
-    # The highest high counts bars at which the technical rules are asked.
-    top = F.max(F.when(k("days") >= a.min_hold_days, k("h"))).over(own)
-    left = open_.withColumn("top", F.greatest("buy_high", top)).withColumn("exit_reason", exit_rules(a)).where("exit_reason is not null")
-    exits = left.groupBy("market", "symbol", "signal_date", "direction").agg(F.min_by(F.struct("trade_date", "o", "exit_reason"), "rn").alias("x"))
-    return buy.join(exits, ["market", "symbol", "signal_date", "direction"], "left").select("signal_date", "market", "symbol", "rank", "score", "direction", "buy_date", "buy_price", "blocked", k("x.trade_date").alias("sell_date"), k("x.o").alias("sell_price"), k("x.exit_reason").alias("exit_reason"))
-
-
-def simulate(signals: DataFrame, bars: DataFrame, a: Account = Account()) -> DataFrame:
-    """Trades of accounts with shared cash, day by day: exits before entries, all at the open; open positions have no sell_date.
-
-    Exits do not depend on cash, so joins and windows find them (:func:`outcomes`). What is left is one path through time
-    for each account: a group holds its signals, a few a day, and no bars. signals may have a column account.
-    """
-    account = k("account") if "account" in signals.columns else F.lit("main")
-    known = outcomes(signals, bars, a).where(~k("blocked"))
-    named = signals.select(account.cast("string").alias("account"), "signal_date", "market", "symbol").distinct()
-    rows = known.join(named, ["signal_date", "market", "symbol"])
-    cost = a.fee + a.slip
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        cash, margin, held, out = a.cash, 0.0, {}, []
-        events = [(d, 0, 0, "", "", i) for i, d in g["sell_date"].items() if not pd.isna(d)]
-        events += [(r.buy_date, 1, r.rank, r.market, r.symbol, i) for i, r in zip(g.index, g.itertuples())]
-        for _, kind, *_, i in sorted(events):
-            r = g.loc[i]
-            if kind == 0:
-                if held.get(r.symbol, (None,))[0] != i:
-                    continue
-                _, n, locked = held.pop(r.symbol)
-                if r.direction == "SHORT":
-                    cash -= n * r.sell_price * (1 + cost)
-                    margin = max(0.0, margin - locked)
-                    gross = r.buy_price / r.sell_price - 1
-                    net = gross - 2 * cost
-                else:
-                    cash += n * r.sell_price * (1 - cost)
-                    gross = r.sell_price / r.buy_price - 1
-                    net = r.sell_price * (1 - cost) / (r.buy_price * (1 + cost)) - 1
-                out.append((r.account, r.market, r.symbol, r.direction, r.signal_date, r.buy_date, r.sell_date, n, r.buy_price, r.sell_price, round(gross, 6), round(net, 6), r.exit_reason))
-                continue
-            if len(held) >= a.max_positions or r.symbol in held:
-                continue
-            free = max(0.0, cash - margin)
-            n = shares(free, r.buy_price, a.cash, a.max_positions, a.lot)
-            short = r.direction == "SHORT"
-            locked = n * r.buy_price * a.margin_rate if short else 0.0
-            if n < a.lot or (locked > free if short else n * r.buy_price * (1 + cost) > free):
-                continue
-            cash += n * r.buy_price * (1 - cost) if short else -n * r.buy_price * (1 + cost)
-            margin += locked
-            held[r.symbol] = (i, n, locked)
-        for i, n, _ in held.values():
-            r = g.loc[i]
-            out.append((r.account, r.market, r.symbol, r.direction, r.signal_date, r.buy_date, None, n, r.buy_price, None, None, None, None))
-        return pd.DataFrame(out, columns=["account", "market", "symbol", "direction", "signal_date", "buy_date", "sell_date", "shares", "buy_price", "sell_price", "gross", "net", "exit_reason"])
-
-    return rows.groupBy("account").applyInPandas(run, "account string, market string, symbol string, direction string, signal_date date, buy_date date, sell_date date, shares long, buy_price double, sell_price double, gross double, net double, exit_reason string")
-
-
-def marked_equity(done: DataFrame, bars: DataFrame, a: Account = Account()) -> DataFrame:
-    """(account, trade_date, cash, market_value, equity) of every day, positions at the day's close (without a bar: at their price)."""
-    cost = a.fee + a.slip
-    side = F.when(k("direction") == "SHORT", -1.0).otherwise(1.0)
-    bought = done.select("account", k("buy_date").alias("trade_date"), (-side * k("shares") * k("buy_price") * (1 + side * cost)).alias("flow"))
-    sold = done.where("sell_date is not null").select("account", k("sell_date").alias("trade_date"), (side * k("shares") * k("sell_price") * (1 - side * cost)).alias("flow"))
-    flows = bought.union(sold).groupBy("account", "trade_date").agg(F.sum("flow").alias("flow"))
-    dates = bars.select("trade_date").distinct()
-    days = dates.join(F.broadcast(done.select("account").distinct()))
-    cash = days.join(flows, ["account", "trade_date"], "left").withColumn("cash", a.cash + F.sum(F.coalesce("flow", F.lit(0.0))).over(Window.partitionBy("account").orderBy("trade_date")))
-    open_ = done.join(dates, (k("trade_date") >= k("buy_date")) & (k("sell_date").isNull() | (k("trade_date") < k("sell_date"))))
-    value = open_.join(bars.select("market", "symbol", "trade_date", "c"), ["market", "symbol", "trade_date"], "left").groupBy("account", "trade_date").agg(F.sum(side * k("shares") * F.coalesce("c", "buy_price")).alias("market_value"))
-    x = cash.join(value, ["account", "trade_date"], "left").withColumn("market_value", F.coalesce("market_value", F.lit(0.0)))
-    return x.select("account", "trade_date", tie_safe("cash", 6).alias("cash"), tie_safe("market_value", 6).alias("market_value"), tie_safe(k("cash") + k("market_value"), 6).alias("equity"))

@@ -89,15 +89,34 @@ QUERIES["benchmark_return"] = lambda s, d: bt.benchmark(all_factors(s, d), "sz",
 ORACLE["benchmark_return"] = oracle.sql(f"SELECT market, symbol, count(*) AS n, {R('arg_max(c, trade_date) / arg_min(c, trade_date) - 1')} AS ret FROM base WHERE market = 'sz' AND symbol = '000001' GROUP BY 1, 2 HAVING count(*) >= 2", "base")
 QUERIES["monthly_returns"] = lambda s, d: bt.monthly_returns(all_factors(s, d))
 ORACLE["monthly_returns"] = oracle.sql(f"SELECT market, symbol, month, {R('c')} AS close, {R('c / nullif(lag(c) OVER (PARTITION BY market, symbol ORDER BY month), 0) - 1')} AS ret FROM (SELECT market, symbol, CAST(date_trunc('month', trade_date) AS DATE) AS month, arg_max(c, trade_date) AS c FROM base GROUP BY 1, 2, 3)", "base")
-# Walks through time or random draws: no SQL.
+# Walks through time or random draws: no SQL, but for an account of one position.
 def accounts(s: SparkSession, d: str) -> DataFrame:
-    """Three accounts' signals: one buys, one also sells short the day's last pick, one takes the first pick alone."""
+    """Three accounts' signals: one buys, one also sells every second pick of a day short, one takes the first pick alone."""
     sig, _ = parts(s, d)
-    side = F.when((F.col("account") == "hedged") & (F.col("rank") == TOP), "SHORT").otherwise("LONG")
+    side = F.when((F.col("account") == "hedged") & (F.col("rank") % 2 == 0), "SHORT").otherwise("LONG")
     return sig.withColumn("account", F.explode(F.array(F.lit("long"), F.lit("hedged"), F.lit("first")))).where((F.col("account") != "first") | (F.col("rank") == 1)).withColumn("direction", side)
 
 
 RULES = bt.Account(chandelier=3.0, trailing=0.08, stop_loss=0.07, take_profit=0.2, hold_days=30)
 QUERIES["stateful_simulation"] = lambda s, d: bt.simulate(accounts(s, d), all_factors(s, d), RULES)
 QUERIES["stateful_equity"] = lambda s, d: (lambda f: bt.marked_equity(bt.simulate(accounts(s, d), f, RULES), f, RULES))(all_factors(s, d))
+QUERIES["stateful_periods"] = lambda s, d: (lambda f: bt.account_periods(bt.ledger(accounts(s, d), f, RULES), f, RULES))(all_factors(s, d))
+ALONE = bt.Account(max_positions=1)
+QUERIES["stateful_single"] = lambda s, d: bt.simulate(parts(s, d)[0], all_factors(s, d), ALONE).select("market", "symbol", "signal_date", "buy_date", "sell_date", "shares", tie_safe("buy_price", 6).alias("buy_price"), tie_safe("sell_price", 6).alias("sell_price"), "net", "exit_reason")
+_COST = ALONE.fee + ALONE.slip
+ORACLE["stateful_single"] = sql(
+    f"""SELECT x.market, x.symbol, x.signal_date, x.buy_date, x.sell_date, CAST(n AS BIGINT) AS shares, {R('x.buy_price')} AS buy_price, {R('x.sell_price')} AS sell_price, round(x.sell_price * (1 - {_COST!r}::DOUBLE) / (x.buy_price * (1 + {_COST!r}::DOUBLE)) - 1, 6) AS net, x.exit_reason FROM (SELECT i, x, n FROM w WHERE i > 0)""",
+    SIG,
+    f"""cal AS MATERIALIZED (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS next_date FROM (SELECT DISTINCT trade_date FROM base)),
+ent AS MATERIALIZED (SELECT s.signal_date, s.market, s.symbol, s.rank, b.trade_date AS buy_date, b.o AS buy_price FROM sig s JOIN cal c ON c.trade_date = s.signal_date JOIN base b ON b.market = s.market AND b.symbol = s.symbol AND b.trade_date = c.next_date WHERE b.is_limit_up = 0 AND b.is_suspended = 0),
+lft AS (SELECT e.*, b.trade_date, b.o, CASE WHEN b.o <= buy_price * (1 - {ALONE.hard_stop}::DOUBLE) THEN 'hard_stop_loss' WHEN b.o <= buy_price * (1 - {ALONE.stop_loss}::DOUBLE) THEN 'stop_loss' WHEN b.trade_date - buy_date >= {ALONE.hold_days} THEN 'hold_days' END AS why
+  FROM ent e JOIN base b ON b.market = e.market AND b.symbol = e.symbol AND b.trade_date > e.buy_date WHERE b.is_limit_down = 0 AND b.is_suspended = 0),
+fin AS (SELECT signal_date, market, symbol, min(trade_date) AS sell_date, arg_min(o, trade_date) AS sell_price, arg_min(why, trade_date) AS exit_reason FROM lft WHERE why IS NOT NULL GROUP BY ALL),
+pos AS MATERIALIZED (SELECT e.*, sell_date, sell_price, exit_reason FROM ent e LEFT JOIN fin USING (signal_date, market, symbol)),
+w AS (SELECT 0 AS i, struct_pack(signal_date := DATE '1900-01-01', market := '', symbol := '', rank := 0::BIGINT, buy_date := DATE '1900-01-01', buy_price := 0.0::DOUBLE, sell_date := DATE '1900-01-01', sell_price := 0.0::DOUBLE, exit_reason := '') AS x, 0.0::DOUBLE AS n, {ALONE.cash}::DOUBLE AS cash
+  UNION ALL SELECT i + 1, x, n, cash - n * x.buy_price * (1 + {_COST!r}::DOUBLE) + CASE WHEN x.sell_date IS NULL THEN 0.0::DOUBLE ELSE n * x.sell_price * (1 - {_COST!r}::DOUBLE) END FROM (
+    SELECT i, cash, arg_min(struct_pack(signal_date := p.signal_date, market := p.market, symbol := p.symbol, rank := CAST(p.rank AS BIGINT), buy_date := p.buy_date, buy_price := p.buy_price, sell_date := p.sell_date, sell_price := p.sell_price, exit_reason := p.exit_reason), (p.buy_date, p.rank, p.market, p.symbol)) AS x,
+      arg_min(floor(least({ALONE.cash}::DOUBLE, cash) / p.buy_price / {ALONE.lot}) * {ALONE.lot}, (p.buy_date, p.rank, p.market, p.symbol)) AS n
+    FROM w JOIN pos p ON p.buy_date >= w.x.sell_date WHERE floor(least({ALONE.cash}::DOUBLE, cash) / p.buy_price / {ALONE.lot}) >= 1 AND floor(least({ALONE.cash}::DOUBLE, cash) / p.buy_price / {ALONE.lot}) * {ALONE.lot} * p.buy_price * (1 + {_COST!r}::DOUBLE) <= cash GROUP BY i, cash))""",
+)
 QUERIES["monte_carlo"] = lambda s, d: bt.monte_carlo(s, [r["r"] for r in bt.periods(all_trades(s, d)).orderBy("signal_date").collect()], 2000)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tie_safe
-from .backtest import Costs, annual, folded, rated
+from .backtest import Costs, annual, folded, periods_of, rated
 
 k = F.col
 
@@ -79,22 +79,49 @@ def diagnostics(scan: DataFrame, key: list[str]) -> DataFrame:
     return x.drop("n").crossJoin(F.broadcast(ends)).where(near).groupBy("n", "best", "median").agg(F.count("*").alias("plateau")).select("n", "best", "median", lone.alias("isolated_peak"), "plateau")
 
 
-def walk_forward(periods: DataFrame, key: list[str], train_years: int = 3, test_years: int = 1) -> DataFrame:
+def fold_trades(t: DataFrame, starts: DataFrame, first: int, n: int) -> DataFrame:
+    """Trades of every phase that are signalled and closed within its years [start + first, start + first + n).
+
+    A trade that closes after the fold's last day is cut: its result was not known there, and it would carry what happened
+    in the test years into the training.
+    """
+    year, closed = F.year("signal_date"), F.year("sell_date")
+    return t.join(F.broadcast(starts), (year >= k("start") + first) & (closed < k("start") + first + n) & (year < k("start") + first + n))
+
+
+def stitched(p: DataFrame, phase: str = "start") -> DataFrame:
+    """Periods (phase, ..., signal_date, r) with equity: each phase compounds from 1, rounded to six places at every step, and
+    is scaled so that its first value is the last one of the phase before.
+
+    A phase is one path of as many periods as its days, and there are as few phases as years.
+    """
+    step = lambda acc, x: F.struct(tie_safe(acc["e"] * (1 + x["r"]), 6).alias("e"), F.concat(acc["path"], F.array(tie_safe(acc["e"] * (1 + x["r"]), 6))).alias("path"))
+    rows = F.array_sort(F.collect_list(F.struct(*[k(c) for c in ("signal_date", *[c for c in p.columns if c not in (phase, "signal_date")])])))
+    start = F.struct(F.lit(1.0).alias("e"), F.array().cast("array<double>").alias("path"))
+    paths = p.groupBy(phase).agg(rows.alias("rows")).withColumn("path", F.aggregate("rows", start, step, lambda acc: acc["path"]))
+    ends = paths.select(phase, F.element_at("path", 1).alias("a"), F.element_at("path", -1).alias("z"))
+    chain = lambda acc, x: F.struct(tie_safe(x["z"] * (acc["now"] / x["a"]), 6).alias("now"), F.concat(acc["scales"], F.array(F.struct(x[phase].alias(phase), (acc["now"] / x["a"]).alias("scale")))).alias("scales"))
+    kind = p.schema[phase].dataType.simpleString()
+    begin = F.struct(F.lit(1.0).alias("now"), F.array().cast(f"array<struct<{phase}:{kind},scale:double>>").alias("scales"))
+    scales = ends.agg(F.array_sort(F.collect_list(F.struct(phase, "a", "z"))).alias("ends")).select(F.explode(F.aggregate("ends", begin, chain, lambda acc: acc["scales"])).alias("s")).select("s.*")
+    out = paths.join(F.broadcast(scales), phase).select(phase, "scale", F.explode(F.arrays_zip("rows", "path")).alias("x"))
+    return out.select(phase, "x.rows.*", tie_safe(k("x.path") * k("scale"), 6).alias("equity"))
+
+
+def walk_forward(trades: DataFrame, key: list[str], train_years: int = 3, test_years: int = 1) -> DataFrame:
     """(phase, key..., train_score, signal_date, r, n, equity): in each phase the set that rated best over the training years trades the test years.
 
-    periods (key..., signal_date, r, n, won) hold every set's whole past, so each phase is a filter of one table. Phases move
-    by the test years; equity is stitched from phase to phase.
+    trades (key..., signal_date, sell_date, net) hold every set's whole past, so each phase is a filter of one table. Phases
+    move by the test years; a trade counts in a fold if it was signalled and closed in it.
     """
     years = F.year("signal_date")
-    span = periods.agg(F.min(years).alias("lo"), F.max(years).alias("hi"))
+    span = trades.agg(F.min(years).alias("lo"), F.max(years).alias("hi"))
     starts = span.select(F.explode_outer(F.when(k("lo") + train_years <= k("hi"), F.sequence(k("lo"), k("hi") - train_years, F.lit(test_years)))).alias("start")).where("start is not null")
-    phased = lambda first, n: periods.join(F.broadcast(starts), (years >= k("start") + first) & (years < k("start") + first + n))
-    scores = rated(phased(0, train_years), ["start", *key])
+    scores = rated(periods_of(fold_trades(trades, starts, 0, train_years), ["start", *key]), ["start", *key])
     best = scores.withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy(k("research_score").desc(), *key))).where("place = 1")
-    test = phased(train_years, test_years).join(best.select("start", *key, k("research_score").alias("train_score")), ["start", *key])
-    rows = test.select(k("start").alias("phase"), *key, "train_score", "signal_date", "r", "n")
-    w = Window.orderBy("signal_date").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("equity", tie_safe(F.exp(F.sum(F.log1p("r")).over(w)), 6))
+    test = periods_of(fold_trades(trades, starts, train_years, test_years), ["start", *key])
+    rows = test.join(F.broadcast(best.select("start", *key, k("research_score").alias("train_score"))), ["start", *key])
+    return stitched(rows.select("start", *key, "train_score", "signal_date", "r", "n")).withColumnRenamed("start", "phase").select("phase", *key, "train_score", "signal_date", "r", "n", "equity")
 
 
 def stress(periods: DataFrame, named: dict[str, tuple[str, str]]) -> DataFrame:

@@ -49,9 +49,10 @@ def rated_sql(p: str, key: str) -> str:
 
 SCAN_KEY = "min_score, min_amount, top, hold"
 SCAN = f"""wsig AS ({wide_sql()}), {BARS}, {trades_sql(5, 'wsig', '5')}, {trades_sql(10, 'wsig', '10')},
-sp AS MATERIALIZED (SELECT {SCAN_KEY}, signal_date, {R('avg(net)')} AS r, count(*) AS n, count(*) FILTER (net > 0) AS won FROM (SELECT *, row_number() OVER (PARTITION BY {SCAN_KEY}, signal_date ORDER BY rank) AS place FROM (
+spt AS MATERIALIZED (SELECT {SCAN_KEY}, signal_date, sell_date, net FROM (SELECT *, row_number() OVER (PARTITION BY {SCAN_KEY}, signal_date ORDER BY rank) AS place FROM (
   SELECT t.*, amount_ma20 FROM (SELECT CAST(5 AS INT) AS hold, * FROM tr5 UNION ALL SELECT CAST(10 AS INT), * FROM tr10) t JOIN (SELECT signal_date, market, symbol, amount_ma20 FROM wsig) USING (signal_date, market, symbol)),
-  (SELECT unnest([60.0::DOUBLE, 75.0::DOUBLE]) AS min_score), (SELECT unnest([0.0::DOUBLE, 150e6::DOUBLE]) AS min_amount), (SELECT CAST(unnest([2, 5]) AS INT) AS top) WHERE score >= min_score AND amount_ma20 >= min_amount) WHERE place <= top AND skipped IS NULL GROUP BY {SCAN_KEY}, signal_date),
+  (SELECT unnest([60.0::DOUBLE, 75.0::DOUBLE]) AS min_score), (SELECT unnest([0.0::DOUBLE, 150e6::DOUBLE]) AS min_amount), (SELECT CAST(unnest([2, 5]) AS INT) AS top) WHERE score >= min_score AND amount_ma20 >= min_amount) WHERE place <= top AND skipped IS NULL),
+sp AS MATERIALIZED (SELECT {SCAN_KEY}, signal_date, {R('avg(net)')} AS r, count(*) AS n, count(*) FILTER (net > 0) AS won FROM spt GROUP BY {SCAN_KEY}, signal_date),
 {rated_sql('sp', SCAN_KEY)}"""
 
 
@@ -67,12 +68,25 @@ ORACLE["grid_diagnostics"] = oracle.sql(
 FROM (SELECT count(*) AS n, max(research_score) AS best, list_sort(list(research_score))[1 + count(*) // 2] AS median FROM sp_r)""",
     "xs", extra=SCAN,
 )
-QUERIES["walk_forward"] = lambda s, d: rs.walk_forward(scan_periods(s, d), bt.SCAN, 2, 1)
+QUERIES["walk_forward"] = lambda s, d: rs.walk_forward(bt.scan_trades(wide(s, d), parts(s, d)[1], *GRID), bt.SCAN, 2, 1)
+
+
+def fold_sql(first: int, n: int) -> str:
+    """Periods of the trades that are signalled and closed in years [start + first, start + first + n)."""
+    return f"""SELECT start, {SCAN_KEY}, signal_date, {R('avg(net)')} AS r, count(*) AS n, count(*) FILTER (net > 0) AS won FROM spt, st
+  WHERE year(signal_date) >= start + {first} AND year(signal_date) < start + {first + n} AND year(sell_date) < start + {first + n} GROUP BY start, {SCAN_KEY}, signal_date"""
+
+
 ORACLE["walk_forward"] = oracle.sql(
-    f"""SELECT start AS phase, {SCAN_KEY}, train_score, signal_date, r, n, {R('exp(sum(ln(1 + r)) OVER (ORDER BY signal_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS equity FROM (
-  SELECT start, sp.*, research_score AS train_score FROM sp JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY research_score DESC, {SCAN_KEY}) AS place FROM tp_r) WHERE place = 1) b USING ({SCAN_KEY}) WHERE year(signal_date) >= start + 2 AND year(signal_date) < start + 3)""",
+    f"""SELECT start AS phase, {SCAN_KEY}, train_score, signal_date, r, n, {R('e * (now / a)')} AS equity FROM te_f JOIN chain USING (start)""",
     "xs",
-    extra=SCAN + f", st AS (SELECT CAST(unnest(range(lo, hi - 1)) AS INT) AS start FROM (SELECT min(year(signal_date)) AS lo, max(year(signal_date)) AS hi FROM sp)), tp AS MATERIALIZED (SELECT start, sp.* FROM sp, st WHERE year(signal_date) >= start AND year(signal_date) < start + 2), " + rated_sql("tp", "start, " + SCAN_KEY),
+    extra=SCAN + f""", st AS (SELECT CAST(unnest(range(lo, hi - 1)) AS INT) AS start FROM (SELECT min(year(signal_date)) AS lo, max(year(signal_date)) AS hi FROM spt)),
+tp AS MATERIALIZED ({fold_sql(0, 2)}), {rated_sql("tp", "start, " + SCAN_KEY)},
+te AS MATERIALIZED (SELECT t.*, research_score AS train_score, row_number() OVER (PARTITION BY start ORDER BY signal_date) AS i FROM ({fold_sql(2, 1)}) t
+  JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY research_score DESC, {SCAN_KEY}) AS place FROM tp_r) WHERE place = 1) b USING (start, {SCAN_KEY})),
+te_f AS (SELECT *, {R('1 + r')} AS e FROM te WHERE i = 1 UNION ALL SELECT t.*, {R('f.e * (1 + t.r)')} FROM te_f f JOIN te t ON t.start = f.start AND t.i = f.i + 1),
+phases AS MATERIALIZED (SELECT start, arg_min(e, i) AS a, arg_max(e, i) AS z, row_number() OVER (ORDER BY start) AS p FROM te_f GROUP BY start),
+chain AS (SELECT start, p, a, z, 1.0::DOUBLE AS now FROM phases WHERE p = 1 UNION ALL SELECT n.start, n.p, n.a, n.z, {R('c.z * (c.now / c.a)')} FROM chain c JOIN phases n ON n.p = c.p + 1)""",
 )
 SPANS = {"spring_1993": ("1993-03-01", "1993-05-31"), "year_1995": ("1995-01-01", "1995-12-31"), "late": ("1997-01-01", "1998-12-31")}
 ONE = "min_score = 60 AND min_amount = 0 AND top = 5 AND hold = 10"

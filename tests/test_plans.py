@@ -107,7 +107,7 @@ def test_equity_and_drawdown(spark):
 def test_simulation(spark):
     assert bt.shares(260_000, 12.3, 1e6, 5) == 16_200
     t = bt.simulate(signal(spark), bars(spark, [10.0, 10.0, 8.9, 8.5])).collect()
-    assert [(r["buy_price"], r["sell_price"], r["exit_reason"], r["shares"]) for r in t] == [(10.0, 8.9, "hard_stop_loss", 20000)]
+    assert [(r["buy_price"], r["sell_price"], r["exit_reason"], r["shares"]) for r in t] == [(10.0, 8.9, "stop_loss", 20000)]
 
 
 def test_monte_carlo_moments(spark):
