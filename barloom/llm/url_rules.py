@@ -12,14 +12,19 @@ Every step is a DataFrame function or Spark ML's FPGrowth; no Python runs on the
    tokens of exactly the same labelled URLs are mined as one item, since a rule with two of them is always pruned, and
    each of them then takes the item's place in its rules. Frequent tokens that occur together in many different
    combinations still give as many token sets as FP-growth finds.
+   A rule must be significant: the chance of as many blocked URLs among those that hold its tokens, were they blocked at
+   the common rate, is under `alpha` over the number of token sets tried (Chernoff's bound, Bonferroni's correction). And
+   it must hold in the fifth of the examples that it was not mined from (:func:`confirmed`). Where nothing is significant
+   nothing is mined.
 3. Matching: each rule is posted under its rarest token. A URL's tokens meet that index, and only then is the whole
    token set compared.
 
 Hand-written rules come first: the longest fitting (host, path) rule gives the verdict; the mined rules judge the rest.
 
-Labels (:func:`seeds`): a URL is a blocked example where a hand-written rule blocks it, a word of its host is a seed term, or
-its text is labelled bad; it is an allowed one where a rule allows it or its text is labelled good, and nothing blocks
-it. All others are no examples. So what is mined is what URLs of those kinds have in common, and where it is found again.
+Labels (:func:`seeds`): of the URLs that no hand-written rule concerns, one is a blocked example where a word of its host is
+a seed term or its text is labelled bad, and an allowed one where its text is labelled good and nothing blocks it. All
+others are no examples. Verdicts of hand-written rules are none either: they are given anyway, and learnt from they would
+spread to URLs that share a part with them. So what is mined is what such URLs have in common, and where it is found again.
 
 Cases: a null URL or one without ``://`` has empty host and path, no tokens, fits no rule and is allowed. Repeated rows
 each get a verdict. Null page ids are kept. No labels, or none of either class: no rules are mined. Of rules of equal
@@ -29,6 +34,7 @@ ignored by the query and kept by :func:`judge`, but for those named as its resul
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -52,6 +58,8 @@ class RuleParams:
     min_count: int = 3
     min_confidence: float = 0.8
     min_lift: float = 1.5
+    #: Chance of any rule that is none.
+    alpha: float = 0.01
     #: Above this many rules the index is joined by a shuffle instead of a broadcast.
     broadcast_rules: int = 100_000
 
@@ -95,7 +103,7 @@ def mine(labelled: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     """Rules (rule_id, rule_tokens, confidence, lift, support) from rows (tokens array, blocked int)."""
     rows = labelled.where("blocked is not null and size(tokens) > 0").select(F.monotonically_increasing_id().alias("uid"), "tokens", "blocked")
     rows = persisted(rows, "url-labelled")
-    n = rows.count()
+    n, n_blocked = rows.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     support = max(p.min_support, min(1.0, p.min_count / max(1, n)))
     posted = rows.select("uid", "blocked", F.explode(F.array_distinct("tokens")).alias("token"))
     # Tokens of the same URLs have the same number of them and the same 128 bits of hash.
@@ -108,6 +116,12 @@ def mine(labelled: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     partitions = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=p.min_confidence, numPartitions=partitions).fit(items.repartition(partitions))
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.col("lift") >= p.min_lift))
+    # m URLs hold the tokens, a share c of them blocked, of all URLs a share r: the chance is at most exp(-m KL(c, r)).
+    rate = min(max(n_blocked / max(1, n), 1e-12), 1 - 1e-12)
+    c, m = F.least(F.col("confidence"), F.lit(1 - 1e-12)), F.col("support") * n / F.col("confidence")
+    distance = m * (c * F.ln(c / rate) + (1 - c) * F.ln((1 - c) / (1 - rate)))
+    tried = model.freqItemsets.count()
+    rules = rules.where((F.col("confidence") > rate) & (distance >= math.log(max(1, tried) / p.alpha)))
     rules = rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "lift", "support").withColumn("rule_id", F.array_join("rule_tokens", " & "))
     rules = persisted(rules, "url-rules")
     # A shorter rule of at least the same confidence makes a longer one redundant. Shorter and longer meet on a shared token.
@@ -122,14 +136,26 @@ def mine(labelled: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     return persisted(every.select(F.array_join("rule_tokens", " & ").alias("rule_id"), "rule_tokens", "confidence", "lift", "support"), "url-rules-pruned")
 
 
-def match(urls: DataFrame, rules: DataFrame, key: str, p: RuleParams = RuleParams()) -> DataFrame:
-    """(key, mined_rule, confidence) of the best mined rule of each row of urls (key, tokens) that has one."""
+def hits(urls: DataFrame, rules: DataFrame, p: RuleParams) -> DataFrame:
+    """Rows of urls (tokens, ...) with each rule (rule_id, rule_tokens, confidence) that they fit, through an index by rarest token."""
     posted = rules.select("rule_id", "rule_tokens", "confidence", F.explode("rule_tokens").alias("token"))
     frequency = posted.groupBy("token").agg(F.count("*").alias("postings"))
     index = posted.join(frequency, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("postings", "token")).alias("token"), F.first("rule_tokens").alias("rule_tokens"), F.first("confidence").alias("confidence"))
     if rules.count() <= p.broadcast_rules:
         index = F.broadcast(index)
-    found = urls.select(key, "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+    return urls.select("*", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+
+
+def confirmed(examples: DataFrame, rules: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
+    """rules with held_hits and held_blocked among examples (tokens, blocked) that they were not mined from, without those whose share blocked is under the minimum confidence there."""
+    found = hits(examples, rules, p).groupBy("rule_id").agg(F.count("*").alias("held_hits"), F.sum(F.col("blocked").cast("long")).alias("held_blocked"))
+    out = rules.join(found, "rule_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("held_hits", "held_blocked")})
+    return out.where(F.col("held_blocked") >= p.min_confidence * F.col("held_hits"))
+
+
+def match(urls: DataFrame, rules: DataFrame, key: str, p: RuleParams = RuleParams()) -> DataFrame:
+    """(key, mined_rule, confidence) of the best mined rule of each row of urls (key, tokens) that has one."""
+    found = hits(urls.select(key, "tokens"), rules, p)
     return found.groupBy(key).agg(F.max_by("rule_id", F.struct("confidence", F.negate(F.size("rule_tokens")), "rule_id")).alias("mined_rule"), F.max("confidence").alias("confidence"))
 
 
@@ -140,21 +166,22 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def seeds(urls: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], terms: tuple[str, ...] = SEED_TERMS) -> DataFrame:
-    """Examples (tokens, blocked) from urls (page_id, host, path, tokens) and labels (page_id, blocked)."""
+    """Examples (tokens, blocked, held) from urls (page_id, url, host, path, tokens) and labels (page_id, blocked); held: a fifth of the URLs, for confirming."""
     known = labels.groupBy("page_id").agg(F.max("blocked").alias("labelled"))
     fixed = fixed_rule(F.col("host"), F.col("path"), rules)["verdict"]
     listed = F.arrays_overlap(F.split("host", r"[.-]"), F.array(*[F.lit(t) for t in terms])) if terms else F.lit(False)
-    bad = F.coalesce(fixed == "block", F.lit(False)) | listed | F.coalesce(F.col("labelled") == 1, F.lit(False))
-    good = (fixed == "allow") | (F.col("labelled") == 0)
-    both = urls.where("size(tokens) > 0").join(known, "page_id", "left")
-    return both.select("tokens", F.when(bad, 1).when(good, 0).alias("blocked")).where("blocked is not null")
+    bad = listed | F.coalesce(F.col("labelled") == 1, F.lit(False))
+    good = F.col("labelled") == 0
+    both = urls.where(fixed.isNull() & (F.size("tokens") > 0)).join(known, "page_id", "left")
+    return both.select("tokens", F.when(bad, 1).when(good, 0).alias("blocked"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held")).where("blocked is not null")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, p: RuleParams = RuleParams(), terms: tuple[str, ...] = SEED_TERMS) -> DataFrame:
     """pages (page_id, url, ...) with RESULTS; labels has (page_id, blocked)."""
     base = host_path(pages.drop(*[c for c in pages.columns if c.lower() in RESULTS]), "url")
     urls = base.select("page_id", "url", "host", "path", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-    mined = mine(seeds(urls, labels, rules, terms), p)
+    examples = seeds(urls, labels, rules, terms)
+    mined = persisted(confirmed(examples.where("held"), mine(examples.where("not held"), p), p), "url-rules-confirmed")
     # Equal URLs have equal verdicts: each is matched once, whatever its number of rows.
     matched = match(urls.where("size(tokens) > 0").groupBy("url").agg(F.first("tokens").alias("tokens")), mined, "url", p)
     fixed = fixed_rule(F.col("host"), F.col("path"), rules)
