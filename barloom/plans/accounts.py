@@ -294,13 +294,13 @@ def marked_equity(done: DataFrame, bars: DataFrame, a: Account = Account(), acco
     return x.select("account", "trade_date", tie_safe("cash", 6).alias("cash"), tie_safe("market_value", 6).alias("market_value"), tie_safe(k("cash") + k("market_value"), 6).alias("equity"))
 
 
-def account_periods(events: DataFrame, bars: DataFrame, a: Account = Account()) -> DataFrame:
+def account_periods(events: DataFrame, bars: DataFrame, a: Account = Account(), accounts: DataFrame | None = None) -> DataFrame:
     """(account, trade_date, bought, sold, open, empty, period_return, equity, skipped) of every market day of :func:`ledger`'s events.
 
-    skipped is the day's reasons in the order of their names, with repeats.
+    skipped is the day's reasons in the order of their names, with repeats. accounts (account) may name some without events.
     """
     trades = events.where("kind = 'trade'")
-    curve = marked_equity(trades, bars, a, events)
+    curve = marked_equity(trades, bars, a, events if accounts is None else accounts)
     count = lambda df, day, name: df.groupBy("account", k(day).alias("trade_date")).agg(F.count("*").alias(name))
     bought, sold = count(trades, "buy_date", "bought"), count(trades.where("sell_date is not null"), "sell_date", "sold")
     skipped = events.where("kind = 'skip'").groupBy("account", k("day").alias("trade_date")).agg(F.array_sort(F.collect_list("reason")).alias("skipped"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tie_safe
+from ..stored import written
+from .accounts import Account, account_of, account_periods, ledger
 from .backtest import Costs, annual, folded, periods_of, rated
 
 k = F.col
@@ -69,6 +71,42 @@ def with_overrides(config: dict, parameters: dict[str, object]) -> dict:
     return out
 
 
+def configurations(config: dict, axes: dict[str, list]) -> list[dict]:
+    """config with every combination of the axes' values set, in the order of :func:`grid`; an empty axis is an error."""
+    if empty := [n for n, v in axes.items() if not v]:
+        raise ValueError(f"no values: {empty}")
+    names = sorted(axes)
+    return [with_overrides(config, dict(zip(names, values, strict=True))) for values in product(*(axes[n] for n in names))]
+
+
+def run_configurations(signals: DataFrame, bars: DataFrame, configs: list[dict]) -> DataFrame:
+    """(combination, trades, periods, empty, total_return, annual_return, max_drawdown, win_rate, research_score, place): an
+    account for each whole configuration, the best first.
+
+    signals are the widest ones (signal_date, market, symbol, rank, score, amount_ma20). Configurations are rows that meet
+    them in a join: each takes its first backtest.top of those that reach strategy.min_score and strategy.min_amount_ma20;
+    its exit rules make its account. All accounts are walked in one job, a group each.
+    """
+    spark = signals.sparkSession
+    of = lambda c, table, name, default: (c.get(table) or {}).get(name) or default
+    accounts = {f"{i:06d}": account_of(c, int(of(c, "backtest", "hold_days", 5))) for i, c in enumerate(configs)}
+    rules = spark.createDataFrame([(n, i, float(of(c, "strategy", "min_score", 0.0)), float(of(c, "strategy", "min_amount_ma20", 0.0)), int(of(c, "backtest", "top", 5))) for i, (n, c) in enumerate(zip(accounts, configs, strict=True))], "account string, combination long, min_score double, min_amount double, top int")
+    admitted = signals.join(F.broadcast(rules), (k("score") >= k("min_score")) & (k("amount_ma20") >= k("min_amount")))
+    first = Window.partitionBy("account", "signal_date").orderBy("rank", "market", "symbol")
+    own = admitted.withColumn("place", F.row_number().over(first)).where(k("place") <= k("top"))
+    events = written(ledger(own, bars, accounts), "ledger")
+    cash = Account().cash
+    days = account_periods(events, bars, accounts=rules)
+    peak = F.greatest(F.lit(cash), F.max("equity").over(Window.partitionBy("account").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)))
+    curve = days.withColumn("drawdown", k("equity") / peak - 1).groupBy("account").agg(F.count("*").alias("periods"), F.count_if("empty").alias("empty"), F.max_by("equity", "trade_date").alias("last"), tie_safe(F.least(F.min("drawdown"), F.lit(0.0)), 6).alias("max_drawdown"), F.datediff(F.max("trade_date"), F.min("trade_date")).alias("days"))
+    closed = events.where("kind = 'trade' and sell_date is not null").groupBy("account").agg(F.count("*").alias("trades"), F.count_if(k("net") > 0).alias("won"))
+    x = rules.select("account", "combination").join(curve, "account").join(closed, "account", "left")
+    x = x.withColumns({"trades": F.coalesce("trades", F.lit(0)), "total_return": tie_safe(k("last") / cash - 1, 6), "win_rate": tie_safe(F.coalesce(F.try_divide("won", "trades"), F.lit(0.0)), 6)})
+    x = x.withColumn("annual_return", tie_safe(annual(k("total_return"), k("days")), 6)).withColumn("research_score", tie_safe(k("annual_return") - F.abs("max_drawdown") + 0.1 * k("win_rate"), 6))
+    place = F.row_number().over(Window.orderBy(k("research_score").desc(), "combination")).cast("long")  # as many rows as configurations
+    return x.select("combination", "trades", "periods", "empty", "total_return", "annual_return", "max_drawdown", "win_rate", "research_score", place.alias("place"))
+
+
 def diagnostics(scan: DataFrame, key: list[str]) -> DataFrame:
     """One row of a rated scan: sets, best and median score, whether the best is a lone peak, and how many lie on its plateau."""
     order = Window.orderBy(k("research_score").desc(), *key)

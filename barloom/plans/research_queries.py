@@ -88,6 +88,47 @@ te_f AS (SELECT *, {R('1 + r')} AS e FROM te WHERE i = 1 UNION ALL SELECT t.*, {
 phases AS MATERIALIZED (SELECT start, arg_min(e, i) AS a, arg_max(e, i) AS z, row_number() OVER (ORDER BY start) AS p FROM te_f GROUP BY start),
 chain AS (SELECT start, p, a, z, 1.0::DOUBLE AS now FROM phases WHERE p = 1 UNION ALL SELECT n.start, n.p, n.a, n.z, {R('c.z * (c.now / c.a)')} FROM chain c JOIN phases n ON n.p = c.p + 1)""",
 )
+AXES = {"backtest.hold_days": [5, 9], "strategy.min_score": [60.0, 75.0, 99.0]}
+CONFIG = {"backtest": {"top": 1}}
+_A, _C = bt.Account(), bt.Account().fee + bt.Account().slip
+_CFG = ", ".join(f"({i}, {c['backtest']['hold_days']}, {c['strategy']['min_score']}::DOUBLE)" for i, c in enumerate(rs.configurations(CONFIG, AXES)))
+_N = f"floor(least({_A.cash}::DOUBLE, cash) / p.buy_price / {_A.lot}) * {_A.lot}"
+_KEY = "(p.buy_date, p.rank, p.market, p.symbol)"
+RUNS = f"""wsig AS ({wide_sql()}), cfg AS (SELECT * FROM (VALUES {_CFG}) v(g, hold, ms)),
+cal AS MATERIALIZED (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS next_date FROM (SELECT DISTINCT trade_date FROM base)),
+gs AS (SELECT * FROM (SELECT g, hold, wsig.*, row_number() OVER (PARTITION BY g, signal_date ORDER BY rank, market, symbol) AS k FROM wsig, cfg WHERE score >= ms AND amount_ma20 >= 0) WHERE k = 1),
+ent AS MATERIALIZED (SELECT g, hold, s.signal_date, s.market, s.symbol, s.rank, b.trade_date AS buy_date, b.o AS buy_price FROM gs s JOIN cal c ON c.trade_date = s.signal_date JOIN base b ON b.market = s.market AND b.symbol = s.symbol AND b.trade_date = c.next_date WHERE b.is_limit_up = 0 AND b.is_suspended = 0),
+lft AS (SELECT e.*, b.trade_date, b.o, CASE WHEN b.o <= buy_price * (1 - {_A.hard_stop}::DOUBLE) OR b.o <= buy_price * (1 - {_A.stop_loss}::DOUBLE) OR b.trade_date - buy_date >= hold THEN 1 END AS why
+  FROM ent e JOIN base b ON b.market = e.market AND b.symbol = e.symbol AND b.trade_date > e.buy_date WHERE b.is_limit_down = 0 AND b.is_suspended = 0),
+fin AS (SELECT g, signal_date, market, symbol, min(trade_date) AS sell_date, arg_min(o, trade_date) AS sell_price FROM lft WHERE why = 1 GROUP BY ALL),
+pos AS MATERIALIZED (SELECT e.*, sell_date, sell_price FROM ent e LEFT JOIN fin USING (g, signal_date, market, symbol)),
+w AS (SELECT g, 0 AS i, struct_pack(market := '', symbol := '', buy_date := DATE '1900-01-01', buy_price := 0.0::DOUBLE, sell_date := DATE '1900-01-01', sell_price := 0.0::DOUBLE) AS x, 0.0::DOUBLE AS n, {_A.cash}::DOUBLE AS cash FROM cfg
+  UNION ALL SELECT g, i + 1, x, n, cash - n * x.buy_price * (1 + {_C!r}::DOUBLE) + CASE WHEN x.sell_date IS NULL THEN 0.0::DOUBLE ELSE n * x.sell_price * (1 - {_C!r}::DOUBLE) END FROM (
+    SELECT w.g, i, cash, arg_min(struct_pack(market := p.market, symbol := p.symbol, buy_date := p.buy_date, buy_price := p.buy_price, sell_date := p.sell_date, sell_price := p.sell_price), {_KEY}) AS x, arg_min({_N}, {_KEY}) AS n
+    FROM w JOIN pos p ON p.g = w.g AND p.buy_date >= w.x.sell_date WHERE {_N} >= {_A.lot} AND {_N} * p.buy_price * (1 + {_C!r}::DOUBLE) <= cash GROUP BY w.g, i, cash)),
+t AS MATERIALIZED (SELECT g, n, x.market AS market, x.symbol AS symbol, x.buy_date AS buy_date, x.buy_price AS bp, x.sell_date AS sell_date, x.sell_price AS sp FROM (SELECT g, n, x FROM w WHERE i > 0)),
+flow AS (SELECT g, d AS trade_date, sum(f) AS f, sum(moved) AS moved FROM (SELECT g, buy_date AS d, -n * bp * (1 + {_C!r}::DOUBLE) AS f, 1 AS moved FROM t UNION ALL SELECT g, sell_date, n * sp * (1 - {_C!r}::DOUBLE), 1 FROM t WHERE sell_date IS NOT NULL) GROUP BY ALL),
+val AS (SELECT g, c.trade_date, sum(n * coalesce(b.c, bp)) AS v FROM t JOIN cal c ON c.trade_date >= buy_date AND (sell_date IS NULL OR c.trade_date < sell_date) LEFT JOIN base b ON b.market = t.market AND b.symbol = t.symbol AND b.trade_date = c.trade_date GROUP BY ALL),
+day AS (SELECT g, trade_date, moved IS NULL AND v IS NULL AS empty, {R(f'{_A.cash}::DOUBLE + sum(coalesce(f, 0.0::DOUBLE)) OVER (PARTITION BY g ORDER BY trade_date) + coalesce(v, 0.0::DOUBLE)')} AS equity FROM (SELECT g, trade_date FROM cfg, cal) LEFT JOIN flow USING (g, trade_date) LEFT JOIN val USING (g, trade_date)),
+ddg AS (SELECT *, equity / greatest({_A.cash}::DOUBLE, max(equity) OVER (PARTITION BY g ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS dd FROM day),
+rated AS MATERIALIZED (SELECT *, {R('annual_return - abs(max_drawdown) + 0.1::DOUBLE * win_rate')} AS research_score FROM (SELECT g, trades, periods, empty, total_return, {R('CASE WHEN days > 0 THEN pow(1 + total_return, 365.0::DOUBLE / days) - 1 ELSE total_return END')} AS annual_return, max_drawdown, win_rate FROM (
+  SELECT g, coalesce(trades, 0) AS trades, periods, empty, days, {R(f'last / {_A.cash}::DOUBLE - 1')} AS total_return, {R('least(mdd, 0.0::DOUBLE)')} AS max_drawdown, {R('coalesce(won / nullif(trades, 0)::DOUBLE, 0.0::DOUBLE)')} AS win_rate
+  FROM (SELECT g, count(*) AS periods, count(*) FILTER (empty) AS empty, arg_max(equity, trade_date) AS last, min(dd) AS mdd, max(trade_date) - min(trade_date) AS days FROM ddg GROUP BY g)
+  LEFT JOIN (SELECT g, count(*) AS trades, count(*) FILTER (round(sp * (1 - {_C!r}::DOUBLE) / (bp * (1 + {_C!r}::DOUBLE)) - 1, 6) > 0) AS won FROM t WHERE sell_date IS NOT NULL GROUP BY g) USING (g))))"""
+
+
+def runs(s: SparkSession, d: str) -> DataFrame:
+    return rs.run_configurations(wide(s, d), all_factors(s, d), rs.configurations(CONFIG, AXES))
+
+
+QUERIES["account_grid"] = runs
+ORACLE["account_grid"] = oracle.sql("SELECT CAST(g AS BIGINT) AS combination, trades, periods, empty, total_return, annual_return, max_drawdown, win_rate, research_score, row_number() OVER (ORDER BY research_score DESC, g) AS place FROM rated", "xs", extra=RUNS)
+QUERIES["account_grid_diagnostics"] = lambda s, d: rs.diagnostics(runs(s, d), ["combination"])
+ORACLE["account_grid_diagnostics"] = oracle.sql(
+    """SELECT n, best, median, CASE WHEN median > 0 THEN best > 1.5 * median ELSE best > 0 AND n > 1 END AS isolated_peak, (SELECT count(*) FROM rated WHERE abs(research_score - best) <= greatest(abs(best) * 0.1, 0.02)) AS plateau
+FROM (SELECT count(*) AS n, max(research_score) AS best, list_sort(list(research_score))[1 + count(*) // 2] AS median FROM rated)""",
+    "xs", extra=RUNS,
+)
 SPANS = {"spring_1993": ("1993-03-01", "1993-05-31"), "year_1995": ("1995-01-01", "1995-12-31"), "late": ("1997-01-01", "1998-12-31")}
 ONE = "min_score = 60 AND min_amount = 0 AND top = 5 AND hold = 10"
 QUERIES["stress_periods"] = lambda s, d: rs.stress(scan_periods(s, d).where(ONE), SPANS)

@@ -58,3 +58,10 @@ def stored(spark: SparkSession, source: str, name: str, build: Callable[[], Data
     if not spark.catalog.tableExists(full):
         write_bucketed(build(), full, f"{shared_dir(spark)}/{full}-{uuid.uuid4().hex}")
     return spark.table(full)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back, for results that several others are made of."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

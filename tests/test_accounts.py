@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Row
 
 from barloom.plans import backtest as bt
+from barloom.plans import research as rs
 from barloom.plans.accounts import account_of
 
 BARS = "market string, symbol string, trade_date date, rn long, o double, h double, l double, c double, is_limit_up int, is_limit_down int, is_suspended int"
@@ -192,3 +193,31 @@ def test_no_signals(spark):
     assert bt.ledger(spark.createDataFrame([], SIGNALS), b).count() == 0
     late = [Row(**{**signals[0], "signal_date": max(x["trade_date"] for x in bars)})]
     assert bt.ledger(spark.createDataFrame(late, SIGNALS), b).count() == 0  # no market day follows
+
+
+def test_configurations_equal_single_walks(spark):
+    """A grid of whole configurations against one walk for each of them."""
+    bars, signals = made(11)
+    own = [{k: v for k, v in s.items() if k not in ("account", "direction")} | {"amount_ma20": 1e6 * (1 + s["rank"])} for s in signals if s["account"] == "x"]
+    b = spark.createDataFrame([Row(**x) for x in bars], BARS)
+    s = spark.createDataFrame([Row(**x) for x in own], "signal_date date, market string, symbol string, rank int, score double, amount_ma20 double")
+    configs = rs.configurations({"backtest": {"top": 2}, "exit_rules": {"max_hold": {"min_days": 1}}}, {"backtest.hold_days": [4, 8], "strategy.min_score": [0, 65], "exit_rules.technical.stop_loss_atr": [None, 2.0]})
+    assert len(configs) == 8 and configs[1]["strategy"]["min_score"] == 65 and "strategy" not in {"backtest": {"top": 2}}
+    got = {r.combination: r for r in rs.run_configurations(s, b, configs).collect()}
+    for i, c in enumerate(configs):
+        a = account_of(c, c["backtest"]["hold_days"])
+        kept = []
+        for day in {x["signal_date"] for x in own}:
+            fit = sorted((x for x in own if x["signal_date"] == day and x["score"] >= c["strategy"]["min_score"]), key=lambda x: x["rank"])
+            kept += [x | {"direction": "LONG"} for x in fit[:2]]
+        trades, marks = walk(kept, bars, a)
+        closed = [t for t in trades if t[5] is not None]
+        equity = [marks[d][0] for d in sorted(marks)]
+        peaks = [max([a.cash, *equity[: j + 1]]) for j in range(len(equity))]
+        assert got[i].trades == len(closed) and got[i].periods == len(marks) and got[i].empty == sum(m[2] == 0 and m[3] == 0 for m in marks.values())
+        assert got[i].total_return == pytest.approx(equity[-1] / a.cash - 1, abs=2e-6) and got[i].max_drawdown == pytest.approx(min(e / p - 1 for e, p in zip(equity, peaks)), abs=2e-6)
+        assert got[i].win_rate == pytest.approx(sum(t[8] > 0 for t in closed) / len(closed) if closed else 0.0, abs=2e-6)
+    scores = [r.research_score for r in sorted(got.values(), key=lambda r: r.place)]
+    assert scores == sorted(scores, reverse=True)
+    with pytest.raises(ValueError):
+        rs.configurations({}, {"backtest.top": []})
