@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import oracle
 from ..functions.columns import display, tie_safe
+from ..operators import catalogue
+from ..operators.cross_section import cross_section, quality
 from ..sources.bars import raw_daily
 from . import catalog as ct
 from .factor_queries import adjusted, all_factors
@@ -47,3 +49,14 @@ QUERIES["trading_dates"] = lambda s, d: raw_daily(s, d).select("trade_date").dis
 ORACLE["trading_dates"] = oracle.sql("SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS next_date FROM (SELECT DISTINCT trade_date FROM raw)", "raw")
 QUERIES["asof_date"] = lambda s, d: raw_daily(s, d).where(F.col("trade_date") <= F.lit("1999-06-30").cast("date")).groupBy("market").agg(F.max("trade_date").alias("as_of"))
 ORACLE["asof_date"] = oracle.sql("SELECT market, max(trade_date) AS as_of FROM raw WHERE trade_date <= DATE '1999-06-30' GROUP BY 1", "raw")
+
+NAMES = [n for n, *_ in catalogue.DEFINITIONS]
+QUERIES["factor_describe"] = lambda s, d: catalogue.describe(quality(cross_section(all_factors(s, d))))
+ORACLE["factor_describe"] = oracle.sql(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS name, '{g}' AS \"group\", {str(up).lower()} AS higher_is_better, count(*) AS rows, count({n}) AS known, {R(f'min({n})::DOUBLE')} AS least, {R(f'avg({n}::DOUBLE)')} AS mean, {R(f'max({n})::DOUBLE')} AS most FROM {'q' if g == 'quality' else 'xs'}"
+        for n, g, _, up in catalogue.DEFINITIONS
+    ),
+    "xs",
+    "q",
+)

@@ -174,6 +174,45 @@ def slices(plan: DataFrame, n: int = 4, capital: float = 1e7) -> DataFrame:
     return x.select("trade_date", "market", "symbol", "action", "slice", tie_safe(k("delta") * capital / n, 2).alias("amount"), tie_safe(8 * (1 + 2 * k("part") / n), 4).alias("impact_bps"))
 
 
+#: Extra basis points by cost level, and levels whose orders are refused, where no others are given.
+PIECEWISE = {"medium": (5.0, False), "high": (15.0, False), "critical": (40.0, True)}
+
+
+def execution_orders(plan: DataFrame, method: str = "TWAP", slices: int | None = None, participation: float = 0.1, piecewise: dict[str, tuple[float, bool]] | None = None, capital: float = 1e7, base_bps: float = 8.0) -> DataFrame:
+    """(trade_date, market, symbol, action, method, slice, delta, adv_share, cost_level, impact_bps, reject): orders cut into slices.
+
+    TWAP and PoV cut into 4 slices; where 0 are asked for, PoV takes 6 up to a tenth of the daily amount, else 4. Any other
+    method trades at once. Without piecewise levels add nothing; with them each level adds its basis points and may be refused.
+    """
+    kind = "PoV" if method.lower() == "pov" else method.upper()
+    usual = 4 if kind in ("TWAP", "PoV") else 1
+    n = usual if slices is None else slices
+    if n <= 0:
+        n = (6 if participation <= 0.1 else 4) if kind == "PoV" else usual
+    share = F.coalesce(F.try_divide(F.abs("delta") * capital, k("adv")), F.lit(0.0))
+    level = F.when(share >= 0.10, "critical").when(share >= 0.05, "high").when(share >= 0.01, "medium").otherwise("low")
+    bump = lambda i, default: F.coalesce(*[F.when(k("cost_level") == name, F.lit(v[i])) for name, v in piecewise.items()], F.lit(default)) if piecewise else F.lit(default)
+    x = plan.where("action not in ('HOLD', 'HOLD_CASH')").withColumns({"adv_share": share, "cost_level": level}).withColumn("slice", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return x.select("trade_date", "market", "symbol", "action", F.lit(kind).alias("method"), "slice", tie_safe(k("delta") / n, 8).alias("delta"), tie_safe("adv_share", 8).alias("adv_share"), "cost_level", tie_safe(base_bps * (1 + 2 * k("adv_share")) + bump(0, 0.0), 4).alias("impact_bps"), bump(1, False).alias("reject"))
+
+
+def execution_summary(orders: DataFrame) -> DataFrame:
+    """By day: slices, refused ones, mean impact, and whether to trade in batches."""
+    return orders.groupBy("trade_date").agg(F.count("*").alias("slices"), F.count_if("reject").alias("rejected"), tie_safe(F.avg("impact_bps"), 4).alias("impact_bps"), (F.count("*") > 1).alias("batched"))
+
+
+def liquidity(weighted: DataFrame, capital: float = 1e7, participation: float = 0.1, most_days: float = 3.0) -> DataFrame:
+    """(trade_date, market, symbol, weight, target_amount, adv_share, days_to_sell, weight_cap, status): how long a holding takes to sell.
+
+    A holding may be `participation` of the daily amount a day; without an amount, or without capital, nothing is known.
+    """
+    adv = F.when((k("amount_ma20") > 0) & F.lit(capital > 0), k("amount_ma20"))
+    days = k("weight") * capital / F.greatest(adv * participation, F.lit(1.0))
+    days = F.when(adv.isNotNull(), days)
+    status = F.when(days.isNull(), "no_adv_data").when(days <= most_days, "pass").otherwise("exceeds_liquidation_days")
+    return weighted.select("trade_date", "market", "symbol", tie_safe("weight", 8).alias("weight"), tie_safe(F.when(adv.isNotNull(), k("weight") * capital), 2).alias("target_amount"), tie_safe(k("weight") * capital / adv, 6).alias("adv_share"), tie_safe(days, 4).alias("days_to_sell"), tie_safe(adv * participation * most_days / capital, 6).alias("weight_cap"), status.alias("status"))
+
+
 def breadth(f: DataFrame) -> DataFrame:
     return f.where("pc is not null").groupBy("trade_date").agg(F.count("*").alias("n"), tie_safe(F.avg((k("c") > k("pc")).cast("double")), 6).alias("breadth"))
 

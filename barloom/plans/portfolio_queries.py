@@ -73,6 +73,21 @@ QUERIES["trade_cost"] = lambda s, d: pf.trade_costs(pf.rebalance(held(s, d)))
 ORACLE["trade_cost"] = sql(f"SELECT trade_date, market, symbol, action, {R('part', 8)} AS adv_share, cost_level, 3.0::DOUBLE + CASE cost_level WHEN 'critical' THEN 50 WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 5 END AS cost_bps FROM (SELECT *, CASE WHEN part IS NULL THEN 'unknown' WHEN part >= 0.10 THEN 'critical' WHEN part >= 0.05 THEN 'high' WHEN part >= 0.01 THEN 'medium' ELSE 'low' END AS cost_level FROM (SELECT *, abs(delta) * 1e7 / nullif(adv, 0) AS part FROM pl WHERE action <> 'HOLD'))", PLAN)
 QUERIES["order_slices"] = lambda s, d: pf.slices(pf.rebalance(held(s, d)))
 ORACLE["order_slices"] = sql(f"SELECT trade_date, market, symbol, action, CAST(unnest([1, 2, 3, 4]) AS INT) AS slice, {R('delta * 1e7 / 4', 2)} AS amount, {R('8 * (1 + 2 * coalesce(abs(delta) * 1e7 / nullif(adv, 0), 0) / 4)', 4)} AS impact_bps FROM pl WHERE action NOT IN ('HOLD', 'HOLD_CASH')", PLAN)
+QUERIES["execution_orders"] = lambda s, d: pf.execution_orders(pf.rebalance(held(s, d)), "PoV", 0, piecewise=pf.PIECEWISE, capital=1e9)
+_SHARE = "coalesce(abs(delta) * 1e9 / nullif(adv, 0), 0.0::DOUBLE)"
+_LEVEL = f"CASE WHEN {_SHARE} >= 0.10 THEN 'critical' WHEN {_SHARE} >= 0.05 THEN 'high' WHEN {_SHARE} >= 0.01 THEN 'medium' ELSE 'low' END"
+EXEC = f"""eo AS (SELECT trade_date, market, symbol, action, 'PoV' AS method, CAST(unnest([1, 2, 3, 4, 5, 6]) AS INT) AS slice, {R('delta / 6', 8)} AS delta, {R('share', 8)} AS adv_share, cost_level,
+  {R("8 * (1 + 2 * share) + CASE cost_level WHEN 'medium' THEN 5 WHEN 'high' THEN 15 WHEN 'critical' THEN 40 ELSE 0 END", 4)} AS impact_bps, cost_level = 'critical' AS reject
+  FROM (SELECT *, {_SHARE} AS share, {_LEVEL} AS cost_level FROM pl WHERE action NOT IN ('HOLD', 'HOLD_CASH')))"""
+ORACLE["execution_orders"] = sql("SELECT * FROM eo", PLAN, EXEC)
+QUERIES["execution_summary"] = lambda s, d: pf.execution_summary(QUERIES["execution_orders"](s, d))
+ORACLE["execution_summary"] = sql(f"SELECT trade_date, count(*) AS slices, count(*) FILTER (reject) AS rejected, {R('avg(impact_bps)', 4)} AS impact_bps, count(*) > 1 AS batched FROM eo GROUP BY 1", PLAN, EXEC)
+QUERIES["liquidity_status"] = lambda s, d: pf.liquidity(held(s, d), 1e9, 0.1, 3.0)
+ORACLE["liquidity_status"] = sql(
+    f"""SELECT trade_date, market, symbol, {R('weight', 8)} AS weight, {R('CASE WHEN amount_ma20 > 0 THEN weight * 1e9 END', 2)} AS target_amount, {R('weight * 1e9 / CASE WHEN amount_ma20 > 0 THEN amount_ma20 END', 6)} AS adv_share, {R('days', 4)} AS days_to_sell,
+  {R('CASE WHEN amount_ma20 > 0 THEN amount_ma20 * 0.1::DOUBLE * 3 / 1e9 END', 6)} AS weight_cap, CASE WHEN days IS NULL THEN 'no_adv_data' WHEN days <= 3 THEN 'pass' ELSE 'exceeds_liquidation_days' END AS status
+FROM (SELECT *, CASE WHEN amount_ma20 > 0 THEN weight * 1e9 / greatest(amount_ma20 * 0.1::DOUBLE, 1.0::DOUBLE) END AS days FROM w)""",
+)
 QUERIES["market_breadth"] = lambda s, d: pf.breadth(all_factors(s, d))
 BREADTH = f"br AS (SELECT trade_date, count(*) AS n, {R('avg(CAST(c > pc AS DOUBLE))')} AS breadth FROM base WHERE pc IS NOT NULL GROUP BY 1)"
 ORACLE["market_breadth"] = oracle.sql("SELECT * FROM br", "base", extra=BREADTH)

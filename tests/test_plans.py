@@ -251,3 +251,20 @@ def test_pre_filter_rules(spark):
     got = {r["symbol"]: [x["rule"] for x in r["broken"]] for r in st.pre_filter(df, {"basic": {"min_price": 6, "min_listing_days": 60}, "max_drawdown": 0.5, "required_fields": ["listing_days"]}).collect()}
     assert got == {"a": ["exclude_st", "min_listing_days", "min_price"], "b": ["max_drawdown"], "c": ["required_fields"]}
     assert st.pre_filter(df, {"exclude_st": False}).where("size(broken) > 0").count() == 0
+
+
+def test_execution_orders(spark):
+    plan = spark.createDataFrame([(dt.date(2024, 1, 1), "sh", "a", 0.4, 1e6, "BUY"), (dt.date(2024, 1, 1), "sh", "b", -0.1, 1e8, "SELL"), (dt.date(2024, 1, 1), "sh", "c", 0.0, 1e8, "HOLD"), (dt.date(2024, 1, 2), "sh", "d", 0.2, None, "BUY")], "trade_date date, market string, symbol string, delta double, adv double, action string")
+    count = lambda **o: pf.execution_orders(plan, **o).where("symbol = 'a'").count()
+    assert (count(), count(method="pov", slices=0), count(method="PoV", slices=0, participation=0.2), count(method="close"), count(slices=7)) == (4, 6, 4, 1, 7)
+    rows = {r["symbol"]: r for r in pf.execution_orders(plan, "twap", 2, piecewise=pf.PIECEWISE).collect()}
+    assert (rows["a"].delta, rows["a"].adv_share, rows["a"].cost_level, rows["a"].impact_bps, rows["a"].reject) == (0.2, 4.0, "critical", 112.0, True)
+    assert (rows["b"].cost_level, rows["b"].impact_bps, rows["b"].reject, rows["d"].adv_share) == ("medium", 13.16, False, 0.0)
+    assert {r.trade_date.day: (r.slices, r.rejected, r.impact_bps, r.batched) for r in pf.execution_summary(pf.execution_orders(plan, "close", piecewise=pf.PIECEWISE)).collect()} == {1: (2, 1, 62.58, True), 2: (1, 0, 8.0, False)}
+
+
+def test_days_to_sell(spark):
+    w = spark.createDataFrame([("a", 0.5, 1e7), ("b", 0.1, 1e7), ("c", 0.1, None), ("d", 0.1, 0.0)], "symbol string, weight double, amount_ma20 double").selectExpr("date'2024-01-01' as trade_date", "'sh' as market", "*")
+    got = {r["symbol"]: (r.days_to_sell, r.weight_cap, r.status) for r in pf.liquidity(w, 1e7, 0.1, 3.0).collect()}
+    assert got == {"a": (5.0, 0.3, "exceeds_liquidation_days"), "b": (1.0, 0.3, "pass"), "c": (None, None, "no_adv_data"), "d": (None, None, "no_adv_data")}
+    assert {r.status for r in pf.liquidity(w, 0.0).collect()} == {"no_adv_data"}

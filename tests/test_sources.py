@@ -94,6 +94,17 @@ def test_action_table_defaults(spark, tmp_path):
     assert files.action_table(spark, str(q)).first().qfq_factor == 1.0
 
 
+def test_action_inputs(spark, tmp_path):
+    none = {"corporate_actions": None, "adjustment_factors": None}
+    assert files.action_inputs(spark, None) == none and files.action_inputs(spark, str(tmp_path)) == none
+    for n in ("actions.csv", "corporate_actions.parquet", "factors.csv"):
+        (tmp_path / n).write_text("market\n")
+    assert files.action_inputs(spark, str(tmp_path)) == {"corporate_actions": f"{tmp_path}/actions.csv", "adjustment_factors": f"{tmp_path}/factors.csv"}
+    assert files.action_inputs(spark, f"{tmp_path}/factors.csv")["adjustment_factors"] and files.action_inputs(spark, f"{tmp_path}/actions.csv")["corporate_actions"]
+    with pytest.raises(FileNotFoundError):
+        files.action_inputs(spark, f"{tmp_path}/none")
+
+
 def test_sinks_versions_and_increments(spark, tmp_path):
     row = [("sh", "600000", dt.date(2024, 1, 2), 2024, 1.0, 1.0, 1.0, 1.0, 1, 1.0)]
     df = spark.createDataFrame(row, increments.RAW)
