@@ -37,23 +37,29 @@ def trades_by_hold(signals: DataFrame, bars: DataFrame, holds: list[int], chande
     Each signal is joined with as many of its next bars, by number, as the longest holding time has, an equi-join; bars on
     which a sale is blocked are passed over. The exit is at the open of the first bar that closes under its mean, falls
     `chandelier` mean ranges under the highest high since the purchase, or ends the holding time. All holding times are
-    aggregates of one walk.
+    aggregates of one walk. Signals whose column direction says SHORT are sold first and bought back: they open on bars
+    that are not at the lower limit, close on ones that are not at the upper, and only for the holding time.
     """
-    key = ["market", "symbol", "signal_date"]
-    at = signals.join(bars.select("market", "symbol", k("trade_date").alias("signal_date"), "rn"), key)
-    buy = at.withColumn("buy_rn", k("rn") + 1).join(bars.select("market", "symbol", k("rn").alias("buy_rn"), k("trade_date").alias("buy_date"), k("o").alias("buy_price"), ((k("is_limit_up") == 1) | (k("is_suspended") == 1)).alias("buy_blocked")), ["market", "symbol", "buy_rn"], "left").drop("rn")
+    side = F.when(F.upper("direction") == "SHORT", "SHORT").otherwise("LONG") if "direction" in signals.columns else F.lit("LONG")
+    signals = signals.withColumn("direction", side)
+    key = ["market", "symbol", "signal_date", "direction"]
+    short = k("direction") == "SHORT"
+    closed = lambda up, down: (k("is_suspended") == 1) | F.when(short, k(down) == 1).otherwise(k(up) == 1)
+    at = signals.join(bars.select("market", "symbol", k("trade_date").alias("signal_date"), "rn"), key[:3])
+    first = bars.select("market", "symbol", k("rn").alias("buy_rn"), k("trade_date").alias("buy_date"), k("o").alias("buy_price"), "is_limit_up", "is_limit_down", "is_suspended")
+    buy = at.withColumn("buy_rn", k("rn") + 1).join(first, ["market", "symbol", "buy_rn"], "left").withColumn("buy_blocked", closed("is_limit_up", "is_limit_down")).drop("rn", "is_limit_up", "is_limit_down", "is_suspended")
     days = buy.where(~k("buy_blocked")).select(*key, "buy_rn", F.explode(F.sequence(k("buy_rn") + 1, k("buy_rn") + max(holds))).alias("rn"))
-    walk = days.join(bars, ["market", "symbol", "rn"]).where((k("is_limit_down") == 0) & (k("is_suspended") == 0))
+    walk = days.join(bars, ["market", "symbol", "rn"]).where(~closed("is_limit_down", "is_limit_up"))
     walk = walk.withColumn("hh", F.max("h").over(Window.partitionBy(*key).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)))
-    early = F.when(k("c") < k("m20"), "ma_breakdown").when(k("c") <= k("hh") - chandelier * k("a14"), "atr_chandelier_stop")
+    early = F.when(short, F.lit(None).cast("string")).when(k("c") < k("m20"), "ma_breakdown").when(k("c") <= k("hh") - chandelier * k("a14"), "atr_chandelier_stop")
     left = walk.withColumn("early", early).withColumn("x", F.struct("trade_date", "o", F.coalesce("early", F.lit("max_holding_days")).alias("exit_reason")))
     ends = lambda n: (k("rn") <= k("buy_rn") + n) & (k("early").isNotNull() | (k("rn") == k("buy_rn") + n))
     each = F.array(*[F.struct(F.lit(n).alias("hold"), F.min_by("x", F.when(ends(n), k("rn"))).alias("x")) for n in holds])
     exits = left.groupBy(*key).agg(each.alias("e")).select(*key, F.explode("e").alias("e")).select(*key, "e.*")
     out = buy.withColumn("hold", F.explode(F.array(*[F.lit(n) for n in holds]))).join(exits, [*key, "hold"], "left")
-    gross = F.try_divide(k("x.o"), k("buy_price")) - 1
-    skip = F.when(k("buy_price").isNull(), "missing_price").when(k("buy_blocked"), "limit_up/suspended").when(k("x.o").isNull(), "missing_price")
-    return out.select("hold", "signal_date", "market", "symbol", "rank", "score", "buy_date", "buy_price", k("x.trade_date").alias("sell_date"), k("x.o").alias("sell_price"), k("x.exit_reason").alias("exit_reason"), skip.alias("skipped"), gross.alias("gross"), (gross - costs.round_trip).alias("net"))
+    gross = F.when(short, F.try_divide(k("buy_price"), k("x.o"))).otherwise(F.try_divide(k("x.o"), k("buy_price"))) - 1
+    skip = F.when(k("buy_price").isNull(), "missing_price").when(k("buy_blocked"), F.when(short, "limit_down/suspended").otherwise("limit_up/suspended")).when(k("x.o").isNull(), "missing_price")
+    return out.select("hold", "signal_date", "market", "symbol", "rank", "score", "buy_date", "buy_price", k("x.trade_date").alias("sell_date"), k("x.o").alias("sell_price"), k("x.exit_reason").alias("exit_reason"), skip.alias("skipped"), gross.alias("gross"), (gross - costs.round_trip).alias("net"), "direction")
 
 
 def trades(signals: DataFrame, bars: DataFrame, hold: int = 10, chandelier: float = 3.0, costs: Costs = Costs()) -> DataFrame:

@@ -35,15 +35,18 @@ def all_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIG = f"sig AS (SELECT trade_date AS signal_date, market, symbol, rank, score, risk_flags FROM ({picks_sql('trend_strength')}) WHERE rank <= {TOP})"
 BARS = f"bar AS MATERIALIZED (SELECT market, symbol, trade_date, rn, o, h, c, is_limit_up, is_limit_down, is_suspended, avg(c) {oracle.over(20)} AS m20, avg(h - l) {oracle.over(14)} AS a14 FROM base)"
-def trades_sql(hold: int, sig: str = "sig", x: str = "") -> str:
+def trades_sql(hold: int, sig: str = "sig", x: str = "", short: bool = False) -> str:
     """Steps buy, walk, ex and tr, with x after their names, for a table of signals and a holding time."""
-    return f"""buy{x} AS MATERIALIZED (SELECT s.*, b.rn + 1 AS buy_rn, n.trade_date AS buy_date, n.o AS buy_price, n.is_limit_up = 1 OR n.is_suspended = 1 AS blocked FROM {sig} s JOIN bar b ON b.market = s.market AND b.symbol = s.symbol AND b.trade_date = s.signal_date
+    up, down = ("down", "up") if short else ("up", "down")
+    early = "" if short else "WHEN c < m20 THEN 'ma_breakdown' WHEN c <= hh - 3.0::DOUBLE * a14 THEN 'atr_chandelier_stop' "
+    gross = "buy_price / e.o - 1" if short else "e.o / buy_price - 1"
+    return f"""buy{x} AS MATERIALIZED (SELECT s.*, b.rn + 1 AS buy_rn, n.trade_date AS buy_date, n.o AS buy_price, n.is_limit_{up} = 1 OR n.is_suspended = 1 AS blocked FROM {sig} s JOIN bar b ON b.market = s.market AND b.symbol = s.symbol AND b.trade_date = s.signal_date
   LEFT JOIN bar n ON n.market = s.market AND n.symbol = s.symbol AND n.rn = b.rn + 1),
 walk{x} AS (SELECT y.market, y.symbol, signal_date, y.buy_rn, b.rn, b.trade_date, b.o, b.c, b.m20, b.a14, max(b.h) OVER (PARTITION BY y.market, y.symbol, signal_date ORDER BY b.rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hh
-  FROM buy{x} y JOIN bar b ON b.market = y.market AND b.symbol = y.symbol AND b.rn > y.buy_rn AND b.rn <= y.buy_rn + {hold} WHERE NOT y.blocked AND b.is_limit_down = 0 AND b.is_suspended = 0),
-ex{x} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, symbol, signal_date ORDER BY rn) AS k FROM (SELECT *, CASE WHEN c < m20 THEN 'ma_breakdown' WHEN c <= hh - 3.0::DOUBLE * a14 THEN 'atr_chandelier_stop' WHEN rn >= buy_rn + {hold} THEN 'max_holding_days' END AS exit_reason FROM walk{x}) WHERE exit_reason IS NOT NULL) WHERE k = 1),
-tr{x} AS (SELECT signal_date, market, symbol, rank, score, buy_date, buy_price, e.trade_date AS sell_date, e.o AS sell_price, exit_reason, CASE WHEN buy_price IS NULL THEN 'missing_price' WHEN blocked THEN 'limit_up/suspended' WHEN e.o IS NULL THEN 'missing_price' END AS skipped,
-  e.o / buy_price - 1 AS gross, e.o / buy_price - 1 - {COST}::DOUBLE AS net FROM buy{x} LEFT JOIN ex{x} e USING (market, symbol, signal_date))"""
+  FROM buy{x} y JOIN bar b ON b.market = y.market AND b.symbol = y.symbol AND b.rn > y.buy_rn AND b.rn <= y.buy_rn + {hold} WHERE NOT y.blocked AND b.is_limit_{down} = 0 AND b.is_suspended = 0),
+ex{x} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, symbol, signal_date ORDER BY rn) AS k FROM (SELECT *, CASE {early}WHEN rn >= buy_rn + {hold} THEN 'max_holding_days' END AS exit_reason FROM walk{x}) WHERE exit_reason IS NOT NULL) WHERE k = 1),
+tr{x} AS (SELECT signal_date, market, symbol, rank, score, buy_date, buy_price, e.trade_date AS sell_date, e.o AS sell_price, exit_reason, CASE WHEN buy_price IS NULL THEN 'missing_price' WHEN blocked THEN 'limit_{up}/suspended' WHEN e.o IS NULL THEN 'missing_price' END AS skipped,
+  {gross} AS gross, {gross} - {COST}::DOUBLE AS net FROM buy{x} LEFT JOIN ex{x} e USING (market, symbol, signal_date))"""
 
 
 TRADES = trades_sql(HOLD)
@@ -64,6 +67,11 @@ QUERIES["next_bar_lateral"] = lambda s, d: (lambda f: signals(table(s, d)).join(
 ORACLE["next_bar_lateral"] = sql(f"SELECT signal_date, s.market, s.symbol, rank, n.trade_date AS next_date, {R('n.o')} AS next_open FROM sig s LEFT JOIN LATERAL (SELECT trade_date, o FROM bar b WHERE b.market = s.market AND b.symbol = s.symbol AND b.trade_date > s.signal_date ORDER BY trade_date LIMIT 1) n ON true", SIG, BARS)
 QUERIES["backtest_match"] = lambda s, d: show_trades(all_trades(s, d))
 ORACLE["backtest_match"] = sql(f"SELECT signal_date, market, symbol, rank, buy_date, {R('buy_price')} AS buy_price, sell_date, {R('sell_price')} AS sell_price, exit_reason, skipped, {R('gross')} AS gross, {R('net')} AS net FROM tr", SIG, BARS, TRADES)
+QUERIES["backtest_match_sides"] = lambda s, d: (lambda sig, bars: show_trades(bt.trades(sig.withColumn("direction", F.when(F.col("rank") % 2 == 0, "SHORT")), bars, HOLD)))(*parts(s, d))
+ORACLE["backtest_match_sides"] = sql(
+    " UNION ALL ".join(f"SELECT signal_date, market, symbol, rank, buy_date, {R('buy_price')} AS buy_price, sell_date, {R('sell_price')} AS sell_price, exit_reason, skipped, {R('gross')} AS gross, {R('net')} AS net FROM tr{n}" for n in ("l", "s")),
+    SIG, BARS, "sigl AS (SELECT * FROM sig WHERE rank % 2 = 1), sigs AS (SELECT * FROM sig WHERE rank % 2 = 0)", trades_sql(HOLD, "sigl", "l"), trades_sql(HOLD, "sigs", "s", short=True),
+)
 QUERIES["backtest_trades"] = lambda s, d: all_trades(s, d).groupBy(F.coalesce("skipped", "exit_reason").alias("outcome")).agg(F.count("*").alias("n"), tie_safe(F.avg("net"), 6).alias("avg_net"))
 ORACLE["backtest_trades"] = sql(f"SELECT coalesce(skipped, exit_reason) AS outcome, count(*) AS n, {R('avg(net)')} AS avg_net FROM tr GROUP BY 1", SIG, BARS, TRADES)
 QUERIES["backtest_equity"] = lambda s, d: bt.equity(bt.periods(all_trades(s, d)))

@@ -197,8 +197,10 @@ def execution_orders(plan: DataFrame, method: str = "TWAP", slices: int | None =
 
 
 def execution_summary(orders: DataFrame) -> DataFrame:
-    """By day: slices, refused ones, mean impact, and whether to trade in batches."""
-    return orders.groupBy("trade_date").agg(F.count("*").alias("slices"), F.count_if("reject").alias("rejected"), tie_safe(F.avg("impact_bps"), 4).alias("impact_bps"), (F.count("*") > 1).alias("batched"))
+    """By day: slices, refused ones, mean impact (of whole ten-thousandths, rounded at the half), and whether to trade in batches."""
+    total, n = F.sum(F.round(k("impact_bps") * 10_000).cast("long")), F.count("*")
+    x = orders.groupBy("trade_date").agg(n.alias("slices"), F.count_if("reject").alias("rejected"), total.alias("total"))
+    return x.select("trade_date", "slices", "rejected", (F.expr("(2 * total + slices) div (2 * slices)") / 10_000.0).alias("impact_bps"), (k("slices") > 1).alias("batched"))
 
 
 def liquidity(weighted: DataFrame, capital: float = 1e7, participation: float = 0.1, most_days: float = 3.0) -> DataFrame:

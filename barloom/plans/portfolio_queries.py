@@ -81,7 +81,7 @@ EXEC = f"""eo AS (SELECT trade_date, market, symbol, action, 'PoV' AS method, CA
   FROM (SELECT *, {_SHARE} AS share, {_LEVEL} AS cost_level FROM pl WHERE action NOT IN ('HOLD', 'HOLD_CASH')))"""
 ORACLE["execution_orders"] = sql("SELECT * FROM eo", PLAN, EXEC)
 QUERIES["execution_summary"] = lambda s, d: pf.execution_summary(QUERIES["execution_orders"](s, d))
-ORACLE["execution_summary"] = sql(f"SELECT trade_date, count(*) AS slices, count(*) FILTER (reject) AS rejected, {R('avg(impact_bps)', 4)} AS impact_bps, count(*) > 1 AS batched FROM eo GROUP BY 1", PLAN, EXEC)
+ORACLE["execution_summary"] = sql(f"SELECT trade_date, count(*) AS slices, count(*) FILTER (reject) AS rejected, ((2 * CAST(sum(CAST(round(impact_bps * 10000) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*))) / 10000.0::DOUBLE AS impact_bps, count(*) > 1 AS batched FROM eo GROUP BY 1", PLAN, EXEC)
 QUERIES["liquidity_status"] = lambda s, d: pf.liquidity(held(s, d), 1e9, 0.1, 3.0)
 ORACLE["liquidity_status"] = sql(
     f"""SELECT trade_date, market, symbol, {R('weight', 8)} AS weight, {R('CASE WHEN amount_ma20 > 0 THEN weight * 1e9 END', 2)} AS target_amount, {R('weight * 1e9 / CASE WHEN amount_ma20 > 0 THEN amount_ma20 END', 6)} AS adv_share, {R('days', 4)} AS days_to_sell,
