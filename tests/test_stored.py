@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from barloom import stored
 from barloom.operators import indicators
 from barloom.operators.cross_section import quality
-from barloom.plans import catalog, factor_queries
+from barloom.plans import catalog, factor_queries, strategy_queries
 from barloom.sources.bars import adjustment_factors, build_raw_daily, raw_daily
 
 
@@ -57,3 +57,22 @@ def test_empty_tables_are_stored(spark, sf_dir, tmp_path):
     stored.write_bucketed(empty, "barloom_empty_test", str(tmp_path / "e"))
     t = spark.table("barloom_empty_test")
     assert t.count() == 0 and indicators.factors(factor_queries.adjust(t, adjustment_factors(t))).select(F.count("*")).first()[0] == 0
+
+
+def test_indicators_are_computed_from_narrow_sorted_bars(spark, sf_dir):
+    for name in ("factor_rsi", "factor_macd", "strategy_mean_reversion"):
+        factor_queries.adjusted(spark, sf_dir)
+        p = plan((factor_queries.QUERIES | strategy_queries.QUERIES)[name](spark, sf_dir))
+        scanned = re.findall(r"FileScan parquet spark_catalog\.default\.barloom_(\w+?)_[0-9a-f]{16}", p)
+        assert scanned and set(scanned) == {"adj_qfq_factor"}  # no table of all indicators
+        assert p.count("Sort [market") == 0  # a bucket is one sorted file
+    assert len(re.findall(r"\bExchange\b", plan(build_raw_daily(spark, sf_dir)))) == 1
+
+
+def test_buckets_follow_the_input(spark, sf_dir, monkeypatch):
+    path = f"{sf_dir}/lineitem.parquet"
+    size = sum(f.getLen() for f in stored.input_files(spark, path))
+    assert stored.bucket_count(spark, path) == 4
+    monkeypatch.setattr(stored, "BUCKET_BYTES", -(-size // 9))
+    assert stored.bucket_count(spark, path) == 9
+    assert build_raw_daily(spark, sf_dir).exceptAll(raw_daily(spark, sf_dir)).isEmpty()
