@@ -73,3 +73,19 @@ def test_report_of_a_write(spark, tmp_path):
     assert (s.files, s.rows) == (2, 10) and s.bytes >= got["price"].bytes + got["key"].bytes
     with pytest.raises(ValueError):
         reports.write_reported(df, path, {"x": ["nope"]})
+
+
+def test_a_report_without_exchange_counts_the_same(spark, tmp_path):
+    df = rows(spark, [("sh", "1", 2020, d, None if d % 3 else float(d)) for d in range(1, 10)] + [("sz", "1", 2021, 1, 1.0)])
+    groups = {"price": ["close"], "key": ["symbol", "trade_date"]}
+    stage = lambda: spark.sparkContext.statusTracker().getJobIdsForGroup("reported")
+    spark.sparkContext.setJobGroup("reported", "")
+    got = reports.write_reported(df, str(tmp_path / "a"), groups, exchange=False)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    first = spark.sparkContext.statusTracker().getJobInfo(min(stage()))
+    assert len(first.stageIds) == 1  # written where the rows lie
+    want = reports.write_reported(df, str(tmp_path / "b"), groups)
+    kept = ["group", "columns", "rows", "nulls"]
+    assert got.select(kept).exceptAll(want.select(kept)).isEmpty() and got.where("bytes > 0").count() == 2
+    a, b = (spark.read.parquet(str(tmp_path / x)) for x in "ab")
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
