@@ -9,8 +9,8 @@ Where more pieces want a gap than it has room for, the first ranks (longest firs
 shrink, and the next sweep follows. When a sweep places few, new sequences are opened for the band's longest pieces,
 and it is swept again; what is left after OPENINGS of these opens sequences of its own.
 
-Every step is a Spark job over written tables; the driver holds counts by length (at most 2048 numbers) and the next
-sequence number. Rows that meet in a window are those of one level, or of one (size, salt).
+Every step is a Spark job over written tables; the driver holds counts by length and by gap (at most 2048 numbers each) and
+the next sequence number. The last job reads the tables of all rounds in one scan, so that its plan stays small. Rows that meet in a window are those of one level, or of one (size, salt).
 
 Cases: null and empty texts are their end id alone. Longer documents are cut; full pieces fill sequences of their own.
 Repeated rows are packed as often as they come. An empty table packs to nothing. Other columns are ignored.
@@ -76,26 +76,34 @@ def cut(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE, end_id: int
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, local_rank long" + ", ids array<int>" * keep_ids)
 
 
-def sweep(gaps: DataFrame, ranks: DataFrame, left: dict[int, tuple[int, int]], upper: int) -> tuple[DataFrame, dict[int, int]]:
-    """Places (length, rank, sequence, slot) for pieces of left (length: first rank, number) in gaps (sequence, gap), and how many of each length."""
+def levels(there: dict[int, int], wanted: dict[int, int]) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+    """Levels that are open before the gaps of each size (size: number), and before the pieces of each length, with how many of these close one."""
+    opens, closes, at = {}, {}, 0
+    for size in sorted({*there, *wanted}, reverse=True):
+        if size in there:
+            opens[size] = at
+            at += there[size]
+        if size in wanted:
+            closes[size] = at, min(at, wanted[size])
+            at -= closes[size][1]
+    return opens, closes
+
+
+def sweep(gaps: DataFrame, ranks: DataFrame, left: dict[int, tuple[int, int]], upper: int, number: int) -> tuple[DataFrame | None, dict[int, int]]:
+    """Places (length, rank, sequence, slot, round) for pieces of left (length: first rank, number) in gaps (sequence, gap), if any, and how many of each length."""
     spark = gaps.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     room = F.greatest(F.floor(F.col("gap") / upper).cast("int"), F.lit(1))
     slots = gaps.select("sequence", F.least("gap", F.lit(upper).cast("long")).alias("size"), F.explode(F.sequence(F.lit(0), room - 1)).alias("slot"))
     slots = slots.withColumn("salt", F.pmod(F.xxhash64("sequence", "slot"), F.lit(salts)))
     dealt = slots.groupBy("size", "salt").agg(F.count("*").alias("n"))
-    wanted = spark.createDataFrame([(length, 1, n) for length, (_, n) in left.items()], "size long, kind int, n long")
-    by_size = dealt.groupBy("size").agg(F.sum("n").alias("n")).select("size", F.lit(0).alias("kind"), "n").union(wanted)
-    # Running sums over classes of sizes: at most two rows for each size.
-    order = W.orderBy(F.desc("size"), "kind")
-    signed = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
-    summed = by_size.withColumn("end", F.sum(signed).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    floor = F.least(F.lit(0), F.min("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    open_ = F.col("end") - signed - floor
-    classes = summed.select("size", "kind", open_.alias("open"), F.least("n", open_).alias("matched")).collect()
-    taken = {r["size"]: r["matched"] for r in classes if r["kind"]}
-    below = F.broadcast(spark.createDataFrame([(r["size"], r["open"]) for r in classes if not r["kind"]], "size long, open long"))
-    lengths = F.broadcast(spark.createDataFrame([(r["size"], r["open"], left[r["size"]][0], r["matched"]) for r in classes if r["kind"]], "length long, open long, first long, matched long"))
+    there = {r["size"]: r["n"] for r in dealt.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most `upper` rows
+    opens, closes = levels(there, {length: n for length, (_, n) in left.items()})
+    taken = {length: n for length, (_, n) in closes.items()}
+    if not any(taken.values()):
+        return None, taken
+    below = F.broadcast(spark.createDataFrame(list(opens.items()), "size long, open long"))
+    lengths = F.broadcast(spark.createDataFrame([(length, at, left[length][0], n) for length, (at, n) in closes.items()], "length long, open long, first long, matched long"))
     before = dealt.select("size", "salt", (F.sum("n").over(W.partitionBy("size").orderBy("salt")) - F.col("n")).alias("before"))
     numbered = slots.withColumn("place", F.row_number().over(W.partitionBy("size", "salt").orderBy("sequence", "slot")) - 1)
     opened = numbered.join(before, ["size", "salt"]).join(below, "size").select((F.col("open") + F.col("before") + F.col("place")).alias("level"), "size", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rank"), "sequence", "slot")
@@ -103,10 +111,10 @@ def sweep(gaps: DataFrame, ranks: DataFrame, left: dict[int, tuple[int, int]], u
     closed = ranks.join(lengths, "length").where((own >= 0) & (own < F.col("matched"))).select((F.col("open") - 1 - own).alias("level"), F.col("length").alias("size"), F.lit(1).alias("kind"), "rank", F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("int").alias("slot"))
     level = W.partitionBy("level").orderBy(F.desc("size"), "kind")
     met = opened.union(closed).withColumns({"sequence": F.coalesce("sequence", F.lag("sequence").over(level)), "slot": F.coalesce("slot", F.lag("slot").over(level))})
-    return persisted(met.where("kind = 1").select(F.col("size").alias("length"), "rank", "sequence", "slot"), "matches"), taken
+    return persisted(met.where("kind = 1").select(F.col("size").alias("length"), "rank", "sequence", "slot", F.lit(number).alias("round")), "matches"), taken
 
 
-def longest_first(ranks: DataFrame, left: dict[int, tuple[int, int]], first: int, each: int, number: int) -> tuple[DataFrame, dict[int, int]]:
+def longest_first(ranks: DataFrame, left: dict[int, tuple[int, int]], first: int, each: int, number: int, at_round: int) -> tuple[DataFrame, dict[int, int]]:
     """Places of the longest pieces of left, each a sequence, in `number` new sequences from `first` on; and how many of each length."""
     rows, at = [], 0
     for length in sorted(left, reverse=True):
@@ -117,7 +125,8 @@ def longest_first(ranks: DataFrame, left: dict[int, tuple[int, int]], first: int
     own = F.col("rank") - F.col("first")
     place = F.col("before") + own
     some = ranks.join(lengths, "length").where((own >= 0) & (own < F.col("opened")))
-    return some.select("length", "rank", (first + F.floor(place / each)).alias("sequence"), (place % each).cast("int").alias("slot")), {r[0]: r[3] for r in rows}
+    opened = some.select("length", "rank", (first + F.floor(place / each)).alias("sequence"), (place % each).cast("int").alias("slot"), F.lit(at_round).alias("round"))
+    return persisted(opened, "matches"), {r[0]: r[3] for r in rows}
 
 
 def pack(pieces: DataFrame, limit: int = SEQUENCE) -> DataFrame:
@@ -128,7 +137,8 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE) -> DataFrame:
     before = counts.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("local_rank")).drop("before", "part", "local_rank")
     ranks = persisted(ranked.select("length", "rank"), "ranks")
-    placed = [ranks.where(F.col("length") == limit).select("length", "rank", F.col("rank").alias("sequence"), F.lit(0).alias("slot"), F.lit(0).alias("round"))]
+    full = ranks.where(F.col("length") == limit).select("length", "rank", F.col("rank").alias("sequence"), F.lit(0).alias("slot"), F.lit(0).alias("round"))
+    placed: list[DataFrame] = []
     sequences = totals.pop(limit, 0)
     left = {length: (0, n) for length, n in totals.items()}
     gaps = persisted(spark.createDataFrame([], "sequence long, gap long"), "gaps")
@@ -138,7 +148,7 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE) -> DataFrame:
         """Books a round's matches; the gaps that are left, of which those that hold no piece any more go."""
         nonlocal rounds
         rounds += 1
-        placed.append(match.select("length", "rank", "sequence", "slot", F.lit(rounds).alias("round")))
+        placed.append(match)
         for length, n in taken.items():
             begin, number = left.pop(length)
             if number > n:
@@ -159,12 +169,13 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE) -> DataFrame:
 
         def swept(gaps: DataFrame, upper: int = upper, band=band) -> tuple[DataFrame, bool]:
             wanted = sum(n for _, n in band().values())
-            match, taken = sweep(gaps, ranks, band(), upper)
-            n = sum(taken.values())
-            return take(match, taken, gaps, False), n >= LEAST_SHARE * wanted
+            match, taken = sweep(gaps, ranks, band(), upper, rounds + 1)
+            if match is None:
+                return gaps, False
+            return take(match, taken, gaps, False), sum(taken.values()) >= LEAST_SHARE * wanted
 
         more = upper < limit - 1
-        while more and band() and not gaps.isEmpty():
+        while more and band():
             gaps, more = swept(gaps)
         for k in range(OPENINGS + 1):
             if not band():
@@ -172,16 +183,15 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE) -> DataFrame:
             each, every = limit // upper, sum(n for _, n in band().values())
             needed = -(-sum(length * n for length, (_, n) in band().items()) // limit)
             number = -(-every // each) if k == OPENINGS or each == 1 else min(needed, -(-every // each))
-            match, taken = longest_first(ranks, band(), sequences, each, number)
+            match, taken = longest_first(ranks, band(), sequences, each, number, rounds + 1)
             sequences += number
             gaps = take(match, taken, gaps, True)
             if band():
                 gaps, _ = swept(gaps)
         upper = lower
     discard(gaps)
-    places = placed[0]
-    for x in placed[1:]:
-        places = places.union(x)
+    # One scan of all rounds' tables, however many there were.
+    places = full.union(spark.read.schema(placed[0].schema).parquet(*[x.stored_path for x in placed])) if placed else full
     # A sequence has as many pieces as ids, at most.
     offset = F.sum("length").over(W.partitionBy("sequence").orderBy("round", "slot", "rank")) - F.col("length")
     places = places.select("length", "rank", F.col("sequence").alias("sequence_id"), offset.alias("offset"))

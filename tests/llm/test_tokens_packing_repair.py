@@ -202,3 +202,21 @@ def test_bits():
         data = repair.pack(x, bits)
         assert len(data) == -(-1003 * bits // 8) and repair.unpack(data, 0, 1003, bits)[0].tolist() == x.tolist()
     assert repair.unpack(b"", 0, 0, 9)[0].tolist() == []
+
+
+def test_packing_reads_all_rounds_in_one_small_plan(spark):
+    lengths = [random.Random(4).randint(1, 63) for _ in range(600)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0, 0, sum(m == n for m in lengths[:i])) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
+    out = packing.pack(pieces, limit=64)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 5 and plan.count("BroadcastHashJoin") <= 3  # of some twenty rounds
+    held = Counter()
+    for r in out.collect():
+        held[r.sequence_id] += r.length
+    assert out.count() == 600 and sum(held.values()) == sum(lengths) and max(held.values()) <= 64
+
+
+def test_levels_are_brackets():
+    # gaps 9, 9, 5 and pieces 9, 6, 6, 5: of the two gaps of 9 one takes the 9, one a 6; the 5 takes the gap of 5.
+    assert packing.levels({9: 2, 5: 1}, {9: 1, 6: 2, 5: 1}) == ({9: 0, 5: 0}, {9: (2, 1), 6: (1, 1), 5: (1, 1)})
+    assert packing.levels({}, {3: 2}) == ({}, {3: (0, 0)})
