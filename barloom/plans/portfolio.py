@@ -62,14 +62,12 @@ def constrained(w: np.ndarray, adv: np.ndarray, max_weight: float, min_weight: f
     return (w / w.sum()).round(12)
 
 
-def base_weights(g: pd.DataFrame, method: str) -> np.ndarray:
+def base_weights(score: np.ndarray, calm: np.ndarray, adv: np.ndarray, method: str) -> np.ndarray:
     """Weights of one portfolio by one of METHODS, before constraints; as :func:`weights`."""
     part = lambda x: x / x.sum() if x.sum() > 0 else np.full(len(x), 1 / len(x))
-    score, calm = g["score"].fillna(0.0).to_numpy(float), 1 - g["risk_score"].fillna(0.0).to_numpy(float)
-    adv = np.maximum(g["amount_ma20"].fillna(0.0).to_numpy(float), 1.0)
     if method == "hybrid":
-        return part(0.4 * part(score) + 0.3 * part(calm) + 0.2 * part(adv) + 0.1 / len(g))
-    return part({"equal": np.ones(len(g)), "score": score, "risk": score * calm, "liquidity": score * calm * adv}[method])
+        return part(0.4 * part(score) + 0.3 * part(calm) + 0.2 * part(adv) + 0.1 / len(score))
+    return part({"equal": np.ones(len(score)), "score": score, "risk": score * calm, "liquidity": score * calm * adv}[method])
 
 
 def cap_and_redistribute(weighted: DataFrame, max_weight: float = 0.1, min_weight: float = 0.005, liquidity: tuple[float, float, float] | None = (1e7, 0.1, 3.0)) -> DataFrame:
@@ -93,25 +91,32 @@ NEAR_HIGH = "near_20d_high"
 
 def trim_near_high(picks: DataFrame, method: str, most: float = 0.40, max_weight: float = 0.1, min_weight: float = 0.0, liquidity: tuple[float, float, float] | None = (1e7, 0.1, 3.0)) -> DataFrame:
     """picks with weight, or null where a pick near its 20-day high was dropped: while such picks weigh more than `most`, the
-    one of lowest score goes and the rest is weighted anew. A group is one day's portfolio."""
+    one of lowest score goes and the rest is weighted anew. A group is one day's portfolio.
+
+    The loop runs over arrays, and days are dealt over twice the session's partitions: picks are few bytes, which adaptive
+    execution would hand to one task, however long their loops take."""
     kinds = picks.withColumn("weight", F.lit(None).cast("double")).schema
+    partitions = 2 * int(picks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["market", "symbol"]).reset_index(drop=True)
-        near = g["risk_flags"].map(lambda x: NEAR_HIGH in (x if x is not None else []))
-        kept = pd.Series(True, index=g.index)
-        g["weight"] = np.nan
-        while kept.any():
-            own = g[kept]
-            w = constrained(base_weights(own, method), own["amount_ma20"].to_numpy(float), max_weight, min_weight, liquidity)
-            at_high = near[kept].to_numpy()
+        near = np.array([NEAR_HIGH in (x if x is not None else []) for x in g["risk_flags"]], bool)
+        score, calm = g["score"].fillna(0.0).to_numpy(float), 1 - g["risk_score"].fillna(0.0).to_numpy(float)
+        amount = g["amount_ma20"].to_numpy(float)
+        adv = np.maximum(g["amount_ma20"].fillna(0.0).to_numpy(float), 1.0)
+        weight = np.full(len(g), np.nan)
+        kept = np.arange(len(g))
+        while len(kept):
+            w = constrained(base_weights(score[kept], calm[kept], adv[kept], method), amount[kept], max_weight, min_weight, liquidity)
+            at_high = near[kept]
             if w[at_high].sum() <= most or not at_high.any():
-                g.loc[kept, "weight"] = w
+                weight[kept] = w
                 break
-            kept[own[at_high]["score"].fillna(0.0).idxmin()] = False
-        return g[kinds.names]
+            over = np.flatnonzero(at_high)
+            kept = np.delete(kept, over[score[kept[over]].argmin()])
+        return g.assign(weight=weight)[kinds.names]
 
-    return picks.groupBy("trade_date").applyInPandas(run, kinds)
+    return picks.repartition(partitions, "trade_date").groupBy("trade_date").applyInPandas(run, kinds)
 
 
 def exposure(weighted: DataFrame, sector: str = "market") -> DataFrame:

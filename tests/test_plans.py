@@ -268,3 +268,29 @@ def test_days_to_sell(spark):
     got = {r["symbol"]: (r.days_to_sell, r.weight_cap, r.status) for r in pf.liquidity(w, 1e7, 0.1, 3.0).collect()}
     assert got == {"a": (5.0, 0.3, "exceeds_liquidation_days"), "b": (1.0, 0.3, "pass"), "c": (None, None, "no_adv_data"), "d": (None, None, "no_adv_data")}
     assert {r.status for r in pf.liquidity(w, 0.0).collect()} == {"no_adv_data"}
+
+
+def test_trimming_is_dealt_over_tasks_and_equals_the_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(d), "sh", f"{i:02d}", float(rng.integers(60, 64)), [0.1, None][i == 3], [float(rng.integers(1, 9)) * 1e7, None][i == 5], [["near_20d_high"], [], None][min(2, int(rng.integers(0, 5)) // 2)]) for d in range(30) for i in range(12)]
+    p = spark.createDataFrame(rows, "trade_date date, market string, symbol string, score double, risk_score double, amount_ma20 double, risk_flags array<string>")
+    got = pf.trim_near_high(p, "hybrid")
+    assert got.rdd.getNumPartitions() > 4  # small picks are not handed to one task
+    found = {(r["trade_date"], r["symbol"]): r["weight"] for r in got.collect()}
+    dropped = 0
+    for d in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: r[2])
+        while own:
+            score, calm = np.array([r[3] for r in own]), np.array([1 - (r[4] or 0.0) for r in own])
+            adv = np.array([max(r[5] or 0.0, 1.0) for r in own])
+            w = pf.constrained(pf.base_weights(score, calm, adv, "hybrid"), np.array([r[5] if r[5] else np.nan for r in own]), 0.1, 0.0, (1e7, 0.1, 3.0))
+            high = [r for r in own if "near_20d_high" in (r[6] or [])]
+            if not high or sum(x for x, r in zip(w, own, strict=True) if r in high) <= 0.4 + 1e-15:
+                break
+            own.remove(min(high, key=lambda r: (r[3], r[2])))
+        kept = {r[2]: x for r, x in zip(own, w, strict=True)}
+        for r in (r for r in rows if r[0] == d):
+            x = found[d, r[2]]
+            dropped += r[2] not in kept
+            assert x is None and r[2] not in kept or x == pytest.approx(kept[r[2]], abs=1e-11)
+    assert dropped and len(found) == len(rows)
