@@ -20,8 +20,7 @@ import numpy as np
 
 #: Words, and words without the punctuation after them, that a Python worker keeps for each place, about 250 bytes each;
 #: longer ones, and those that come later, are encoded whenever they occur.
-CACHE_WORDS = 900_000
-CACHE_STEMS = 500_000
+CACHE_WORDS = 1_400_000
 CACHE_LETTERS = 64
 
 
@@ -59,7 +58,6 @@ class Encoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.line = self.whole("\n") if self.spaced else b""
         self.tails = Words(self.whole, 100_000)
-        self.stems = [Words(partial(self._merge, blank=x), CACHE_STEMS) for x in (False, True)]
         self.first = Words(partial(self._word, blank=False), CACHE_WORDS)
         self.later = Words(partial(self._word, blank=True), CACHE_WORDS)
 
@@ -73,31 +71,32 @@ class Encoder:
     def _plain(text: str, words: list[str]) -> bool:
         """Whether single blanks and line ends are all the white space, none of it at an end or next to another.
 
-        words are split at every white space that Python knows, so between two of them there is one character, and as
-        many characters are blanks or line ends as there are such places.
+        words are split at every white space that Python knows, so joined by single blanks they are such a text, but for
+        its line ends.
         """
-        if not words or "<|" in text:
-            return False
-        return len(words) == text.count(" ") + text.count("\n") + 1 and sum(map(len, words)) + len(words) - 1 == len(text)
+        return bool(words) and "<|" not in text and " ".join(words) == text.replace("\n", " ")
 
-    def _merge(self, word: str, blank: bool) -> bytes | None:
-        """Ids of a word of letters; None where normalising might do more than lower-case."""
+    def _mergeable(self, letters: str) -> bool:
+        """Letters alone, on which normalising does no more than lower-case."""
+        if self.spaced or letters.isascii():
+            return letters.isalpha()
+        return letters.isalpha() and letters.lower().isalpha() and "Σ" not in letters and unicodedata.is_normalized("NFC", letters)
+
+    def _merge(self, word: str, blank: bool) -> bytes:
+        """Ids of a mergeable word."""
         if not self.spaced:
-            low = word.lower()
-            if not word.isascii() and (not low.isalpha() or "Σ" in word or not unicodedata.is_normalized("NFC", word)):
-                return None
-            word = low
+            word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array(self.code, [t.id for t in self.model.tokenize("Ġ" + word if blank and self.spaced else word)]).tobytes()
 
     def _word(self, word: str, blank: bool) -> bytes:
-        """Ids of a word, after a blank or at the start of a line."""
+        """Ids of a word, after a blank or at the start of a line; one with punctuation after it takes those of the word alone."""
         letters = word.rstrip(punctuation)
-        if letters.isalpha():
-            ids = self.stems[blank][letters]
-            if ids is not None:
-                return ids + self.tails[word[len(letters) :]] if len(letters) < len(word) else ids
+        if self._mergeable(letters):
+            if len(letters) == len(word):
+                return self._merge(word, blank)
+            return (self.later if blank else self.first)[letters] + self.tails[word[len(letters) :]]
         return self.whole(" " + word if blank and self.spaced else word)
 
     def _text(self, text: str | None) -> bytes:

@@ -220,3 +220,12 @@ def test_levels_are_brackets():
     # gaps 9, 9, 5 and pieces 9, 6, 6, 5: of the two gaps of 9 one takes the 9, one a 6; the 5 takes the gap of 5.
     assert packing.levels({9: 2, 5: 1}, {9: 1, 6: 2, 5: 1}) == ({9: 0, 5: 0}, {9: (2, 1), 6: (1, 1), 5: (1, 1)})
     assert packing.levels({}, {3: 2}) == ({}, {3: (0, 0)})
+
+
+def test_a_word_is_kept_once_whatever_follows_it(encoder):
+    own = Encoder(P.path(NAMES[0] if encoder.spaced else NAMES[1]))
+    same(own, ["a foo foo, foo;", "été ΣΑΣ, straße. ½x é,"])
+    own = Encoder(P.path(NAMES[0] if encoder.spaced else NAMES[1]))
+    own.encode(["a foo foo, foo;"])
+    tables = [t for v in vars(own).values() for t in (v if isinstance(v, list) else [v]) if isinstance(t, dict) and t is not own.tails]
+    assert sum(map(len, tables)) == 4  # a, foo, and foo with either mark
