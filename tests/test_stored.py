@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from barloom import stored
 from barloom.operators import indicators
 from barloom.operators.cross_section import quality
-from barloom.plans import catalog, factor_queries, strategy_queries
+from barloom.plans import accounts, backtest_queries, catalog, factor_queries, strategy_queries
 from barloom.sources.bars import adjustment_factors, build_raw_daily, raw_daily
 
 
@@ -76,3 +76,17 @@ def test_buckets_follow_the_input(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(stored, "BUCKET_BYTES", -(-size // 9))
     assert stored.bucket_count(spark, path) == 9
     assert build_raw_daily(spark, sf_dir).exceptAll(raw_daily(spark, sf_dir)).isEmpty()
+
+
+def test_signals_are_picked_once_and_only_their_instruments_are_walked(spark, sf_dir):
+    for name in ("backtest_match", "stateful_equity"):
+        p = plan(backtest_queries.QUERIES[name](spark, sf_dir))
+        assert "WindowGroupLimit [trade_date" not in p  # signals are read
+        assert "FlatMapGroupsInPandas" not in p  # accounts are walked before, once
+    bars = backtest_queries.bars(spark, sf_dir)
+    some = spark.createDataFrame([("sh", "000003")], "market string, symbol string")
+    own = accounts.bars_of(some, bars)
+    tree = own._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda word: [i for i, line in enumerate(tree) if re.match(rf"[\s:+|-]*{word}\b", line)]
+    assert min(depth("Window")) < min(depth("Join LeftSemi"))  # other instruments go before the means
+    assert own.exceptAll(bars.where("symbol = '000003' and market = 'sh'")).isEmpty() and own.count() == bars.where("symbol = '000003' and market = 'sh'").count() > 0
