@@ -78,6 +78,19 @@ def test_buckets_follow_the_input(spark, sf_dir, monkeypatch):
     assert build_raw_daily(spark, sf_dir).exceptAll(raw_daily(spark, sf_dir)).isEmpty()
 
 
+def test_stored_bars_are_adjusted_where_they_lie(spark, tmp_path):
+    days = spark.range(3000).selectExpr("'sh' as market", "lpad(cast(id % 7 as string), 6, '0') as symbol", "date_add(date'2020-01-01', cast(id div 7 as int)) as trade_date", "2020 as trade_year", "10.0D as open", "12.0D as high", "9.0D as low", "11.0D as close", "1000L as volume", "11000.0D as amount")
+    stored.write_bucketed(days, "barloom_adjust_in_place", str(tmp_path / "raw"), 9)  # more buckets than the session's partitions
+    raw = spark.table("barloom_adjust_in_place")
+    adj = factor_queries.adjust(raw, adjustment_factors(raw))
+    assert exchanges(adj) == 0 and exchanges(adj.repartition(9, *stored.BUCKET)) == 0
+    loose = spark.read.parquet(str(tmp_path / "raw"))  # the same rows without buckets
+    dealt = factor_queries.adjust(loose, adjustment_factors(loose))
+    assert exchanges(dealt) == 1
+    assert adj.count() == 3000 and adj.exceptAll(dealt).isEmpty() and dealt.exceptAll(adj).isEmpty()
+    assert adj.select("adj_factor").distinct().count() > 2
+
+
 def test_signals_are_picked_once_and_only_their_instruments_are_walked(spark, sf_dir):
     for name in ("backtest_match", "stateful_equity"):
         p = plan(backtest_queries.QUERIES[name](spark, sf_dir))
