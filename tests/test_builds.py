@@ -1,12 +1,16 @@
 import datetime as dt
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from barloom import stored
 from barloom.operators import fingerprints as fp
 from barloom.operators import reports
 from barloom.plans import build_queries as bq
+from barloom.plans.factor_queries import all_factors
 from barloom.sources.bars import raw_daily
 
 ROWS = "market string, symbol string, trade_date date, trade_year int, close double"
@@ -89,3 +93,23 @@ def test_a_report_without_exchange_counts_the_same(spark, tmp_path):
     assert got.select(kept).exceptAll(want.select(kept)).isEmpty() and got.where("bytes > 0").count() == 2
     a, b = (spark.read.parquet(str(tmp_path / x)) for x in "ab")
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_the_indicator_table_is_written_whole_and_packed_without_adjusted_bars(spark, sf_dir, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "lineitem.parquet").write_bytes((Path(sf_dir) / "lineitem.parquet").read_bytes())
+    paths = []
+    write = reports.write_reported
+    monkeypatch.setattr(reports, "write_reported", lambda df, path, *a, **k: paths.append(path) or write(df, path, *a, **k))
+    report = bq.build_report(spark, str(source)).collect()
+    state = stored.input_state(spark, f"{source}/lineitem.parquet")
+    assert {t.name.split(f"_{state}")[0] for t in spark.catalog.listTables() if state in t.name} == {"barloom_raw_daily"}
+    got, want = spark.read.parquet(paths[0]), all_factors(spark, sf_dir).select(*bq.TABLE)
+    assert sorted(got.columns) == sorted(want.columns) and len(got.columns) == 73
+    same = got.select(*want.columns)  # every value as it was computed
+    assert same.exceptAll(want).isEmpty() and want.exceptAll(same).isEmpty()
+    assert {r.rows for r in report} == {want.count()} and all(r.bytes > 0 for r in report)
+    files = [f.removeprefix("file:") for f in reports.parquet_files(spark, paths[0])]
+    chunks = [g.column(c) for f in files for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups)) for c in range(m.num_columns)]
+    assert not any("DICTIONARY" in e for x in chunks for e in x.encodings)
